@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marketloom.functions import text as T
 from marketloom.operators import skew
@@ -57,7 +58,7 @@ ModelFactory = Callable[[], Callable[[pd.Series, int], pd.Series]]
 
 def call_model(df: DataFrame, factory: ModelFactory, attempt: int) -> DataFrame:
     """Add ``response``: the user's model over Arrow batches, its client built once per task."""
-    schema = df.schema.add("response", "string")
+    schema = StructType([*df.schema.fields, StructField("response", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from marketloom.functions import vectors as V
 from marketloom.operators import skew
@@ -30,7 +31,7 @@ def embed(
     df: DataFrame, column: str, factory: Callable[[], Callable[[pd.Series], list]], name: str = "embedding"
 ) -> DataFrame:
     """Add the user's embedding of a text column; the model is built once per task."""
-    schema = df.schema.add(name, "array<float>")
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("text_queries", "price_queries")
+AREAS = ("text_queries", "price_queries", "event_queries")
 
 
 def load() -> None:

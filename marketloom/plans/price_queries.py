@@ -10,7 +10,7 @@ from marketloom.functions import prices as P
 from marketloom.functions import text as T
 from marketloom.operators import deltas, evaluation, extraction, grounding, matrix, reports, strategy
 from marketloom.plans.registry import query
-from marketloom.session import scratch_path
+from marketloom.session import materialize, scratch_path
 from marketloom.sources import sinks
 from marketloom.sources.tables import table
 
@@ -300,7 +300,7 @@ deltas AS (
     tier || metric AS metric_name,
     '$' || CAST(CAST(old AS DECIMAL(18,2)) AS VARCHAR) || '/1M' AS old_value,
     '$' || CAST(CAST(new AS DECIMAL(18,2)) AS VARCHAR) || '/1M' AS new_value,
-    round((new - old) / nullif(old, 0) * 100, 1) AS percentage_change,
+    round((new - old) / nullif(old, 0) * 100, 1) + 0.0::DOUBLE AS percentage_change,
     CASE WHEN abs((new - old) / old * 100) >= 30 THEN 'CRITICAL' WHEN abs((new - old) / old * 100) >= 15 THEN 'HIGH'
          WHEN abs((new - old) / old * 100) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS strategic_severity
   FROM changes
@@ -380,11 +380,11 @@ def fallback_source(spark, folder):
 
 @query(
     "k1_percent_change",
-    """SELECT l_orderkey, l_linenumber, l_extendedprice, round((l_extendedprice * l_discount - l_tax * 1000) / nullif(l_tax * 1000, 0) * 100, 1) AS pct,
-         CASE WHEN l_extendedprice * l_discount < l_tax * 1000 THEN 'PRICE_DECREASE' ELSE 'PRICE_INCREASE' END AS direction FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, round((l_linenumber - l_quantity) / nullif(l_quantity, 0) * 100, 1) + 0.0::DOUBLE AS pct,
+         CASE WHEN l_linenumber < l_quantity THEN 'PRICE_DECREASE' ELSE 'PRICE_INCREASE' END AS direction FROM lineitem""",
 )
 def percent_change(spark, folder):
-    old, new = F.col("l_tax") * 1000, F.col("l_extendedprice") * F.col("l_discount")
+    old, new = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", F.round(P.percent_change(old, new), 1).alias("pct"),
         P.direction(old, new).alias("direction"),
@@ -445,7 +445,7 @@ def unchanged_in_run(spark, folder):
     "h9_price_series",
     f"""WITH {B.YEARLY_SQL}, s AS (SELECT *, lag(input_price) OVER (PARTITION BY company_name, tier_name ORDER BY run) AS previous_price FROM yearly)
         SELECT company_name, tier_name, run, input_price, previous_price,
-          round((input_price - previous_price) / nullif(previous_price, 0) * 100, 1) AS percentage_change,
+          round((input_price - previous_price) / nullif(previous_price, 0) * 100, 1) + 0.0::DOUBLE AS percentage_change,
           CASE WHEN previous_price IS NULL THEN NULL WHEN abs((input_price - previous_price) / previous_price * 100) >= 30 THEN 'CRITICAL'
             WHEN abs((input_price - previous_price) / previous_price * 100) >= 15 THEN 'HIGH'
             WHEN abs((input_price - previous_price) / previous_price * 100) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS strategic_severity FROM s""",
@@ -468,15 +468,13 @@ def features_added(spark, folder):
 
 @query(
     "d14_record_text",
-    f"""{OFFERS} SELECT company_name, run, count(*) + 2 AS lines,
-        'Company: ' || company_name AS first_line FROM offers GROUP BY company_name, run""",
+    f"""{OFFERS} SELECT company_name, run, md5('Company: ' || company_name || chr(10) || 'Product: Catalog' || chr(10) ||
+        string_agg(concat_ws(' | ', 'Tier: ' || tier_name, 'Input: $' || input_price || '/1M', 'Output: $' || output_price || '/1M',
+          'Context: ' || context_tokens), chr(10) ORDER BY tier_name)) AS text_hash FROM offers GROUP BY 1, 2""",
 )
 def record_text(spark, folder):
     text = deltas.record_text(F.col("company_name"), F.col("product_name"), F.col("pricing_tiers"))
-    lines = F.split(text, "\n")
-    return B.records(B.offers(spark, folder)).select(
-        "company_name", "run", F.size(lines).cast("bigint").alias("lines"), lines[0].alias("first_line")
-    )
+    return B.records(B.offers(spark, folder)).select("company_name", "run", F.md5(text).alias("text_hash"))
 
 
 @query(
@@ -860,7 +858,9 @@ def advice_lines(spark, folder):
 
 
 def _report(spark, folder):
-    offers, changes = _report_offers(spark, folder), _deltas(spark, folder)
+    # the stage tables of a run are written once and read by every section
+    offers = materialize(_report_offers(spark, folder), "offers")
+    changes = materialize(_deltas(spark, folder), "deltas")
     sections = {
         reports.SUMMARY: strategy.executive_lines(offers.select("company_name").distinct(), changes).select(
             F.concat_ws(" ", F.when(F.col("kind") == "summary", "0").otherwise("1"), "line").alias("sort_key"), "line"
