@@ -18,7 +18,9 @@ from marketloom.sources import sinks, tables
 from marketloom.sources.tables import table
 from marketloom.streaming import streams
 
-FAILED = F.expr("event_type = 'error'")
+def is_error():
+    return F.col("event_type") == "error"
+
 
 
 def _events(spark, folder):
@@ -42,7 +44,7 @@ def last_actions(spark, folder):
         FROM ({LAST_SQL}) WHERE age <= 20 AND event_type = 'error') WHERE r <= 3""",
 )
 def last_errors(spark, folder):
-    rows = activity.last_errors(_events(spark, folder), "user_id", ["ts", "event_id"], FAILED, 3)
+    rows = activity.last_errors(_events(spark, folder), "user_id", ["ts", "event_id"], is_error(), 3)
     return rows.select("user_id", "event_id", F.col("error_age").cast("bigint").alias("error_age"))
 
 
@@ -56,10 +58,10 @@ def last_errors(spark, folder):
 def context_text(spark, folder):
     events = _events(spark, folder).select(
         "user_id", "ts", "event_id", "event_type", F.col("event_type").alias("agent"), F.col("props").alias("action"),
-        F.when(FAILED, F.col("value").cast("string")).alias("error"),
+        F.when(is_error(), F.col("value").cast("string")).alias("error"),
     )
     users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
-    return activity.context_text(users, events, "user_id", ["ts", "event_id"], FAILED, 5)
+    return activity.context_text(users, events, "user_id", ["ts", "event_id"], is_error(), 5)
 
 
 @query(
@@ -81,7 +83,7 @@ health AS (SELECT event_id, user_id, ts, CAST(count(*) FILTER (WHERE event_type
 
 @query("h7_health", f"WITH {STREAK_SQL} SELECT event_id, user_id, consecutive_failures, consecutive_failures < 3 AS healthy FROM health")
 def health(spark, folder):
-    return activity.health(_events(spark, folder), "user_id", FAILED).select(
+    return activity.health(_events(spark, folder), "user_id", is_error()).select(
         "event_id", "user_id", "consecutive_failures", "healthy"
     )
 
@@ -94,7 +96,7 @@ def health(spark, folder):
 )
 def domain_breaker(spark, folder):
     # the test events are far apart, so the pause is long
-    return activity.breaker(_events(spark, folder), "user_id", FAILED, minutes=6000).select(
+    return activity.breaker(_events(spark, folder), "user_id", is_error(), minutes=6000).select(
         "event_id", "user_id", "opened_at", "skipped"
     )
 
@@ -138,8 +140,8 @@ def active_stage(spark, folder):
 )
 def run_metrics(spark, folder):
     return _events(spark, folder).groupBy(F.col("user_id").alias("pipeline_id")).agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if(~FAILED).alias("scraped"),
-        F.count_if(F.col("event_type") == "purchase").alias("extracted"), F.count_if(FAILED).alias("flagged"),
+        F.count(F.lit(1)).alias("attempted"), F.count_if(~is_error()).alias("scraped"),
+        F.count_if(F.col("event_type") == "purchase").alias("extracted"), F.count_if(is_error()).alias("flagged"),
     )
 
 
@@ -151,7 +153,7 @@ def run_metrics(spark, folder):
 )
 def stage_progress(spark, folder):
     kind = F.col("event_type")
-    return activity.stage_progress(_events(spark, folder), ["user_id"], kind == "signup", kind == "purchase", FAILED)
+    return activity.stage_progress(_events(spark, folder), ["user_id"], kind == "signup", kind == "purchase", is_error())
 
 
 RATES = {"signup": 0.5, "click": 1.25, "view": 0.1, "purchase": 3.0, "error": 0.0}
@@ -525,7 +527,7 @@ def tumbling_counts(spark, folder):
          round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate FROM s GROUP BY 1, 2""",
 )
 def sliding_error_rate(spark, folder):
-    rate = streams.sliding_error_rate(streams.event_stream(spark, folder), FAILED)
+    rate = streams.sliding_error_rate(streams.event_stream(spark, folder), is_error())
     return _ntz(streams.newest(rate, ["window_start"], "sliding"), "window_start", "window_end")
 
 
@@ -550,7 +552,7 @@ def rolling_buffer(spark, folder):
 
 @query("l6_streaming_health", f"WITH {STREAK_SQL} SELECT event_id, user_id, consecutive_failures, consecutive_failures < 3 AS healthy FROM health")
 def streaming_health(spark, folder):
-    rows = streams.folded(streams.event_stream(spark, folder), streams.health("user_id", FAILED), "health")
+    rows = streams.folded(streams.event_stream(spark, folder), streams.health("user_id", is_error()), "health")
     return rows.select("event_id", "user_id", "consecutive_failures", "healthy")
 
 
