@@ -62,7 +62,8 @@ def general_format(x: Column) -> Column:
         trimmed = F.regexp_replace(rounded, r"\.0+$|(\.\d*?[1-9])0+$", "$1") if decimals else rounded
         below = F.lit(10.0 ** (exponent + 1) - 0.5 * 10.0 ** (exponent - 5))
         text = F.when(x < below, trimmed) if text is None else text.when(x < below, trimmed)
-    power = F.floor(F.log10(x)).cast("int")
+    # a mantissa that would round up to ten belongs to the next power
+    power = F.floor(F.log10(x * (10 / 9.999995))).cast("int")
     mantissa = F.round(x / F.pow(F.lit(10.0), power), 5).cast("decimal(7,5)").cast("string")
     mantissa = F.regexp_replace(mantissa, r"\.0+$|(\.\d*?[1-9])0+$", "$1")
     return text.otherwise(F.concat(mantissa, F.lit("e+"), F.lpad(power.cast("string"), 2, "0")))

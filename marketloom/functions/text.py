@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ ERROR_CHARS = 1000
 # ---- end of fixed values ----
 
 # A 10-digit number standing alone, for callers who want ids of 13 digits left in place.
-PHONE_STRICT = r"(?<!\d)(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?!\d)"
+PHONE_STRICT = r"(?<!\d)(\+\d{1,3}[-.\s]?|\d{1,3}[-.\s])?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?!\d)"
 
 UNICODE = "(?U)"
 
@@ -86,26 +86,57 @@ def clean_html(html: Column, strict: bool = False) -> Column:
     return strip_edges(text)
 
 
+# Any match contains one of these, so a text without it skips the costly pattern.
+NEEDED = {"email": "@", "phone": r"(?U)\d{4}", "id": r"(?U)-\d{4}"}
+
+
 def _patterns(strict: bool):
     for kind, pattern, token in REDACTIONS:
         yield kind, UNICODE + (PHONE_STRICT if strict and kind == "phone" else pattern), token
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mask(kind: str, pattern: str, token: str) -> Callable[[Column], Column]:
+    def mask(t: Column) -> Column:
+        return F.when(F.rlike(t, F.lit(NEEDED[kind])), F.regexp_replace(t, pattern, token)).otherwise(t)
+
+    return mask
+
+
 def scrub_pii(text: Column, strict: bool = False) -> Column:
     """Replace e-mail addresses, then phone numbers, then national ids by tokens."""
-    for _, pattern, token in _patterns(strict):
-        text = F.regexp_replace(text, pattern, token)
+    for rule in _patterns(strict):
+        text = let(text, _mask(*rule))
     return text
 
 
+def _count_and_mask(kind: str, pattern: str, token: str, done: Sequence[str]) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        hit = F.rlike(s["t"], F.lit(NEEDED[kind]))
+        n = F.when(hit, F.regexp_count(s["t"], F.lit(pattern))).otherwise(0).cast("bigint")
+        masked = _mask(kind, pattern, token)(s["t"])
+        return F.struct(*[s[d].alias(d) for d in done], n.alias(kind), masked.alias("t"))
+
+    return step
+
+
 def pii_counts(text: Column, strict: bool = False) -> Column:
     """``struct<email, phone, id, total>``; each kind is counted after the earlier ones are masked."""
-    counts = []
-    for kind, pattern, token in _patterns(strict):
-        counts.append(F.regexp_count(text, F.lit(pattern)).cast("bigint").alias(kind))
-        text = F.regexp_replace(text, pattern, token)
-    total = sum((c for c in counts[1:]), counts[0])
-    return F.struct(*counts, total.alias("total"))
+    state = F.struct(text.alias("t"))
+    names: list[str] = []
+    for rule in _patterns(strict):
+        state = let(state, _count_and_mask(*rule, tuple(names)))
+        names.append(rule[0])
+
+    def total(s: Column) -> Column:
+        counts = [s[n].alias(n) for n in names]
+        return F.struct(*counts, sum((s[n] for n in names[1:]), s[names[0]]).alias("total"))
+
+    return let(state, total)
 
 
 def content_hash(text: Column) -> Column:

@@ -36,21 +36,46 @@ def unique_tiers(offers: DataFrame, position: str | None = None) -> DataFrame:
 
 
 def tier_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Price changes, removed and new tiers between two sets of unique tiers.
+    """Price changes, removed and new tiers between two sets of unique tiers."""
+    return tier_diff_of_runs(
+        old.withColumn("run", F.lit("old")).unionByName(new.withColumn("run", F.lit("new")), allowMissingColumns=True),
+        "old",
+        "new",
+    )
+
+
+def tier_diff_of_runs(offers: DataFrame, old: str, new: str) -> DataFrame:
+    """Price changes, removed and new tiers between two runs of one table (column ``run``).
 
-    Companies without an old snapshot yield nothing, as there is no history to
-    compare with; so do companies that have vanished.
+    The full outer match is a single aggregate over the tagged rows: one scan,
+    one shuffle, combined on the map side. Companies seen in one run only yield
+    nothing, as there is no history to compare with; they are found on the
+    aggregate's output, whose exchange both branches share.
     """
-    both = old.select("company_name").distinct().join(new.select("company_name").distinct(), "company_name")
+    is_old, is_new = F.col("run") == old, F.col("run") == new
     keys = ["company_name", "tier_name"]
-    o = old.select(*keys, F.struct("input_price", "output_price").alias("o"))
-    n = new.select(*keys, "product_name", F.struct("input_price", "output_price").alias("n"))
-    paired = o.join(n, keys, "full_outer").join(both, "company_name", "left_semi")
-    kind = F.when(F.col("n").isNull(), "TIER_REMOVED").when(F.col("o").isNull(), "NEW_TIER")
+    cells = offers.filter(is_old | is_new).groupBy(*keys).agg(
+        F.max("product_name").alias("product_name"),
+        F.max(is_old).alias("in_old"),
+        F.max(is_new).alias("in_new"),
+        *[
+            F.max(F.when(side, F.col(f"{kind}_price"))).alias(f"{kind}_{name}")
+            for name, side in (("old", is_old), ("new", is_new))
+            for kind in ("input", "output")
+        ],
+    )
+    both = (
+        cells.groupBy("company_name")
+        .agg(F.max("in_old").alias("o"), F.max("in_new").alias("n"))
+        .filter("o AND n")
+        .select("company_name")
+    )
+    paired = cells.join(both, "company_name", "left_semi")
+    kind = F.when(~F.col("in_new"), "TIER_REMOVED").when(~F.col("in_old"), "NEW_TIER")
 
     def price_row(metric: str, field: str) -> Column:
         return F.struct(
-            F.lit(metric).alias("metric"), F.col("o")[field].alias("old"), F.col("n")[field].alias("new")
+            F.lit(metric).alias("metric"), F.col(f"{field}_old").alias("old"), F.col(f"{field}_new").alias("new")
         )
 
     nothing = F.struct(
@@ -59,7 +84,7 @@ def tier_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("new"),
     )
     rows = F.when(kind.isNotNull(), F.array(nothing)).otherwise(
-        F.array(price_row("_input_price", "input_price"), price_row("_output_price", "output_price"))
+        F.array(price_row("_input_price", "input"), price_row("_output_price", "output"))
     )
     flat = paired.select(*keys, "product_name", kind.alias("kind"), F.explode(rows).alias("c")).filter(
         F.col("kind").isNotNull() | (F.col("c.old") != F.col("c.new"))

@@ -275,12 +275,9 @@ def snippet_in_documents(snippets: DataFrame, documents: DataFrame) -> DataFrame
         .select("item_id", *[F.element_at("w", i).alias(f"w{i}") for i in range(1, 5)])
     )
     tokens = documents.select("doc_id", F.split(F.lower("text"), " ").alias("t")).filter(F.size("t") >= 4)
-    quads = F.transform(
-        F.sequence(F.lit(0), F.size("t") - 4),
-        lambda i: F.struct(*[F.get("t", i + k).alias(f"t{k + 1}") for k in range(4)]),
-    )
-    hay = tokens.select("doc_id", F.explode(quads).alias("q"))
-    matched = hay.join(needles, (F.col("q.t2") == F.col("w2")) & (F.col("q.t3") == F.col("w3"))).filter(
-        F.endswith("q.t1", F.col("w1")) & F.startswith("q.t4", F.col("w4"))
+    shifted = [F.slice("t", k, F.size("t") - 3).alias(f"t{k}") for k in range(1, 5)]
+    hay = tokens.select("doc_id", *shifted).select("doc_id", F.inline(F.arrays_zip("t1", "t2", "t3", "t4")))
+    matched = hay.join(needles, (F.col("t2") == F.col("w2")) & (F.col("t3") == F.col("w3"))).filter(
+        F.endswith("t1", F.col("w1")) & F.startswith("t4", F.col("w4"))
     )
     return matched.select("item_id", "doc_id").distinct()

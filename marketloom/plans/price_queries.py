@@ -311,8 +311,7 @@ DELTAS = f"{OFFERS}, {DELTAS_SQL}"
 
 
 def _deltas(spark, folder):
-    rows = B.offers(spark, folder)
-    return deltas.tier_diff(rows.filter("run = 'R1'"), rows.filter("run = 'R2'"))
+    return deltas.tier_diff_of_runs(B.offers(spark, folder), "R1", "R2")
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.session import ensure_utc
+from marketloom.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ensure_utc(spark)
+            prepare(spark)
             return fn(spark, folder)
 
         if key in QUERIES:

@@ -12,8 +12,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # recording the call site of every Column call makes big expressions slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # sessions are merged on the map side, so a hot key shuffles few rows
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -33,9 +35,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Apply the runtime settings the operators rely on to a session made elsewhere."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
