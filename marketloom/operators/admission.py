@@ -113,7 +113,7 @@ def apply_robots(admitted: DataFrame, policy: DataFrame, min_delay: float = MIN_
     own = F.when(F.col("own_delay") > 0, F.col("own_delay"))
     delay = F.coalesce(own, F.col("star_delay"), F.lit(0.0))
     return (
-        admitted.join(policy, "host", "left")
+        skew.join(admitted, policy, ["host"])
         .withColumn("robots_allowed", F.when(F.col("own_rules").isNull(), True).otherwise(allowed))
         .withColumn("crawl_delay", F.greatest(F.lit(float(min_delay)), delay))
         .drop("own_rules", "star_rules", "own_delay", "star_delay")

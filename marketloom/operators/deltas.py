@@ -54,24 +54,24 @@ def tier_diff_of_runs(offers: DataFrame, old: str, new: str) -> DataFrame:
     """
     is_old, is_new = F.col("run") == old, F.col("run") == new
     keys = ["company_name", "tier_name"]
+    sides = ((is_old, "old"), (is_new, "new"))
+    # all in one array: both readers below then need the same column and share one exchange
+    flags = [F.max(side).cast("double") for side, _ in sides]
+    values = [F.max(F.when(side, F.col(c))) for side, _ in sides for c in ("input_price", "output_price")]
     cells = offers.filter(is_old | is_new).groupBy(*keys).agg(
-        F.max("product_name").alias("product_name"),
-        F.max(is_old).alias("in_old"),
-        F.max(is_new).alias("in_new"),
-        *[
-            F.max(F.when(side, F.col(f"{kind}_price"))).alias(f"{kind}_{name}")
-            for name, side in (("old", is_old), ("new", is_new))
-            for kind in ("input", "output")
-        ],
+        F.max("product_name").alias("product_name"), F.array(*flags, *values).alias("v")
     )
     both = (
         cells.groupBy("company_name")
-        .agg(F.max("in_old").alias("o"), F.max("in_new").alias("n"))
-        .filter("o AND n")
+        .agg(F.max(F.col("v")[0]).alias("o"), F.max(F.col("v")[1]).alias("n"))
+        .filter("o = 1 AND n = 1")
         .select("company_name")
     )
-    paired = cells.join(both, "company_name", "left_semi")
-    kind = F.when(~F.col("in_new"), "TIER_REMOVED").when(~F.col("in_old"), "NEW_TIER")
+    slots = ("in_old", "in_new", "input_old", "output_old", "input_new", "output_new")
+    paired = skew.join(cells, both, ["company_name"], "left_semi").select(
+        *keys, "product_name", *[F.col("v")[i].alias(slot) for i, slot in enumerate(slots)]
+    )
+    kind = F.when(F.col("in_new") == 0, "TIER_REMOVED").when(F.col("in_old") == 0, "NEW_TIER")
 
     def price_row(metric: str, field: str) -> Column:
         return F.struct(
@@ -167,10 +167,10 @@ def repeated(df: DataFrame, keys: Sequence[str], position: str, history: DataFra
     with very many copies costs one row per map task.
     """
     first = df.groupBy(*keys).agg(F.min(position).alias("__first"))
-    marked = skew.join_null_safe(df, first, keys).withColumn("unchanged", F.col(position) != F.col("__first"))
+    marked = skew.join(df, first, keys).withColumn("unchanged", F.col(position) != F.col("__first"))
     if history is not None:
         known = history.select(*keys).distinct().withColumn("__known", F.lit(True))
-        marked = skew.join_null_safe(marked, known, keys).withColumn(
+        marked = skew.join(marked, known, keys).withColumn(
             "unchanged", F.col("unchanged") | F.coalesce("__known", F.lit(False))
         ).drop("__known")
     return marked.drop("__first")

@@ -1,10 +1,16 @@
-"""Ordered scans that never put one key into one task.
+"""Joins and ordered scans that never put one key into one task.
 
 A key may hold a third of all rows, so a plain window over the key is unsafe.
 The rows of a key are cut into slices that follow the order (an hour of a time
 line, a prefix of a hash, a range of ids). Each slice is scanned on its own,
 the slices are summed up to one row each, and the scan over those few rows is
 joined back. ``slice_col`` must never fall while the order rises.
+
+Key and slice travel as one struct. Rows that happen to be partitioned by the
+key alone are then partitioned anew, where separate columns would let Spark
+keep a hot key together; the struct also pairs null keys, and scan and join
+share its partitioning. The input is read twice, the second time only for key,
+order and value: write an expensive input to a stage table first.
 """
 
 from __future__ import annotations
@@ -23,15 +29,15 @@ def id_slice(number: Column, width: int = 100_000) -> Column:
     return F.floor(number / width).cast("bigint")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that also pairs null keys, keeping the left key columns."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__{key}")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(renamed[f"__{key}"])
-    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+def join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on a struct of the keys, keeping the left key columns; null keys pair.
+
+    The result counts as partitioned by the struct, not by the keys, so a later
+    step on the keys shuffles anew and the adaptive skew join may split hot keys.
+    """
+    mine = left.withColumn("__join", F.struct(*keys))
+    theirs = right.select(F.struct(*keys).alias("__join"), *[c for c in right.columns if c not in keys])
+    return mine.join(theirs, "__join", how).drop("__join")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: bool = True) -> DataFrame:
@@ -52,6 +58,15 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, n
     return df.withColumn(name, F.row_number().over(spec)).filter(F.col(name) <= n)
 
 
+def _cut(df: DataFrame, keys: Sequence[str], slice_col: str) -> DataFrame:
+    return df.withColumn("__key", F.struct(*keys, slice_col))
+
+
+def _over_slices(keys: Sequence[str], slice_col: str):
+    key = F.col("__key")
+    return Window.partitionBy(*[key[k] for k in keys]).orderBy(key[slice_col].asc_nulls_first())
+
+
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,21 +78,19 @@ def prefix(
 ) -> DataFrame:
     """Sum or maximum of ``value`` over the rows of the key strictly before this one."""
     fold = {"sum": F.sum, "max": F.max}[how]
-    parts = [*keys, slice_col]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("__value", value).withColumn(
-        "__local", fold("__value").over(before.partitionBy(*parts))
-    )
-    slices = df.withColumn("__value", value).groupBy(*parts).agg(fold("__value").alias("__total"))
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(*parts, fold("__total").over(earlier).alias("__carry"))
-    joined = join_null_safe(local, carry, parts)
+    cut = _cut(df.withColumn("__value", value), keys, slice_col)
+    before = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("__local", fold("__value").over(before))
+    slices = cut.groupBy("__key").agg(fold("__value").alias("__total"))
+    earlier = _over_slices(keys, slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    carry = slices.select("__key", fold("__total").over(earlier).alias("__carry"))
+    joined = local.join(carry, "__key", "left")
     if how == "sum":
-        zero = F.lit(0).cast(local.schema["__value"].dataType)
+        zero = F.lit(0).cast(cut.schema["__value"].dataType)
         result = F.coalesce("__local", zero) + F.coalesce("__carry", zero)
     else:
         result = F.greatest("__local", "__carry")
-    return joined.withColumn(name, result).drop("__value", "__local", "__carry")
+    return joined.withColumn(name, result).drop("__key", "__value", "__local", "__carry")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_col: str, name: str):
@@ -98,25 +111,18 @@ def with_previous(
 
     ``initial`` (keys plus the new names) stands in for the row before the first.
     """
-    parts = [*keys, slice_col]
     row = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    local = df.withColumn("__prev", F.lag(row).over(Window.partitionBy(*parts).orderBy(*order)))
-    ends = df.groupBy(*parts).agg(F.max_by(row, F.struct(*order)).alias("__end"))
-    spec = Window.partitionBy(*keys).orderBy(slice_col)
-    carry = ends.select(*parts, F.lag("__end").over(spec).alias("__carry"))
-    joined = join_null_safe(local, carry, parts)
+    cut = _cut(df, keys, slice_col)
+    local = cut.withColumn("__prev", F.lag(row).over(Window.partitionBy("__key").orderBy(*order)))
+    ends = cut.groupBy("__key").agg(F.max_by(row, F.struct(*order)).alias("__end"))
+    carry = ends.select("__key", F.lag("__end").over(_over_slices(keys, slice_col)).alias("__carry"))
+    joined = local.join(carry, "__key", "left").drop("__key")
     sources = ["__prev", "__carry"]
     if initial is not None:
-        start = initial.select(*keys, F.struct(*values).alias("__start"))
-        joined = join_null_safe(joined, start, keys)
+        joined = join(joined, initial.select(*keys, F.struct(*values).alias("__start")), keys)
         sources.append("__start")
-    for new in values:
-        whole = F.coalesce(*sources)
-        joined = joined.withColumn(f"__new_{new}", whole[new])
-    joined = joined.drop(*sources)
-    for new in values:
-        joined = joined.withColumnRenamed(f"__new_{new}", new)
-    return joined
+    whole = F.coalesce(*sources)
+    return joined.select(*df.columns, *[whole[new].alias(new) for new in values])
 
 
 def streak(
@@ -132,28 +138,27 @@ def streak(
 
     ``initial`` (keys plus ``name``) holds the streak each key starts with.
     """
-    parts = [*keys, slice_col]
-    scan = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = df.withColumn("__fail", failed.cast("bigint"))
+    scan = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        hit.withColumn("__cum", F.sum("__fail").over(scan))
+        _cut(df.withColumn("__fail", failed.cast("bigint")), keys, slice_col)
+        .withColumn("__cum", F.sum("__fail").over(scan))
         .withColumn("__base", F.max(F.when(F.col("__fail") == 0, F.col("__cum"))).over(scan))
         .withColumn("__streak", F.col("__cum") - F.coalesce("__base", F.lit(0)))
     )
-    ends = local.groupBy(*parts).agg(
+    ends = local.groupBy("__key").agg(
         F.max_by("__streak", F.struct(*order)).alias("__tail"),
         F.min("__fail").alias("__all_failed"),
     )
     if initial is not None:
         # a slice before all others that carries the starting streak
+        before = F.lit(None).cast(df.schema[slice_col].dataType).alias(slice_col)
         start = initial.select(
-            *keys,
-            F.lit(None).cast("bigint").alias(slice_col),
+            F.struct(*keys, before).alias("__key"),
             F.col(name).cast("bigint").alias("__tail"),
             F.lit(1).cast("bigint").alias("__all_failed"),
         )
         ends = ends.unionByName(start)
-    upto = Window.partitionBy(*keys).orderBy(F.col(slice_col).asc_nulls_first())
+    upto = _over_slices(keys, slice_col)
     running = upto.rowsBetween(Window.unboundedPreceding, 0)
     carry = (
         ends.withColumn("__sum", F.sum("__tail").over(running))
@@ -162,10 +167,8 @@ def streak(
             F.max(F.when(F.col("__all_failed") == 0, F.col("__sum") - F.col("__tail"))).over(running),
         )
         .withColumn("__after", F.col("__sum") - F.coalesce("__reset", F.lit(0)))
-        .select(*parts, F.lag("__after", 1, 0).over(upto).alias("__carry"))
+        .select("__key", F.lag("__after", 1, 0).over(upto).alias("__carry"))
     )
-    joined = join_null_safe(local, carry, parts)
+    joined = local.join(carry, "__key", "left")
     total = F.col("__streak") + F.when(F.col("__base").isNull(), F.coalesce("__carry", F.lit(0))).otherwise(0)
-    return joined.withColumn(name, total.cast("bigint")).drop(
-        "__fail", "__cum", "__base", "__streak", "__carry"
-    )
+    return joined.withColumn(name, total.cast("bigint")).select(*df.columns, name)

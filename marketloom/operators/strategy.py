@@ -228,7 +228,7 @@ def enforce_corroboration(claims: DataFrame, known: DataFrame, minimum: int = MI
     ``claims``: rec_id, title, source (one row per cited source).
     """
     valid = cited_in_known(claims, known)
-    kept = claims.join(valid, "source", "left_semi").select("rec_id", "title", "source").distinct()
+    kept = skew.join(claims, valid, ["source"], "left_semi").select("rec_id", "title", "source").distinct()
     counted = kept.groupBy("rec_id", "title").agg(
         F.count(F.lit(1)).alias("corroboration_count"), F.min("source").alias("first_source")
     )

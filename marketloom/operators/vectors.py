@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     The company is matched first, so this is an equi-join with one query row
     per company, and Spark keeps k rows per company before the shuffle.
     """
-    scored = vectors.join(queries, "company").select(
+    scored = skew.join(vectors, queries, ["company"], "inner").select(
         "company", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("query")), 9).alias("similarity")
     )
     return skew.top_n(scored, ["company"], [F.col("similarity").desc(), F.col("vec_id")], k)
