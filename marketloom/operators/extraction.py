@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from marketloom.functions import text as T
 from marketloom.operators import skew
@@ -57,15 +56,19 @@ ModelFactory = Callable[[], Callable[[pd.Series, int], pd.Series]]
 
 
 def call_model(df: DataFrame, factory: ModelFactory, attempt: int) -> DataFrame:
-    """Add ``response``: the user's model over Arrow batches, its client built once per task."""
-    schema = StructType([*df.schema.fields, StructField("response", StringType())])
+    """Add ``response``: the user's model over Arrow batches of prompts, its client built once per task.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the prompts travel to Python. The function counts as nondeterministic,
+    so Spark never calls the model twice for one row of a stage.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
-        for batch in batches:
-            yield batch.assign(response=model(batch["prompt"], attempt))
+        for prompts in batches:
+            yield model(prompts, attempt)
 
-    return df.mapInPandas(run, schema)
+    ask = F.pandas_udf(run, "string").asNondeterministic()
+    return df.withColumn("response", ask("prompt"))
 
 
 def extract(
@@ -91,7 +94,9 @@ def extract(
         judged = answered.withColumn(
             "payload", F.when(F.try_parse_json(body).isNotNull(), body)
         ).withColumn("error", F.when(F.col("payload").isNull(), F.concat(F.lit("invalid JSON: "), F.substring("response", 1, 500))))
-        judged.drop("prompt", "response").write.mode("overwrite").parquet(f"{path}/{attempt}")
+        # the text is needed again only where the answer failed
+        slim = judged.withColumn("text", F.when(F.col("payload").isNull(), F.col("text"))).drop("prompt", "response")
+        slim.write.mode("overwrite").parquet(f"{path}/{attempt}")
         done = spark.read.parquet(f"{path}/{attempt}")
         failed = done.filter("payload IS NULL")
         last = attempt == max_repairs

@@ -27,14 +27,18 @@ def executive_lines(records: DataFrame, deltas: DataFrame) -> DataFrame:
     The roster grows with the data, so it is never joined into one string.
     """
     roster = records.groupBy("company_name").agg(F.count(F.lit(1)).alias("n"))
-    totals = roster.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("companies"))
     changes = deltas.agg(
-        F.count(F.lit(1)).alias("changes"),
-        F.count_if(F.col("strategic_severity") == "CRITICAL").alias("critical"),
-        F.count_if(F.col("strategic_severity") == "HIGH").alias("high"),
+        F.struct(
+            F.count(F.lit(1)).alias("changes"),
+            F.count_if(F.col("strategic_severity") == "CRITICAL").alias("critical"),
+            F.count_if(F.col("strategic_severity") == "HIGH").alias("high"),
+        )
+    ).scalar()
+    row = (
+        roster.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("companies"))
+        .withColumn("c", changes)
+        .select("records", "companies", "c.*")
     )
-    # two one-row aggregates, paired on a constant
-    row = totals.withColumn("k", F.lit(1)).join(changes.withColumn("k", F.lit(1)), "k")
     head = F.concat(
         F.lit("Analyzed "), F.col("records").cast("string"), F.lit(" competitor product(s) across "),
         F.col("companies").cast("string"), F.lit(" companies. "),
@@ -66,15 +70,16 @@ def macro_price_drop(records: DataFrame, deltas: DataFrame, shown: int = 3) -> D
     drops = deltas.filter(F.col("delta_type") == DROP).select(F.col("competitor_name").alias("company_name"))
     sources = records.join(drops, "company_name", "left_semi").select("source_url").distinct()
     listed = sources.orderBy("source_url").limit(shown).agg(
-        F.array_join(F.array_sort(F.collect_list("source_url")), ",").alias("corroborating_sources")
+        F.array_join(F.array_sort(F.collect_list("source_url")), ",")
     )
-    counted = sources.agg(F.count(F.lit(1)).alias("corroboration_count"))
     total = drops.groupBy("company_name").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("drops"), F.count(F.lit(1)).alias("companies")
     )
-    row = total.filter(F.col("drops") >= MIN_SOURCES)
-    for other in (listed, counted):
-        row = row.withColumn("k", F.lit(1)).join(other.withColumn("k", F.lit(1)), "k").drop("k")
+    row = (
+        total.filter(F.col("drops") >= MIN_SOURCES)
+        .withColumn("corroborating_sources", listed.scalar())
+        .withColumn("corroboration_count", sources.agg(F.count(F.lit(1))).scalar())
+    )
     return row.select(
         F.lit("PRICING").alias("category"),
         F.lit("Multiple Competitors Reducing Prices").alias("title"),

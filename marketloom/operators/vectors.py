@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from marketloom.functions import vectors as V
 from marketloom.operators import skew
@@ -31,14 +30,14 @@ def embed(
     df: DataFrame, column: str, factory: Callable[[], Callable[[pd.Series], list]], name: str = "embedding"
 ) -> DataFrame:
     """Add the user's embedding of a text column; the model is built once per task."""
-    schema = StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
-        for batch in batches:
-            yield batch.assign(**{name: list(model(batch[column]))})
+        for texts in batches:
+            yield pd.Series(list(model(texts)))
 
-    return df.mapInPandas(run, schema)
+    vectors = F.pandas_udf(run, "array<float>").asNondeterministic()
+    return df.withColumn(name, vectors(column))
 
 
 def hashed_texts() -> Callable[[pd.Series], list]:

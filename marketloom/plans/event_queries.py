@@ -441,7 +441,10 @@ def page_model():
     return answer
 
 
-@query("e12_extract_with_repair")
+@query(
+    "e12_extract_with_repair",
+    """SELECT page_id, CAST(contains(url, '/es/') OR contains(url, '/de/') AS BIGINT) AS attempt, true AS succeeded FROM pages""",
+)
 def extract_with_repair(spark, folder):
     pages = B.cleaned_pages(spark, folder).select("page_id", "url", "text")
     return extraction.extract(pages, page_model, "page_id").select(
@@ -547,12 +550,12 @@ def sessions(spark, folder):
 @query("l5_rolling_buffer", f"SELECT user_id, event_id FROM ({LAST_SQL}) WHERE age <= 20")
 def rolling_buffer(spark, folder):
     step = streams.rolling_buffer("user_id", 20)
-    return streams.final_state(streams.event_stream(spark, folder), step, "buffer").select("user_id", "event_id")
+    return streams.final_state(streams.event_stream(spark, folder), step, ["user_id"], "buffer").select("user_id", "event_id")
 
 
 @query("l6_streaming_health", f"WITH {STREAK_SQL} SELECT event_id, user_id, consecutive_failures, consecutive_failures < 3 AS healthy FROM health")
 def streaming_health(spark, folder):
-    rows = streams.folded(streams.event_stream(spark, folder), streams.health("user_id", is_error()), "health")
+    rows = streams.folded(streams.event_stream(spark, folder), streams.health("user_id", is_error()), ["user_id"], "health")
     return rows.select("event_id", "user_id", "consecutive_failures", "healthy")
 
 
@@ -560,7 +563,7 @@ def streaming_health(spark, folder):
 def first_seen_content(spark, folder):
     schema = table(spark, folder, "documents").schema
     docs = streams.table_stream(spark, folder, "documents", schema)
-    return streams.folded(docs, streams.first_seen("doc_id", "text"), "seen")
+    return streams.folded(docs, streams.first_seen("doc_id", "text"), ["content_hash"], "seen")
 
 
 @query(
@@ -578,7 +581,7 @@ def price_changes(spark, folder):
     )
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     narrow = items.select(*columns, "l_shipdate")
-    return streams.folded(narrow, step, "prices").select(*columns, "previous_price", "severity")
+    return streams.folded(narrow, step, ["l_partkey"], "prices").select(*columns, "previous_price", "severity")
 
 
 @query("l9_incremental_trigger", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")

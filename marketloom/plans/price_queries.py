@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom import binding as B
 from marketloom.functions import prices as P
 from marketloom.functions import text as T
-from marketloom.operators import deltas, evaluation, extraction, grounding, matrix, reports, strategy
+from marketloom.operators import deltas, evaluation, extraction, grounding, matrix, reports, skew, strategy
 from marketloom.plans.registry import query
 from marketloom.session import materialize, scratch_path
 from marketloom.sources import sinks
@@ -636,7 +635,20 @@ def battlecards(spark, folder):
     return strategy.battlecards(_records(spark, folder))
 
 
-@query("g12_advantage_lines")
+@query(
+    "g12_advantage_lines",
+    f"""{OFFERS}, o AS (SELECT * FROM offers WHERE run = 'R2'),
+        pairs AS (SELECT a.company_name, a.tier_name, b.company_name AS oc, b.tier_name AS ot, (b.input_price - a.input_price) / b.input_price * 100 AS pct
+          FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY input_price, tier_name) AS r FROM o) WHERE r <= 3) a
+          JOIN o b ON a.company_name <> b.company_name AND a.input_price < b.input_price),
+        lines AS (
+          SELECT company_name, 0 AS kind, row_number() OVER (PARTITION BY company_name ORDER BY pct DESC, tier_name, oc, ot) AS pos,
+            tier_name || ' input pricing is ' || CAST(CAST(pct AS DECIMAL(18,0)) AS VARCHAR) || '% cheaper than ' || oc || '''s ' || ot AS line FROM pairs
+          UNION ALL
+          SELECT company_name, 1, row_number() OVER (PARTITION BY company_name ORDER BY context_tokens DESC, tier_name),
+            tier_name || ' supports ' || format('{{:,}}', context_tokens) || ' token context window' FROM o WHERE context_tokens >= 128000)
+        SELECT company_name, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY kind, pos) AS line_no FROM lines) WHERE line_no <= 3""",
+)
 def advantage_lines(spark, folder):
     return strategy.advantage_lines(_run(spark, folder, "R2"))
 
@@ -782,14 +794,16 @@ def matrix_search(spark, folder):
 
 @query(
     "i5_matrix_sort",
-    f"""{OFFERS} SELECT company_name, tier_name, output_price, CAST(row_number() OVER (ORDER BY output_price ASC NULLS LAST, company_name, tier_name) AS BIGINT) AS position
-        FROM offers WHERE run = 'R2' ORDER BY position LIMIT 500""",
+    f"""{OFFERS} SELECT company_name, tier_name, output_price, row_number() OVER (ORDER BY output_price ASC NULLS LAST, company_name, tier_name) AS position
+        FROM offers WHERE run = 'R2'""",
 )
 def matrix_sort(spark, folder):
-    # the display's first 500 rows; ranks are added to those only
-    rows = matrix.sort_rows(_run(spark, folder, "R2"), "output_asc").limit(500).select("company_name", "tier_name", "output_price")
-    order = Window.orderBy(F.col("output_price").asc_nulls_last(), "company_name", "tier_name")
-    return rows.withColumn("position", F.row_number().over(order).cast("bigint"))
+    # positions come from price slices, so that no task numbers the whole matrix
+    rows = _run(spark, folder, "R2").select("company_name", "tier_name", "output_price").withColumn("all", F.lit(1))
+    price_slice = F.coalesce(F.floor(F.col("output_price") / 100).cast("bigint"), F.lit(2**40))
+    order = [F.col("output_price").asc_nulls_last(), "company_name", "tier_name"]
+    placed = skew.numbered(rows.withColumn("price_slice", price_slice), ["all"], order, "price_slice", "position")
+    return matrix.sort_rows(placed.drop("all", "price_slice"), "output_asc")
 
 
 @query(

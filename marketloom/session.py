@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # whole pages and vectors go to Python, so a batch holds few rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # recording the call site of every Column call makes big expressions slow to build
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # sessions are merged on the map side, so a hot key shuffles few rows

@@ -3,8 +3,10 @@
 All streams run on a checkpoint and a sink in the shared folder. Results that
 change while a stream runs go to an epoch log: each micro-batch overwrites its
 own ``epoch=n`` folder, so a repeated batch leaves the same rows, and readers
-take the newest row per key. Per-key state is a table in the same form,
-advanced by the batch operators, so a hot key is split as it is in batch.
+take the newest row per key. Per-key state is a table in the same form: an
+epoch holds the rows of the keys it touched, and every ``COMPACT_EVERY``-th
+epoch all rows, so state is neither rewritten each time nor read far back. The
+batch operators advance it, so a hot key is split as it is in batch.
 """
 
 from __future__ import annotations
@@ -69,30 +71,57 @@ def newest(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return skew.latest(log, keys, ["epoch"]).drop("epoch").select(*stream.columns)
 
 
+# step(batch, old state of all keys or None) -> (output, new state of the touched keys)
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+COMPACT_EVERY = 20
 
 
-def with_state(stream: DataFrame, step: Step, path: str) -> None:
-    """Fold micro-batches into state tables: ``step(batch, old state) -> (output, new state)``."""
+def state_at(spark: SparkSession, path: str, keys: Sequence[str], epoch: int) -> DataFrame | None:
+    """State of all keys after ``epoch``; null before the first."""
+    if epoch < 0:
+        return None
+    base = epoch - epoch % COMPACT_EVERY
+    folders = [f"{path}/state/epoch={n}" for n in range(base, epoch + 1)]
+    log = spark.read.option("basePath", f"{path}/state").parquet(*folders)
+    if base == epoch:
+        return log.drop("epoch")
+    # a key's rows all come from the last epoch that touched it
+    last = log.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+    return skew.join(log, last, [*keys, "epoch"], "left_semi").drop("epoch")
+
+
+def with_state(stream: DataFrame, step: Step, keys: Sequence[str], path: str) -> None:
+    """Fold micro-batches into output and state tables under ``path``."""
 
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        old = spark.read.parquet(f"{path}/state/epoch={epoch - 1}") if epoch > 0 else None
-        output, state = step(batch, old)
+        old = state_at(spark, path, keys, epoch - 1)
+        output, touched = step(batch, old)
         output.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
-        state.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        if old is not None and epoch % COMPACT_EVERY == 0:
+            touched = skew.join(old, touched.select(*keys).distinct(), keys, "left_anti").unionByName(touched)
+        touched.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
         batch.unpersist()
 
     _finish(stream.writeStream.foreachBatch(fold), f"{path}/checkpoint")
 
 
-def folded(stream: DataFrame, step: Step, label: str) -> DataFrame:
+def folded(stream: DataFrame, step: Step, keys: Sequence[str], label: str) -> DataFrame:
     """All output rows of :func:`with_state` up to the end of the input."""
+    path = scratch_path(stream.sparkSession, label)
+    with_state(stream, step, keys, path)
+    return stream.sparkSession.read.parquet(f"{path}/data").drop("epoch")
+
+
+def final_state(stream: DataFrame, step: Step, keys: Sequence[str], label: str) -> DataFrame:
+    """State of all keys at the end of the input."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    with_state(stream, step, path)
-    return spark.read.parquet(f"{path}/data").drop("epoch")
+    with_state(stream, step, keys, path)
+    # the epoch folders' names, from the table's own partition column
+    last = spark.read.parquet(f"{path}/state").agg(F.max("epoch")).first()[0]
+    return state_at(spark, path, keys, last)
 
 
 # ------------------------------------------------------------------ windows
@@ -120,39 +149,25 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame:
 
 # -------------------------------------------------------------------- state
 def rolling_buffer(key: str, n: int, order: Sequence[str] = ("ts", "event_id")) -> Step:
-    """State: the newest ``n`` rows per key. The output of a batch is the new state."""
+    """State: the newest ``n`` rows per key; the output is the new state of the touched keys."""
 
     def step(batch: DataFrame, old: DataFrame | None):
-        rows = batch if old is None else batch.unionByName(old)
+        rows = batch
+        if old is not None:
+            rows = batch.unionByName(skew.join(old, batch.select(key).distinct(), [key], "left_semi"))
         kept = activity.last_n(rows, key, order, n).drop("age")
         return kept, kept
 
     return step
 
 
-def final_state(stream: DataFrame, step: Step, label: str) -> DataFrame:
-    """The last state table of :func:`with_state`."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    with_state(stream, step, path)
-    states = spark.read.parquet(f"{path}/state")
-    last = states.agg(F.max("epoch").alias("epoch"))
-    # one row, so the join only filters
-    return states.join(F.broadcast(last), "epoch", "left_semi").drop("epoch")
-
-
-def _advance(old: DataFrame | None, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Old state rows of keys the batch did not touch, and all new ones."""
-    return new if old is None else old.join(new, list(key), "left_anti").unionByName(new)
-
-
 def health(key: str, failed: Column, order: Sequence[str] = ("ts", "event_id")) -> Step:
     """State: failures in a row per key. Output: the health after every event."""
 
     def step(batch: DataFrame, old: DataFrame | None):
         scanned = activity.health(batch, key, failed, order, initial=old)
         ends = skew.latest(scanned.select(key, *order, "consecutive_failures"), [key], order)
-        return scanned, _advance(old, ends.select(key, "consecutive_failures"), [key])
+        return scanned, ends.select(key, "consecutive_failures")
 
     return step
 
@@ -165,10 +180,9 @@ def first_seen(key: str, text: str) -> Step:
 
     def step(batch: DataFrame, old: DataFrame | None):
         fresh = batch.groupBy(T.content_hash(F.col(text)).alias("content_hash")).agg(F.min(key).alias(key))
-        if old is None:
-            return fresh, fresh.select("content_hash")
-        fresh = fresh.join(old, "content_hash", "left_anti")
-        return fresh, old.unionByName(fresh.select("content_hash"))
+        if old is not None:
+            fresh = fresh.join(old, "content_hash", "left_anti")
+        return fresh, fresh.select("content_hash")
 
     return step
 
@@ -184,6 +198,6 @@ def price_changes(keys: Sequence[str], price: str, order: Sequence[str]) -> Step
             F.when(F.col("previous_price").isNotNull(), P.severity(F.col("previous_price"), F.col(price))),
         )
         last = skew.latest(batch.select(*keys, *order, F.col(price).alias("previous_price")), keys, order)
-        return graded, _advance(old, last.select(*keys, "previous_price"), keys)
+        return graded, last.select(*keys, "previous_price")
 
     return step

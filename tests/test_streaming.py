@@ -36,17 +36,21 @@ def rows(df, *columns):
     return sorted(map(str, df.select(*columns).collect()))
 
 
-def test_health(arrivals):
+@pytest.mark.parametrize("compact", [20, 2])
+def test_health(arrivals, monkeypatch, compact):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", compact)
     stream, batch = arrivals
     failed = F.col("event_type") == "error"
-    got = streams.folded(stream, streams.health("user_id", failed), "health")
+    got = streams.folded(stream, streams.health("user_id", failed), ["user_id"], "health")
     columns = ["event_id", "consecutive_failures", "healthy"]
     assert rows(got, *columns) == rows(activity.health(batch, "user_id", failed), *columns)
 
 
-def test_buffer(arrivals):
+@pytest.mark.parametrize("compact", [20, 2])
+def test_buffer(arrivals, monkeypatch, compact):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", compact)
     stream, batch = arrivals
-    got = streams.final_state(stream, streams.rolling_buffer("user_id", 7), "buffer")
+    got = streams.final_state(stream, streams.rolling_buffer("user_id", 7), ["user_id"], "buffer")
     assert rows(got, "event_id") == rows(activity.last_n(batch, "user_id", ["ts", "event_id"], 7), "event_id")
 
 
@@ -60,7 +64,7 @@ def test_counts(arrivals):
 
 def test_price_changes(arrivals):
     stream, batch = arrivals
-    got = streams.folded(stream, streams.price_changes(["user_id"], "value", ["ts", "event_id"]), "prices")
+    got = streams.folded(stream, streams.price_changes(["user_id"], "value", ["ts", "event_id"]), ["user_id"], "prices")
     from pyspark.sql import Window
 
     lag = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -69,7 +73,7 @@ def test_price_changes(arrivals):
 
 def test_first_seen(arrivals):
     stream, batch = arrivals
-    got = streams.folded(stream, streams.first_seen("event_id", "event_type"), "seen")
+    got = streams.folded(stream, streams.first_seen("event_id", "event_type"), ["content_hash"], "seen")
     assert got.count() == 2 and got.select("content_hash").distinct().count() == 2
 
 
