@@ -91,6 +91,7 @@ def records(offer_rows: DataFrame) -> DataFrame:
 
     An array is as long as the tier list (brand by type), whatever the data size.
     """
+    features = F.col("features") if "features" in offer_rows.columns else F.array().cast("array<string>")
     tier = F.struct(
         F.col("tier_name").alias("model_or_tier_name"),
         F.col("input_price").alias("input_price_per_m_tokens"),
@@ -101,7 +102,7 @@ def records(offer_rows: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("base_price_monthly"),
         F.lit(None).cast("double").alias("seat_price_monthly"),
         F.lit("USD").alias("currency"),
-        F.col("features").alias("notable_features"),
+        features.alias("notable_features"),
     )
     return (
         offer_rows.groupBy("company_name", "run")

@@ -22,11 +22,11 @@ def _run(spark, folder, run):
 
 
 def _records(spark, folder, run="R2"):
-    return B.records(_run(spark, folder, run))
+    return B.records(_run(spark, folder, run).drop("features"))
 
 
 def _sourced(spark, folder):
-    return B.with_source_text(B.records(B.offers(spark, folder)))
+    return B.with_source_text(B.records(B.offers(spark, folder).drop("features")))
 
 
 # ------------------------------------------------------ price normalisation
@@ -338,7 +338,7 @@ def severity_rollup(spark, folder):
         FROM (SELECT * FROM c WHERE run = 'R2') n LEFT JOIN (SELECT * FROM c WHERE run = 'R1') o USING (company_name)""",
 )
 def history_match(spark, folder):
-    rows = B.records(B.offers(spark, folder))
+    rows = B.records(B.offers(spark, folder).drop("features"))
     matched = deltas.match_history(rows.filter("run = 'R2'"), rows.filter("run = 'R1'"), "run")
     return matched.select(
         "company_name", F.size("pricing_tiers").cast("bigint").alias("tiers"),
@@ -472,7 +472,7 @@ def features_added(spark, folder):
 )
 def record_text(spark, folder):
     text = deltas.record_text(F.col("company_name"), F.col("product_name"), F.col("pricing_tiers"))
-    return B.records(B.offers(spark, folder)).select("company_name", "run", F.md5(text).alias("text_hash"))
+    return B.records(B.offers(spark, folder).drop("features")).select("company_name", "run", F.md5(text).alias("text_hash"))
 
 
 @query(
