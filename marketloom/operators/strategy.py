@@ -16,6 +16,22 @@ LONG_CONTEXT = 128_000
 ADVANTAGES = 3
 DROP = "PRICE_DECREASE"
 SINGLE_SOURCE = "[Single-Source] "
+NO_DATA = "No competitor data available for analysis."
+QUIET = "No significant pricing changes detected since last analysis. "
+MACRO_DROP_TITLE = "Multiple Competitors Reducing Prices"
+NEW_TIER_TITLE = "New Tier Launched by "
+NEW_TIER_RATIONALE = " introduced a new tier: "
+DROP_TREND_TITLE = "Market-Wide Token Price Deflation across {n} Competitors"
+ISOLATED_TITLE = "Isolated Price Reduction"
+ENTERPRISE_TREND_TITLE = "Shift Toward Gated Enterprise Pricing ({n} Providers)"
+FEATURE_TREND_TITLE = "Prompt Caching Standardized across {n} Competitors"
+EQUILIBRIUM_TITLE_HEAD = "Established Pricing Equilibrium among "
+EQUILIBRIUM_TITLE_TAIL = " Tracked Competitors"
+PRESENCE = "Active presence in "
+OPTIONS = "Tier options: "
+GATED_WEAKNESS = "Requires high volume for tiered discount scaling"
+OPEN_WEAKNESS = "Limited enterprise SLA disclosures"
+POSTURE = "Entry token pricing starts at "
 # ---- end of fixed values ----
 
 NAMES_SHOWN = 3
@@ -47,9 +63,9 @@ def executive_lines(records: DataFrame, deltas: DataFrame) -> DataFrame:
         F.lit("Detected "), F.col("changes").cast("string"), F.lit(" market changes ("),
         F.col("critical").cast("string"), F.lit(" critical, "), F.col("high").cast("string"), F.lit(" high severity). "),
     )
-    quiet = F.lit("No significant pricing changes detected since last analysis. ")
+    quiet = F.lit(QUIET)
     sentence = F.when(
-        F.col("companies") == 0, "No competitor data available for analysis."
+        F.col("companies") == 0, NO_DATA
     ).otherwise(F.concat(head, F.when(F.col("changes") > 0, found).otherwise(quiet)))
     return row.select(F.lit("summary").alias("kind"), sentence.alias("line")).unionByName(
         roster.select(F.lit("company").alias("kind"), F.col("company_name").alias("line"))
@@ -82,7 +98,7 @@ def macro_price_drop(records: DataFrame, deltas: DataFrame, shown: int = 3) -> D
     )
     return row.select(
         F.lit("PRICING").alias("category"),
-        F.lit("Multiple Competitors Reducing Prices").alias("title"),
+        F.lit(MACRO_DROP_TITLE).alias("title"),
         "drops", "companies", "corroborating_sources", "corroboration_count",
     )
 
@@ -104,8 +120,8 @@ def new_tier_recommendations(records: DataFrame, deltas: DataFrame) -> DataFrame
     tiers = deltas.filter(F.col("delta_type") == "NEW_TIER").withColumnRenamed("competitor_name", "company_name")
     return tiers.join(per_company, "company_name", "left").select(
         F.lit("PRODUCT_ROADMAP").alias("category"),
-        F.concat(F.lit("New Tier Launched by "), F.col("company_name")).alias("title"),
-        F.concat(F.col("company_name"), F.lit(" introduced a new tier: "), F.col("new_value"), F.lit(".")).alias("rationale"),
+        F.concat(F.lit(NEW_TIER_TITLE), F.col("company_name")).alias("title"),
+        F.concat(F.col("company_name"), F.lit(NEW_TIER_RATIONALE), F.col("new_value"), F.lit(".")).alias("rationale"),
         "corroborating_sources",
         F.coalesce("corroboration_count", F.lit(0)).cast("bigint").alias("corroboration_count"),
     )
@@ -134,7 +150,7 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
         .select(F.col("competitor_name").alias("company_name"))
         .distinct()
     )
-    macro = _trend(companies, "PRICING_COMPRESSION", "Market-Wide Token Price Deflation across {n} Competitors")
+    macro = _trend(companies, "PRICING_COMPRESSION", DROP_TREND_TITLE)
     lone = companies.agg(F.count(F.lit(1)).alias("corroboration_count"), F.min("company_name").alias("source")).filter(
         F.col("corroboration_count") == 1
     )
@@ -142,7 +158,7 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
         lone.select(
             F.lit("isolated").alias("scope"),
             F.lit("PRICING").alias("category"),
-            F.lit("Isolated Price Reduction").alias("title"),
+            F.lit(ISOLATED_TITLE).alias("title"),
             "source",
             "corroboration_count",
         )
@@ -151,7 +167,7 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
 
 def enterprise_signal(records: DataFrame) -> DataFrame:
     companies = records.filter("enterprise_terms_mentioned").select("company_name").distinct()
-    return _trend(companies, "ENTERPRISE_GATING", "Shift Toward Gated Enterprise Pricing ({n} Providers)")
+    return _trend(companies, "ENTERPRISE_GATING", ENTERPRISE_TREND_TITLE)
 
 
 def feature_signal(records: DataFrame, word: str = "cache") -> DataFrame:
@@ -163,7 +179,7 @@ def feature_signal(records: DataFrame, word: str = "cache") -> DataFrame:
         .select("company_name")
         .distinct()
     )
-    return _trend(companies, "FEATURE_PARITY", "Prompt Caching Standardized across {n} Competitors")
+    return _trend(companies, "FEATURE_PARITY", FEATURE_TREND_TITLE)
 
 
 def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
@@ -177,8 +193,8 @@ def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
             F.lit("macro").alias("scope"),
             F.lit("POSITIONING").alias("category"),
             F.concat(
-                F.lit("Established Pricing Equilibrium among "), F.col("n").cast("string"),
-                F.lit(" Tracked Competitors"),
+                F.lit(EQUILIBRIUM_TITLE_HEAD), F.col("n").cast("string"),
+                F.lit(EQUILIBRIUM_TITLE_TAIL),
             ).alias("title"),
             F.col("company_name").alias("source"),
             F.lit(MIN_SOURCES).cast("bigint").alias("corroboration_count"),
@@ -257,13 +273,13 @@ def battlecards(records: DataFrame) -> DataFrame:
         .withColumn("cheapest", cheapest)
         .select(
             F.col("company_name").alias("competitor"),
-            F.concat(F.lit("Active presence in "), F.col("product_name")).alias("strength_presence"),
-            F.concat(F.lit("Tier options: "), options).alias("strength_tiers"),
-            F.when(F.col("enterprise_terms_mentioned"), "Requires high volume for tiered discount scaling")
-            .otherwise("Limited enterprise SLA disclosures")
+            F.concat(F.lit(PRESENCE), F.col("product_name")).alias("strength_presence"),
+            F.concat(F.lit(OPTIONS), options).alias("strength_tiers"),
+            F.when(F.col("enterprise_terms_mentioned"), GATED_WEAKNESS)
+            .otherwise(OPEN_WEAKNESS)
             .alias("vulnerability"),
             F.concat(
-                F.lit("Entry token pricing starts at "), T.money(F.col("cheapest.price"), "/1M", absent="Custom")
+                F.lit(POSTURE), T.money(F.col("cheapest.price"), "/1M", absent="Custom")
             ).alias("pricing_posture"),
             F.col("cheapest.tier").alias("cheapest_tier"),
         )

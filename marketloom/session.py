@@ -14,12 +14,16 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # whole pages and vectors go to Python, so a batch holds few rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    # recording the call site of every Column call makes big expressions slow to build
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # sessions are merged on the map side, so a hot key shuffles few rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Settings that must stand before the session starts.
+STARTUP = {
+    # recording the call site of every Column call makes big expressions slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -30,7 +34,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **STARTUP}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
