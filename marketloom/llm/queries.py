@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import mixing
+from marketloom.llm import mixing, simhash
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -37,3 +37,9 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     sized = stored(docs, "mix-sizes")
     mixed = mixing.mix(sized, sized)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op1_simhash_near_duplicates")
+def op1_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents; see ``simhash.near_duplicates``."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
