@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import mixing, simhash
+from marketloom.llm import mixing, secrets, simhash
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -43,3 +43,10 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents; see ``simhash.near_duplicates``."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every whole text; see ``secrets.scan``."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    return secrets.digest(found, tuple(r.kind for r in secrets.BASE))
