@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import mixing, secrets, simhash
+from marketloom.llm import mixing, pii, secrets, simhash
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -50,3 +50,9 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every whole text; see ``secrets.scan``."""
     found = secrets.scan(table(spark, folder, "documents"))
     return secrets.digest(found, tuple(r.kind for r in secrets.BASE))
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every whole text; see ``pii.scan``."""
+    return pii.digest(pii.scan(table(spark, folder, "documents")))
