@@ -100,7 +100,6 @@ def _characters() -> dict[str, str]:
 
 
 CHARACTERS = _characters()
-DISGUISED = re.compile("[" + "".join(map(re.escape, sorted(CHARACTERS))) + "]")
 
 #: Digits in words, in the languages of the documents.
 SPELLED = {
@@ -118,13 +117,25 @@ _DOT = rf"(?:{_BOXED_DOT}|\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|_dot_|\s{{
 _UNIT = rf"(?:(?<!\w)(?:{_WORDS})(?!\w)|(?<![0-9])[0-9]++)"
 _GAP = r"(?:[\s,/-]{1,3}|[-.()]{1,2})"
 
-#: Where there is none of these, nothing is in disguise.
-CUE = re.compile(
-    rf"{_OPEN}(?:at|@){_CLOSE}|{_BOXED_DOT}|(?<![^\s_])(?:dot|punkt|punto)(?![^\s_])|\s@|@\s"
-    rf"|\sat\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[a-z]|(?<!\w)(?:{_WORDS})[\s,/-]{{1,3}}(?:{_WORDS})(?!\w)"
-    rf"|[0-9][\s,/-]{{1,3}}(?:{_WORDS})(?!\w)|(?<!\w)(?:{_WORDS})[\s,/-]{{1,3}}[0-9]",
-    re.IGNORECASE,
+# Signs of a disguise, looked for in the lower-cased text. Each begins with a fixed character or word, which is quick to look for.
+_CUES = (
+    (None, re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]")),
+    ("@", re.compile(r"@(?:\s|(?<=\s@))")),
+    ("at", re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z]|at_[a-z0-9-]")),
+    ("dot", re.compile(r"dot(?<![^\s_]dot)[\s_]")),
+    ("punkt", re.compile(r"punkt\s")),
+    ("punto", re.compile(r"punto\s")),
+    (None, re.compile(rf"(?:{_WORDS})[\s,/-]{{1,3}}(?:(?:{_WORDS})(?!\w)|[0-9])")),
+    (None, re.compile(rf"[0-9][\s,/-]{{1,3}}(?:{_WORDS})(?!\w)")),
 )
+
+
+def may_hide(text: str) -> bool:
+    """False only for a text in which nothing is in disguise but by its characters."""
+    low = text.lower()
+    return any((word is None or word in low) and cue.search(low) for word, cue in _CUES)
+
+
 RUN = re.compile(rf"(?:(?<!\w)plus\s{{1,3}})?{_UNIT}(?:(?:{_DOT}|{_GAP}){_UNIT})++", re.IGNORECASE)
 PIECE = re.compile(rf"(?P<plus>plus\s{{1,3}})|(?P<word>(?<!\w)(?:{_WORDS})(?!\w))|(?P<dot>{_DOT})|(?P<gap>(?<=\w){_GAP}(?=\w))", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]{1,63}"
@@ -175,7 +186,7 @@ class Mapped:
 
 
 def plain_characters(text: Mapped) -> Mapped:
-    return text.rewrite((m.start(), m.end(), CHARACTERS[m[0]]) for m in DISGUISED.finditer(text.text))
+    return text.rewrite((i, i + 1, CHARACTERS[c]) for i, c in enumerate(text.text) if c in CHARACTERS)
 
 
 def plain_digits(text: Mapped) -> Mapped:
@@ -213,11 +224,11 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     stands for. One inside a base span of its kind is not added.
     """
     base = detect(text)
-    odd = not text.isascii() and DISGUISED.search(text)
-    if not odd and not CUE.search(text):
+    odd = not text.isascii() and not CHARACTERS.keys().isdisjoint(text)
+    if not odd and not may_hide(text):
         return base, []
     mapped = Mapped.of(text)
-    for step in TRANSDUCERS:
+    for step in TRANSDUCERS if odd else TRANSDUCERS[1:]:
         mapped = step(mapped)
     if mapped.text == text:
         return base, []
