@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import mixing, pii, secrets, simhash
+from marketloom.llm import mixing, pii, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -56,3 +56,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every whole text; see ``pii.scan``."""
     return pii.digest(pii.scan(table(spark, folder, "documents")))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text; see ``toxicity.score``."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
