@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import mixing, pii, secrets, simhash, toxicity
+from marketloom.llm import lm, mixing, pieces, pii, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -63,3 +63,15 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every whole text; see ``toxicity.score``."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op4_lattice_scores")
+def op4_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all whole texts; see ``lm.score``."""
+    return lm.score(table(spark, folder, "documents"), pieces.read_model(spark))
+
+
+@query("op8_piece_codec")
+def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all whole texts, decoded and compared; see ``pieces.encode``."""
+    return pieces.encode(table(spark, folder, "documents"), pieces.read_model(spark))
