@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import emit, texts, training_fold, words
 
 #: Rows to learn from, at most, of each class; the bound on what the driver gathers.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 #: Passages to learn from, at most, of each sampled document, and words in a passage.
 PASSAGES = 4
 WIDTH = 128
@@ -32,8 +33,9 @@ MISSPELT = 0.5
 #: An n-gram in fewer batches than this, in the mean of all passes, is not learned.
 SEEN = 0.5
 CUTOFF = 0.3
-#: Scored words that a task keeps.
+#: Scored words that a task keeps, and words that are scored at once.
 CACHE = 400_000
+AT_ONCE = 10_000
 
 #: Signs that stand for letters in disguised words.
 LEET = {"a": "@4", "e": "3", "i": "1!", "o": "0", "s": "$5", "t": "7", "l": "1"}
@@ -97,9 +99,13 @@ class Model:
     shift: float = -30.0
 
     def word_scores(self, vocabulary: list[bytes]) -> np.ndarray:
-        bucket, owner = grams(vocabulary)
-        total = np.bincount(owner, self.gram[bucket], len(vocabulary))
-        return total / np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
+        scores = np.zeros(len(vocabulary))
+        for at in range(0, len(vocabulary), AT_ONCE):
+            part = vocabulary[at : at + AT_ONCE]
+            bucket, owner = grams(part)
+            total = np.bincount(owner, self.gram[bucket], len(part))
+            scores[at : at + len(part)] = total / np.maximum(np.bincount(owner, minlength=len(part)), 1)
+        return scores
 
     def odds(self, scores: np.ndarray) -> float:
         """Log odds of a text with these word scores."""
@@ -110,7 +116,7 @@ class Model:
 
 
 def _learn_passages(
-    rows: list[list[int]], target: np.ndarray, vocabulary: list[bytes], seed: int, epochs: int = EPOCHS, misspelt: float = MISSPELT
+    rows: list[np.ndarray], target: np.ndarray, vocabulary: list[bytes], seed: int, epochs: int = EPOCHS, misspelt: float = MISSPELT
 ) -> tuple[np.ndarray, float]:
     """Embeddings and softmax rows by stochastic gradient descent; returns each n-gram's score and the bias."""
     rng, chance = np.random.default_rng(seed), random.Random(seed)
@@ -125,7 +131,7 @@ def _learn_passages(
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            flat = np.array([w for i in chosen for w in rows[i]])
+            flat = np.concatenate([rows[i] for i in chosen])
             of_row = np.repeat(np.arange(len(chosen)), [len(rows[i]) for i in chosen])
             kinds, inverse = np.unique(flat, return_inverse=True)
             spelt = [vocabulary[k] for k in kinds]
@@ -180,14 +186,14 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int], seed: int = 5) -> M
         return Model(np.zeros(BUCKETS), shift=30.0 if labels == {1} else -30.0)
     chance = random.Random(seed)
     index: dict[bytes, int] = {}
-    tokens = [[index.setdefault(w, len(index)) for w in words(t)] for t, _ in rows]
+    tokens = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t, _ in rows]
     vocabulary = list(index)
     order = list(range(len(rows)))
     chance.shuffle(order)
     held = set(order[: len(order) // 5])
     train, target = [], []
     for i, (_, label) in enumerate(rows):
-        if i in held or not tokens[i]:
+        if i in held or not len(tokens[i]):
             continue
         starts = passages(len(tokens[i])).tolist()
         for s in starts if len(starts) <= PASSAGES else chance.sample(starts, PASSAGES):
@@ -198,7 +204,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int], seed: int = 5) -> M
     model = Model(*_learn_passages(train, np.array(target), vocabulary, seed))
     scores = model.word_scores(vocabulary)
     fitted = [i for i in range(len(rows)) if i in held] if len(rows) >= 200 else list(range(len(rows)))
-    odds = np.array([model.odds(scores[tokens[i]] if tokens[i] else scores[:0]) for i in fitted])
+    odds = np.array([model.odds(scores[tokens[i]]) for i in fitted])
     truth = np.array([rows[i][1] for i in fitted])
     count = np.maximum(np.bincount(truth, minlength=2), 1)
     weight = np.array([totals[0] / count[0], totals[1] / count[1]])[truth]
@@ -269,9 +275,7 @@ def clean(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that score below ``cutoff``, all columns as they are."""
 
     @F.pandas_udf("double")
-    def rated(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def rated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rate = scorer(model)
         for column in batches:
             yield pd.Series(rate([t or "" for t in column]))
