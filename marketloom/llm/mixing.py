@@ -125,12 +125,6 @@ def mix(
     return numbered.join(plan.drop("parts"), "__slice").withColumn("copies", crossed.cast("bigint")).select(*kept, *added)
 
 
-def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as its ``copies`` say."""
-    many = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return many.select(*[F.col(f"`{c}`") for c in columns])
-
-
 #: The same mix in SQL.
 MIX_SQL = r"""
 WITH sized AS (
@@ -159,3 +153,17 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate * nth + shift) - floor(rate * (nth - 1) + shift)) AS BIGINT) AS taken
 FROM placed_docs JOIN goal USING (key)
 """
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, all columns as they are.
+
+    ``docs`` must be read from a stored table: its rows are numbered where they are
+    read, the mix is made on numbers and sizes alone, and the texts move once.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    sized = stored(numbered.select("__row", "doc_id", "source", word_count(F.col("text")).alias("__size")), "mix-rows")
+    taken = stored(mix(sized, sized, size="__size", **options).filter("copies > 0").select("__row", F.col("copies").alias("__copies")), "mix-copies")
+    once_each = F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))
+    repeated = numbered.join(taken, "__row").withColumn("__copy", F.explode(once_each))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -307,7 +308,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, if there, counted anew; null stays null."""
 
     @F.pandas_udf("string")
-    def clean(column):
+    def clean(column: pd.Series) -> pd.Series:
         return column.map(masked, na_action="ignore")
 
     changed = docs.withColumn("text", clean("text"))

@@ -212,3 +212,18 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, width:
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, all columns as they are.
+
+    Of each group the row with the smallest doc_id stays; a row without an id stays only
+    where no other has one; of repeated rows one stays. ``docs`` must be read from a
+    stored table, as its rows are numbered where they are read.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    classes = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), **options)
+    groups = classes.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row")
+    chosen = stored(numbered.select("__row", "doc_id").join(groups, "__row").groupBy("__group").agg(first), "simhash-kept")
+    return numbered.join(chosen, "__row", "left_semi").drop("__row")
