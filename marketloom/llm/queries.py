@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import lm, mixing, pieces, pii, secrets, simhash, toxicity
+from marketloom.llm import caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -75,3 +75,15 @@ def op4_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
 def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all whole texts, decoded and compared; see ``pieces.encode``."""
     return pieces.encode(table(spark, folder, "documents"), pieces.read_model(spark))
+
+
+@query("op5_embedding_near_duplicates")
+def op5_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors; see ``caps.near_duplicates``."""
+    return caps.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op2_licence_scan", licences.LICENCE_SQL)
+def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences named or quoted in every whole text; see ``licences.scan``."""
+    return licences.scan(table(spark, folder, "documents"))
