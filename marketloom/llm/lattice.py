@@ -151,8 +151,11 @@ def marginal(lattice: Arcs, weight: np.ndarray) -> np.ndarray:
     return np.where(np.diff(lattice.begin) > 0, reached[lattice.begin[1:]], 0.0)
 
 
-def shortest(lattice: Arcs, weight: np.ndarray) -> list[np.ndarray]:
-    """Arcs of the best path of each word: the tropical semiring. Of equal paths the one whose last pieces start first wins."""
+def shortest(lattice: Arcs, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Arcs of the best paths, word after word, and where each word's begin: the tropical semiring.
+
+    Of equal paths the one whose last pieces start first wins. The second array has one number more than there are words.
+    """
     reached = np.full(len(lattice.chars) + 1, NEVER)
     came = np.zeros(len(lattice.chars) + 1, np.int64)
     first = np.zeros(len(lattice.chars) + 1, bool)
@@ -181,8 +184,7 @@ def shortest(lattice: Arcs, weight: np.ndarray) -> list[np.ndarray]:
         live = where > lattice.begin[words]
         words, where = words[live], where[live]
     if not owner:
-        return [np.zeros(0, np.int64) for _ in range(len(lattice.begin) - 1)]
+        return np.zeros(0, np.int64), np.zeros(len(lattice.begin), np.int64)
     owner, used = np.concatenate(owner), np.concatenate(used)
     order = np.lexsort((lattice.start[used], owner))
-    owner, used = owner[order], used[order]
-    return np.split(used, np.searchsorted(owner, np.arange(1, len(lattice.begin) - 1)))
+    return used[order], np.searchsorted(owner[order], np.arange(len(lattice.begin)))

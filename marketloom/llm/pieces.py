@@ -26,6 +26,8 @@ PENALTY = 10.0
 #: Chunks whose paths a task keeps, and chunks that are worked on at once.
 CACHE = 300_000
 AT_ONCE = 20_000
+#: Rows that leave a task at once.
+ROWS = 512
 
 
 class Codec:
@@ -79,12 +81,14 @@ class Codec:
     def paths(self, chunks: list[str]) -> list[bytes]:
         """Ids of the best path of each chunk, as the bytes of int32 numbers."""
         lattice = arcs(self.trie, chunks)
-        out = []
-        for path in shortest(lattice, self.weight[lattice.piece]):
-            ids = lattice.piece[path]
-            if (ids < 0).any():
-                ids = np.array([i for a, p in zip(path, ids) for i in ([p] if p >= 0 else self._spell(lattice.chars[lattice.start[a]]))])
-            out.append(ids.astype("<i4").tobytes())
+        used, bounds = shortest(lattice, self.weight[lattice.piece])
+        ids = lattice.piece[used]
+        data, cut = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
+        out = [data[a:b] for a, b in zip(cut, cut[1:])]
+        for i in set((np.searchsorted(bounds, np.flatnonzero(ids < 0), "right") - 1).tolist()):
+            arcs_of = used[bounds[i] : bounds[i + 1]]
+            spelt = [([p] if p >= 0 else self._spell(c)) for p, c in zip(lattice.piece[arcs_of], lattice.chars[lattice.start[arcs_of]])]
+            out[i] = np.array([x for part in spelt for x in part], "<i4").tobytes()
         return out
 
     def _spell(self, char: int) -> list[int]:
@@ -97,25 +101,28 @@ class Codec:
         cache: dict[str, bytes] = {}
 
         def encode(batch: list[str]) -> list[bytes]:
-            out = []
-            for text in batch:
-                chunks = self.chunk.findall(self.normalise(text))
-                new = list({c for c in chunks if c not in cache})
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = list(set(chunks))
-                for at in range(0, len(new), AT_ONCE):
-                    part = new[at : at + AT_ONCE]
-                    cache.update(zip(part, self.paths(part)))
-                out.append(b"".join([cache[c] for c in chunks]))
-            return out
+            split = [self.chunk.findall(self.normalise(text)) for text in batch]
+            new = list({c for chunks in split for c in chunks if c not in cache})
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                new = list({c for chunks in split for c in chunks})
+            for at in range(0, len(new), AT_ONCE):
+                part = new[at : at + AT_ONCE]
+                cache.update(zip(part, self.paths(part)))
+            return [b"".join([cache[c] for c in chunks]) for chunks in split]
 
         return encode
 
-    def decode(self, ids) -> str:
-        """Text of ids; bytes that are no UTF-8 become replacement characters, ids outside the vocabulary nothing."""
+    def decode(self, ids, check: bool = True) -> str:
+        """Text of ids; bytes that are no UTF-8 become replacement characters, ids outside the vocabulary nothing.
+
+        Without ``check`` all ids must be in the vocabulary, as those of ``encoder`` are.
+        """
         raw = self.raw
-        text = b"".join([raw[i] for i in ids if i is not None and 0 <= i < len(raw)]).decode("utf-8", "replace")
+        if check:
+            ids = [i for i in ids if i is not None and 0 <= i < len(raw)]
+        text = b"".join([raw[i] for i in ids])
+        text = text.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -146,8 +153,8 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
         work = codec.encoder()
         for batch in batches:
             rows = texts(batch)
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
+            for at in range(0, len(rows), ROWS):
+                some = rows[at : at + ROWS]
                 coded = work(some)
                 values = np.frombuffer(b"".join(coded), "<i4")
                 offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
@@ -156,10 +163,10 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 for i, text in enumerate(some):
                     plain = codec.normalise(text).replace(BLANK, " ")
                     plain = plain[1:] if codec.prefix and plain else plain
-                    same.append(codec.decode(lists[offsets[i] : offsets[i + 1]]) == plain)
+                    same.append(codec.decode(lists[offsets[i] : offsets[i + 1]], check=False) == plain)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, 256), pa.array(np.diff(offsets), pa.int64()),
+                        batch.column("doc_id").slice(at, ROWS), pa.array(np.diff(offsets), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(same),
                     ],
                     schema=schema,
