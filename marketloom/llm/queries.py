@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
+from marketloom.llm import bm25, caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -87,3 +87,11 @@ def op5_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame
 def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences named or quoted in every whole text; see ``licences.scan``."""
     return licences.scan(table(spark, folder, "documents"))
+
+
+@query("op9_top_k_search", bm25.SQL)
+def op9_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50, its whole text the query; see ``bm25.top_k``."""
+    docs = table(spark, folder, "documents")
+    queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.top_k(docs, queries)
