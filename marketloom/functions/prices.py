@@ -55,18 +55,21 @@ def valid_amount(value: Column) -> Column:
 
 def general_format(x: Column) -> Column:
     """Six significant digits without trailing zeros, like C's ``%g``, for x > 0."""
-    text = None
+    # a mantissa that would round up to ten belongs to the next power
+    power = F.floor(F.log10(x * (10 / 9.999995))).cast("int")
+    mantissa = F.round(x / F.pow(F.lit(10.0), power), 5).cast("decimal(7,5)").cast("string")
+    mantissa = F.regexp_replace(mantissa, r"\.0+$|(\.\d*?[1-9])0+$", "$1")
+    size = F.abs(power).cast("string")
+    digits = F.when(F.abs(power) < 10, F.concat(F.lit("0"), size)).otherwise(size)
+    scientific = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), digits)
+    text = F.when(x < 9.999995e-5, scientific)
     for exponent in range(-4, 6):
         decimals = 5 - exponent
         rounded = F.round(x, decimals).cast(f"decimal({decimals + 7},{decimals})").cast("string")
         trimmed = F.regexp_replace(rounded, r"\.0+$|(\.\d*?[1-9])0+$", "$1") if decimals else rounded
         below = F.lit(10.0 ** (exponent + 1) - 0.5 * 10.0 ** (exponent - 5))
-        text = F.when(x < below, trimmed) if text is None else text.when(x < below, trimmed)
-    # a mantissa that would round up to ten belongs to the next power
-    power = F.floor(F.log10(x * (10 / 9.999995))).cast("int")
-    mantissa = F.round(x / F.pow(F.lit(10.0), power), 5).cast("decimal(7,5)").cast("string")
-    mantissa = F.regexp_replace(mantissa, r"\.0+$|(\.\d*?[1-9])0+$", "$1")
-    return text.otherwise(F.concat(mantissa, F.lit("e+"), F.lpad(power.cast("string"), 2, "0")))
+        text = text.when(x < below, trimmed)
+    return text.otherwise(scientific)
 
 
 def two_decimals(x: Column) -> Column:

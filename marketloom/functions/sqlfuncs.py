@@ -58,7 +58,7 @@ def register(spark: SparkSession) -> None:
     definitions = (
         ("ml_clean_html(html STRING)", "STRING", _clean_sql()),
         ("ml_scrub_pii(raw STRING)", "STRING", _scrub_sql()),
-        ("ml_url_host(url STRING)", "STRING", "lower(try_parse_url(url, 'HOST'))"),
+        ("ml_url_host(url STRING)", "STRING", "nullif(lower(regexp_extract(url, r'" + text.HOST + "', 1)), '')"),
         ("ml_normalize_price(raw STRING)", "DOUBLE", _price_sql()),
         ("ml_severity(old_price DOUBLE, new_price DOUBLE)", "STRING", _severity_sql()),
     )

@@ -143,19 +143,31 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):"
+# a backslash ends the authority, as in browsers
+HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#\\:@\s]+)"
+PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^#]*)"
+
+
 def url_host(url: Column) -> Column:
-    """Lower-cased host name; null where the URL does not parse."""
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """Lower-cased host name, without user and port; null where the URL has none.
+
+    It is cut out of the authority, as a strict parser refuses names with
+    underscores and queries with odd characters, and a refused URL would escape every rule.
+    """
+    host = F.regexp_extract(url, HOST, 1)
+    return F.when(host != "", F.lower(host))
 
 
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
+    scheme = F.regexp_extract(url, SCHEME, 1)
+    return F.when(scheme != "", F.lower(scheme))
 
 
 def url_path(url: Column) -> Column:
     """Path with its query; ``/`` when empty."""
-    path = F.try_parse_url(url, F.lit("FILE"))
-    return F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path)
+    path = F.regexp_extract(url, PATH, 1)
+    return F.when(F.coalesce(path, F.lit("")) == "", "/").when(F.startswith(path, F.lit("?")), F.concat(F.lit("/"), path)).otherwise(path)
 
 
 def is_thin(text: Column) -> Column:

@@ -21,6 +21,7 @@ TIER_RANKS = {"httpx": 1, "curl_cffi": 2, "playwright": 3}
 
 NOT_HTTPS = "REJECTED_SCHEME"
 PRIVATE = "REJECTED_PRIVATE_ADDRESS"
+NO_HOST = "REJECTED_HOST"
 
 
 def is_https(url: Column) -> Column:
@@ -35,6 +36,7 @@ def admit(urls: DataFrame) -> DataFrame:
     """Add ``host`` and ``verdict`` (APPROVED or the reason of refusal) to each ``url``."""
     verdict = (
         F.when(~is_https(F.col("url")), NOT_HTTPS)
+        .when(F.col("host").isNull(), NO_HOST)
         .when(F.coalesce(is_private_host(F.col("host")), F.lit(False)), PRIVATE)
         .otherwise(APPROVED)
     )

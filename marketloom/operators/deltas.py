@@ -35,8 +35,12 @@ def unique_tiers(offers: DataFrame, position: str | None = None) -> DataFrame:
     return skew.latest(offers, keys, [position]) if position else offers
 
 
-def tier_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Price changes, removed and new tiers between two sets of unique tiers."""
+def tier_diff(old: DataFrame, new: DataFrame, position: str | None = None) -> DataFrame:
+    """Price changes, removed and new tiers between two sets of tiers.
+
+    With ``position`` a repeated tier counts as its last listing; without it tiers must be unique.
+    """
+    old, new = unique_tiers(old, position), unique_tiers(new, position)
     return tier_diff_of_runs(
         old.withColumn("run", F.lit("old")).unionByName(new.withColumn("run", F.lit("new")), allowMissingColumns=True),
         "old",
@@ -59,7 +63,8 @@ def tier_diff_of_runs(offers: DataFrame, old: str, new: str) -> DataFrame:
     flags = [F.max(side).cast("double") for side, _ in sides]
     values = [F.max(F.when(side, F.col(c))) for side, _ in sides for c in ("input_price", "output_price")]
     cells = offers.filter(is_old | is_new).groupBy(*keys).agg(
-        F.max("product_name").alias("product_name"), F.array(*flags, *values).alias("v")
+        # the product's name as the new run has it
+        F.coalesce(F.max(F.when(is_new, F.col("product_name"))), F.max("product_name")).alias("product_name"), F.array(*flags, *values).alias("v")
     )
     both = (
         cells.groupBy("company_name")

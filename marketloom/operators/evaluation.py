@@ -33,11 +33,14 @@ def matched_tiers(predicted: DataFrame, gold: DataFrame, tolerance: float = TOLE
 
     The band becomes an equi-join: gold stands in its own cell of a grid as
     wide as the tolerance and a prediction looks into the three cells around
-    its input price. No sample is compared pairwise.
+    its input price. No sample is compared pairwise. A tier name that a sample
+    predicts several times counts each time.
     """
     cell = _price_cell(F.col("input_price"), tolerance)
     looks = F.when(F.col("input_price").isNull(), F.array(cell)).otherwise(F.array(cell - 1, cell, cell + 1))
-    probe = predicted.select("sample_id", "tier_name", "input_price", "output_price", F.explode(looks).alias("cell"))
+    same = ["sample_id", "tier_name", "input_price", "output_price"]
+    listed = predicted.groupBy(*same).agg(F.count(F.lit(1)).alias("times"))
+    probe = listed.select(*same, "times", F.explode(looks).alias("cell"))
     target = gold.select(
         "sample_id", F.col("input_price").alias("g_in"), F.col("output_price").alias("g_out"), cell.alias("cell")
     ).distinct()
@@ -47,7 +50,8 @@ def matched_tiers(predicted: DataFrame, gold: DataFrame, tolerance: float = TOLE
         & _close(probe["input_price"], target["g_in"], tolerance)
         & _close(probe["output_price"], target["g_out"], tolerance)
     )
-    return probe.join(target, condition, "left_semi").select("sample_id", "tier_name").distinct()
+    found = probe.join(target, condition, "left_semi").select(*same, "times").distinct()
+    return found.select("sample_id", "tier_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("copy")).drop("copy")
 
 
 def one_to_one(predicted: DataFrame, gold: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -14,8 +14,6 @@ from marketloom.session import scratch_path
 
 # ---- fixed values ----
 MAX_REPAIRS = 2
-REMEDY_CHARS = 100
-MODELS_PER_COMPANY = 8
 TOKENS_PER_PRICE = 1_000_000
 # ---- end of fixed values ----
 
@@ -52,6 +50,9 @@ def repair_prompt(agent: Column, text: Column, error: Column, template: str = RE
     )
 
 
+OBJECT = r"^\s*\{"
+ABOUT = ("critique", "root_cause", "remedy")
+
 ModelFactory = Callable[[], Callable[[pd.Series, int], pd.Series]]
 
 
@@ -78,11 +79,14 @@ def extract(
     max_repairs: int = MAX_REPAIRS,
     agent: str = "analyst",
 ) -> DataFrame:
-    """Ask the model about each page and ask again, with the error, where the answer is no JSON.
+    """Ask the model about each page and ask again, with the error, where the answer is no JSON object.
+
+    A repaired answer counts by its ``corrected_output``; an answer that only speaks
+    about the error is another failure. Its root cause and remedy are kept either way.
 
     Input: key, url, text. Every pass is written to the shared folder, so a row
     that succeeded never reaches the model again, also after executors are lost;
-    only failed rows enter the next pass. Result: key, attempt, payload, error.
+    only failed rows enter the next pass. Result: key, attempt, payload, error, root_cause, remedy.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "extract")
@@ -91,9 +95,19 @@ def extract(
     for attempt in range(max_repairs + 1):
         answered = call_model(todo, factory, attempt)
         body = T.embedded_json(F.col("response"))
-        judged = answered.withColumn(
-            "payload", F.when(F.try_parse_json(body).isNotNull(), body)
-        ).withColumn("error", F.when(F.col("payload").isNull(), F.concat(F.lit("invalid JSON: "), F.substring("response", 1, 500))))
+        whole = F.when(F.try_parse_json(body).isNotNull() & body.rlike(OBJECT), body)
+        if attempt:
+            mended = F.get_json_object(whole, "$.corrected_output")
+            speaks = F.coalesce(*[F.get_json_object(whole, f"$.{name}") for name in ABOUT]).isNotNull()
+            found = F.when(mended.rlike(OBJECT), mended).when(~speaks & mended.isNull(), whole)
+        else:
+            found = whole
+        judged = (
+            answered.withColumn("payload", found)
+            .withColumn("root_cause", F.get_json_object(whole, "$.root_cause") if attempt else F.lit(None).cast("string"))
+            .withColumn("remedy", F.get_json_object(whole, "$.remedy") if attempt else F.lit(None).cast("string"))
+            .withColumn("error", F.when(F.col("payload").isNull(), F.concat(F.lit("no JSON object: "), F.coalesce("response", F.lit("")))))
+        )
         # the text is needed again only where the answer failed
         slim = judged.withColumn("text", F.when(F.col("payload").isNull(), F.col("text"))).drop("prompt", "response")
         slim.write.mode("overwrite").parquet(f"{path}/{attempt}")
@@ -101,7 +115,7 @@ def extract(
         failed = done.filter("payload IS NULL")
         last = attempt == max_repairs
         kept = (done if last else done.filter("payload IS NOT NULL")).select(
-            key, F.lit(attempt).cast("bigint").alias("attempt"), "payload", "error"
+            key, F.lit(attempt).cast("bigint").alias("attempt"), "payload", "error", "root_cause", "remedy"
         )
         results = kept if results is None else results.unionByName(kept)
         todo = failed.select(
@@ -111,15 +125,14 @@ def extract(
 
 
 def repair_history(attempts: DataFrame, key: str, max_repairs: int = MAX_REPAIRS) -> DataFrame:
-    """One text per key from ``attempt_number, root_cause, remedy``; a key has few attempts by design."""
+    """One text per key from ``attempt_number, root_cause, remedy``: every attempt with its whole remedy."""
     line = F.concat(
         F.lit("  Attempt "), F.col("attempt_number").cast("string"), F.lit(": Root cause = "),
         F.coalesce("root_cause", F.lit("N/A")), F.lit(", Remedy = "),
-        F.substring(F.coalesce("remedy", F.lit("N/A")), 1, REMEDY_CHARS),
+        F.coalesce("remedy", F.lit("N/A")),
     )
     grouped = (
-        attempts.filter(F.col("attempt_number") <= max_repairs)
-        .groupBy(key)
+        attempts.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("attempt_number", line.alias("line")))).alias("lines"))
     )
     head = F.concat(
@@ -130,11 +143,14 @@ def repair_history(attempts: DataFrame, key: str, max_repairs: int = MAX_REPAIRS
     )
 
 
-def model_price_list(models: DataFrame, position: str) -> DataFrame:
-    """Price list rows (``id, prompt, completion`` per token) to tiers, the first eight per company."""
+def model_price_list(models: DataFrame, position: str, per_company: int | None = None) -> DataFrame:
+    """Price list rows (``id, prompt, completion`` per token) to tiers, numbered per company by the number ``position``.
+
+    All models are kept, or the first ``per_company`` of each company.
+    """
     parts = F.split("id", "/", 2)
     provider = parts[0]
-    company = F.concat(F.upper(F.substring(provider, 1, 1)), F.lower(F.substring(provider, 2, 1_000_000)))
+    company = F.concat(F.upper(F.substring(provider, 1, 1)), F.lower(F.substr(provider, F.lit(2))))
 
     def per_million(price: Column) -> Column:
         return F.when(price > 0, F.round(price * TOKENS_PER_PRICE, 3))
@@ -146,5 +162,9 @@ def model_price_list(models: DataFrame, position: str) -> DataFrame:
         per_million(F.col("completion").cast("double")).alias("output_price"),
         F.col(position),
     )
-    kept = skew.top_n(named, ["company_name"], [F.col(position)], MODELS_PER_COMPANY, "tier_no")
+    if per_company is None:
+        sliced = named.withColumn("__slice", skew.id_slice(F.col(position)))
+        kept = skew.numbered(sliced, ["company_name"], [position], "__slice", "tier_no").drop("__slice")
+    else:
+        kept = skew.top_n(named, ["company_name"], [F.col(position)], per_company, "tier_no")
     return kept.withColumn("product_name", F.concat("company_name", F.lit(" LLM Endpoints")))

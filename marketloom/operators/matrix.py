@@ -22,9 +22,11 @@ WORKLOADS = (
 # ---- end of fixed values ----
 
 
-def flatten(records: DataFrame) -> DataFrame:
-    """One row per record and tier; records without tiers vanish."""
-    return records.select("company_name", "product_name", "source_url", F.explode("pricing_tiers").alias("t")).select(
+def flatten(records: DataFrame, position: str | None = None) -> DataFrame:
+    """One row per record and tier; records without tiers vanish. ``position`` names a column for the tier's place in its record."""
+    places = [F.col("place").alias(position)] if position else []
+    return records.select("company_name", "product_name", "source_url", F.posexplode("pricing_tiers").alias("place", "t")).select(
+        *places,
         "company_name",
         "product_name",
         "source_url",

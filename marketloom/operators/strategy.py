@@ -183,7 +183,7 @@ def feature_signal(records: DataFrame, word: str = "cache") -> DataFrame:
 
 
 def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
-    """The trends, or POSITIONING rows for the first two companies when there is no trend."""
+    """The trends, with POSITIONING rows for the first two companies when none is a macro trend; isolated moves stay beside either."""
     n = records.agg(F.count(F.lit(1))).scalar()
     first = records.select("company_name").distinct().orderBy("company_name").limit(MIN_SOURCES)
     spare = (
@@ -200,7 +200,8 @@ def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
             F.lit(MIN_SOURCES).cast("bigint").alias("corroboration_count"),
         )
     )
-    return fallback(trends, spare)
+    macro = F.col("scope") == "macro"
+    return fallback(trends.filter(macro), spare).unionByName(trends.filter(~macro))
 
 
 def cited_in_known(cited: DataFrame, known: DataFrame, gram: int = 8) -> DataFrame:

@@ -112,15 +112,22 @@ def judged_records(records: DataFrame, run: Run) -> DataFrame:
     """Decoded, grounded, calibrated, validated; ``reason`` says why a record is set aside."""
     calibrated = grounding.calibrate(grounding.ground(grounding.decode(records)))
     gated = grounding.gate(grounding.validate(calibrated, run.threshold), run.threshold)
-    failed = F.concat(F.lit("Extraction failed: "), F.substring("error", 1, 200))
+    failed = F.concat(F.lit("Extraction failed: "), F.col("error"))
     return gated.withColumn("reason", F.coalesce(F.when(F.col("error").isNotNull(), failed), "reason"))
 
 
 def unique_offers(records: DataFrame) -> DataFrame:
-    """One row per company and tier; a repeated tier counts as its dearest listing."""
-    flat = matrix.flatten(records)
-    keys = ["company_name", "tier_name"]
-    return skew.latest(flat, keys, ["input_price", "output_price", "source_url"])
+    """One row per company and tier; a repeated tier counts as its last listing, by page and place on it."""
+    flat = matrix.flatten(records, "place")
+    return skew.latest(flat, ["company_name", "tier_name"], ["source_url", "place"]).drop("place")
+
+
+def carried_records(spark: SparkSession, docs: DataFrame, fresh: DataFrame, run: Run, columns: list[str]) -> DataFrame | None:
+    """Records of the previous run whose page was captured again and has not changed."""
+    if run.previous is None:
+        return None
+    same = docs.join(fresh.select("id"), "id", "left_anti").select(F.col("url").alias("source_url")).distinct()
+    return spark.read.parquet(f"{run.previous}/extracted_records").select(*columns).join(same, "source_url", "left_semi")
 
 
 def insights(records: DataFrame, offers: DataFrame, changes: DataFrame) -> DataFrame:
@@ -142,7 +149,30 @@ def execute(
     robots: DataFrame,
     model: extraction.ModelFactory,
 ) -> DataFrame:
-    """Run every stage and return the run's row of metrics."""
+    """Run every stage and return the run's row of metrics; a run that fails leaves a FAILED row with the error.
+
+    Pages that did not change are not read again: their records are carried over from the
+    previous run, so that offers, matrix and changes are of all pages. Only the
+    synthesis looks at companies with new records alone, or at all if none has any.
+    """
+    try:
+        return _execute(spark, run, sources, captures, robots, model)
+    except Exception as error:
+        row = spark.range(1).select(
+            F.lit(run.run_id).alias("pipeline_id"), F.lit("FAILED").alias("status"), F.lit(str(error)).alias("error")
+        )
+        row.write.mode("overwrite").parquet(run.table("runs"))
+        raise
+
+
+def _execute(
+    spark: SparkSession,
+    run: Run,
+    sources: DataFrame,
+    captures: DataFrame,
+    robots: DataFrame,
+    model: extraction.ModelFactory,
+) -> DataFrame:
     checked = _stage(admit_sources(sources, robots, run), run, "checked")
     docs = _stage(documents(checked, captures), run, "documents")
     audited = checked.join(docs.select("id", F.col("pii").alias("pii_scrubbed_count")), "id", "left").fillna(0, ["pii_scrubbed_count"])
@@ -152,7 +182,9 @@ def execute(
     fresh = changed_documents(spark, docs, run).select("id", "url", F.col("content_markdown").alias("text"))
     answers = extraction.extract(fresh, model, "id")
     judged = _stage(judged_records(typed_records(answers, docs), run), run, "judged_records")
-    records = _stage(judged.filter(F.col("reason").isNull()).drop("source_text", "error", "reason"), run, "extracted_records")
+    read = judged.filter(F.col("reason").isNull()).drop("source_text", "error", "reason")
+    carried = carried_records(spark, docs, fresh, run, read.columns)
+    records = _stage(read if carried is None else read.unionByName(carried), run, "extracted_records")
     flagged = judged.filter(F.col("reason").isNotNull())
 
     offers = _stage(unique_offers(records), run, "offers")
@@ -161,11 +193,12 @@ def execute(
     else:
         history = spark.read.parquet(f"{run.previous}/offers")
     changes = _stage(deltas.tier_diff(history, offers), run, "deltas")
-    found = _stage(insights(records, offers, changes), run, "insights")
+    unchanged = records.select("company_name").distinct().join(read.select("company_name").distinct(), "company_name", "left_anti")
+    found = _stage(insights(deltas.changed_only(records, unchanged), offers, changes), run, "insights")
 
     lines = report_lines(records, offers, changes, found, run)
     sinks.report_text(lines, run.table("report"))
-    return _stage(metrics(run, audits, docs, records, flagged, changes, found), run, "runs")
+    return _stage(metrics(run, audits, docs, read, records, flagged, changes, found), run, "runs")
 
 
 def report_lines(records: DataFrame, offers: DataFrame, changes: DataFrame, found: DataFrame, run: Run) -> DataFrame:
@@ -192,9 +225,11 @@ def report_lines(records: DataFrame, offers: DataFrame, changes: DataFrame, foun
     return reports.report(run.run_id, "# Competitive Intelligence Report", sections, run.generated)
 
 
-def metrics(run: Run, audits: DataFrame, docs: DataFrame, records: DataFrame, flagged: DataFrame, changes: DataFrame, found: DataFrame) -> DataFrame:
-    """The run's row: one count per stage table."""
-    counted = {"scraped": docs, "extracted": records, "flagged": flagged, "deltas": changes, "recommendations": found}
+def metrics(
+    run: Run, audits: DataFrame, docs: DataFrame, read: DataFrame, records: DataFrame, flagged: DataFrame, changes: DataFrame, found: DataFrame
+) -> DataFrame:
+    """The run's row: one count per stage table; ``extracted`` counts the records read in this run, ``records`` those carried over too."""
+    counted = {"scraped": docs, "extracted": read, "records": records, "flagged": flagged, "deltas": changes, "recommendations": found}
     row = audits.agg(F.count(F.lit(1)).alias("attempted"))
     for name, stage in counted.items():
         row = row.withColumn(name, stage.agg(F.count(F.lit(1))).scalar())

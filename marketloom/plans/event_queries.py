@@ -434,6 +434,9 @@ def page_model():
                 return "I cannot say {"
             if "/de/" in prompt:
                 return "no data"
+            if attempt:
+                mended = {"critique": "no object", "root_cause": "words", "remedy": "braces", "corrected_output": {"company": "mended"}}
+                return "I see.\n" + json.dumps(mended)
             return "```json\n" + json.dumps({"company": "found", "attempt": attempt, "some": size > 0}) + "\n```"
 
         return prompts.map(one)
@@ -443,12 +446,14 @@ def page_model():
 
 @query(
     "e12_extract_with_repair",
-    """SELECT page_id, CAST(contains(url, '/es/') OR contains(url, '/de/') AS BIGINT) AS attempt, true AS succeeded FROM pages""",
+    """SELECT page_id, CAST(contains(url, '/es/') OR contains(url, '/de/') AS BIGINT) AS attempt,
+              CASE WHEN contains(url, '/es/') OR contains(url, '/de/') THEN 'mended' ELSE 'found' END AS company,
+              CASE WHEN contains(url, '/es/') OR contains(url, '/de/') THEN 'words' END AS root_cause FROM pages""",
 )
 def extract_with_repair(spark, folder):
     pages = B.cleaned_pages(spark, folder).select("page_id", "url", "text")
     return extraction.extract(pages, page_model, "page_id").select(
-        "page_id", "attempt", F.col("payload").isNotNull().alias("succeeded")
+        "page_id", "attempt", F.get_json_object("payload", "$.company").alias("company"), "root_cause"
     )
 
 

@@ -244,13 +244,13 @@ def confidence_gate(spark, folder):
 @query(
     "e13_repair_history",
     """WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag AS root_cause, 'use ' || l_linestatus || ' at ' || CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) AS remedy
-         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1 AND l_linenumber <= 2)
+         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1)
        SELECT l_orderkey, 'Previous repair attempts (' || count(*) || '/2):' || chr(10) ||
          string_agg('  Attempt ' || l_linenumber || ': Root cause = ' || root_cause || ', Remedy = ' || remedy, chr(10) ORDER BY l_linenumber) AS history
        FROM a GROUP BY 1""",
 )
 def repair_history(spark, folder):
-    # orders stand for pages and line numbers for attempts, of which the loop makes two at most
+    # orders stand for pages and line numbers for attempts
     items = table(spark, folder, "lineitem")
     first = F.min_by(F.struct("l_returnflag", "l_linestatus", "l_tax"), F.struct("l_partkey", "l_suppkey", "l_extendedprice"))
     attempts = items.groupBy("l_orderkey", F.col("l_linenumber").alias("attempt_number")).agg(first.alias("f")).select(
@@ -266,7 +266,7 @@ def repair_history(spark, folder):
          SELECT upper(substring(p_brand, 1, 1)) || lower(substring(p_brand, 2)) AS company_name, p_name AS tier_name,
            CASE WHEN p_retailprice > 0 THEN round(p_retailprice / 1e6::DOUBLE * 1000000, 3) END AS input_price,
            CASE WHEN p_size > 25 THEN round(p_size / 1e6::DOUBLE * 1000000, 3) END AS output_price,
-           CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS tier_no FROM part) WHERE tier_no <= 8""",
+           CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS tier_no FROM part)""",
 )
 def model_price_list(spark, folder):
     parts = table(spark, folder, "part")

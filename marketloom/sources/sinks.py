@@ -49,8 +49,18 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    """Header, quoted strings, empty for null."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("quoteAll", False).csv(path)
+    """Header, quoted strings with quotes doubled, other values bare, empty for null."""
+
+    def cell(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        if kind == "string":
+            value = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(value.cast("string"), F.lit(""))
+
+    # whole lines as one column: the writer itself would quote either all values or only some strings
+    line = F.concat_ws(",", *[cell(name, kind) for name, kind in df.dtypes]).alias(",".join(df.columns))
+    bare = {"quote": "", "sep": "\u0001", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(line).write.mode("overwrite").options(header=True, **bare).csv(path)
 
 
 def report_text(lines: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from marketloom import schemas
 from marketloom.operators import (
     admission, deltas, evaluation, extraction, grounding, matrix, reports, strategy, training, vectors,
 )
+from marketloom.sources import sinks
 
 TIER_SCHEMA = f"company_name string, product_name string, source_url string, pricing_tiers array<{schemas.TIER}>, " \
     "enterprise_terms_mentioned boolean, rate_limits_summary string, extraction_confidence double, citation_text string, source_text string"
@@ -245,7 +246,8 @@ def test_model_price_list(spark):
     got = extraction.model_price_list(models, "pos").orderBy("pos").collect()
     assert (got[0]["company_name"], got[0]["tier_name"], got[0]["input_price"], got[0]["output_price"]) == ("Openco", "m1", 2.5, 10.0)
     assert (got[1]["tier_name"], got[1]["input_price"], got[1]["output_price"]) == ("m2/x", None, None)
-    assert len([r for r in got if r["company_name"] == "Big"]) == 8
+    assert [r["tier_no"] for r in got if r["company_name"] == "Big"] == list(range(1, 13))
+    assert extraction.model_price_list(models, "pos", per_company=8).filter("company_name = 'Big'").count() == 8
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -321,3 +323,72 @@ def test_matrix_sort_puts_missing_prices_last(spark):
 def test_feature_signal_needs_a_tier(spark):
     rows = frame(spark, record("A", [], limits="cache ok"), record("B", [tier("cache x")]), record("C", [tier("y")], limits="Cache too"))
     assert {r["source"] for r in strategy.feature_signal(rows).collect()} == {"B", "C"}
+
+
+def test_hosts_are_found_or_refused(spark):
+    cases = {
+        "https://my_host.example.com/private": ("my_host.example.com", "APPROVED"),
+        "https://10_0.internal/x": ("10_0.internal", "APPROVED"),
+        "https:///x": (None, "REJECTED_HOST"),
+        "https://a.example.com/p?q=a|b": ("a.example.com", "APPROVED"),
+        "https://user:pw@10.0.0.5:8443/x": ("10.0.0.5", "REJECTED_PRIVATE_ADDRESS"),
+        "http://a.example.com": ("a.example.com", "REJECTED_SCHEME"),
+        "HTTPS://LOCALHOST\\@good.example.com/": ("localhost", "REJECTED_PRIVATE_ADDRESS"),
+        "nonsense": (None, "REJECTED_SCHEME"),
+    }
+    rows = admission.admit(spark.createDataFrame([(u,) for u in cases], "url string")).collect()
+    assert {r["url"]: (r["host"], r["verdict"]) for r in rows} == cases
+
+
+def test_isolated_moves_do_not_hide_the_equilibrium(spark):
+    trends = spark.createDataFrame([("isolated", "PRICING", "one", "Acme", 1)], "scope string, category string, title string, source string, corroboration_count bigint")
+    records = spark.createDataFrame([("Acme",), ("Bolt",)], "company_name string")
+    got = strategy.with_equilibrium(trends, records).collect()
+    assert sorted((r["scope"], r["source"]) for r in got) == [("isolated", "Acme"), ("macro", "Acme"), ("macro", "Bolt")]
+
+
+def test_repeated_tier_names_count_each(spark):
+    schema = "sample_id string, tier_name string, input_price double, output_price double"
+    pred = spark.createDataFrame([("s", "T", 1.0, 2.0), ("s", "T", 1.0, 2.0), ("s", "T", 1.01, 2.0)], schema)
+    gold = spark.createDataFrame([("s", "T", 1.0, 2.0)], schema)
+    assert evaluation.matched_tiers(pred, gold, 0.05).count() == 3
+
+
+def test_a_repeated_tier_is_its_last_listing(spark):
+    schema = "company_name string, product_name string, tier_name string, input_price double, output_price double, pos int"
+    old = spark.createDataFrame([("a", "z", "t", 5.0, 6.0, 1)], schema)
+    new = spark.createDataFrame([("a", "b", "t", 9.0, 1.0, 1), ("a", "b", "t", 3.0, 4.0, 2)], schema)
+    rows = deltas.tier_diff(old, new, "pos").collect()
+    assert sorted((r["metric_name"], r["new_value"], r["product_name"]) for r in rows) == [
+        ("t_input_price", "$3.00/1M", "b"), ("t_output_price", "$4.00/1M", "b")
+    ]
+
+
+def test_repaired_answers_and_non_objects(spark):
+    def model():
+        first = {"p1": "42", "p2": '{"ok": 1}', "p3": "null", "p4": '{"bad": ', "p5": "[1]"}
+
+        def answer(prompts, attempt):
+            def one(prompt):
+                if attempt == 0:
+                    return next(v for k, v in first.items() if k in prompt)
+                if "42" in prompt:
+                    return '{"root_cause": "a number", "remedy": "an object", "corrected_output": {"ok": 2}}'
+                return '{"critique": "still nothing"}'
+
+            return prompts.map(one)
+
+        return answer
+
+    pages = spark.createDataFrame([(i, f"https://x/p{i}", "text") for i in range(1, 6)], "id int, url string, text string")
+    got = {r["id"]: r for r in extraction.extract(pages, model, "id").collect()}
+    assert (got[2]["attempt"], got[2]["payload"]) == (0, '{"ok": 1}')
+    assert (got[1]["attempt"], got[1]["payload"], got[1]["root_cause"]) == (1, '{"ok":2}', "a number")
+    assert all(got[i]["payload"] is None and got[i]["attempt"] == 2 and got[i]["error"] for i in (3, 4, 5))
+
+
+def test_csv_quotes_strings_only(spark, tmp_path):
+    frame = spark.createDataFrame([('a "b", c', 1.5, None), (None, None, "x\\y")], "s string, n double, t string").coalesce(1)
+    sinks.csv(frame, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("*.csv")
+    assert file.read_text().splitlines() == ["s,n,t", '"a ""b"", c",1.5,', ',,"x\\y"']

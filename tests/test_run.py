@@ -4,6 +4,7 @@ import json
 import re
 
 import pandas as pd
+import pytest
 
 from marketloom import schemas
 from marketloom.plans.competitive_run import Run, execute
@@ -82,4 +83,56 @@ def test_two_runs(spark):
     moves = {(r["scope"], r["title"]) for r in spark.read.parquet(two.table("insights")).collect()}
     assert ("isolated", "Isolated Price Reduction") in moves and ("advice", "New Tier Launched by Acme") in moves
     report = "\n".join(r["value"] for r in spark.read.text(two.table("report")).collect())
-    assert "NEW: Turbo" in report and "Detected Market Changes" in report
+    assert "NEW: Turbo" in report and "Detected Market Changes" in report and "| Bolt | Nano |" in report
+
+
+def test_three_runs_with_two_pages_each(spark):
+    """An unchanged page is not read again, yet its tiers stay: no false removal, no lost change, no empty run."""
+
+    def reader():
+        def one(prompt):
+            name = re.search(r"### (\w+) API pricing", prompt)[1]
+            tiers = [
+                {"model_or_tier_name": t, "input_price_per_m_tokens": float(low), "output_price_per_m_tokens": float(high)}
+                for t, low, high in re.findall(r"\| (\w+) ?\| \$([\d.]+) / 1M ?\| \$([\d.]+)", prompt)
+            ]
+            return json.dumps({"company_name": name, "product_name": "API", "pricing_tiers": tiers, "citation_text": f"{name} API pricing today"})
+
+        return lambda prompts, attempt: prompts.map(one)
+
+    base = scratch_path(spark, "runs")
+    names = {"a1": "Acme", "a2": "Acme", "b1": "Bolt", "b2": "Bolt"}
+    sources = spark.createDataFrame(
+        [(i, n, f"https://{n.lower()}.example.com/{i}", None, None, None, None, True) for i, n in names.items()], schemas.SOURCE
+    )
+    robots = spark.createDataFrame(ROBOTS, "host string, robots_txt string")
+    pages = {
+        "a1": page("Acme", ("Fast", "2.50", "10.00")), "a2": page("Acme", ("Slow", "0.50", "1.00")),
+        "b1": page("Bolt", ("Nano", "4.00", "8.00")), "b2": page("Bolt", ("Mega", "20.00", "40.00")),
+    }
+    previous, seen = None, []
+    for number, change in enumerate([{}, {"b1": page("Bolt", ("Nano", "5.00", "8.00"))}, {"a1": page("Acme", ("Fast", "0.25", "10.00"))}, {}]):
+        pages = {**pages, **change}
+        run = Run(f"run-{number}", f"{base}/{number}", "2024-01-01", previous=previous)
+        row = execute(spark, run, sources, captures(spark, pages), robots, reader).first()
+        changes = {(r["competitor_name"], r["metric_name"], r["delta_type"]) for r in spark.read.parquet(run.table("deltas")).collect()}
+        seen.append((row["extracted"], row["records"], spark.read.parquet(run.table("offers")).count(), changes))
+        previous = run.out
+    assert seen == [
+        (4, 4, 4, set()),
+        (1, 4, 4, {("Bolt", "Nano_input_price", "PRICE_INCREASE")}),
+        (1, 4, 4, {("Acme", "Fast_input_price", "PRICE_DECREASE")}),
+        (0, 4, 4, set()),
+    ]
+    report = "\n".join(r["value"] for r in spark.read.text(f"{previous}/report").collect())
+    assert "| Acme | Fast | $0.25 | $10.00 |" in report and "| Bolt | Mega |" in report
+
+
+def test_a_failed_run_says_so(spark):
+    run = Run("bad", f"{scratch_path(spark, 'runs')}/bad", "2024-01-01", previous="/nowhere/at/all")
+    sources = spark.createDataFrame(SOURCES, schemas.SOURCE)
+    robots = spark.createDataFrame(ROBOTS, "host string, robots_txt string")
+    with pytest.raises(Exception):
+        execute(spark, run, sources, captures(spark, {"a": page("Acme", ("Fast", "1", "2"))}), robots, lambda: None)
+    row = spark.read.parquet(run.table("runs")).first()
+    assert (row["pipeline_id"], row["status"]) == ("bad", "FAILED") and row["error"]

@@ -118,7 +118,7 @@ def test_negative_amount_is_no_price(spark):
 
 
 def test_general_format(spark):
-    values = [2.5, 0.15, 10.0, 100.0, 68423.46, 112946.26, 1234567.0, 0.00012345678, 99999.96, 999999.7, 0.1, 15.0, 3.14159265]
+    values = [2.5, 0.15, 10.0, 100.0, 68423.46, 112946.26, 1234567.0, 0.00012345678, 99999.96, 999999.7, 0.1, 15.0, 3.14159265, 5e-05, 1.23456789e-05, 9.9999951e-05, 1e-9, 2.5e-120, 1e123]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = {r["x"]: r["g"] for r in df.select("x", P.general_format(F.col("x")).alias("g")).collect()}
     assert got == {v: f"{v:g}" for v in values}
