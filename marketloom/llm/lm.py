@@ -15,9 +15,9 @@ from marketloom.llm.common import emit, stored, texts, training_fold, words
 from marketloom.llm.lattice import Trie, arcs, marginal, read_pieces
 from marketloom.llm.pieces import BLANK, BYTE, NORMAL
 
-#: Most frequent words that every task holds. Any other word is less than one in so many of all
-#: tokens, so what is left to shuffle has no hot word.
-HEAD = 65_536
+#: Every task holds the words that are at least one in so many of all tokens. There cannot be more than this
+#: many (in natural text far fewer), and no word that is left to shuffle is hot.
+HEAD = 1 << 19
 #: Word counts that a task gathers before it passes them on, and words whose lattices are summed at once.
 GATHER = 300_000
 AT_ONCE = 20_000
@@ -106,7 +106,7 @@ def score(docs: DataFrame, model: bytes, parts: int = 5, held: int = 1, head: in
     weigh: with N tokens and V distinct ones learned, a word seen c times has c/(N+V) there and the pieces share V/(N+V).
     ``base_score`` is the sum of log10((c+0.5)/(N+0.5*(V+1))).
 
-    Word sums are computed once per distinct word. The ``head`` most frequent words are
+    Word sums are computed once per distinct word. Words that are at least one in ``head`` of all tokens, of which there are no more than ``head``, are
     looked up where the texts are read; the others are joined by a shuffle, in which no word can be hot.
     Null and empty texts: the end alone. Null doc_id: crc32 of the empty text. Repeated rows are each
     scored and counted. Extra columns are ignored. Empty input: empty output.
@@ -114,14 +114,14 @@ def score(docs: DataFrame, model: bytes, parts: int = 5, held: int = 1, head: in
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", training_fold(F.col("doc_id"), parts, held).alias("held_out"))
     types = stored(with_marginals(word_counts(read), model), "lm-words")
-    sums = types.agg(F.sum("learned").alias("n"), F.count_if(F.col("learned") > 0).alias("v")).first()
+    sums = types.agg(F.sum("learned").alias("n"), F.sum("total").alias("all"), F.count_if(F.col("learned") > 0).alias("v")).first()
     ends = read.filter(~F.col("held_out")).count()
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     base_all = log10(tokens + 0.5 * (kinds + 1))
     new = kinds / (tokens + kinds) if tokens else 1.0
 
     known, base, mixed = _columns(tokens, kinds)
-    frequent = types.orderBy(F.desc("total"), "word").limit(head)
+    frequent = types.filter(F.col("total") * head >= (sums["all"] or 0))
     rated = frequent.select("word", known.cast("int").alias("k"), base.alias("b"), mixed.alias("s"), "pieces")
     table = spark.sparkContext.broadcast({bytes(r["word"]): (r["k"], r["b"], r["s"], r["pieces"]) for r in rated.collect()})
 
