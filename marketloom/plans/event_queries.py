@@ -544,31 +544,36 @@ def sliding_error_rate(spark, folder):
     """WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS opens FROM events),
        g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
        s AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS events FROM g GROUP BY user_id, n)
-       SELECT * FROM s WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+       SELECT *, window_end > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) AS open FROM s""",
 )
 def sessions(spark, folder):
-    # sessions still open at the end of the input are not part of the result
-    closed = streams.appended(streams.sessions(streams.event_stream(spark, folder), "user_id"), "sessions")
-    return _ntz(closed, "window_start", "window_end")
+    return _ntz(streams.all_sessions(streams.event_stream(spark, folder), "user_id"), "window_start", "window_end")
+
+
+def disordered(spark, folder: str, name: str, columns: list[str], batches: int = 4):
+    """A table as a stream of several micro-batches, dealt by a hash, so that most rows come late."""
+    rows = table(spark, folder, name).select(*columns)
+    path = scratch_path(spark, f"{name}-arrivals")
+    rows.repartition(batches, F.xxhash64(*columns)).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in columns else stream
 
 
 @query("l5_rolling_buffer", f"SELECT user_id, event_id FROM ({LAST_SQL}) WHERE age <= 20")
 def rolling_buffer(spark, folder):
-    step = streams.rolling_buffer("user_id", 20)
-    return streams.final_state(streams.event_stream(spark, folder), step, ["user_id"], "buffer").select("user_id", "event_id")
+    events = disordered(spark, folder, "events", ["event_id", "ts", "user_id"])
+    return streams.rolling_buffer(events, "user_id", 20).select("user_id", "event_id")
 
 
 @query("l6_streaming_health", f"WITH {STREAK_SQL} SELECT event_id, user_id, consecutive_failures, consecutive_failures < 3 AS healthy FROM health")
 def streaming_health(spark, folder):
-    rows = streams.folded(streams.event_stream(spark, folder), streams.health("user_id", is_error()), ["user_id"], "health")
-    return rows.select("event_id", "user_id", "consecutive_failures", "healthy")
+    events = disordered(spark, folder, "events", ["event_id", "ts", "user_id", "event_type"])
+    return streams.health(events, "user_id", is_error()).select("event_id", "user_id", "consecutive_failures", "healthy")
 
 
 @query("l7_first_seen_content", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def first_seen_content(spark, folder):
-    schema = table(spark, folder, "documents").schema
-    docs = streams.table_stream(spark, folder, "documents", schema)
-    return streams.folded(docs, streams.first_seen("doc_id", "text"), ["content_hash"], "seen")
+    return streams.first_seen(disordered(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
 @query(
@@ -579,14 +584,11 @@ def first_seen_content(spark, folder):
        FROM (SELECT *, lag(l_extendedprice) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS previous_price FROM lineitem)""",
 )
 def price_changes(spark, folder):
-    schema = table(spark, folder, "lineitem").schema
-    items = streams.table_stream(spark, folder, "lineitem", schema)
-    step = streams.price_changes(
-        ["l_partkey"], "l_extendedprice", ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+    items = disordered(spark, folder, "lineitem", ["l_partkey", *order])
+    return streams.price_changes(items, ["l_partkey"], "l_extendedprice", order).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "previous_price", "severity"
     )
-    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    narrow = items.select(*columns, "l_shipdate")
-    return streams.folded(narrow, step, ["l_partkey"], "prices").select(*columns, "previous_price", "severity")
 
 
 @query("l9_incremental_trigger", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")

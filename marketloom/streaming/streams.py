@@ -1,17 +1,19 @@
 """Structured Streaming counterparts of the batch operators.
 
-All streams run on a checkpoint and a sink in the shared folder. Results that
-change while a stream runs go to an epoch log: each micro-batch overwrites its
-own ``epoch=n`` folder, so a repeated batch leaves the same rows, and readers
-take the newest row per key. Per-key state is a table in the same form: an
-epoch holds the rows of the keys it touched, and every ``COMPACT_EVERY``-th
-epoch all rows, so state is neither rewritten each time nor read far back. The
-batch operators advance it, so a hot key is split as it is in batch.
+All streams run on a checkpoint and a sink in the shared folder, and state that
+outlives a micro-batch is Spark's own. Results that change while a stream runs go
+to an epoch log: each micro-batch overwrites its own ``epoch=n`` folder, so a
+repeated batch leaves the same rows, and readers take the newest row per key.
+
+Where the order of events decides (health, price before), the stream appends the
+few columns that matter and the order is resolved by the batch operators on
+reading. Late and disordered rows then fall into their place however late they
+are, and a hot key is split as it is in batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,59 +73,6 @@ def newest(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return skew.latest(log, keys, ["epoch"]).drop("epoch").select(*stream.columns)
 
 
-# step(batch, old state of all keys or None) -> (output, new state of the touched keys)
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
-COMPACT_EVERY = 20
-
-
-def state_at(spark: SparkSession, path: str, keys: Sequence[str], epoch: int) -> DataFrame | None:
-    """State of all keys after ``epoch``; null before the first."""
-    if epoch < 0:
-        return None
-    base = epoch - epoch % COMPACT_EVERY
-    folders = [f"{path}/state/epoch={n}" for n in range(base, epoch + 1)]
-    log = spark.read.option("basePath", f"{path}/state").parquet(*folders)
-    if base == epoch:
-        return log.drop("epoch")
-    # a key's rows all come from the last epoch that touched it
-    last = log.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
-    return skew.join(log, last, [*keys, "epoch"], "left_semi").drop("epoch")
-
-
-def with_state(stream: DataFrame, step: Step, keys: Sequence[str], path: str) -> None:
-    """Fold micro-batches into output and state tables under ``path``."""
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        old = state_at(spark, path, keys, epoch - 1)
-        output, touched = step(batch, old)
-        output.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
-        if old is not None and epoch % COMPACT_EVERY == 0:
-            touched = skew.join(old, touched.select(*keys).distinct(), keys, "left_anti").unionByName(touched)
-        touched.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
-        batch.unpersist()
-
-    _finish(stream.writeStream.foreachBatch(fold), f"{path}/checkpoint")
-
-
-def folded(stream: DataFrame, step: Step, keys: Sequence[str], label: str) -> DataFrame:
-    """All output rows of :func:`with_state` up to the end of the input."""
-    path = scratch_path(stream.sparkSession, label)
-    with_state(stream, step, keys, path)
-    return stream.sparkSession.read.parquet(f"{path}/data").drop("epoch")
-
-
-def final_state(stream: DataFrame, step: Step, keys: Sequence[str], label: str) -> DataFrame:
-    """State of all keys at the end of the input."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    with_state(stream, step, keys, path)
-    # the epoch folders' names, from the table's own partition column
-    last = spark.read.parquet(f"{path}/state").agg(F.max("epoch")).first()[0]
-    return state_at(spark, path, keys, last)
-
-
 # ------------------------------------------------------------------ windows
 def _window_columns(df: DataFrame) -> DataFrame:
     bounds = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
@@ -147,57 +96,48 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame:
     return _window_columns(grouped.agg(F.count(F.lit(1)).alias("events")))
 
 
-# -------------------------------------------------------------------- state
-def rolling_buffer(key: str, n: int, order: Sequence[str] = ("ts", "event_id")) -> Step:
-    """State: the newest ``n`` rows per key; the output is the new state of the touched keys."""
-
-    def step(batch: DataFrame, old: DataFrame | None):
-        rows = batch
-        if old is not None:
-            rows = batch.unionByName(skew.join(old, batch.select(key).distinct(), [key], "left_semi"))
-        kept = activity.last_n(rows, key, order, n).drop("age")
-        return kept, kept
-
-    return step
+def all_sessions(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame:
+    """Closed sessions and, marked ``open``, those that the end of the input leaves open.
 
+    The stream emits the closed ones; the events after each key's last closed session make the others.
+    """
+    log = appended(events.select(key, "ts"), "session-events")
+    closed = appended(sessions(events, key, gap), "sessions")
+    ends = closed.groupBy(key).agg(F.max("window_end").alias("__end"))
+    rest = skew.join(log, ends, [key]).filter(F.col("__end").isNull() | (F.col("ts") >= F.col("__end")))
+    grouped = rest.groupBy(F.session_window("ts", gap).alias("window"), key).agg(F.count(F.lit(1)).alias("events"))
+    return closed.withColumn("open", F.lit(False)).unionByName(_window_columns(grouped).withColumn("open", F.lit(True)))
 
-def health(key: str, failed: Column, order: Sequence[str] = ("ts", "event_id")) -> Step:
-    """State: failures in a row per key. Output: the health after every event."""
-
-    def step(batch: DataFrame, old: DataFrame | None):
-        scanned = activity.health(batch, key, failed, order, initial=old)
-        ends = skew.latest(scanned.select(key, *order, "consecutive_failures"), [key], order)
-        return scanned, ends.select(key, "consecutive_failures")
-
-    return step
 
+# -------------------------------------------------------------- across batches
+def rolling_buffer(events: DataFrame, key: str, n: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """The newest ``n`` rows per key: each micro-batch logs its own newest, and the newest of these are the answer."""
+    spark = events.sparkSession
+    path = scratch_path(spark, "buffer")
 
-def first_seen(key: str, text: str) -> Step:
-    """State and output: content not seen before, with the smallest id of the batch.
+    def write(batch: DataFrame, epoch: int) -> None:
+        activity.last_n(batch, key, order, n).drop("age").write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
 
-    Copies inside a batch fold in the partial aggregate before they meet the state.
-    """
+    _finish(events.writeStream.foreachBatch(write), f"{path}/checkpoint")
+    return activity.last_n(spark.read.parquet(f"{path}/data").drop("epoch"), key, order, n).drop("age")
 
-    def step(batch: DataFrame, old: DataFrame | None):
-        fresh = batch.groupBy(T.content_hash(F.col(text)).alias("content_hash")).agg(F.min(key).alias(key))
-        if old is not None:
-            fresh = fresh.join(old, "content_hash", "left_anti")
-        return fresh, fresh.select("content_hash")
 
-    return step
+def health(events: DataFrame, key: str, failed: Column, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """Failures in a row and health after every event, late ones in their place."""
+    log = appended(events.select(key, *order, failed.alias("failed")), "health")
+    return activity.health(log, key, F.col("failed"), order)
 
 
-def price_changes(keys: Sequence[str], price: str, order: Sequence[str]) -> Step:
-    """State: last price per key. Output: every row with the price before it and the change."""
+def first_seen(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct content with its smallest id: an updating aggregate in Spark's state store."""
+    seen = docs.groupBy(T.content_hash(F.col(text)).alias("content_hash")).agg(F.min(key).alias(key))
+    return newest(seen, ["content_hash"], "seen")
 
-    def step(batch: DataFrame, old: DataFrame | None):
-        sliced = batch.withColumn("time_slice", skew.hour_slice(F.col(order[0]), hours=720))
-        paired = skew.with_previous(sliced, keys, order, "time_slice", {"previous_price": price}, initial=old)
-        graded = paired.drop("time_slice").withColumn(
-            "severity",
-            F.when(F.col("previous_price").isNotNull(), P.severity(F.col("previous_price"), F.col(price))),
-        )
-        last = skew.latest(batch.select(*keys, *order, F.col(price).alias("previous_price")), keys, order)
-        return graded, last.select(*keys, "previous_price")
 
-    return step
+def price_changes(rows: DataFrame, keys: Sequence[str], price: str, order: Sequence[str]) -> DataFrame:
+    """Every row with the price before it in ``order`` and the grade of the change, late ones in their place."""
+    columns = dict.fromkeys([*keys, *order, price])
+    log = appended(rows.select(*columns), "prices").withColumn("time_slice", skew.hour_slice(F.col(order[0]), hours=720))
+    paired = skew.with_previous(log, keys, order, "time_slice", {"previous_price": price}).drop("time_slice")
+    before = F.col("previous_price")
+    return paired.withColumn("severity", F.when(before.isNotNull(), P.severity(before, F.col(price))))

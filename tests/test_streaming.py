@@ -12,9 +12,8 @@ from marketloom.session import scratch_path
 from marketloom.streaming import streams
 
 
-@pytest.fixture(scope="module")
-def arrivals(spark):
-    """Four files in time order, read one per micro-batch."""
+def made_stream(spark, late):
+    """Four files, read one per micro-batch; with ``late`` every fifth row comes in another file than its time says."""
     rng = random.Random(9)
     start = dt.datetime(2024, 1, 1)
     folder = scratch_path(spark, "arrivals")
@@ -22,7 +21,8 @@ def arrivals(spark):
     for i in range(800):
         rows.append((i, start + dt.timedelta(minutes=10 * i), rng.choice([1, 1, 1, 2, 3]), rng.choice(["error", "error", "ok"]), rng.random(), "{}"))
     for part in range(4):
-        chunk = spark.createDataFrame(rows[part * 200 : part * 200 + 200], schemas.EVENTS_TABLE.replace("timestamp_ntz", "timestamp"))
+        mixed = [rows[(i + 200 * (late and i % 5 == 0)) % 800] for i in range(part * 200, part * 200 + 200)]
+        chunk = spark.createDataFrame(mixed, schemas.EVENTS_TABLE.replace("timestamp_ntz", "timestamp"))
         chunk.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
     batch = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     stream = (
@@ -32,25 +32,31 @@ def arrivals(spark):
     return stream, batch.cache()
 
 
+@pytest.fixture(scope="module")
+def arrivals(spark):
+    return made_stream(spark, late=False)
+
+
+@pytest.fixture(scope="module")
+def disordered(spark):
+    return made_stream(spark, late=True)
+
+
 def rows(df, *columns):
     return sorted(map(str, df.select(*columns).collect()))
 
 
-@pytest.mark.parametrize("compact", [20, 2])
-def test_health(arrivals, monkeypatch, compact):
-    monkeypatch.setattr(streams, "COMPACT_EVERY", compact)
-    stream, batch = arrivals
+def test_health(disordered):
+    stream, batch = disordered
     failed = F.col("event_type") == "error"
-    got = streams.folded(stream, streams.health("user_id", failed), ["user_id"], "health")
+    got = streams.health(stream, "user_id", failed)
     columns = ["event_id", "consecutive_failures", "healthy"]
     assert rows(got, *columns) == rows(activity.health(batch, "user_id", failed), *columns)
 
 
-@pytest.mark.parametrize("compact", [20, 2])
-def test_buffer(arrivals, monkeypatch, compact):
-    monkeypatch.setattr(streams, "COMPACT_EVERY", compact)
-    stream, batch = arrivals
-    got = streams.final_state(stream, streams.rolling_buffer("user_id", 7), ["user_id"], "buffer")
+def test_buffer(disordered):
+    stream, batch = disordered
+    got = streams.rolling_buffer(stream, "user_id", 7)
     assert rows(got, "event_id") == rows(activity.last_n(batch, "user_id", ["ts", "event_id"], 7), "event_id")
 
 
@@ -62,19 +68,20 @@ def test_counts(arrivals):
     assert rows(got, "window_start", "event_type", "events") == rows(expected, "window_start", "event_type", "events")
 
 
-def test_price_changes(arrivals):
-    stream, batch = arrivals
-    got = streams.folded(stream, streams.price_changes(["user_id"], "value", ["ts", "event_id"]), ["user_id"], "prices")
+def test_price_changes(disordered):
+    stream, batch = disordered
+    got = streams.price_changes(stream, ["user_id"], "value", ["ts", "event_id"])
     from pyspark.sql import Window
 
     lag = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     assert rows(got, "event_id", "previous_price") == rows(batch.withColumn("previous_price", lag), "event_id", "previous_price")
 
 
-def test_first_seen(arrivals):
-    stream, batch = arrivals
-    got = streams.folded(stream, streams.first_seen("event_id", "event_type"), ["content_hash"], "seen")
-    assert got.count() == 2 and got.select("content_hash").distinct().count() == 2
+def test_first_seen(disordered):
+    stream, batch = disordered
+    got = streams.first_seen(stream, "event_id", "event_type")
+    expected = batch.groupBy(F.sha2("event_type", 256).alias("content_hash")).agg(F.min("event_id").alias("event_id"))
+    assert rows(got, "content_hash", "event_id") == rows(expected, "content_hash", "event_id")
 
 
 def test_second_trigger_adds_nothing(spark, arrivals):
