@@ -19,7 +19,7 @@ SHARD_DOCS = 8192
 SHARD_WORDS = 6_000_000
 BLOCK = 64
 #: Queries that are sent to the shards at once.
-QUERIES_AT_ONCE = 1024
+QUERIES_AT_ONCE = 2048
 #: Blocks that are scored between two looks at the bound.
 STEP = 16
 #: Scores are compared and returned to this many decimals, so that equal documents tie.

@@ -42,13 +42,14 @@ BASE = (
     Rule("hex", "", "[0-9a-f]{24,}", whole=True),
 )
 
-#: Published token formats that the base does not know as such.
+#: Published token formats that the base does not know as such. The first part of a "jwt" is bounded, so that a run
+#: of its first letters is not read again from each of them.
 MORE = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza", "[A-Za-z0-9_-]{35}"),
     Rule("stripe", "[sr]k_(live|test)_", "[A-Za-z0-9]{16,}"),
-    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]{8,400}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("key", "-----BEGIN ", "([A-Z]+ )*PRIVATE KEY-----"),
     Rule("bearer", "bearer ", "[A-Za-z0-9._~+/=-]{16,}", True),
     Rule("url", "://[A-Za-z0-9._-]+:", r"""[^\x00-\x20@/"':]{3,}@"""),
