@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from marketloom.operators import skew
 
 # ---- fixed values ----
 DUPLICATE_SIMILARITY = 0.995
+MOST_BANDS = 512
 EMBEDDING_DIM = 384
 # ---- end of fixed values ----
 
@@ -64,8 +66,17 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     return pairs.join(mine, "vec_id").join(theirs, "other").filter(near).select("vec_id").distinct()
 
 
+def bands_for(threshold: float, bits: int, miss: float, most: int = MOST_BANDS) -> int:
+    """Bands of ``bits`` signs that leave a pair at the threshold without a common bucket with a chance of ``miss`` at most."""
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    bands = math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
+    if bands > most:
+        raise ValueError(f"a similarity of {threshold} needs {bands} bands of {bits} bits; take fewer bits")
+    return bands
+
+
 def near_duplicates(
-    vectors: DataFrame, dim: int, threshold: float = DUPLICATE_SIMILARITY, bands: int = 24, bits: int = 14, seed: int = 11
+    vectors: DataFrame, dim: int, threshold: float = DUPLICATE_SIMILARITY, bits: int = 14, miss: float = 1e-9, seed: int = 11
 ) -> DataFrame:
     """Add ``is_duplicate``: an earlier vector of the same company has at least this cosine.
 
@@ -73,10 +84,10 @@ def near_duplicates(
     rest meet in buckets of random hyperplane signs and are verified exactly.
     In each bucket everyone is first compared with its earliest member, which
     settles dense clusters in linear work; only what stays open is compared
-    with the other members. Two vectors at the threshold share a bucket but for
-    a chance of (1 - p**bits)**bands, p = 1 - acos(threshold)/pi; this is
-    about 1e-10 at the defaults and less for closer pairs.
+    with the other members. The number of bands follows from the threshold: two
+    vectors at it share no bucket with a chance of ``miss`` at most, closer ones less.
     """
+    bands = bands_for(threshold, bits, miss)
     same = vectors.groupBy("company", "embedding").agg(F.min("vec_id").alias("vec_id"))
     hashed = F.pandas_udf(_band_keys(dim, bands, bits, seed), "array<bigint>")
     signed = same.select("company", "vec_id", F.posexplode(hashed("embedding")).alias("band", "bucket"))

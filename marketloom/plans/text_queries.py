@@ -10,6 +10,7 @@ from marketloom.functions import text as T
 from marketloom.functions.prices import row_id
 from marketloom.operators import admission, deltas, extraction, reports, strategy
 from marketloom.plans.registry import query
+from marketloom.session import scratch_path
 from marketloom.sources import tables
 from marketloom.sources.tables import table
 
@@ -28,9 +29,13 @@ def source_list(spark, folder):
     raw = table(spark, folder, "supplier").select(
         F.concat(F.lit("src_"), F.col("s_suppkey").cast("string")).alias("id"),
         F.col("s_name").alias("company_name"),
-        enabled.alias("enabled"),
+        enabled.alias("enabled"), F.col("s_nationkey").alias("nation"),
     )
-    return tables.enabled_sources(raw).select("id", "company_name", "preferred_tier", "check_frequency")
+    # one file with one array per nation, read back as any source list
+    path = scratch_path(spark, "source-list")
+    lists = raw.groupBy("nation").agg(F.to_json(F.collect_list(F.struct("id", "company_name", "enabled"))).alias("value"))
+    lists.write.partitionBy("nation").text(path)
+    return tables.source_list(spark, path).select("id", "company_name", "preferred_tier", "check_frequency")
 
 
 @query("a2_page_scan", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_chars FROM pages")
@@ -68,13 +73,18 @@ def catalog_dimension(spark, folder):
               CAST(p_size AS VARCHAR) AS completion FROM part""",
 )
 def model_dump(spark, folder):
-    text = F.concat(
-        F.lit('{"data":[{"id":"'), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string"),
-        F.lit('","pricing":{"prompt":"'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
-        F.lit('","completion":"'), F.col("p_size").cast("string"), F.lit('"}}]}'),
+    pricing = F.struct(
+        F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("prompt"), F.col("p_size").cast("string").alias("completion")
     )
-    dumps = table(spark, folder, "part").select(F.from_json(text, tables.MODEL_DUMP).alias("dump"))
-    return tables.explode_models(dumps, F.col("dump.data"))
+    name = F.concat("p_brand", F.lit("/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string"))
+    models = table(spark, folder, "part").select(
+        F.floor(F.col("p_partkey") / 1000).alias("dump"), F.struct(name.alias("id"), pricing.alias("pricing")).alias("m")
+    )
+    # a dump file of a thousand models each
+    dumps = models.groupBy("dump").agg(F.to_json(F.struct(F.collect_list("m").alias("data"))).alias("value"))
+    path = scratch_path(spark, "model-dumps")
+    dumps.write.partitionBy("dump").text(path)
+    return tables.model_dump(spark, path)
 
 
 @query(
@@ -88,15 +98,16 @@ def nested_json(spark, folder):
 
 @query(
     "a7_log_lines",
-    """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS agent,
+    """SELECT CASE WHEN event_id % 10 <> 0 THEN event_type END AS agent,
               CASE WHEN event_id % 10 <> 0 THEN value END AS confidence, event_id % 10 = 0 AS is_bad FROM events""",
 )
 def log_lines(spark, folder):
     body = F.to_json(F.struct(F.col("event_type").alias("agent"), F.col("value").alias("confidence")))
     cut = F.when(F.col("event_id") % 10 == 0, F.substring(body, 1, 12)).otherwise(body)
-    lines = table(spark, folder, "events").select("event_id", cut.alias("value"))
-    return tables.log_lines(lines).select(
-        "event_id", "agent", "confidence", F.col("bad_line").isNotNull().alias("is_bad")
+    path = scratch_path(spark, "logs")
+    table(spark, folder, "events").select(cut.alias("value")).write.text(path)
+    return tables.log_files(spark, path).select(
+        "agent", "confidence", F.col("bad_line").isNotNull().alias("is_bad")
     )
 
 

@@ -266,6 +266,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert any(expected.values()) and not all(expected.values())
 
 
+@pytest.mark.parametrize("threshold", [0.995, 0.9, 0.8])
+def test_bands_follow_the_threshold(threshold):
+    bands = vectors.bands_for(threshold, 14, 1e-9)
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((400, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.standard_normal(a.shape)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    keys = vectors._band_keys(16, bands, 14, 11)
+    left = np.stack(keys(pd.Series(list(a))))
+    right = np.stack(keys(pd.Series(list(threshold * a + np.sqrt(1 - threshold**2) * z))))
+    assert (left == right).any(axis=1).all()
+    with pytest.raises(ValueError):
+        vectors.bands_for(0.5, 14, 1e-9)
+
+
 def test_text_vectors():
     a, b = vectors.text_vector("x"), vectors.text_vector("y")
     assert np.array_equal(a, vectors.text_vector("x")) and not np.array_equal(a, b)
