@@ -35,8 +35,10 @@ class Codes:
         rng = np.random.default_rng([seed, width])
         self.padded = -(-max(width, BLOCKS) // BLOCKS) * BLOCKS
         part = self.padded // BLOCKS
+        # few dimensions hold few directions: more codewords would be the same ones again
+        self.words = min(WORDS, 4**part)
         turn = [np.linalg.qr(rng.normal(size=(self.padded, self.padded)))[0] for _ in range(CODES)]
-        code = rng.normal(size=(CODES, BLOCKS, WORDS, part))
+        code = rng.normal(size=(CODES, BLOCKS, self.words, part))
         code /= np.linalg.norm(code, axis=3, keepdims=True) * np.sqrt(BLOCKS)
         # rotation and codewords in one matrix: (code, block, codeword) by input component
         turned = [turn[c][:, b * part : (b + 1) * part] @ code[c, b].T for c in range(CODES) for b in range(BLOCKS)]
@@ -53,7 +55,7 @@ class Codes:
 
     def halves(self, unit: np.ndarray) -> np.ndarray:
         """Inner products with all codewords of each block: (vector, code, block, codeword)."""
-        return (unit @ self.matrix).reshape(len(unit), CODES, BLOCKS, WORDS)
+        return (unit @ self.matrix).reshape(len(unit), CODES, BLOCKS, self.words)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted numbers of all filters whose cap holds each vector; halves that cannot reach the height are not paired."""
@@ -65,7 +67,7 @@ class Codes:
                 left, right = scores[:, c, 0], scores[:, c, 1]
                 row, first = np.nonzero(left >= (self.height - right.max(axis=1))[:, None])
                 pair, second = np.nonzero(right[row] >= (self.height - left[row, first])[:, None])
-                numbers.append((c * WORDS + first[pair]) * WORDS + second)
+                numbers.append((c * self.words + first[pair]) * self.words + second)
                 owners.append(row[pair])
             number, owner = np.concatenate(numbers), np.concatenate(owners)
             order = np.lexsort((number, owner))
@@ -123,8 +125,8 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _close_pairs(unit: np.ndarray, runs: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of each run whose cosine reaches the threshold, in pieces."""
+def _close_pairs(unit: np.ndarray, runs: np.ndarray, lists: np.ndarray, number: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of each run whose cosine reaches the threshold and that share no smaller filter, in pieces."""
     bounds = np.concatenate([runs, [len(unit)]])
     size = np.diff(bounds)
     run_of = np.repeat(np.arange(len(runs)), size)
@@ -136,13 +138,21 @@ def _close_pairs(unit: np.ndarray, runs: np.ndarray, cosine: float) -> Iterator[
             break
         for part in range(0, len(at), 50_000):
             i = at[part : part + 50_000]
-            near = np.einsum("nk,nk->n", unit[i], unit[i + shift]) >= cosine
-            yield i[near], i[near] + shift
+            i = i[np.einsum("nk,nk->n", unit[i], unit[i + shift]) >= cosine]
+            i = i[_least_common(lists, i, i + shift) == number[i]]
+            yield i, i + shift
     for r in np.flatnonzero(size > SHORT):
         low, high = bounds[r], bounds[r + 1]
+        mine = lists[low:high]
+        row, place = np.nonzero((mine >= 0) & (mine < number[low]))
+        kinds, column = np.unique(mine[row, place], return_inverse=True)
+        has = np.zeros((high - low, len(kinds)), np.float32)
+        has[row, column] = 1
         for start in range(low, high, 512):
             stop = min(start + 512, high)
-            i, j = np.nonzero(unit[start:stop] @ unit[start:high].T >= cosine)
+            near = unit[start:stop] @ unit[start:high].T >= cosine
+            near &= has[start - low : stop - low] @ has[start - low :].T == 0
+            i, j = np.nonzero(near)
             keep = j > i
             yield i[keep] + start, j[keep] + start
 
@@ -191,12 +201,10 @@ def _verify(cosine: float):
                     x = parent[x]
                 return x
 
-            for i, j in _close_pairs(unit, runs, cosine):
+            for i, j in _close_pairs(unit, runs, lists, number, cosine):
                 # tiles that meet for each other leave pairs of one tile to that tile's own task
                 fresh = ~apart[i] | (tile[i] != tile[j])
                 i, j = i[fresh], j[fresh]
-                first = _least_common(lists, i, j) == number[i]
-                i, j = i[first], j[first]
                 np.add.at(links, i, weight[j])
                 np.add.at(links, j, weight[i])
                 for x, y in zip(i.tolist(), j.tolist()):
