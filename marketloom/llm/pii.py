@@ -118,22 +118,27 @@ _DOT = rf"(?:{_BOXED_DOT}|\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|_dot_|\s{{
 _UNIT = rf"(?:(?<!\w)(?:{_WORDS})(?!\w)|(?<![0-9])[0-9]++)"
 _GAP = r"(?:[\s,/-]{1,3}|[-.()]{1,2})"
 
-# Signs of a disguise, looked for in the lower-cased text. Each begins with a fixed character or word, which is quick to look for.
+# Signs of a disguise, looked for in the lower-cased text: one for each way in which RUN or MAIL can begin to match, made of the
+# same pieces. Each begins with a fixed character or word, which is quick to look for.
 _CUES = (
     (None, re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]")),
     ("@", re.compile(r"@(?:\s|(?<=\s@))")),
-    ("at", re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z]|at_[a-z0-9-]")),
+    ("at", re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9-]|at_[a-z0-9-]")),
     ("dot", re.compile(r"dot(?<![^\s_]dot)[\s_]")),
     ("punkt", re.compile(r"punkt\s")),
     ("punto", re.compile(r"punto\s")),
-    (None, re.compile(rf"(?:{_WORDS})[\s,/-]{{1,3}}(?:(?:{_WORDS})(?!\w)|[0-9])")),
-    (None, re.compile(rf"[0-9][\s,/-]{{1,3}}(?:{_WORDS})(?!\w)")),
+    ("point", re.compile(r"point(?<=\spoint)\s{1,3}[a-z0-9-]")),
+    (None, re.compile(r"\.(?<=\s\.)\s{1,3}[a-z0-9-]")),
+    (None, re.compile(rf"(?:{_WORDS}){_GAP}(?:(?:{_WORDS})(?!\w)|[0-9])")),
+    (None, re.compile(rf"[0-9]{_GAP}(?:{_WORDS})(?!\w)")),
 )
+#: Letters that patterns take for "i" and "s" in either case, though lower-casing leaves them or makes two of them.
+_FOLDED = str.maketrans("İıſ", "iis")
 
 
 def may_hide(text: str) -> bool:
     """False only for a text in which nothing is in disguise but by its characters."""
-    low = text.lower()
+    low = (text if text.isascii() else text.translate(_FOLDED)).lower()
     return any((word is None or word in low) and cue.search(low) for word, cue in _CUES)
 
 
@@ -200,7 +205,7 @@ def plain_digits(text: Mapped) -> Mapped:
                 continue
             for m in found:
                 if m["word"]:
-                    yield m.start(), m.end(), SPELLED[m["word"].lower()]
+                    yield m.start(), m.end(), SPELLED[m["word"].translate(_FOLDED).lower()]
                 elif m["plus"]:
                     yield m.start(), m.end(), "+"
                 elif m["dot"]:

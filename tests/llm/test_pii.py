@@ -114,3 +114,31 @@ def test_tables(spark):
             assert r.text == pii.masked(dict(docs).get(r.doc_id))
     assert pii.scan(frame.limit(0)).count() == 0
     assert pii.masked("mail a@b.cc or x (at) y (dot) zz!") == "mail [EMAIL] or [EMAIL]!"
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jean at exemple point fr", "email"), ("jean@exemple point fr", "email"), ("john@example . com", "email"), ("john at 1.2.com", "email"),
+        ("192 . 168 . 1 . 1", "ip"), ("10 point 0 point 0 point 1", "ip"), ("+nine.eight.seven(six)five.four.three.two.one.zero", "phone"),
+    ],
+)
+def test_disguises_that_had_no_cue(text, kind):
+    assert kind in [pii.KINDS[k] for _, k, _ in pii.find(f"x, {text}; y")[1]]
+
+
+PIECES = [
+    "jean", "example", "com", "fr", "10", "0", "192", "+", "@", " @ ", " at ", "(at)", "_at_", " dot ", "_dot_", " point ", " punkt ", " punto ", " . ", ".",
+    "[.]", "(", ")", "-", ",", "/", " ", "  ", "\n", "one", "two", "nine", "zéro", "Six", "SEPT", "ſix", "fİve", "plus ", "..", "é",
+]
+
+
+def test_cues_miss_no_disguise(monkeypatch):
+    rng = random.Random(8)
+    made = ["".join(rng.choices(PIECES, k=rng.randint(2, 14))) for _ in range(40_000)]
+    made += [f"{rng.choice(PIECES[:7])}{s}".join(rng.choices(["10", "one", "two", "6"], k=11)) for s in PIECES[7:] for _ in range(20)]
+    with_cues = [pii.find(t) for t in made]
+    monkeypatch.setattr(pii, "may_hide", lambda text: True)
+    assert sum(bool(added) for _, added in with_cues) > 300
+    for text, got in zip(made, with_cues):
+        assert got == pii.find(text), text
