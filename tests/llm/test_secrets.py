@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -81,3 +82,31 @@ def test_longest_and_reverse_bounds():
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert secrets.scan(frame).count() == 0
+
+
+@pytest.mark.parametrize("header", [8, 400, 401, 5000])
+def test_jwt_header_of_any_length(header):
+    scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
+    token = "eyJ" + "aZ_-" * (header // 4) + "x" * (header % 4) + ".eyJzdWIiOiIx.SflKxwRJSMeK"
+    # a run that fails, a part that is the first of another token, and a token after them
+    data = f"eyJeyJabcdefghij eyJabcdefgh.eyJabcdefgh. {token} eyJabcdefgh.{token}".encode()
+    jwt = [r.kind for r in scanner.rules].index("jwt")
+    plain = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    got = [(s, e) for s, e, i in scanner.spans(data) if i == jwt]
+    assert got == [m.span() for m in plain.finditer(data)] and len(got) == 2
+
+
+def test_jwt_equals_plain_pattern():
+    rng = random.Random(7)
+    scanner = secrets.Scanner((secrets.MORE[4],))
+    plain = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    for _ in range(3000):
+        data = "".join(rng.choices(["eyJ", ".eyJ", ".", "abcd", "x" * 9, "-_", " "], [4, 4, 1, 4, 4, 1, 0.3], k=20)).encode()
+        assert [(s, e) for s, e, _ in scanner.spans(data)] == [m.span() for m in plain.finditer(data)], data
+
+
+def test_runs_of_heads_take_linear_time():
+    scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
+    start = time.process_time()
+    assert not [i for _, _, i in scanner.spans(b"eyJ" * 60_000) if scanner.rules[i].kind == "jwt"]
+    assert time.process_time() - start < 8
