@@ -95,6 +95,19 @@ def known_sentences() -> dict[str, str]:
     return table | {sentence: key for key, sentence in SENTENCES.items()}
 
 
+#: Sentences as the cut by paragraphs gives them, besides those that the SQL knows.
+CUT_SENTENCES = {
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "mplForm",
+}
+#: What a blank line may hold in a comment.
+_MARKS = r"[\s*#/;-]*"
+#: Lines that end a sentence without a stop: titles and copyright lines, also behind the marks of a comment.
+_ALONE = (
+    r"(?m)^[ \t*#/;-]*+(?:(?:the )?(?:mit|isc|x11|expat|(?:new |simplified )?bsd(?: [23][ -]clause)?|[23][ -]clause bsd) licen[cs]e(?: \([a-z0-9 -]+\))?\s*$"
+    r"|copyright\s+(?:\(c\)|©|[0-9]{4})[^\n]*$|\(c\) copyright[^\n]*$|©[^\n]*$)"
+)
+
+
 def normal_id(key: str) -> str:
     return key.lower().replace("-", " ")
 
@@ -105,9 +118,15 @@ def _normal(segment: Column) -> Column:
     return F.trim(F.regexp_replace(words, r"\.( |$)", " "))
 
 
-def _identifiers(segments: Column) -> Column:
+def _paragraph_sentences(low: Column) -> Column:
+    """Sentences that end at a stop, at a blank line (also of a comment), or at a title or copyright line."""
+    whole = F.regexp_replace(low, r"\bv\.\s+(?=[0-9])", "v ")
+    return F.split(F.regexp_replace(whole, _ALONE, "\n\n"), rf"[.;:!?]\s|\n{_MARKS}\n")
+
+
+def _identifiers(segments: Column, more: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences among the segments, in order, between commas: ``,a,b,``."""
-    pairs = [F.lit(x) for pair in known_sentences().items() for x in pair]
+    pairs = [F.lit(x) for pair in (known_sentences() | (more or {})).items() for x in pair]
     table = F.create_map(*pairs)
     of = F.filter(F.transform(segments, lambda s: F.try_element_at(table, F.trim(_normal(s)))), lambda x: x.isNotNull())
     return F.concat(F.lit(","), F.concat_ws(",", of), F.lit(","))
@@ -132,9 +151,10 @@ def _match(sequence: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentences, licences) of every row.
 
-    A text is cut into sentences twice: with line breaks as blanks, for texts that are
-    wrapped, and line by line, for notices on a line of their own. Normalised
-    sentences are mapped to identifiers; each sequence of identifiers is
+    A text is cut into sentences three times: with line breaks as blanks, for texts that are
+    wrapped; the same by paragraphs, for licences under a title or copyright line without
+    a stop; and line by line, for notices on a line of their own. Normalised
+    sentences are mapped to identifiers; of the first two sequences of identifiers the longer one, and that of the lines, are
     matched against ``RULES`` in order. ``sentences`` is the longer sequence,
     comma-joined, ``licences`` the sorted union, comma-joined. Everything happens inside the row: no shuffle,
     whatever the text's length. Null and empty texts have none; repeated rows and null ids stay; extra columns are ignored.
@@ -143,9 +163,13 @@ def scan(docs: DataFrame) -> DataFrame:
     low = F.replace(F.lower("text"), F.lit("identifier: "), F.lit("identifier "))
     wrapped = F.split(F.regexp_replace(low, r"\s+", " "), "[.;:!?] ")
     lines = F.split(low, "[.;:!?] |\n")
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.lower("text").rlike(CUE), F.col("text")).alias("text")).select(
-        "doc_id", F.coalesce(_identifiers(wrapped), F.lit(",,")).alias("a"), F.coalesce(_identifiers(lines), F.lit(",,")).alias("b")
-    )
+    cue = F.regexp_replace(F.lower("text"), r"\s+", " ").rlike(CUE)
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(cue, F.col("text")).alias("text")).select(
+        "doc_id", *[
+            F.coalesce(ids, F.lit(",,")).alias(name)
+            for name, ids in (("w", _identifiers(wrapped)), ("p", _identifiers(_paragraph_sentences(low), CUT_SENTENCES)), ("b", _identifiers(lines)))
+        ]
+    ).select("doc_id", F.when(F.length("p") > F.length("w"), F.col("p")).otherwise(F.col("w")).alias("a"), "b")
     longer = F.when(F.length("a") > F.length("b"), F.col("a")).otherwise(F.col("b"))
     return marked.select(
         "doc_id",

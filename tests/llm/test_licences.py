@@ -66,3 +66,62 @@ def test_every_known_sentence_has_a_cue_and_a_rule():
 @pytest.mark.parametrize("key", licences.NAMES)
 def test_notices_of_each_name(key):
     assert licences.known_sentences()[f"licensed under the {licences.NAMES[key][0]}"] == f"named:{key}"
+
+
+MIT = """MIT License
+{gap}Copyright (c) 2020 Jane Doe
+{gap}Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020, Jane Doe
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+NAMES_CLAUSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+COMMENT = "".join(f" * {line}\n" if line else " *\n" for line in ISC.splitlines())
+PUBLISHED = [
+    (MIT.format(gap="\n"), "MIT", "mitGrant mitNotice mitAsIs"),
+    (MIT.format(gap=""), "MIT", "mitGrant"),
+    (ISC, "ISC", "iscGrant"),
+    (f"/*\n{COMMENT} */", "ISC", "iscGrant"),
+    (f"Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n{re.sub(r'^[12][.] ', '', BSD, flags=re.M)}", "BSD-2-Clause", "bsdGrant bsdSource bsdBinary"),
+    (f"BSD 3-Clause License\n\nCopyright (c) 2020, Jane Doe\n\n{re.sub(r'^[123][.] ', '', BSD + NAMES_CLAUSE, flags=re.M)}", "BSD-3-Clause", "bsdGrant bsdNames"),
+    (MPL, "MPL-2.0", "mplForm"),
+    (APACHE, "Apache-2.0", "apacheGrant apacheComply"),
+    (GPL, "GPL-3.0-or-later", "gplFree gplModify3"),
+    (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later", "gplModify2"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense", "publicDomain"),
+    ("It is\n\nThis program is free\nsoftware: you can redistribute it", "", "gplFree"),
+]
+
+
+def test_published_forms(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PUBLISHED)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in licences.scan(frame).collect()}
+    for i, (text, licence, sentences) in enumerate(PUBLISHED):
+        assert rows[i].licences == licence, (text, rows[i])
+        assert set(sentences.split()) <= set(rows[i].sentences.split(",")), (text, rows[i])
+    assert set(licences.SENTENCES) <= {s for r in rows.values() for s in r.sentences.split(",")}
