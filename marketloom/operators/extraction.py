@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from marketloom.session import scratch_path
 # ---- fixed values ----
 MAX_REPAIRS = 2
 TOKENS_PER_PRICE = 1_000_000
+# Characters that two passages of a page share, so that a listing at a cut is whole in one of them.
+OVERLAP = 500
 # ---- end of fixed values ----
 
 EXTRACT_TEMPLATE = """Read the page below and state the company's products and prices as one JSON object.
@@ -72,6 +75,54 @@ def call_model(df: DataFrame, factory: ModelFactory, attempt: int) -> DataFrame:
     return df.withColumn("response", ask("prompt"))
 
 
+def passages(df: DataFrame, chars: int) -> DataFrame:
+    """One row per passage of at most ``chars`` characters of ``text``; ``start`` moves on to the passage's place in the page."""
+    text = F.coalesce("text", F.lit(""))
+    last = F.greatest(F.length(text) - OVERLAP - 1, F.lit(0))
+    cut = df.withColumn("__at", F.explode(F.sequence(F.lit(0), last, F.lit(chars - OVERLAP))))
+    part = F.substr("text", F.col("__at") + 1, F.lit(chars))
+    # half a line at the beginning is whole in the passage before
+    part = F.when(F.col("__at") > 0, F.regexp_replace(part, rf"^[^\n]{{0,{OVERLAP // 2}}}\n", "")).otherwise(part)
+    return cut.withColumn("start", F.col("start") + F.col("__at")).withColumn("text", part).drop("__at")
+
+
+def united(payloads: list[str]) -> str:
+    """One JSON object of a page's passages in order: lists are joined, an element that repeats counts where it is listed last, of other values the first that says something."""
+    out: dict = {}
+    for payload in payloads:
+        try:
+            found = json.loads(payload, strict=False)
+        except ValueError as error:  # rather fail than lose the passage's tiers
+            raise ValueError(f"a passage's answer cannot be united with others: {payload[:200]}") from error
+        for name, value in found.items():
+            if isinstance(value, list) and isinstance(out.get(name), list):
+                out[name] = [v for v in out[name] if v not in value] + value
+            elif out.get(name) in (None, "", [], {}):
+                out[name] = value
+            elif out[name] is False and value is True:
+                out[name] = True
+    return json.dumps(out, ensure_ascii=False)
+
+
+def _whole_pages(results: DataFrame, key: str) -> DataFrame:
+    """One row per page. A page with a passage that failed keeps what the others gave, and its error."""
+    merge = F.udf(united, "string")
+    part = F.struct("start", "attempt", "payload", "error", "root_cause", "remedy")
+    pages = results.groupBy("__page", key).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    read = F.filter("parts", lambda p: p["payload"].isNotNull())
+
+    def lines(name: str) -> Column:
+        said = F.filter(F.transform("parts", lambda p: p[name]), lambda x: x.isNotNull())
+        return F.when(F.size(said) > 0, F.array_join(F.array_distinct(said), "\n"))
+
+    return pages.select(
+        key,
+        F.array_max(F.transform("parts", lambda p: p["attempt"])).alias("attempt"),
+        F.when(F.size(read) > 1, merge(F.transform(read, lambda p: p["payload"]))).otherwise(F.try_element_at(read, F.lit(1))["payload"]).alias("payload"),
+        lines("error").alias("error"), lines("root_cause").alias("root_cause"), lines("remedy").alias("remedy"),
+    )
+
+
 def extract(
     pages: DataFrame,
     factory: ModelFactory,
@@ -79,18 +130,23 @@ def extract(
     max_repairs: int = MAX_REPAIRS,
     agent: str = "analyst",
 ) -> DataFrame:
-    """Ask the model about each page and ask again, with the error, where the answer is no JSON object.
+    """Ask the model about each passage of each page and ask again, with the error, where the answer is no JSON object.
 
     A repaired answer counts by its ``corrected_output``; an answer that only speaks
     about the error is another failure. Its root cause and remedy are kept either way.
 
+    A page longer than a prompt's budget is asked about in passages that overlap, one that failed
+    in passages of the repair prompt's budget, so all of a page is read; the answers are united per page.
+
     Input: key, url, text. Every pass is written to the shared folder, so a row
     that succeeded never reaches the model again, also after executors are lost;
     only failed rows enter the next pass. Result: key, attempt, payload, error, root_cause, remedy.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "extract")
-    todo = pages.select(key, "url", "text", extraction_prompt(F.col("text"), F.col("url")).alias("prompt"))
+    # rows of one key stay apart
+    named = pages.select(key, "url", "text", F.expr("uuid()").alias("__page"), F.lit(0).alias("start"))
+    todo = passages(named, T.PROMPT_CHARS).select("__page", "start", key, "url", "text", extraction_prompt(F.col("text"), F.col("url")).alias("prompt"))
     results = None
     for attempt in range(max_repairs + 1):
         answered = call_model(todo, factory, attempt)
@@ -115,13 +171,13 @@ def extract(
         failed = done.filter("payload IS NULL")
         last = attempt == max_repairs
         kept = (done if last else done.filter("payload IS NOT NULL")).select(
-            key, F.lit(attempt).cast("bigint").alias("attempt"), "payload", "error", "root_cause", "remedy"
+            "__page", "start", key, F.lit(attempt).cast("bigint").alias("attempt"), "payload", "error", "root_cause", "remedy"
         )
         results = kept if results is None else results.unionByName(kept)
-        todo = failed.select(
-            key, "url", "text", repair_prompt(F.lit(agent), F.col("text"), F.col("error")).alias("prompt")
+        todo = passages(failed, T.EXCERPT_CHARS).select(
+            "__page", "start", key, "url", "text", repair_prompt(F.lit(agent), F.col("text"), F.col("error")).alias("prompt")
         )
-    return results
+    return _whole_pages(results, key)
 
 
 def repair_history(attempts: DataFrame, key: str, max_repairs: int = MAX_REPAIRS) -> DataFrame:

@@ -409,3 +409,30 @@ def test_csv_quotes_strings_only(spark, tmp_path):
     sinks.csv(frame, str(tmp_path / "out"))
     (file,) = (tmp_path / "out").glob("*.csv")
     assert file.read_text().splitlines() == ["s,n,t", '"a ""b"", c",1.5,', ',,"x\\y"']
+
+
+def test_long_pages_are_read_to_their_end(spark):
+    """Tiers all over a page of many prompts, also where a passage fails first and where two passages meet."""
+
+    import json
+    import re
+
+    def reader():
+        def one(prompt, attempt):
+            if attempt == 0 and "<broken>" in prompt:
+                return "no idea"
+            tiers = [{"name": n, "price": int(p)} for n, p in re.findall(r"\[(t\d+) = (\d+)\]", prompt)]
+            return json.dumps({"corrected_output": {"tiers": tiers}} if attempt else {"company": "Acme", "tiers": tiers})
+
+        return lambda prompts, attempt: prompts.map(lambda p: one(p or "", attempt))
+
+    listed = [(f"t{i}", i) for i in range(60)] + [("t1", 7)]
+    text = "".join(f"[{n} = {p}]".ljust(397, "x") for n, p in listed)
+    broken = text.replace("[t40", "<broken>[t40")
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", broken), (3, "u", "[t1 = 1]"), (4, "u", ""), (5, "u", None)], "page_id int, url string, text string")
+    rows = {r.page_id: r for r in extraction.extract(pages, reader, "page_id").collect()}
+    assert set(rows) == {1, 2, 3, 4, 5}
+    for i in (1, 2):
+        tiers = [(t["name"], t["price"]) for t in json.loads(rows[i].payload)["tiers"]]
+        assert sorted(tiers) == sorted(listed) and tiers[-1] == ("t1", 7) and rows[i].error is None
+    assert rows[2].attempt == 1 and json.loads(rows[3].payload)["tiers"] == [{"name": "t1", "price": 1}]
