@@ -19,6 +19,11 @@ CHECKED = f"WITH {B.CHECKED_SQL} "
 
 
 # ---------------------------------------------------------------- sources
+def source_lists(raw):
+    """(nation, dump, value): JSON arrays, each for a file of its own, of the sources of a nation and dump, so a nation with very many is many rows."""
+    return raw.groupBy("nation", "dump").agg(F.to_json(F.collect_list(F.struct("id", "company_name", "enabled"))).alias("value"))
+
+
 @query(
     "a1_source_list",
     """SELECT 'src_' || s_suppkey AS id, s_name AS company_name, 'httpx' AS preferred_tier, 'weekly' AS check_frequency
@@ -29,12 +34,11 @@ def source_list(spark, folder):
     raw = table(spark, folder, "supplier").select(
         F.concat(F.lit("src_"), F.col("s_suppkey").cast("string")).alias("id"),
         F.col("s_name").alias("company_name"),
-        enabled.alias("enabled"), F.col("s_nationkey").alias("nation"),
+        enabled.alias("enabled"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_suppkey") / 1000).alias("dump"),
     )
-    # one file with one array per nation, read back as any source list
+    # one folder per nation with arrays of a thousand suppliers at most, read back as any source list
     path = scratch_path(spark, "source-list")
-    lists = raw.groupBy("nation").agg(F.to_json(F.collect_list(F.struct("id", "company_name", "enabled"))).alias("value"))
-    lists.write.partitionBy("nation").text(path)
+    source_lists(raw).write.partitionBy("nation", "dump").text(path)
     return tables.source_list(spark, path).select("id", "company_name", "preferred_tier", "check_frequency")
 
 

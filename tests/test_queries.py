@@ -36,3 +36,23 @@ def test_query(spark, duck, key):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_source_lists_of_a_large_nation_are_many_rows(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from marketloom.plans.text_queries import source_lists
+    from marketloom.session import scratch_path
+    from marketloom.sources import tables
+
+    raw = spark.range(2500).select(
+        F.col("id").cast("string").alias("id"), F.lit("x").alias("company_name"), F.lit(True).alias("enabled"),
+        F.lit(3).alias("nation"), F.floor(F.col("id") / 1000).alias("dump"),
+    )
+    rows = [json.loads(r.value) for r in source_lists(raw).collect()]
+    assert max(map(len, rows)) <= 1000 and sum(map(len, rows)) == 2500
+    path = scratch_path(spark, "lists")
+    source_lists(raw).write.partitionBy("nation", "dump").text(path)
+    assert tables.source_list(spark, path).select("id").distinct().count() == 2500
