@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bm25, caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
+from marketloom.llm import bm25, bytepair, caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -95,3 +95,11 @@ def op9_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return bm25.top_k(docs, queries)
+
+
+@query("op11_byte_pair_codec")
+def op11_byte_pair_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all whole texts and the bytes they stand for, as digests; see ``bytepair.encode`` and ``bytepair.decode``."""
+    ranks = bytepair.read_ranks(spark)
+    coded = bytepair.decode(bytepair.encode(table(spark, folder, "documents"), ranks), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
