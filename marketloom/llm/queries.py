@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bm25, bytepair, caps, licences, lm, mixing, pieces, pii, secrets, simhash, toxicity
+from marketloom.llm import bm25, bytepair, caps, licences, lm, mixing, pieces, pii, runs, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -103,3 +103,9 @@ def op11_byte_pair_codec(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bytepair.read_ranks(spark)
     coded = bytepair.decode(bytepair.encode(table(spark, folder, "documents"), ranks), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of all whole texts, one in ten with a passage repeated, as digests; see ``runs.scan``."""
+    return runs.digest(runs.scan(table(spark, folder, "documents"), runs.repeat_words))
