@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bm25, bytepair, caps, licences, lm, mixing, pieces, pii, runs, secrets, simhash, toxicity
+from marketloom.llm import bm25, bytepair, caps, licences, lm, mixing, pieces, pii, repair, runs, secrets, simhash, toxicity
 from marketloom.llm.common import limit_batches, stored, table
 from marketloom.session import prepare
 
@@ -109,3 +109,10 @@ def op11_byte_pair_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words of all whole texts, one in ten with a passage repeated, as digests; see ``runs.scan``."""
     return runs.digest(runs.scan(table(spark, folder, "documents"), runs.repeat_words))
+
+
+@query("op13_repair_conversations")
+def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of all damaged conversations and their cheapest repair, as digests; see ``repair.repair``."""
+    turns = table(spark, folder, "conversations")
+    return repair.digest(*repair.repair(repair.damage(turns), turns))
