@@ -215,15 +215,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 6, width:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicate group, all columns as they are.
+    """The rows of ``docs`` that stand for their near-duplicate group, all columns as they are, whatever their names.
 
     Of each group the row with the smallest doc_id stays; a row without an id stays only
-    where no other has one; of repeated rows one stays. ``docs`` must be read from a
-    stored table, as its rows are numbered where they are read.
+    where no other has one; of repeated rows one stays. Null and empty texts are one group. Empty: empty.
+    Rows are numbered once and stored with their numbers, so a repeated task reads the same ones.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    classes = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), **options)
-    groups = classes.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row")
-    chosen = stored(numbered.select("__row", "doc_id").join(groups, "__row").groupBy("__group").agg(first), "simhash-kept")
-    return numbered.join(chosen, "__row", "left_semi").drop("__row")
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "simhash-rows")
+    classes = near_duplicates(numbered.select(F.col("number").alias("doc_id"), "row.text"), **options)
+    groups = classes.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
+    ids = numbered.select("number", F.col("row.doc_id").alias("id"))
+    first = F.min_by("number", F.struct(F.col("id").isNull(), "id", "number")).alias("number")
+    chosen = stored(ids.join(groups, "number").groupBy("group").agg(first).select("number"), "simhash-kept")
+    return numbered.join(chosen, "number", "left_semi").select("row.*")

@@ -111,3 +111,11 @@ def test_components_of_chain_star_and_loops(spark):
     got = {r.node: r.component for r in components(frame).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1400)}}
     assert components(frame.filter(F.lit(False))).count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", 7, 8, 9), (2, "a b c", 1, 2, 3), (None, None, 4, 5, 6), (None, "", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __row int, number int, row int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in kept.collect()) == [(4, 5, 6), (7, 8, 9)]
