@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import binding as B
 from marketloom.functions import text as T
 from marketloom.functions import vectors as V
-from marketloom.operators import activity, admission, deltas, extraction, grounding, matrix, skew, training
+from marketloom.operators import activity, admission, deltas, extraction, grounding, matrix, nearest, skew, training
 from marketloom.operators import vectors as vec
 from marketloom.plans.registry import query
 from marketloom.session import scratch_path
@@ -305,6 +305,18 @@ def nearest_to_centroid(spark, folder):
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(
+    "i6_nearest_in_store",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity
+         FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
+       SELECT query_id, vec_id, similarity, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+)
+def nearest_in_store(spark, folder):
+    rows = tables.vectors(spark, folder)
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest.nearest(rows, asked).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "k6_unit_vectors",
     """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length,
