@@ -577,10 +577,26 @@ def rolling_buffer(spark, folder):
     return streams.rolling_buffer(events, "user_id", 20).select("user_id", "event_id")
 
 
+def arrivals(spark, folder: str, name: str, columns: list[str], time: str, key: str, batches: int = 4):
+    """A table that comes in quarters of its time, one row in ten a quarter late: (stream, lateness) after each arrival."""
+    rows = table(spark, folder, name).select(*columns)
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    width = (last - first) // batches + 1
+    late = (F.pmod(F.xxhash64(key), F.lit(10)) == 0).cast("int")
+    quarter = F.floor((us - F.lit(first)) / F.lit(width)).cast("int") + late
+    path = scratch_path(spark, f"{name}-arrivals")
+    for i in range(batches + 1):  # late rows of the last quarter come by themselves
+        rows.filter(quarter == i).write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path), f"{2 * width // 60_000_000 + 1} minutes"
+
+
 @query("l6_streaming_health", f"WITH {STREAK_SQL} SELECT event_id, user_id, consecutive_failures, consecutive_failures < 3 AS healthy FROM health")
 def streaming_health(spark, folder):
-    events = disordered(spark, folder, "events", ["event_id", "ts", "user_id", "event_type"])
-    return streams.health(events, "user_id", is_error()).select("event_id", "user_id", "consecutive_failures", "healthy")
+    path = scratch_path(spark, "health")
+    for events, lateness in arrivals(spark, folder, "events", ["event_id", "ts", "user_id", "event_type"], "ts", "event_id"):
+        now = streams.health(events, "user_id", is_error(), path=path, lateness=lateness)
+    return now.select("event_id", "user_id", "consecutive_failures", "healthy")
 
 
 @query("l7_first_seen_content", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -588,6 +604,22 @@ def first_seen_content(spark, folder):
     return streams.first_seen(disordered(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
+@query(
+    "l7_new_content",
+    """SELECT content_hash, CAST(min(doc_id * 4 // ((SELECT max(doc_id) FROM documents) + 1)) AS INT) AS arrival
+       FROM (SELECT sha256(text) AS content_hash, doc_id FROM documents) GROUP BY 1""",
+)
+def new_content(spark, folder):
+    docs = table(spark, folder, "documents")
+    arrival = F.expr(f"CAST(doc_id * 4 DIV {docs.agg(F.max('doc_id')).first()[0] + 1} AS INT)").alias("arrival")
+    arrived, path = scratch_path(spark, "documents-arrivals"), scratch_path(spark, "content")
+    rows = docs.select("doc_id", "text", arrival)
+    for i in range(4):
+        rows.filter(F.col("arrival") == i).write.mode("append").parquet(arrived)
+        streams.new_content(spark.readStream.schema(rows.schema).parquet(arrived), "text", path, ["arrival"])
+    return spark.read.parquet(f"{path}/data").select("content_hash", "arrival")
+
+
 @query(
     "l8_price_changes",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, previous_price, CASE WHEN previous_price IS NULL THEN NULL
@@ -597,10 +629,10 @@ def first_seen_content(spark, folder):
 )
 def price_changes(spark, folder):
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    items = disordered(spark, folder, "lineitem", ["l_partkey", *order])
-    return streams.price_changes(items, ["l_partkey"], "l_extendedprice", order).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "previous_price", "severity"
-    )
+    path = scratch_path(spark, "prices")
+    for items, lateness in arrivals(spark, folder, "lineitem", ["l_partkey", *order], "l_shipdate", "l_orderkey"):
+        now = streams.price_changes(items, ["l_partkey"], "l_extendedprice", order, path, lateness)
+    return now.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "previous_price", "severity")
 
 
 @query("l9_incremental_trigger", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")

@@ -5,10 +5,8 @@ outlives a micro-batch is Spark's own. Results that change while a stream runs g
 to an epoch log: each micro-batch overwrites its own ``epoch=n`` folder, so a
 repeated batch leaves the same rows, and readers take the newest row per key.
 
-Where the order of events decides (health, price before), the stream appends the
-few columns that matter and the order is resolved by the batch operators on
-reading. Late and disordered rows then fall into their place however late they
-are, and a hot key is split as it is in batch.
+Where the order of events decides (health, price before), see ``ordered``: state per
+key, in which late events are put into their place.
 """
 
 from __future__ import annotations
@@ -23,8 +21,11 @@ from marketloom.functions import prices as P
 from marketloom.functions import text as T
 from marketloom.operators import activity, skew
 from marketloom.session import scratch_path
+from marketloom.streaming import ordered
 
 WATERMARK = "1 hour"
+#: How late an event may come where the order of events decides.
+LATENESS = "7 days"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -110,22 +111,70 @@ def all_sessions(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame
 
 
 # -------------------------------------------------------------- across batches
-def rolling_buffer(events: DataFrame, key: str, n: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """The newest ``n`` rows per key: each micro-batch logs its own newest, and the newest of these are the answer."""
+def rolling_buffer(
+    events: DataFrame, key: str, n: int, order: Sequence[str] = ("ts", "event_id"), path: str | None = None
+) -> DataFrame:
+    """The newest ``n`` rows per key so far, read from the stream's state; a call with the same ``path`` goes on.
+
+    State holds ``n`` rows per key, however long the stream runs; keys without new rows are not touched.
+    """
     spark = events.sparkSession
-    path = scratch_path(spark, "buffer")
+    path = path or scratch_path(spark, "buffer")
+    return ordered.newest_rows(events, path, key, n, order)
+
+
+def _streak(failures: int, failed: bool) -> tuple[int, tuple[int, bool]]:
+    failures = failures + 1 if failed else 0
+    return failures, (failures, failures < activity.FAILURES_TO_UNHEALTHY)
+
+
+def health(
+    events: DataFrame, key: str, failed: Column, order: Sequence[str] = ("ts", "event_id"),
+    path: str | None = None, lateness: str = LATENESS,
+) -> DataFrame:
+    """Failures in a row and health after every event so far; a call with the same ``path`` goes on where the last one ended.
+
+    An event may come up to ``lateness`` after the newest one; those after it are then judged anew.
+    """
+    path = path or scratch_path(events.sparkSession, "health")
+    schema, _ = ordered.fold(
+        events, path, [key], order[0], order[1:], failed, _streak, 0, "bigint",
+        "consecutive_failures bigint, healthy boolean", lateness, days=7,
+    )
+    rows = ordered.read(events.sparkSession, path, schema)
+    return rows.select(key, F.timestamp_micros("__us").alias(order[0]), *order[1:], "consecutive_failures", "healthy")
+
+
+def new_content(
+    docs: DataFrame, text: str, path: str, keep: Sequence[str] = (), time: str | None = None, within: str = "1 hour"
+) -> None:
+    """Append content that has not come before to the history at ``path``: (content_hash, *keep).
+
+    Copies that come ``within`` a time are settled in Spark's state, which forgets them after it; a copy of older
+    content is found in the history, by an anti-join with the hash buckets the micro-batch touches. So state is bounded, and
+    nothing comes out twice. ``time`` is when a row came, by default when it is read; rows older than the watermark are dropped.
+    Of copies in one micro-batch any may stand for the others. A repeated micro-batch writes its folder again.
+    """
+    came = F.current_timestamp() if time is None else F.col(time).cast("timestamp")
+    hashed = docs.select(T.content_hash(F.col(text)).alias("content_hash"), *keep, came.alias("__time"))
+    first = hashed.withWatermark("__time", within).dropDuplicatesWithinWatermark(["content_hash"]).drop("__time")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        activity.last_n(batch, key, order, n).drop("age").write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
+        batch = batch.withColumn("bucket", F.conv(F.substring("content_hash", 1, 2), 16, 10).cast("int")).persist()
+        fresh = batch
+        if epoch:
+            touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # 256 at most
+            seen = history(batch.sparkSession, path).filter((F.col("epoch") < epoch) & F.col("bucket").isin(touched))
+            fresh = batch.join(seen.select("bucket", "content_hash"), ["bucket", "content_hash"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+        batch.unpersist()
 
-    _finish(events.writeStream.foreachBatch(write), f"{path}/checkpoint")
-    return activity.last_n(spark.read.parquet(f"{path}/data").drop("epoch"), key, order, n).drop("age")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)
 
+    def history(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.schema(f"{columns}, epoch bigint, bucket int").parquet(f"{path}/data")
 
-def health(events: DataFrame, key: str, failed: Column, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Failures in a row and health after every event, late ones in their place."""
-    log = appended(events.select(key, *order, failed.alias("failed")), "health")
-    return activity.health(log, key, F.col("failed"), order)
+    _finish(first.writeStream.foreachBatch(write), f"{path}/checkpoint")
 
 
 def first_seen(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -134,10 +183,25 @@ def first_seen(docs: DataFrame, key: str, text: str) -> DataFrame:
     return newest(seen, ["content_hash"], "seen")
 
 
-def price_changes(rows: DataFrame, keys: Sequence[str], price: str, order: Sequence[str]) -> DataFrame:
-    """Every row with the price before it in ``order`` and the grade of the change, late ones in their place."""
-    columns = dict.fromkeys([*keys, *order, price])
-    log = appended(rows.select(*columns), "prices").withColumn("time_slice", skew.hour_slice(F.col(order[0]), hours=720))
-    paired = skew.with_previous(log, keys, order, "time_slice", {"previous_price": price}).drop("time_slice")
+def _price_before(last: float | None, price: float | None) -> tuple[float | None, tuple[float | None]]:
+    return price, (last,)
+
+
+def price_changes(
+    rows: DataFrame, keys: Sequence[str], price: str, order: Sequence[str], path: str | None = None, lateness: str = LATENESS
+) -> DataFrame:
+    """Every row so far with the price before it in ``order`` and the grade of the change; a call with the same ``path`` goes on.
+
+    A row may come up to ``lateness`` after the newest one; the row after it then has a new price before it.
+    """
+    path = path or scratch_path(rows.sparkSession, "prices")
+    schema, _ = ordered.fold(
+        rows, path, keys, order[0], order[1:], F.col(price).cast("double"), _price_before, None, "double",
+        "previous_price double", lateness, days=90,
+    )
+    found = ordered.read(rows.sparkSession, path, schema).withColumn(price, F.col("__value"))
     before = F.col("previous_price")
-    return paired.withColumn("severity", F.when(before.isNotNull(), P.severity(before, F.col(price))))
+    columns = dict.fromkeys([*keys, order[0], *order[1:], price])
+    return found.withColumn(order[0], F.timestamp_micros("__us")).select(
+        *columns, before, F.when(before.isNotNull(), P.severity(before, F.col(price))).alias("severity")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marketloom import schemas
 from marketloom.operators import activity
 from marketloom.session import scratch_path
-from marketloom.streaming import streams
+from marketloom.streaming import ordered, streams
 
 
 def made_stream(spark, late):
@@ -90,3 +90,76 @@ def test_second_trigger_adds_nothing(spark, arrivals):
     streams.append_files(stream.select("event_id"), path)
     streams.append_files(stream.select("event_id"), path)
     assert spark.read.parquet(f"{path}/data").count() == batch.count()
+
+
+START = dt.datetime(2024, 3, 1)
+
+
+def put(spark, folder, rows, schema="event_id bigint, ts timestamp, user_id bigint, event_type string"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def event(i, hours, user, kind):
+    return (i, START + dt.timedelta(hours=hours), user, kind)
+
+
+def test_late_events_change_the_stored_tail_and_touch_no_other_key(spark):
+    folder, path = scratch_path(spark, "late"), scratch_path(spark, "late-health")
+    failed = F.col("event_type") == "error"
+    first = [event(i, i, user, "error") for i in range(4) for user in (1, 2, 3)]
+    again = [(r[0] * 10 + r[2], *r[1:]) for r in first]
+    streams.health(put(spark, folder, again), "user_id", failed, path=path, lateness="3 hours")
+    # user 1: a success between the first two failures, which makes the two after it the first of a new row
+    stream = put(spark, folder, [event(900, 0.5, 1, "ok")])
+    got = streams.health(stream, "user_id", failed, path=path, lateness="3 hours")
+    everything = spark.createDataFrame(again + [event(900, 0.5, 1, "ok")], "event_id bigint, ts timestamp, user_id bigint, event_type string")
+    columns = ["event_id", "consecutive_failures", "healthy"]
+    assert rows(got, *columns) == rows(activity.health(everything, "user_id", failed), *columns)
+    # the watermark is at 0:00 (3:00 less three hours); the newest event moves it to 7:00, and older ones are dropped
+    got = streams.health(put(spark, folder, [event(901, 10, 2, "error")]), "user_id", failed, path=path, lateness="3 hours")
+    got = streams.health(put(spark, folder, [event(902, 2.5, 1, "ok"), event(903, 11, 1, "error")]), "user_id", failed, path=path, lateness="3 hours")
+    known = everything.collect() + [event(901, 10, 2, "error"), event(903, 11, 1, "error")]
+    kept = spark.createDataFrame(known, everything.schema)
+    assert rows(got, *columns) == rows(activity.health(kept, "user_id", failed), *columns)
+    with ordered.rocks(spark):
+        state = spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", "kept").load()
+        tails = {r.key.user_id: (r.value.carry, len(r.value.tail)) for r in state.collect()}
+    # what the watermark passed is one number per key: user 3's tail was folded by its timer
+    assert tails[3] == (4, 0) and tails[2] == (4, 1) and tails[1] == (3, 1)
+
+
+def test_only_touched_keys_are_written(spark):
+    folder, path = scratch_path(spark, "touched"), scratch_path(spark, "touched-health")
+    failed = F.col("event_type") == "error"
+    schema = put(spark, folder, [event(i, 0, i, "error") for i in range(300)])
+
+    def run(stream):
+        return ordered.fold(stream, path, ["user_id"], "ts", ["event_id"], failed, streams._streak, 0, "bigint", "consecutive_failures bigint, healthy boolean", "9 days", 7)
+
+    run(schema)
+    _, progress = run(put(spark, folder, [event(1000, 1, 7, "error")]))
+    assert progress["stateOperators"][0]["numRowsUpdated"] <= 6
+
+
+def test_new_content_comes_out_once(spark):
+    schema = "event_id bigint, ts timestamp, text string"
+    folder, path = scratch_path(spark, "texts"), scratch_path(spark, "content")
+
+    def arrive(*texts, hours):
+        made = [(0, START + dt.timedelta(hours=hours), t) for t in texts]
+        streams.new_content(put(spark, folder, made, schema), "text", path, time="ts", within="1 hour")
+        return sorted(r.content_hash for r in spark.read.parquet(f"{path}/data").collect())
+
+    import hashlib
+
+    def hashes(*texts):
+        return sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+
+    assert arrive("a", "b", "a", hours=0) == hashes("a", "b")
+    assert arrive("b", "c", hours=0.5) == hashes("a", "b", "c")
+    # the watermark passes a, b and c; they are known from the history, not from state
+    assert arrive("d", hours=40) == hashes("a", "b", "c", "d")
+    assert arrive("a", "c", "e", "e", hours=50) == hashes("a", "b", "c", "d", "e")
+    state = spark.read.format("statestore").option("path", f"{path}/checkpoint").load()
+    assert state.count() <= 4
