@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators import skew
+from marketloom.operators import breakers, skew
 
 # ---- fixed values ----
 BUFFER_SIZE = 20
@@ -72,14 +72,18 @@ def health(
 
 def breaker(
     events: DataFrame, key: str, failed: Column, order: Sequence[str] = ("ts", "event_id"),
-    minutes: int = BREAKER_MINUTES,
+    minutes: int = BREAKER_MINUTES, failures: int = FAILURES_TO_UNHEALTHY, hours: int = 6,
 ) -> DataFrame:
-    """Mark events that fall into the pause after three failures in a row."""
-    marked = health(events, key, failed, order).withColumn("time_slice", skew.hour_slice(F.col(order[0])))
-    opened = F.when(~F.col("healthy"), F.col(order[0]))
-    scanned = skew.prefix(marked, [key], list(order), "time_slice", opened, "opened_at", how="max")
-    pause = F.col(order[0]) < F.col("opened_at") + F.expr(f"INTERVAL {minutes} MINUTES")
-    return scanned.withColumn("skipped", F.coalesce(pause, F.lit(False))).drop("time_slice")
+    """(key, *order, consecutive_failures, opened_at, skipped): which events a breaker holds back, see ``breakers.decide``."""
+    rows = events.select(
+        key, *order, F.unix_micros(F.col(order[0]).cast("timestamp")).alias("us"), F.coalesce(failed, F.lit(False)).alias("failed")
+    )
+    decided = breakers.decide(rows, key, order[1:], minutes * 60_000_000, failures, hours)
+    time = events.schema[order[0]].dataType
+    return decided.select(
+        key, F.timestamp_micros("us").cast(time).alias(order[0]), *order[1:], "consecutive_failures",
+        F.timestamp_micros("opened_us").cast(time).alias("opened_at"), "skipped",
+    )
 
 
 def state_changes(

@@ -88,16 +88,23 @@ def health(spark, folder):
     )
 
 
+# one event after another: a skipped event leaves the state as it is
 @query(
     "h8_domain_breaker",
-    f"""WITH {STREAK_SQL}, o AS (SELECT *, max(CASE WHEN consecutive_failures >= 3 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened_at FROM health)
-        SELECT event_id, user_id, opened_at, coalesce(ts < opened_at + INTERVAL 6000 MINUTE, false) AS skipped FROM o""",
+    """WITH RECURSIVE n AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+       walk AS (
+         SELECT event_id, user_id, i, failed::INT AS streak, CAST(NULL AS TIMESTAMP) AS opened_at, false AS skipped, CAST(NULL AS TIMESTAMP) AS opened, ts FROM n WHERE i = 1
+         UNION ALL
+         SELECT event_id, user_id, i, CASE WHEN skipped THEN streak WHEN failed THEN streak + 1 ELSE 0 END, opened, skipped,
+                CASE WHEN NOT skipped AND failed AND streak = 2 THEN ts ELSE opened END, ts
+         FROM (SELECT n.event_id, n.user_id, n.i, n.failed, n.ts, w.opened, CASE WHEN w.streak = 3 THEN 0 ELSE w.streak END AS streak, coalesce(n.ts < w.opened + INTERVAL 6000 MINUTE, false) AS skipped
+               FROM walk w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1))
+       SELECT event_id, user_id, CAST(streak AS BIGINT) AS consecutive_failures, opened_at, skipped FROM walk""",
 )
 def domain_breaker(spark, folder):
-    # the test events are far apart, so the pause is long
-    return activity.breaker(_events(spark, folder), "user_id", is_error(), minutes=6000).select(
-        "event_id", "user_id", "opened_at", "skipped"
+    # the test events are far apart, so the pause and the slices are long
+    return activity.breaker(_events(spark, folder), "user_id", is_error(), minutes=6000, hours=24 * 7).select(
+        "event_id", "user_id", "consecutive_failures", "opened_at", "skipped"
     )
 
 

@@ -86,15 +86,43 @@ def test_three_failures_then_success(spark):
     assert [r["healthy"] for r in got] == [True, True, False, True]
 
 
-def test_breaker(log):
-    got = {r["event_id"]: r["skipped"] for r in activity.breaker(log, "user_id", F.col("state") == FAILED).collect()}
-    streaks, opened, expected = naive_streaks(log), {}, {}
+def walked(log, minutes):
+    """One event after another; skipped ones leave the state as it is."""
+    state, out = {}, {}
     for r in sorted(log.collect(), key=lambda r: (r["ts"], r["event_id"])):
-        last = opened.get(r["user_id"])
-        expected[r["event_id"]] = last is not None and r["ts"] < last + dt.timedelta(minutes=60)
-        if streaks[r["event_id"]] >= 3:
-            opened[r["user_id"]] = r["ts"]
-    assert got == expected
+        streak, opened = state.get(r["user_id"], (0, None))
+        skipped = opened is not None and r["ts"] < opened + dt.timedelta(minutes=minutes)
+        if not skipped:
+            streak = streak + 1 if r["state"] == FAILED else 0
+        out[r["event_id"]] = (streak, opened, skipped)
+        state[r["user_id"]] = (0, r["ts"]) if streak == 3 else (streak, opened)
+    return out
+
+
+@pytest.mark.parametrize("minutes, hours", [(60, 1), (60, 48), (7, 6), (3000, 1), (0, 2)])
+def test_breaker(log, minutes, hours):
+    got = activity.breaker(log, "user_id", F.col("state") == FAILED, minutes=minutes, hours=hours)
+    assert {r["event_id"]: (r["consecutive_failures"], r["opened_at"], r["skipped"]) for r in got.collect()} == walked(log, minutes)
+
+
+def test_a_pause_is_not_prolonged_or_reset_inside(spark):
+    start = dt.datetime(2024, 1, 1)
+    states = ["error"] * 3 + ["ok", "error", "error"] + ["error", "ok"]
+    minutes = [0, 1, 2, 10, 20, 30, 62, 63]
+    rows = [(i, start + dt.timedelta(minutes=m), 7, s) for i, (m, s) in enumerate(zip(minutes, states))]
+    log = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, state string")
+    got = activity.breaker(log, "user_id", F.col("state") == FAILED).orderBy("event_id").collect()
+    assert [r["skipped"] for r in got] == [False] * 3 + [True] * 3 + [False] * 2
+    assert [r["consecutive_failures"] for r in got] == [1, 2, 3, 0, 0, 0, 1, 0]
+
+
+def test_breaker_of_null_and_text_keys(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=i // 2), None if i % 3 else "h", "error") for i in range(60)] + [(99, None, "h", "error")]
+    log = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id string, state string")
+    got = activity.breaker(log, "user_id", F.col("state") == FAILED)
+    assert {r["event_id"]: (r["consecutive_failures"], r["opened_at"], r["skipped"]) for r in got.collect()} == walked(log.filter("ts IS NOT NULL"), 60)
+    assert activity.breaker(log.limit(0), "user_id", F.col("state") == FAILED).count() == 0
 
 
 def test_buffer_evicts_and_nests(log):
