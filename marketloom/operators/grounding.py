@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import prices as P
 from marketloom.functions import text as T
+from marketloom.operators import substrings
 
 # ---- fixed values ----
 DEFAULT_TIER = "Standard Tier"
@@ -261,23 +262,11 @@ def violations(records: DataFrame) -> DataFrame:
 
 
 def snippet_in_documents(snippets: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs ``item_id, doc_id`` where the snippet's first four words stand in the document.
+    """Pairs ``item_id, doc_id`` where the document holds the snippet's citation, ignoring case.
 
-    A document holds "a b c d" exactly if, cut at blanks, it has four tokens in
-    a row: one ending in a, then b, then c, then one starting with d. So the
-    two inner words are an equi-join key and the outer two a filter on it.
-    Snippets of fewer words belong to the record's own source check.
+    The citation is what the record's own source check looks for: the first four words, joined by blanks, of a text
+    of three words or more, and a shorter text as it stands. Empty citations are held by nothing.
     """
-    words = F.split(T.strip_edges(F.lower("text")), r"(?U)\s+")
-    needles = (
-        snippets.withColumn("w", words)
-        .filter(F.size("w") >= 4)
-        .select("item_id", *[F.element_at("w", i).alias(f"w{i}") for i in range(1, 5)])
-    )
-    tokens = documents.select("doc_id", F.split(F.lower("text"), " ").alias("t")).filter(F.size("t") >= 4)
-    shifted = [F.slice("t", k, F.size("t") - 3).alias(f"t{k}") for k in range(1, 5)]
-    hay = tokens.select("doc_id", *shifted).select("doc_id", F.inline(F.arrays_zip("t1", "t2", "t3", "t4")))
-    matched = hay.join(needles, (F.col("t2") == F.col("w2")) & (F.col("t3") == F.col("w3"))).filter(
-        F.endswith("t1", F.col("w1")) & F.startswith("t4", F.col("w4"))
-    )
-    return matched.select("item_id", "doc_id").distinct()
+    needles = snippets.select(F.col("item_id").alias("needle_id"), F.lower(_citation_snippet(F.col("text"))).alias("needle"))
+    texts = documents.select(F.col("doc_id").alias("hay_id"), F.lower("text").alias("text"))
+    return substrings.containing(texts, needles).select(F.col("needle_id").alias("item_id"), F.col("hay_id").alias("doc_id"))

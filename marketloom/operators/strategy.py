@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import prices as P
 from marketloom.functions import text as T
-from marketloom.operators import skew
+from marketloom.operators import skew, substrings
 from marketloom.operators.deltas import fallback
 
 # ---- fixed values ----
@@ -366,31 +366,30 @@ def match_profiles(records: DataFrame, profiles: list[str], name: str, position:
 
 
 def match_catalog(pages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Catalog entry of each page by host: the company is a label of the host name.
+    """Add ``company_name`` to pages: the first entry whose name is in the host or url, or whose url is in the page's url.
 
-    Catalog: ``company_name, position``. The first position wins. Host labels
-    make this an equi-join for a catalog of any size.
+    Pages: page_id, host, url. Catalog: company_name, source_url, position; the least position wins. Case is ignored; empty names
+    and urls match nothing. Pages and catalog may be of any size: they meet by substrings' own keys.
     """
-    labels = F.array_distinct(F.split("host", r"\."))
-    named = pages.select("page_id", F.explode(labels).alias("label"))
-    entries = catalog.select(F.lower("company_name").alias("label"), "company_name", "position")
+    entry = F.struct("position", "company_name")
+    names = catalog.select(F.lower("company_name").alias("needle"), entry.alias("entry"), F.lit("n").alias("kind"))
+    sources = catalog.select(F.lower("source_url").alias("needle"), entry.alias("entry"), F.lit("u").alias("kind"))
+    # one look for names and urls; a name counts in hosts and urls, an address in urls only
+    known = names.unionByName(sources).select(F.struct("entry", "kind").alias("needle_id"), "needle")
+    needles = known.groupBy("needle", F.col("needle_id.kind").alias("kind")).agg(F.min("needle_id.entry").alias("entry"))
+    needles = needles.select(F.concat("kind", "needle").alias("needle_id"), "needle", "entry")
+    hosts = pages.select(F.lower("host").alias("text")).distinct().select(F.concat(F.lit("h"), "text").alias("hay_id"), "text")
+    urls = pages.select(F.lower("url").alias("text")).distinct().select(F.concat(F.lit("u"), "text").alias("hay_id"), "text")
+    pairs = substrings.containing(hosts.unionByName(urls), needles.select("needle_id", "needle"))
+    valid = pairs.filter(~(F.startswith("needle_id", F.lit("u")) & F.startswith("hay_id", F.lit("h"))))
     best = (
-        named.join(entries, "label")
-        .groupBy("page_id")
-        .agg(F.min_by("company_name", "position").alias("company_name"))
+        skew.join(valid, needles.select("needle_id", "entry"), ["needle_id"], "inner")
+        .groupBy("hay_id").agg(F.min("entry").alias("entry"))
     )
-    return pages.join(best, "page_id", "left")
-
-
-def match_short_catalog(pages: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
-    """First entry (company, url) whose name is in the host or url, or whose url is in the page's url.
-
-    For a list short enough to stand in the plan, like the golden catalog.
-    """
-    host, url = F.lower(F.coalesce("host", F.lit(""))), F.lower("url")
-    found = F.lit(None).cast("string")
-    for company, source in reversed(entries):
-        word = F.lit(company.lower())
-        hit = F.contains(host, word) | F.contains(url, word) | F.contains(url, F.lit(source.lower()))
-        found = F.when(hit, company).otherwise(found)
-    return pages.withColumn("company_name", found)
+    of_host = best.select(F.expr("substring(hay_id, 2)").alias("text"), F.col("entry").alias("e1")).filter(F.startswith("hay_id", F.lit("h")))
+    of_url = best.select(F.expr("substring(hay_id, 2)").alias("text"), F.col("entry").alias("e2")).filter(F.startswith("hay_id", F.lit("u")))
+    keyed = pages.withColumn("__host", F.struct(F.lower("host").alias("t"))).withColumn("__url", F.struct(F.lower("url").alias("t")))
+    joined = keyed.join(of_host.select(F.struct(F.col("text").alias("t")).alias("__host"), "e1"), "__host", "left").join(
+        of_url.select(F.struct(F.col("text").alias("t")).alias("__url"), "e2"), "__url", "left"
+    )
+    return joined.withColumn("company_name", F.least("e1", "e2")["company_name"]).select(*pages.columns, "company_name")

@@ -359,13 +359,21 @@ def vector_store(spark, folder):
     return spark.read.parquet(path).select("vec_id", "company", F.size("embedding").cast("bigint").alias("dims"))
 
 
+# items as they are, and cut to two, one and three words
 @query(
     "f13_snippet_join",
-    """SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, array_to_string(string_split_regex(trim(lower(text)), '\\s+')[1:4], ' ') AS snippet,
-         len(string_split_regex(trim(lower(text)), '\\s+')) AS n FROM benchmark) JOIN documents d ON contains(lower(d.text), snippet) WHERE n >= 4""",
+    """WITH w AS (SELECT item_id, text, string_split_regex(trim(text), '\\s+') AS w FROM benchmark),
+       n AS (SELECT item_id * 10 + k AS item_id, CASE k WHEN 0 THEN text WHEN 1 THEN array_to_string(w[1:2], ' ') WHEN 2 THEN w[1] ELSE array_to_string(w[1:3], ' ') END AS text
+             FROM w, (VALUES (0), (1), (2), (3)) v(k)),
+       s AS (SELECT item_id, lower(CASE WHEN len(string_split_regex(trim(text), '\\s+')) >= 3 THEN array_to_string(string_split_regex(trim(text), '\\s+')[1:4], ' ') ELSE text END) AS snippet FROM n)
+       SELECT DISTINCT item_id, doc_id FROM s JOIN documents d ON contains(lower(d.text), snippet) WHERE snippet <> ''""",
 )
 def snippet_join(spark, folder):
-    return grounding.snippet_in_documents(table(spark, folder, "benchmark"), table(spark, folder, "documents").select("doc_id", "text"))
+    items = table(spark, folder, "benchmark")
+    words = F.split(T.strip_edges(F.col("text")), r"(?U)\s+")
+    cuts = F.array(F.col("text"), *[F.array_join(F.slice(words, 1, n), " ") for n in (2, 1, 3)])
+    cited = items.select("item_id", F.posexplode(cuts).alias("cut", "text")).withColumn("item_id", F.col("item_id") * 10 + F.col("cut"))
+    return grounding.snippet_in_documents(cited, table(spark, folder, "documents").select("doc_id", "text"))
 
 
 # ------------------------------------------------------------------ samples

@@ -384,19 +384,23 @@ def message_parts(spark, folder):
 
 
 # ------------------------------------------------- matching and set operators
+# labels of hosts are companies, with the address of the first page that has it
 @query(
     "f1_catalog_match",
-    f"""WITH labels AS (SELECT DISTINCT page_id, unnest(string_split({B.HOST_SQL}, '.')) AS label FROM pages),
-        catalog AS (SELECT label AS company_name, min(page_id) AS position FROM labels
-                    WHERE label NOT IN ('example', 'com', 'net', 'org', 'www', 'blog', 'm') GROUP BY 1)
-        SELECT page_id, arg_min(company_name, position) AS company_name FROM pages LEFT JOIN labels USING (page_id)
-        LEFT JOIN catalog ON label = company_name GROUP BY page_id""",
+    f"""WITH labels AS (SELECT DISTINCT page_id, url, unnest(string_split({B.HOST_SQL}, '.')) AS label FROM pages),
+        catalog AS (SELECT label AS company_name, min(page_id) AS position, substring(arg_min(url, page_id), 1, 40) AS source_url FROM labels
+                    WHERE label NOT IN ('example', 'com', 'net', 'org', 'www', 'blog', 'm') AND label <> '' GROUP BY 1),
+        hits AS (SELECT page_id, company_name, position FROM pages JOIN catalog
+                 ON contains({B.HOST_SQL}, lower(company_name)) OR contains(lower(url), lower(company_name)) OR contains(lower(url), lower(source_url)))
+        SELECT page_id, arg_min(company_name, (position, company_name)) AS company_name FROM pages LEFT JOIN hits USING (page_id) GROUP BY page_id""",
 )
 def catalog_match(spark, folder):
-    pages = tables.pages(spark, folder).select("page_id", T.url_host(F.col("url")).alias("host"))
-    common = ["example", "com", "net", "org", "www", "blog", "m"]
-    labels = pages.select("page_id", F.explode(F.split("host", r"\.")).alias("company_name"))
-    catalog = labels.filter(~F.col("company_name").isin(*common)).groupBy("company_name").agg(F.min("page_id").alias("position"))
+    pages = tables.pages(spark, folder).select("page_id", "url", T.url_host(F.col("url")).alias("host"))
+    common = ["example", "com", "net", "org", "www", "blog", "m", ""]
+    labels = pages.select("page_id", "url", F.explode(F.split("host", r"\.")).alias("company_name"))
+    catalog = labels.filter(~F.col("company_name").isin(*common)).groupBy("company_name").agg(
+        F.min("page_id").alias("position"), F.substring(F.min_by("url", "page_id"), 1, 40).alias("source_url")
+    )
     return strategy.match_catalog(pages, catalog).select("page_id", "company_name")
 
 
@@ -411,7 +415,9 @@ SHORT_CATALOG = [("spam-farm", "https://none.example/"), ("cheap-pills", "https:
 )
 def short_catalog_match(spark, folder):
     pages = admission.admit(tables.pages(spark, folder).select("page_id", "url"))
-    return strategy.match_short_catalog(pages, SHORT_CATALOG).select("page_id", "company_name")
+    rows = [(*entry, i) for i, entry in enumerate(SHORT_CATALOG)]
+    catalog = spark.createDataFrame(rows, "company_name string, source_url string, position int")
+    return strategy.match_catalog(pages, catalog).select("page_id", "company_name")
 
 
 CITED_SQL = f"""
