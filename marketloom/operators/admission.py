@@ -153,16 +153,12 @@ def audit_summary(audit_rows: DataFrame) -> DataFrame:
     return by_status.withColumn("share", F.round(share, 6))
 
 
-def politeness_schedule(checked: DataFrame, slice_digits: int = 3) -> DataFrame:
-    """Earliest start of each fetch in seconds after the first one on its host.
-
-    URLs are visited in hash order, and a prefix of the hash cuts big hosts.
-    """
-    keyed = checked.withColumn("url_hash", F.md5("url")).withColumn(
-        "hash_slice", F.substring("url_hash", 1, slice_digits)
-    )
+def politeness_schedule(checked: DataFrame) -> DataFrame:
+    """Earliest start of each fetch in seconds after the first one on its host; URLs are visited in hash order."""
+    order = ["url_hash", "url"]
+    sliced = skew.range_slices(checked.withColumn("url_hash", F.md5("url")), ["host"], order, "range")
     wait = F.least(F.col("crawl_delay"), F.lit(MAX_WAIT_SECONDS))
-    return skew.prefix(keyed, ["host"], ["url_hash", "url"], "hash_slice", wait, "start_seconds").drop("hash_slice")
+    return skew.prefix(sliced, ["host"], order, "range", wait, "start_seconds").drop("range")
 
 
 def best_capture(captures: DataFrame, key: str = "page_id") -> DataFrame:

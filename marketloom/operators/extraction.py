@@ -219,8 +219,7 @@ def model_price_list(models: DataFrame, position: str, per_company: int | None =
         F.col(position),
     )
     if per_company is None:
-        sliced = named.withColumn("__slice", skew.id_slice(F.col(position)))
-        kept = skew.numbered(sliced, ["company_name"], [position], "__slice", "tier_no").drop("__slice")
+        kept = skew.numbered(named, ["company_name"], [position], "tier_no")
     else:
         kept = skew.top_n(named, ["company_name"], [F.col(position)], per_company, "tier_no")
     return kept.withColumn("product_name", F.concat("company_name", F.lit(" LLM Endpoints")))

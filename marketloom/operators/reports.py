@@ -63,12 +63,9 @@ def change_lines(deltas: DataFrame) -> DataFrame:
     )
 
 
-def citations(records: DataFrame, order: str, slice_width: int = 100_000) -> DataFrame:
-    """First index of each source url among the records in ``order``; indices may have gaps."""
-    sliced = records.select("source_url", "company_name", order).withColumn(
-        "id_slice", skew.id_slice(F.col(order), slice_width)
-    ).withColumn("all", F.lit(1))
-    indexed = skew.numbered(sliced, ["all"], [order], "id_slice", "idx")
+def citations(records: DataFrame, order: str) -> DataFrame:
+    """First index of each source url among the records in ``order``, whose values differ; indices may have gaps."""
+    indexed = skew.numbered(records.select("source_url", "company_name", order), [], [order], "idx")
     return indexed.groupBy("source_url").agg(
         F.min("idx").alias("idx"), F.min_by("company_name", "idx").alias("company_name")
     )

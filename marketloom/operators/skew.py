@@ -2,7 +2,7 @@
 
 A key may hold a third of all rows, so a plain window over the key is unsafe.
 The rows of a key are cut into slices that follow the order (an hour of a time
-line, a prefix of a hash, a range of ids). Each slice is scanned on its own,
+line, a range of the order found by a sample). Each slice is scanned on its own,
 the slices are summed up to one row each, and the scan over those few rows is
 joined back. ``slice_col`` must never fall while the order rises.
 
@@ -20,13 +20,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.session import materialize
+
 
 def hour_slice(ts: Column, hours: int = 1) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (hours * 3_600_000_000)).cast("bigint")
 
 
-def id_slice(number: Column, width: int = 100_000) -> Column:
-    return F.floor(number / width).cast("bigint")
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows dealt to partitions by ranges of keys and order, which Spark finds by a sample, and sorted there.
+
+    Whatever the values are, sparse, all null or all the same but for the last column of a total order,
+    the ranges hold about equally many rows.
+    """
+    places = [F.asc_nulls_first(k) for k in keys] + [c if isinstance(c, Column) else F.col(c) for c in order]
+    return df.repartitionByRange(*places).sortWithinPartitions(*places)
+
+
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "slice") -> DataFrame:
+    """``df``, stored, with a slice for the scans of this module: the number of the range a row fell into."""
+    cut = _ranged(df, keys, order).withColumn(name, F.spark_partition_id().cast("bigint"))
+    return materialize(cut, "range-slices")
 
 
 def join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -93,10 +107,24 @@ def prefix(
     return joined.withColumn(name, result).drop("__key", "__value", "__local", "__carry")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_col: str, name: str):
-    """1-based position of each row within its key."""
-    counted = prefix(df, keys, order, slice_col, F.lit(1).cast("bigint"), name)
-    return counted.withColumn(name, (F.col(name) + 1).cast("bigint"))
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """1-based position of each row within its key; without keys, within the table. The order must be total.
+
+    One shuffle: rows are dealt by sampled ranges of key and order and numbered where they lie. Rows per
+    partition are summed up to give each partition its first number, and a key's first number is taken off.
+    """
+    local = F.monotonically_increasing_id()  # partition and place in it
+    placed = materialize(_ranged(df, keys, order).withColumn("__at", local), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    whole = placed.withColumn("__part", part).join(offsets, "__part").withColumn(name, F.col("__offset") + place + 1)
+    whole = whole.drop("__part", "__offset", "__at")
+    if keys:
+        first = whole.groupBy(*keys).agg(F.min(name).alias("__first"))
+        whole = join(whole, first, keys).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
+    return whole.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
 def with_previous(

@@ -798,12 +798,9 @@ def matrix_search(spark, folder):
         FROM offers WHERE run = 'R2'""",
 )
 def matrix_sort(spark, folder):
-    # positions come from price slices, so that no task numbers the whole matrix
-    rows = _run(spark, folder, "R2").select("company_name", "tier_name", "output_price").withColumn("all", F.lit(1))
-    price_slice = F.coalesce(F.floor(F.col("output_price") / 100).cast("bigint"), F.lit(2**40))
-    order = [F.col("output_price").asc_nulls_last(), "company_name", "tier_name"]
-    placed = skew.numbered(rows.withColumn("price_slice", price_slice), ["all"], order, "price_slice", "position")
-    return matrix.sort_rows(placed.drop("all", "price_slice"), "output_asc")
+    rows = _run(spark, folder, "R2").select("company_name", "tier_name", "output_price")
+    order = [F.col("output_price").asc_nulls_last(), F.col("company_name"), F.col("tier_name")]
+    return matrix.sort_rows(skew.numbered(rows, [], order, "position"), "output_asc")
 
 
 @query(

@@ -533,4 +533,4 @@ def citation_numbers(spark, folder):
     pages = tables.pages(spark, folder).select(
         "page_id", F.concat(F.lit("https://"), T.url_host(F.col("url"))).alias("source_url"), F.lit("-").alias("company_name")
     )
-    return reports.citations(pages, "page_id", slice_width=1000).select("source_url", "idx")
+    return reports.citations(pages, "page_id").select("source_url", "idx")

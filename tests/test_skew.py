@@ -43,10 +43,39 @@ def sliced(log):
 
 
 def test_numbered(log):
-    got = skew.numbered(sliced(log), ["user_id"], ORDER, "slice", "n")
+    got = skew.numbered(log, ["user_id"], ORDER, "n")
+    assert got.columns == [*log.columns, "n"]
     same(got, log.withColumn("n", F.row_number().over(plain()).cast("bigint")), ["event_id", "n"])
 
 
+@pytest.mark.parametrize("kind", ["sparse", "one price", "all null", "two prices and nulls", "empty"])
+def test_whole_tables_are_numbered_in_many_ranges(spark, kind):
+    price = {
+        "sparse": F.pow(F.lit(1.7), F.col("id") % 60), "one price": F.lit(5.0), "all null": F.lit(None).cast("double"),
+        "two prices and nulls": F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 2.0), "empty": F.lit(1.0),
+    }[kind]
+    rows = spark.range(0 if kind == "empty" else 5000).select((F.col("id") * F.col("id") * 7919).alias("row_id"), price.alias("price"))
+    order = [F.col("price").asc_nulls_last(), F.col("row_id")]
+    # small partitions would be put together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = skew.numbered(rows, [], order, "n")
+        ranges = skew.range_slices(rows, [], order)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    expected = rows.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    if kind != "empty":
+        spread = ranges.groupBy("slice").count().agg(F.count("*"), F.max("count")).first()
+        assert spread[0] > 1 and spread[1] < 5000 * 0.6
+
+
+def test_sums_over_ranges(log):
+    got = skew.prefix(skew.range_slices(log, ["user_id"], ORDER), ["user_id"], ORDER, "slice", F.col("event_id"), "before")
+    before = plain().rowsBetween(Window.unboundedPreceding, -1)
+    same(got, log.withColumn("before", F.coalesce(F.sum("event_id").over(before), F.lit(0))), ["event_id", "before"])
+
+
 def test_prefix_max(log):
     got = skew.prefix(sliced(log), ["user_id"], ORDER, "slice", F.col("value"), "m", how="max")
     before = plain().rowsBetween(Window.unboundedPreceding, -1)
