@@ -21,11 +21,11 @@ CACHE = 400_000
 #: Rows that leave a task at once.
 ROWS = 256
 #: Characters of text whose words are merged together.
-TEXTS = 1 << 24
+TEXTS = 1 << 23
 #: Characters whose words are cut at once.
 CUT_AT_ONCE = 1 << 21
 #: Bytes of different words that are merged together; one longer word is merged alone.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 #: Letters and numbers that came after Unicode 16, first and last code points. The
 #: patterns of the rank files know Unicode 16, where these are neither; newer tables have them as \p{L} or \p{N}.
@@ -99,14 +99,12 @@ def _is_text(token: bytes) -> bool:
 
 
 class Codec:
-    """A rank file compiled: the pairs of tokens that join, and the bytes of every id."""
+    """A rank file compiled: the pairs of tokens that join."""
 
     def __init__(self, data: bytes) -> None:
-        lines = (line.split() for line in data.splitlines() if line.strip())
-        self.rank = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.rank = {token: rank for rank, token in token_bytes(data).items()}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("the rank file lacks single bytes")
-        self.raw = {rank: token for token, rank in self.rank.items()}
         self.whole = {token.decode(): rank for token, rank in self.rank.items() if _is_text(token)}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         # every way to join two tokens to a third
@@ -281,14 +279,20 @@ class Codec:
             flush()
         return [out[word] for word in words]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of ids; an id that the file does not have gives nothing."""
-        raw = self.raw
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        try:
-            return b"".join([raw[i] for i in numbers])
-        except KeyError:
-            return b"".join([raw.get(i, b"") for i in numbers])
+
+def token_bytes(data: bytes) -> dict[int, bytes]:
+    """The bytes of every id of a rank file."""
+    lines = (line.split() for line in data.splitlines() if line.strip())
+    return {int(rank): base64.b64decode(token) for token, rank in lines}
+
+
+def decoded(ids: bytes, raw: dict[int, bytes]) -> bytes:
+    """The bytes of ids; an id that the file does not have gives nothing."""
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    try:
+        return b"".join([raw[i] for i in numbers])
+    except KeyError:
+        return b"".join([raw.get(i, b"") for i in numbers])
 
 
 class Numbers(dict):
@@ -365,7 +369,7 @@ def read_ranks(spark: SparkSession, path: str | None = None) -> bytes:
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every whole text as little-endian unsigned 32-bit numbers.
 
-    Each match of ``public_tokenizers.PATTERN`` is encoded by itself, without special tokens. About 16 million
+    Each match of ``public_tokenizers.PATTERN`` is encoded by itself, without special tokens. About eight million
     characters are one corpus, whose different words are merged together, see ``Codec.replay``. Memory hangs on
     that, on the two bounded caches and on the longest text; one unbroken word takes about 60 bytes per byte.
     Null or empty text: no ids. Repeated rows and null doc_ids are kept; extra columns are ignored. Empty: empty.
@@ -408,9 +412,9 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        raw = token_bytes(shared.value)
         for batch in batches:
-            made = [None if ids is None else codec.decode(ids) for ids in batch.column("ids").to_pylist()]
+            made = [None if ids is None else decoded(ids, raw) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_tokens"), batch.column("ids"), pa.array(made, pa.binary())], schema=schema
             )
