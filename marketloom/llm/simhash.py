@@ -227,4 +227,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     ids = numbered.select("number", F.col("row.doc_id").alias("id"))
     first = F.min_by("number", F.struct(F.col("id").isNull(), "id", "number")).alias("number")
     chosen = stored(ids.join(groups, "number").groupBy("group").agg(first).select("number"), "simhash-kept")
-    return numbered.join(chosen, "number", "left_semi").select("row.*")
+    # the same join at every size: rows and numbers are both dealt by number
+    return numbered.join(chosen.hint("merge"), "number", "left_semi").select("row.*")
