@@ -14,10 +14,9 @@ PER_THOUSAND_WORDS = ("1k", "thousand")
 SEVERITIES = ((30, "CRITICAL"), (15, "HIGH"), (5, "MEDIUM"))
 SEVERITY_ICONS = {"LOW": "🟢", "MEDIUM": "🟡", "HIGH": "🟠", "CRITICAL": "🔴"}
 UNKNOWN_ICON = "⚪"
-# ---- end of fixed values ----
-
 NUMBER = r"(\d+(?:\.\d+)?)"
 AFTER_SIGN = r"[$€£]\s*(\d+(?:\.\d+)?)"
+# ---- end of fixed values ----
 
 
 def _any_of(text: Column, words) -> Column:
@@ -53,6 +52,13 @@ def valid_amount(value: Column) -> Column:
     return F.when(value >= 0, value.cast("double"))
 
 
+def amount(raw: Column) -> Column:
+    """A price that may be a number or a text: a number as it stands, null when negative; a text as it says."""
+    text = raw.cast("string")
+    number = text.try_cast("double")
+    return F.when(number.isNotNull(), valid_amount(number)).otherwise(normalize_price(text))
+
+
 def general_format(x: Column) -> Column:
     """Six significant digits without trailing zeros, like C's ``%g``, for x > 0."""
     # a mantissa that would round up to ten belongs to the next power

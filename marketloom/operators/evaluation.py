@@ -54,16 +54,8 @@ def matched_tiers(predicted: DataFrame, gold: DataFrame, tolerance: float = TOLE
     return found.select("sample_id", "tier_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("copy")).drop("copy")
 
 
-def one_to_one(predicted: DataFrame, gold: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Stricter count: a gold tier serves one prediction of the same tier name."""
-    g = gold.select("sample_id", "tier_name", F.col("input_price").alias("g_in"), F.col("output_price").alias("g_out"))
-    return predicted.join(g, ["sample_id", "tier_name"]).filter(
-        _close(F.col("input_price"), F.col("g_in"), tolerance) & _close(F.col("output_price"), F.col("g_out"), tolerance)
-    ).select("sample_id", "tier_name")
-
-
 def per_sample(predicted: DataFrame, gold: DataFrame, grounding: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Tier counts per gold sample with its grounding ratio and number of ungrounded fields."""
+    """Tier counts per gold sample, with the grounding ratio, number of ungrounded fields and ``schema_valid`` of its prediction."""
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))
@@ -73,7 +65,7 @@ def per_sample(predicted: DataFrame, gold: DataFrame, grounding: DataFrame, tole
         .join(counted(predicted, "pred_tiers"), "sample_id", "left")
         .join(counted(matched_tiers(predicted, gold, tolerance), "matched_tiers"), "sample_id", "left")
     )
-    parts = parts.join(grounding.select("sample_id", "grounding_ratio", "ungrounded_count"), "sample_id", "left")
+    parts = parts.join(grounding.select("sample_id", "grounding_ratio", "ungrounded_count", "schema_valid"), "sample_id", "left")
     zero = ["pred_tiers", "matched_tiers", "ungrounded_count"]
     return parts.fillna(0, zero).fillna(0.0, ["grounding_ratio"])
 
@@ -87,14 +79,14 @@ def metrics(samples: DataFrame) -> DataFrame:
         F.sum("matched_tiers").alias("matched_tiers"),
         F.sum("ungrounded_count").alias("hallucinated_values"),
         F.round(F.avg("grounding_ratio"), 3).alias("avg_dom_grounding_ratio"),
+        F.round(F.coalesce(F.avg(F.col("schema_valid").cast("int")), F.lit(0.0)), 3).alias("schema_validity_rate"),
     )
 
     def share(part: str, whole: str, empty: float) -> Column:
         return F.round(F.coalesce(F.try_divide(part, whole), F.lit(empty)), 3)
 
     rated = (
-        total.withColumn("schema_validity_rate", F.when(F.col("total_samples") > 0, 1.0).otherwise(0.0))
-        .withColumn("tier_precision", share("matched_tiers", "pred_tiers", 1.0))
+        total.withColumn("tier_precision", share("matched_tiers", "pred_tiers", 1.0))
         .withColumn("tier_recall", share("matched_tiers", "gold_tiers", 1.0))
         .withColumn("hallucination_rate", share("hallucinated_values", "pred_tiers", 0.0))
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from marketloom import schemas
 from marketloom.functions import text as T
 from marketloom.operators import skew
 from marketloom.session import scratch_path
@@ -16,6 +17,8 @@ from marketloom.session import scratch_path
 # ---- fixed values ----
 MAX_REPAIRS = 2
 TOKENS_PER_PRICE = 1_000_000
+MODEL_HUB = ("OpenRouter", "https://openrouter.ai/")
+RECENT_HEAD = "RECENT ACTIONS:\n"
 # Characters that two passages of a page share, so that a listing at a cut is whole in one of them.
 OVERLAP = 500
 # ---- end of fixed values ----
@@ -36,6 +39,7 @@ Input:
 Error:
 {error_trace}
 
+{recent_actions}
 Say in one JSON object what was wrong (critique, root_cause, remedy) and give corrected_output.
 """
 
@@ -44,12 +48,15 @@ def extraction_prompt(text: Column, url: Column, template: str = EXTRACT_TEMPLAT
     return T.render(template, source_url=url, markdown_content=T.budget(text, T.PROMPT_CHARS))
 
 
-def repair_prompt(agent: Column, text: Column, error: Column, template: str = REPAIR_TEMPLATE) -> Column:
+def repair_prompt(agent: Column, text: Column, error: Column, recent: Column | None = None, template: str = REPAIR_TEMPLATE) -> Column:
+    """``recent`` is a text of the agent's last actions, left out where it is null or empty."""
+    said = F.lit("") if recent is None else F.when(F.length(recent) > 0, F.concat(F.lit(RECENT_HEAD), recent, F.lit("\n"))).otherwise("")
     return T.render(
         template,
         agent_name=agent,
-        input_excerpt=T.budget(text, T.EXCERPT_CHARS),
+        recent_actions=said,
         error_trace=T.budget(error, T.ERROR_CHARS),
+        input_excerpt=T.budget(text, T.EXCERPT_CHARS),
     )
 
 
@@ -86,27 +93,30 @@ def passages(df: DataFrame, chars: int) -> DataFrame:
     return cut.withColumn("start", F.col("start") + F.col("__at")).withColumn("text", part).drop("__at")
 
 
-def united(payloads: list[str]) -> str:
-    """One JSON object of a page's passages in order: lists are joined, an element that repeats counts where it is listed last, of other values the first that says something."""
-    out: dict = {}
-    for payload in payloads:
-        try:
-            found = json.loads(payload, strict=False)
-        except ValueError as error:  # rather fail than lose the passage's tiers
-            raise ValueError(f"a passage's answer cannot be united with others: {payload[:200]}") from error
-        for name, value in found.items():
-            if isinstance(value, list) and isinstance(out.get(name), list):
-                out[name] = [v for v in out[name] if v not in value] + value
-            elif out.get(name) in (None, "", [], {}):
-                out[name] = value
-            elif out[name] is False and value is True:
-                out[name] = True
-    return json.dumps(out, ensure_ascii=False)
-
-
-def _whole_pages(results: DataFrame, key: str) -> DataFrame:
+def united(payloads: Column, answer: StructType) -> Column:
+    """One JSON object of a page's passages in order, read by the type of an answer.
+
+    Lists are joined, and an element that repeats counts where it is listed last; a flag is true where any
+    passage says so; of other values the first that says something counts.
+    """
+    read = F.transform(payloads, lambda p: F.from_json(p, answer))
+
+    def one(field: StructField) -> Column:
+        values = F.transform(read, lambda r: r[field.name])
+        if isinstance(field.dataType, ArrayType):
+            every = F.flatten(F.filter(values, lambda v: v.isNotNull()))
+            whole = F.reverse(F.array_distinct(F.reverse(every)))
+            return F.when(F.exists(values, lambda v: v.isNotNull()), whole)
+        if isinstance(field.dataType, BooleanType):
+            return F.array_max(values)
+        says = F.filter(values, lambda v: v.isNotNull() & (v.cast("string") != "") if isinstance(field.dataType, StringType) else v.isNotNull())
+        return F.try_element_at(says, F.lit(1))
+
+    return F.to_json(F.struct(*[one(f).alias(f.name) for f in answer.fields]))
+
+
+def _whole_pages(results: DataFrame, key: str, answer: StructType) -> DataFrame:
     """One row per page. A page with a passage that failed keeps what the others gave, and its error."""
-    merge = F.udf(united, "string")
     part = F.struct("start", "attempt", "payload", "error", "root_cause", "remedy")
     pages = results.groupBy("__page", key).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     read = F.filter("parts", lambda p: p["payload"].isNotNull())
@@ -118,7 +128,7 @@ def _whole_pages(results: DataFrame, key: str) -> DataFrame:
     return pages.select(
         key,
         F.array_max(F.transform("parts", lambda p: p["attempt"])).alias("attempt"),
-        F.when(F.size(read) > 1, merge(F.transform(read, lambda p: p["payload"]))).otherwise(F.try_element_at(read, F.lit(1))["payload"]).alias("payload"),
+        F.when(F.size(read) > 1, united(F.transform(read, lambda p: p["payload"]), answer)).otherwise(F.try_element_at(read, F.lit(1))["payload"]).alias("payload"),
         lines("error").alias("error"), lines("root_cause").alias("root_cause"), lines("remedy").alias("remedy"),
     )
 
@@ -129,8 +139,15 @@ def extract(
     key: str,
     max_repairs: int = MAX_REPAIRS,
     agent: str = "analyst",
+    answer: str = schemas.ANSWER,
+    check: Callable[[Column, Column], Column] | None = None,
+    recent: Column | None = None,
 ) -> DataFrame:
-    """Ask the model about each passage of each page and ask again, with the error, where the answer is no JSON object.
+    """Ask the model about each passage of each page and ask again, with the error, where the answer is no JSON object or is not sound.
+
+    ``answer`` is the type of an answer. ``check`` is a column of the answer, as a struct of that type, and the passage's text: null
+    where the answer is sound, else what is wrong with it, which the next prompt says. ``recent`` is a text of the agent's last
+    actions for repair prompts. An answer that stays unsound after the last round counts as it is, with its error.
 
     A repaired answer counts by its ``corrected_output``; an answer that only speaks
     about the error is another failure. Its root cause and remedy are kept either way.
@@ -143,7 +160,7 @@ def extract(
     only failed rows enter the next pass. Result: key, attempt, payload, error, root_cause, remedy.
     """
     spark = pages.sparkSession
-    path = scratch_path(spark, "extract")
+    path, shape = scratch_path(spark, "extract"), StructType.fromDDL(answer)
     # rows of one key stay apart
     named = pages.select(key, "url", "text", F.expr("uuid()").alias("__page"), F.lit(0).alias("start"))
     todo = passages(named, T.PROMPT_CHARS).select("__page", "start", key, "url", "text", extraction_prompt(F.col("text"), F.col("url")).alias("prompt"))
@@ -158,26 +175,29 @@ def extract(
             found = F.when(mended.rlike(OBJECT), mended).when(~speaks & mended.isNull(), whole)
         else:
             found = whole
+        no_object = F.concat(F.lit("no JSON object: "), F.coalesce("response", F.lit("")))
+        wrong = F.lit(None).cast("string") if check is None else check(F.from_json(F.col("__found"), shape), F.col("text"))
+        last = attempt == max_repairs
         judged = (
-            answered.withColumn("payload", found)
+            answered.withColumn("__found", found)
+            .withColumn("error", F.when(F.col("__found").isNull(), no_object).otherwise(wrong))
+            .withColumn("payload", F.when(F.col("error").isNull() | F.lit(last), F.col("__found"))).drop("__found")
             .withColumn("root_cause", F.get_json_object(whole, "$.root_cause") if attempt else F.lit(None).cast("string"))
             .withColumn("remedy", F.get_json_object(whole, "$.remedy") if attempt else F.lit(None).cast("string"))
-            .withColumn("error", F.when(F.col("payload").isNull(), F.concat(F.lit("no JSON object: "), F.coalesce("response", F.lit("")))))
         )
         # the text is needed again only where the answer failed
         slim = judged.withColumn("text", F.when(F.col("payload").isNull(), F.col("text"))).drop("prompt", "response")
         slim.write.mode("overwrite").parquet(f"{path}/{attempt}")
         done = spark.read.parquet(f"{path}/{attempt}")
         failed = done.filter("payload IS NULL")
-        last = attempt == max_repairs
         kept = (done if last else done.filter("payload IS NOT NULL")).select(
             "__page", "start", key, F.lit(attempt).cast("bigint").alias("attempt"), "payload", "error", "root_cause", "remedy"
         )
         results = kept if results is None else results.unionByName(kept)
         todo = passages(failed, T.EXCERPT_CHARS).select(
-            "__page", "start", key, "url", "text", repair_prompt(F.lit(agent), F.col("text"), F.col("error")).alias("prompt")
+            "__page", "start", key, "url", "text", repair_prompt(F.lit(agent), F.col("text"), F.col("error"), recent).alias("prompt")
         )
-    return _whole_pages(results, key)
+    return _whole_pages(results, key, shape)
 
 
 def repair_history(attempts: DataFrame, key: str, max_repairs: int = MAX_REPAIRS) -> DataFrame:
@@ -218,8 +238,15 @@ def model_price_list(models: DataFrame, position: str, per_company: int | None =
         per_million(F.col("completion").cast("double")).alias("output_price"),
         F.col(position),
     )
+    hub, address = MODEL_HUB
     if per_company is None:
         kept = skew.numbered(named, ["company_name"], [position], "tier_no")
     else:
         kept = skew.top_n(named, ["company_name"], [F.col(position)], per_company, "tier_no")
-    return kept.withColumn("product_name", F.concat("company_name", F.lit(" LLM Endpoints")))
+    return kept.select(
+        "*",
+        F.concat("company_name", F.lit(" LLM Endpoints")).alias("product_name"),
+        F.concat(F.lit(address), F.lower("company_name")).alias("source_url"),
+        F.lit(f"{hub} normalized proxy routing").alias("rate_limits_summary"),
+        F.concat("company_name", F.lit(f" pricing verified via {hub} catalog.")).alias("citation_text"),
+    )

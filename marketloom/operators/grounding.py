@@ -1,7 +1,7 @@
 """Record decoding, grounding, confidence and the gate.
 
-Every score is a Column over the record's own tier array and its source text,
-so the whole chain is one projection without a shuffle.
+Every score is a Column over the record's own tier array and what an index of its
+page says of them, so the whole chain runs without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions import pages
 from marketloom.functions import prices as P
 from marketloom.functions import text as T
 from marketloom.operators import substrings
@@ -39,13 +40,13 @@ def _one(flag: Column) -> Column:
 
 
 def sanitize_tiers(tiers: Column) -> Column:
-    """Default and trim names, null out invalid prices; every other field is kept."""
+    """Default and trim names; prices are numbers or texts such as "$2.50 / 1M", invalid ones become null; every other field is kept."""
 
     def clean(t):
         name = F.when(_filled(t["model_or_tier_name"]), t["model_or_tier_name"]).otherwise(DEFAULT_TIER)
         fixed = {"model_or_tier_name": T.strip_edges(name)}
         for field in PRICE_FIELDS + ("base_price_monthly", "seat_price_monthly"):
-            fixed[field] = P.valid_amount(t[field])
+            fixed[field] = P.amount(t[field])
         out = t
         for field, value in fixed.items():
             out = out.withField(field, value)
@@ -75,53 +76,45 @@ def _citation_snippet(citation: Column) -> Column:
     return F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 4), " ")).otherwise(citation)
 
 
+def with_hits(records: DataFrame) -> DataFrame:
+    """Add ``__hits``: which names and prices of the tiers stand in the page, from one index of it."""
+    found = pages.tier_hits(F.col("source_text"), F.col("pricing_tiers"), "model_or_tier_name", PRICE_FIELDS)
+    return records.withColumn("__hits", found).withColumn("__low", F.lower("source_text"))
+
+
+def _has(bits: Column, bit: int) -> Column:
+    return bits.bitwiseAND(F.lit(bit)) != 0
+
+
 def ground(records: DataFrame) -> DataFrame:
     """Add ``grounding_ratio`` and ``ungrounded_fields`` by verbatim search in ``source_text``."""
-    low = records.withColumn("__low", F.lower("source_text"))
-    company = F.col("company_name")
-    citation = F.col("citation_text")
-    check_type = "array<struct<label:string,ok:boolean>>"
+    company, citation = F.col("company_name"), F.col("citation_text")
+    nothing = F.array().cast("array<string>")
 
-    def check(label: Column, ok: Column) -> Column:
-        return F.struct(label.alias("label"), ok.alias("ok"))
+    def when_missed(condition: Column, label: Column, ok: Column) -> Column:
+        return F.when(F.coalesce(condition & ~ok, F.lit(False)), F.array(label)).otherwise(nothing)
 
-    def when_checked(condition: Column, label: Column, ok: Column) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), F.array(check(label, ok))).otherwise(
-            F.array().cast(check_type)
-        )
-
-    def tier_checks(t):
+    def tier_missed(t, bits):
         name = t["model_or_tier_name"]
-        found = [
-            when_checked(
-                _filled(name), F.concat(F.lit("tier_name:"), name), F.contains(F.col("__low"), F.lower(name))
-            )
-        ]
-        for field in PRICE_FIELDS:
-            price = t[field]
-            seen = F.contains(F.col("source_text"), P.two_decimals(price)) | F.contains(
-                F.col("source_text"), P.general_format(price)
-            )
-            found.append(when_checked(price > 0, F.concat(F.lit("price:"), P.two_decimals(price)), seen))
-        return F.concat(*found)
-
-    checks = F.concat(
-        when_checked(
-            _filled(company) & (F.lower(company) != "unknown"),
-            F.concat(F.lit("company_name:"), company),
-            F.contains(F.col("__low"), F.lower(company)),
-        ),
-        F.flatten(F.transform("pricing_tiers", tier_checks)),
-        when_checked(
-            _filled(citation),
-            F.lit("citation_text_mismatch"),
-            F.contains(F.col("__low"), F.lower(_citation_snippet(citation))),
-        ),
+        missed = [when_missed(_filled(name), F.concat(F.lit("tier_name:"), name), _has(bits, pages.NAME))]
+        for field, bit in zip(PRICE_FIELDS, pages.GENERAL):
+            label = F.concat(F.lit("price:"), P.two_decimals(t[field]))
+            missed.append(when_missed(t[field] > 0, label, _has(bits, bit)))
+        return F.concat(*missed)
+
+    named = _filled(company) & (F.lower(company) != "unknown")
+    cited = F.contains(F.col("__low"), F.lower(_citation_snippet(citation)))
+    missed = F.concat(
+        when_missed(named, F.concat(F.lit("company_name:"), company), F.contains(F.col("__low"), F.lower(company))),
+        F.flatten(F.zip_with("pricing_tiers", "__hits", tier_missed)),
+        when_missed(_filled(citation), F.lit("citation_text_mismatch"), cited),
     )
-    checked = low.withColumn("__checks", checks).withColumn(
-        "__missed", F.transform(F.filter("__checks", lambda c: ~c["ok"]), lambda c: c["label"])
+    stated = F.aggregate(
+        "pricing_tiers", _one(named) + _one(_filled(citation)),
+        lambda acc, t: acc + _one(_filled(t["model_or_tier_name"])) + sum(_one(t[f] > 0) for f in PRICE_FIELDS),
     )
-    n = F.size("__checks")
+    checked = with_hits(records).withColumn("__missed", missed).withColumn("__stated", stated)
+    n = F.col("__stated")
     ratio = F.when(n == 0, NO_CHECKS).otherwise(F.try_divide(n - F.size("__missed"), n))
     empty = ~_filled(F.col("source_text"))
     return (
@@ -129,7 +122,7 @@ def ground(records: DataFrame) -> DataFrame:
         .withColumn(
             "ungrounded_fields", F.when(empty, F.array(F.lit("source_text_empty"))).otherwise(F.col("__missed"))
         )
-        .drop("__low", "__checks", "__missed")
+        .drop("__low", "__hits", "__missed", "__stated")
     )
 
 
@@ -144,22 +137,15 @@ def calibrate(grounded: DataFrame) -> DataFrame:
 
 def dom_grounding(records: DataFrame, name: str = "dom_grounding") -> DataFrame:
     """Share of stated facts found in the source; prices also without trailing zeros."""
-    low = records.withColumn("__low", F.lower("source_text"))
     company, citation = F.col("company_name"), F.col("citation_text")
     words = F.split(T.strip_edges(F.lower(citation)), r"(?U)\s+")
     found = F.size(F.filter(words, lambda w: F.contains(F.col("__low"), w)))
     has_citation = F.coalesce(F.length(citation) > 5, F.lit(False))
 
-    def tier_score(acc, t):
-        tier = t["model_or_tier_name"]
-        checks, hits = acc["checks"] + _one(_filled(tier)), acc["hits"]
-        hits = hits + _one(_filled(tier) & F.contains(F.col("__low"), F.lower(tier)))
-        for field in PRICE_FIELDS:
-            text = P.two_decimals(t[field])
-            short = F.regexp_replace(text, r"\.?0+$", "")
-            seen = F.contains(F.col("source_text"), text) | F.contains(F.col("source_text"), short)
-            checks = checks + _one(t[field].isNotNull())
-            hits = hits + _one(seen)
+    def per_tier(t, bits):
+        named = _one(_filled(t["model_or_tier_name"]))
+        checks = named + sum(_one(t[f].isNotNull()) for f in PRICE_FIELDS)
+        hits = named * _one(_has(bits, pages.NAME)) + sum(_one(_has(bits, b)) for b in pages.SHORT)
         return F.struct(checks.alias("checks"), hits.alias("hits"))
 
     start = F.struct(
@@ -169,13 +155,16 @@ def dom_grounding(records: DataFrame, name: str = "dom_grounding") -> DataFrame:
             + _one(has_citation & (found >= F.size(words) * CITATION_WORD_SHARE))
         ).alias("hits"),
     )
-    score = low.withColumn("__score", F.aggregate("pricing_tiers", start, tier_score))
-    return score.withColumn(
+    total = F.aggregate(
+        F.zip_with("pricing_tiers", "__hits", per_tier), start,
+        lambda acc, t: F.struct((acc["checks"] + t["checks"]).alias("checks"), (acc["hits"] + t["hits"]).alias("hits")),
+    )
+    return with_hits(records).withColumn("__score", total).withColumn(
         name,
         F.when(F.col("__score.checks") == 0, NO_CHECKS).otherwise(
             F.try_divide(F.col("__score.hits"), F.col("__score.checks"))
         ),
-    ).drop("__low", "__score")
+    ).drop("__low", "__hits", "__score")
 
 
 def completeness() -> Column:

@@ -14,7 +14,7 @@ from marketloom.functions import text as T
 from marketloom.operators import skew
 
 # ---- fixed values: section order and table heads ----
-HEAD, SUMMARY, MATRIX, CHANGES, ADVICE, CARDS, CITATIONS = range(1, 8)
+HEAD, SUMMARY, MATRIX, CHANGES, ADVICE, CARDS, CITATIONS, NOTE = range(1, 9)
 TITLES = {
     SUMMARY: "## 📋 Executive Summary",
     MATRIX: "## 💰 Pricing Comparison Matrix",
@@ -31,8 +31,16 @@ CHANGES_HEAD = (
     "| Competitor | Change | Metric | Old → New | Severity |",
     "| :--- | :--- | :--- | :--- | :---: |",
 )
+RATIONALE, ACTION, CORROBORATION = "**Rationale:** ", "**Action:** ", "**Corroboration ("
+VERSUS, WINS, TRACK = "### vs. ", "**Where We Win:**", "**Recommended Talk Track:** "
+NO_MATRIX = "*No pricing data extracted in this run.*"
 # ---- end of fixed values ----
 
+DISCLAIMER = (
+    "> *This report was generated automatically. All data points come from publicly available web pages and were checked "
+    "against their text.*"
+)
+
 
 def _row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
@@ -77,41 +85,94 @@ def run_citations(records: DataFrame, run: str = "pipeline_id") -> DataFrame:
 
 
 def advice_lines(recommendations: DataFrame) -> DataFrame:
-    """Four lines per recommendation: title, rationale, action, corroboration."""
+    """Lines (number, line_no, line) of recommendations, numbered by category, title and rationale.
+
+    ``corroborating_sources`` is an array; sources are linked.
+    """
+    key = ["category", "title", "rationale"]
+    rows = skew.numbered(recommendations, [], key, "number")
+    links = F.array_join(
+        F.transform("corroborating_sources", lambda s: F.concat(F.lit("[Source]("), s, F.lit(")"))), ", "
+    )
+
     def line(no: int, text: Column) -> Column:
-        return F.struct(F.lit(no).alias("line_no"), text.alias("line"))
+        return F.struct(F.lit(no).cast("bigint").alias("line_no"), text.alias("line"))
 
     lines = F.array(
-        line(1, F.concat(F.lit("### ["), F.col("category"), F.lit("] "), F.col("title"))),
-        line(2, F.concat(F.lit("**Rationale:** "), F.col("rationale"))),
-        line(3, F.concat(F.lit("**Action:** "), F.col("actionable_next_step"))),
-        line(
-            4,
-            F.concat(
-                F.lit("**Corroboration ("), F.col("corroboration_count").cast("string"), F.lit(" sources):** "),
-                F.coalesce("corroborating_sources", F.lit("")),
-            ),
-        ),
+        line(1, F.concat(F.lit("### "), F.col("number").cast("string"), F.lit(". ["), F.col("category"), F.lit("] "), F.col("title"))),
+        line(2, F.lit("")),
+        line(3, F.concat(F.lit(RATIONALE), F.coalesce("rationale", F.lit("")))),
+        line(4, F.lit("")),
+        line(5, F.concat(F.lit(ACTION), F.coalesce("actionable_next_step", F.lit("")))),
+        line(6, F.lit("")),
+        line(7, F.concat(F.lit(CORROBORATION), F.col("corroboration_count").cast("string"), F.lit(" sources):** "), F.coalesce(links, F.lit("")))),
+        line(8, F.lit("")),
+    )
+    return rows.select("number", F.explode(lines).alias("l")).select("number", "l.*")
+
+
+def card_lines(cards: DataFrame) -> DataFrame:
+    """Lines (competitor, line_no, line) of keyed battlecards: head, where we win, talk track."""
+    won = F.col("part") == "our_advantages"
+    body = cards.select("competitor", F.when(won, F.col("line_no") + 3).otherwise(1000).alias("line_no"), F.when(won, F.concat(F.lit("- ✅ "), "line")).otherwise(F.concat(F.lit(TRACK), "line")).alias("line"))
+
+    def fixed(rows: DataFrame, no: int, text: Column) -> DataFrame:
+        return rows.select("competitor", F.lit(no).alias("line_no"), text.alias("line"))
+
+    named = cards.select("competitor").distinct()
+    winning = cards.filter(won).select("competitor").distinct()
+    out = body
+    for part in (
+        fixed(named, 0, F.concat(F.lit(VERSUS), F.col("competitor"))), fixed(named, 1, F.lit("")), fixed(winning, 2, F.lit(WINS)),
+        fixed(winning, 999, F.lit("")), fixed(named, 1001, F.lit("")),
+    ):
+        out = out.unionByName(part)
+    return out.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def citation_lines(records: DataFrame, order: str, accessed: str) -> DataFrame:
+    """One footnote (idx, line) per source url, by its first record: company_name, source_url, extraction_confidence and ``order``."""
+    needed = dict.fromkeys(["source_url", "company_name", "extraction_confidence", order])
+    indexed = skew.numbered(records.select(*needed), [], [order], "idx")
+    first = indexed.groupBy("source_url").agg(F.min(F.struct("idx", "company_name", "extraction_confidence")).alias("f"))
+    line = F.concat(
+        F.lit("[^"), F.col("f.idx").cast("string"), F.lit("]: "), F.col("f.company_name"), F.lit(" — "), F.col("source_url"),
+        F.lit(f" (Accessed {accessed}, Confidence: "), P.two_decimals(F.col("f.extraction_confidence")), F.lit(")"),
     )
-    return recommendations.select("rec_key", F.explode(lines).alias("l")).select("rec_key", "l.*")
+    return first.select(F.col("f.idx").alias("idx"), line.alias("line"))
+
 
+def numbered_key(*parts: Column) -> Column:
+    """A sort key of numbers, which sorts as they do."""
+    return F.concat_ws(" ", *[F.lpad(p.cast("string"), 12, "0") for p in parts])
 
-def report(run: str, title: str, sections: dict[int, DataFrame], generated: str) -> DataFrame:
-    """Lines of a whole report. Each section has ``sort_key, line``; an empty one is left out.
 
-    Head and section titles are a few fixed lines; the titles are kept by a
-    semi-join on the sections that have any row.
+def report(run: str, title: str, sections: dict[int, DataFrame], generated: str, vertical: str, analyzed: DataFrame) -> DataFrame:
+    """Lines of a whole report. Each section has ``sort_key, line``; an empty one is left out, but for the matrix.
+
+    ``analyzed`` are the records the report is about. Head and section titles are a few fixed
+    lines; the titles are kept by a semi-join on the sections that have any row.
     """
-    spark = next(iter(sections.values())).sparkSession
+    spark = analyzed.sparkSession
     schema = "section_no int, sort_key string, line string"
-    head = [(HEAD, "0", title), (HEAD, "1", f"**Pipeline:** `{run}`"), (HEAD, "2", f"**Generated:** {generated}")]
-    whole = spark.createDataFrame(head, schema)
+    head = [
+        (HEAD, "0", title), (HEAD, "1", ""), (HEAD, "2", f"**Pipeline:** `{run}`  "), (HEAD, "3", f"**Generated:** {generated}  "),
+        (HEAD, "4", f"**Vertical:** {vertical}  "), (HEAD, "6", ""), (NOTE, "0", "---"), (NOTE, "1", DISCLAIMER),
+    ]
+    count = analyzed.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(HEAD).alias("section_no"), F.lit("5").alias("sort_key"),
+        F.concat(F.lit("**Sources Analyzed:** "), F.col("n").cast("string"), F.lit("  ")).alias("line"),
+    )
+    whole = spark.createDataFrame(head, schema).unionByName(count)
     for no, rows in sections.items():
-        named = [(no, " 0", "---"), (no, " 1", TITLES[no])]
+        named = [(no, " 0", "---"), (no, " 1", TITLES[no]), (no, " 2", ""), (no, "~", "")]
         heads = {MATRIX: MATRIX_HEAD, CHANGES: CHANGES_HEAD}.get(no, ())
-        named += [(no, f" {i + 2}", line) for i, line in enumerate(heads)]
+        named += [(no, f" {i + 3}", line) for i, line in enumerate(heads)]
         titles = spark.createDataFrame(named, schema)
         filled = rows.limit(1).select(F.lit(no).alias("section_no"))
-        body = rows.select(F.lit(no).alias("section_no"), "sort_key", "line")
+        body = rows.select(F.lit(no).alias("section_no"), F.concat(F.lit("."), "sort_key").alias("sort_key"), "line")
         whole = whole.unionByName(titles.join(filled, "section_no", "left_semi")).unionByName(body)
+        if no == MATRIX:
+            nothing = spark.createDataFrame([(no, " 0", "---"), (no, " 1", TITLES[no]), (no, " 2", ""), (no, " 3", NO_MATRIX), (no, "~", "")], schema)
+            whole = whole.unionByName(nothing.join(filled, "section_no", "left_anti"))
     return whole.select(F.lit(run).alias("pipeline_id"), "section_no", "sort_key", "line")

@@ -32,9 +32,48 @@ OPTIONS = "Tier options: "
 GATED_WEAKNESS = "Requires high volume for tiered discount scaling"
 OPEN_WEAKNESS = "Limited enterprise SLA disclosures"
 POSTURE = "Entry token pricing starts at "
+SECOND_WEAKNESS = "Complex pricing matrix creates developer calculation friction"
+COUNTER = ("Position against ", " on transparent pricing, faster time-to-first-token, and simplified billing.")
+TALK_TRACK = ("When competing against ", ", emphasize pricing advantages and context window capabilities.")
+MACRO_DROP_RATIONALE = (" price reductions detected across ", ". This signals an industry-wide margin compression trend.")
+MACRO_DROP_STEP = (
+    "Evaluate defensive pricing options. Consider introducing a competitive batch/volume discount tier to retain price-sensitive customers."
+)
+NEW_TIER_STEP = "Evaluate feature parity and positioning against this new offering."
+DROP_TREND_RATIONALE = ("Independent downward price adjustments observed across ", ". Inference commodity pricing is compressing margins.")
+DROP_TREND_STEP = "Pivot marketing from raw token cost to reliability, latency, and context-caching SLAs."
+ISOLATED_DETAILS = " dropped pricing, but competitors have not matched this move yet."
+ENTERPRISE_RATIONALE = (
+    "Providers including ", " are steering high-throughput customers toward custom sales contracts and private clusters."
+)
+ENTERPRISE_STEP = "Introduce a transparent 'Contact Sales' tier with defined minimum commit gates."
+FEATURE_RATIONALE = (
+    "Prompt caching discounts (up to 50-90%) adopted by ", ". Failure to support caching puts developer retention at risk."
+)
+FEATURE_STEP = "Deploy prompt cache discount pricing on long-context models."
+EQUILIBRIUM_RATIONALE = ("Analyzed pricing across ", ". No destabilizing price wars detected.")
+EQUILIBRIUM_STEP = "Benchmark input/output token spreads against median tier rates."
+ENTERPRISE_NAMES, EQUILIBRIUM_NAMES = 3, 4
 # ---- end of fixed values ----
 
 NAMES_SHOWN = 3
+#: A sentence names this many companies and counts the others; all are rows.
+NAMES_LISTED = 20
+
+
+def _names(companies: DataFrame, shown: int, count_others: bool = True) -> Column:
+    """The first names in order as one text, and how many more there are; a scalar over distinct ``company_name``."""
+    some = companies.orderBy("company_name").limit(shown)
+    text = F.array_join(F.array_sort(F.collect_list("company_name")), ", ")
+    listed = some.agg(text).scalar()
+    if not count_others:
+        return listed
+    more = companies.agg(F.count(F.lit(1))).scalar() - shown
+    return F.concat(listed, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def _around(pair: tuple[str, str], text: Column) -> Column:
+    return F.concat(F.lit(pair[0]), text, F.lit(pair[1]))
 
 
 def executive_lines(records: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -77,34 +116,51 @@ def company_sources(records: DataFrame) -> DataFrame:
     return records.select("company_name", "source_url").distinct()
 
 
+def _dropping(deltas: DataFrame) -> DataFrame:
+    return deltas.filter(F.col("delta_type") == DROP).select(F.col("competitor_name").alias("company_name"))
+
+
+def macro_price_drop_sources(records: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Every source of the companies with price drops, one row each."""
+    return records.join(_dropping(deltas), "company_name", "left_semi").select(
+        F.lit(MACRO_DROP_TITLE).alias("title"), "source_url"
+    ).distinct()
+
+
 def macro_price_drop(records: DataFrame, deltas: DataFrame, shown: int = 3) -> DataFrame:
     """One PRICING recommendation when at least two price drops occurred.
 
-    ``drops`` counts drops, not companies. All sources of the companies
-    involved are counted and the first ``shown`` of them are listed.
+    ``drops`` counts drops, not companies. The first ``shown`` sources are listed and all are counted;
+    ``macro_price_drop_sources`` has them as rows.
     """
-    drops = deltas.filter(F.col("delta_type") == DROP).select(F.col("competitor_name").alias("company_name"))
-    sources = records.join(drops, "company_name", "left_semi").select("source_url").distinct()
-    listed = sources.orderBy("source_url").limit(shown).agg(
-        F.array_join(F.array_sort(F.collect_list("source_url")), ",")
-    )
-    total = drops.groupBy("company_name").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("drops"), F.count(F.lit(1)).alias("companies")
-    )
+    drops = _dropping(deltas)
+    sources = macro_price_drop_sources(records, deltas)
+    listed = sources.orderBy("source_url").limit(shown).agg(F.array_sort(F.collect_list("source_url")))
+    per_company = drops.groupBy("company_name").agg(F.count(F.lit(1)).alias("n"))
+    total = per_company.agg(F.sum("n").alias("drops"), F.count(F.lit(1)).alias("companies"))
     row = (
         total.filter(F.col("drops") >= MIN_SOURCES)
         .withColumn("corroborating_sources", listed.scalar())
         .withColumn("corroboration_count", sources.agg(F.count(F.lit(1))).scalar())
     )
+    rationale = F.concat(F.col("drops").cast("string"), _around(MACRO_DROP_RATIONALE, _names(per_company.select("company_name"), NAMES_LISTED)))
     return row.select(
         F.lit("PRICING").alias("category"),
         F.lit(MACRO_DROP_TITLE).alias("title"),
+        rationale.alias("rationale"),
+        F.lit(MACRO_DROP_STEP).alias("actionable_next_step"),
         "drops", "companies", "corroborating_sources", "corroboration_count",
     )
 
 
+def new_tier_sources(records: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Every source behind each new-tier recommendation, one row each."""
+    advised = new_tier_recommendations(records, deltas).select("company_name", "title", "rationale")
+    return advised.join(company_sources(records), "company_name").select("title", "rationale", "source_url")
+
+
 def new_tier_recommendations(records: DataFrame, deltas: DataFrame) -> DataFrame:
-    """One PRODUCT_ROADMAP recommendation per new tier, with up to two sources.
+    """One PRODUCT_ROADMAP recommendation per new tier, with up to two sources; ``new_tier_sources`` has all.
 
     Sources are gathered per company, so both sides of the join are small per key.
     """
@@ -113,23 +169,35 @@ def new_tier_recommendations(records: DataFrame, deltas: DataFrame) -> DataFrame
             company_sources(records).withColumn("n", F.lit(1)), ["company_name"], [F.col("source_url")], 2
         )
         .groupBy("company_name")
-        .agg(F.array_join(F.array_sort(F.collect_list("source_url")), ",").alias("corroborating_sources"))
+        .agg(F.array_sort(F.collect_list("source_url")).alias("corroborating_sources"))
     )
     counts = company_sources(records).groupBy("company_name").agg(F.count(F.lit(1)).alias("corroboration_count"))
     per_company = sources.join(counts, "company_name")
     tiers = deltas.filter(F.col("delta_type") == "NEW_TIER").withColumnRenamed("competitor_name", "company_name")
     return tiers.join(per_company, "company_name", "left").select(
+        "company_name",
         F.lit("PRODUCT_ROADMAP").alias("category"),
         F.concat(F.lit(NEW_TIER_TITLE), F.col("company_name")).alias("title"),
         F.concat(F.col("company_name"), F.lit(NEW_TIER_RATIONALE), F.col("new_value"), F.lit(".")).alias("rationale"),
+        F.lit(NEW_TIER_STEP).alias("actionable_next_step"),
         "corroborating_sources",
         F.coalesce("corroboration_count", F.lit(0)).cast("bigint").alias("corroboration_count"),
     )
 
 
-def _trend(companies: DataFrame, category: str, title: str) -> DataFrame:
-    """A macro trend, one row per corroborating company, when enough distinct companies agree."""
+def rule_based(records: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Recommendations from the changes alone, with the sources shown: the macro price drop and every new tier."""
+    columns = ["category", "title", "rationale", "actionable_next_step", "corroborating_sources", "corroboration_count"]
+    return macro_price_drop(records, deltas).select(*columns).unionByName(new_tier_recommendations(records, deltas).select(*columns))
+
+
+def _trend(companies: DataFrame, category: str, title: str, rationale: tuple[str, str], step: str, named: int | None = None) -> DataFrame:
+    """A macro trend, one row per corroborating company, when enough distinct companies agree.
+
+    The rationale names the first ``named`` companies, or ``NAMES_LISTED`` and how many more there are.
+    """
     n = companies.agg(F.count(F.lit(1))).scalar()
+    names = _names(companies, NAMES_LISTED) if named is None else _names(companies, named, count_others=False)
     return (
         companies.withColumn("corroboration_count", n)
         .filter(F.col("corroboration_count") >= MIN_SOURCES)
@@ -137,6 +205,8 @@ def _trend(companies: DataFrame, category: str, title: str) -> DataFrame:
             F.lit("macro").alias("scope"),
             F.lit(category).alias("category"),
             F.replace(F.lit(title), F.lit("{n}"), F.col("corroboration_count").cast("string")).alias("title"),
+            _around(rationale, names).alias("rationale"),
+            F.lit(step).alias("actionable_next_step"),
             F.col("company_name").alias("source"),
             "corroboration_count",
         )
@@ -150,7 +220,7 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
         .select(F.col("competitor_name").alias("company_name"))
         .distinct()
     )
-    macro = _trend(companies, "PRICING_COMPRESSION", DROP_TREND_TITLE)
+    macro = _trend(companies, "PRICING_COMPRESSION", DROP_TREND_TITLE, DROP_TREND_RATIONALE, DROP_TREND_STEP)
     lone = companies.agg(F.count(F.lit(1)).alias("corroboration_count"), F.min("company_name").alias("source")).filter(
         F.col("corroboration_count") == 1
     )
@@ -159,6 +229,8 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
             F.lit("isolated").alias("scope"),
             F.lit("PRICING").alias("category"),
             F.lit(ISOLATED_TITLE).alias("title"),
+            F.concat("source", F.lit(ISOLATED_DETAILS)).alias("rationale"),
+            F.lit(None).cast("string").alias("actionable_next_step"),
             "source",
             "corroboration_count",
         )
@@ -167,7 +239,7 @@ def price_drop_signal(deltas: DataFrame) -> DataFrame:
 
 def enterprise_signal(records: DataFrame) -> DataFrame:
     companies = records.filter("enterprise_terms_mentioned").select("company_name").distinct()
-    return _trend(companies, "ENTERPRISE_GATING", ENTERPRISE_TREND_TITLE)
+    return _trend(companies, "ENTERPRISE_GATING", ENTERPRISE_TREND_TITLE, ENTERPRISE_RATIONALE, ENTERPRISE_STEP, ENTERPRISE_NAMES)
 
 
 def feature_signal(records: DataFrame, word: str = "cache") -> DataFrame:
@@ -179,13 +251,15 @@ def feature_signal(records: DataFrame, word: str = "cache") -> DataFrame:
         .select("company_name")
         .distinct()
     )
-    return _trend(companies, "FEATURE_PARITY", FEATURE_TREND_TITLE)
+    return _trend(companies, "FEATURE_PARITY", FEATURE_TREND_TITLE, FEATURE_RATIONALE, FEATURE_STEP)
 
 
 def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
     """The trends, with POSITIONING rows for the first two companies when none is a macro trend; isolated moves stay beside either."""
     n = records.agg(F.count(F.lit(1))).scalar()
-    first = records.select("company_name").distinct().orderBy("company_name").limit(MIN_SOURCES)
+    companies = records.select("company_name").distinct()
+    first = companies.orderBy("company_name").limit(MIN_SOURCES)
+    names = _names(companies, EQUILIBRIUM_NAMES, count_others=False)
     spare = (
         first.withColumn("n", n)
         .filter(F.col("n") >= MIN_SOURCES)
@@ -196,6 +270,8 @@ def with_equilibrium(trends: DataFrame, records: DataFrame) -> DataFrame:
                 F.lit(EQUILIBRIUM_TITLE_HEAD), F.col("n").cast("string"),
                 F.lit(EQUILIBRIUM_TITLE_TAIL),
             ).alias("title"),
+            _around(EQUILIBRIUM_RATIONALE, names).alias("rationale"),
+            F.lit(EQUILIBRIUM_STEP).alias("actionable_next_step"),
             F.col("company_name").alias("source"),
             F.lit(MIN_SOURCES).cast("bigint").alias("corroboration_count"),
         )
@@ -247,21 +323,40 @@ def cited_in_known(cited: DataFrame, known: DataFrame, gram: int = 8) -> DataFra
 def enforce_corroboration(claims: DataFrame, known: DataFrame, minimum: int = MIN_SOURCES) -> DataFrame:
     """Keep claims by their distinct known sources: enough keep, one is marked, none drop.
 
-    ``claims``: rec_id, title, source (one row per cited source).
+    ``claims``: rec_id, title, source (one row per cited source). Comes out with one row per source that held,
+    each with the claim's ``corroboration_count``.
     """
     valid = cited_in_known(claims, known)
     kept = skew.join(claims, valid, ["source"], "left_semi").select("rec_id", "title", "source").distinct()
-    counted = kept.groupBy("rec_id", "title").agg(
-        F.count(F.lit(1)).alias("corroboration_count"), F.min("source").alias("first_source")
-    )
+    counted = kept.groupBy("rec_id", "title").agg(F.count(F.lit(1)).alias("corroboration_count"))
     n = F.col("corroboration_count")
-    return counted.filter((n >= minimum) | (n == 1)).withColumn(
-        "title", F.when(n >= minimum, F.col("title")).otherwise(F.concat(F.lit(SINGLE_SOURCE), F.col("title")))
+    shown = F.when(n >= minimum, F.col("title")).otherwise(F.concat(F.lit(SINGLE_SOURCE), F.col("title")))
+    held = counted.filter((n >= minimum) | (n == 1))
+    return skew.join(kept, held, ["rec_id", "title"], "inner").select(
+        "rec_id", shown.alias("title"), "source", "corroboration_count"
+    )
+
+
+def synthesis_prompts(records: DataFrame, deltas: DataFrame, date: str, template: str, changes: int = 100) -> DataFrame:
+    """Prompts (company_name, part, prompt) of a company's record and its changes, ``changes`` of them in a part.
+
+    A company's tiers are one record, its changes may be any number, so they are numbered and cut. A company without
+    changes has one part with none.
+    """
+    body = ["metric_name", "delta_type", "old_value", "new_value"]
+    rows = deltas.select(F.col("competitor_name").alias("company_name"), *body)
+    numbered = skew.numbered(rows, ["company_name"], body, "__n")
+    part = F.floor((F.col("__n") - 1) / changes).cast("bigint").alias("part")
+    parts = numbered.groupBy("company_name", part).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("__n", *body))), lambda c: F.struct(*[c[b] for b in body]))).alias("deltas")
     )
+    told = records.select("company_name", F.to_json(F.struct("company_name", "product_name", "pricing_tiers")).alias("records"))
+    prompt = T.render(template, current_date=F.lit(date), deltas=F.coalesce("deltas", F.lit("[]")), records=F.col("records"))
+    return skew.join(told, parts, ["company_name"]).select("company_name", F.coalesce("part", F.lit(0)).alias("part"), prompt.alias("prompt"))
 
 
 def battlecards(records: DataFrame) -> DataFrame:
-    """Strengths, entry price and posture per record; argmin over the tiers inside the row."""
+    """Strengths, vulnerabilities, entry price and posture, counter strategy per record; argmin over the tiers inside the row."""
     priced = F.filter("pricing_tiers", lambda t: t["input_price_per_m_tokens"].isNotNull())
     cheapest = F.array_min(
         F.transform(priced, lambda t: F.struct(t["input_price_per_m_tokens"].alias("price"), t["model_or_tier_name"].alias("tier")))
@@ -279,10 +374,12 @@ def battlecards(records: DataFrame) -> DataFrame:
             F.when(F.col("enterprise_terms_mentioned"), GATED_WEAKNESS)
             .otherwise(OPEN_WEAKNESS)
             .alias("vulnerability"),
+            F.lit(SECOND_WEAKNESS).alias("second_vulnerability"),
             F.concat(
                 F.lit(POSTURE), T.money(F.col("cheapest.price"), "/1M", absent="Custom")
             ).alias("pricing_posture"),
             F.col("cheapest.tier").alias("cheapest_tier"),
+            _around(COUNTER, F.col("company_name")).alias("counter_strategy"),
         )
     )
 
@@ -347,6 +444,23 @@ def advantage_lines(offers: DataFrame, k: int = ADVANTAGES) -> DataFrame:
     return lines.select("company_name", F.col("rank").cast("bigint").alias("line_no"), "line")
 
 
+def cards(offers: DataFrame, k: int = ADVANTAGES) -> DataFrame:
+    """Battlecards keyed by competitor: (competitor, part, line_no, line), when there are two companies or more.
+
+    Parts are ``our_advantages``, up to ``k`` lines, and ``recommended_talk_track``.
+    """
+    companies = offers.select("company_name").distinct()
+    track = companies.select(
+        F.col("company_name").alias("competitor"), F.lit("recommended_talk_track").alias("part"),
+        F.lit(1).cast("bigint").alias("line_no"), _around(TALK_TRACK, F.col("company_name")).alias("line"),
+    )
+    won = advantage_lines(offers, k).select(
+        F.col("company_name").alias("competitor"), F.lit("our_advantages").alias("part"), "line_no", "line"
+    )
+    enough = companies.limit(2).agg(F.count(F.lit(1))).scalar() >= 2
+    return won.unionByName(track).withColumn("__enough", enough).filter("__enough").drop("__enough")
+
+
 def match_profiles(records: DataFrame, profiles: list[str], name: str, position: str) -> DataFrame:
     """For each profile word the first record whose name contains it, ignoring case; null if none.
 

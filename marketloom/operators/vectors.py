@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import vectors as V
 from marketloom.operators import skew
+from marketloom.session import materialize
 
 # ---- fixed values ----
 DUPLICATE_SIMILARITY = 0.995
 MOST_BANDS = 512
+CROWDED = 2000
 EMBEDDING_DIM = 384
 # ---- end of fixed values ----
 
@@ -47,11 +49,13 @@ def hashed_texts() -> Callable[[pd.Series], list]:
     return lambda texts: [text_vector(t) for t in texts]
 
 
-def _band_keys(dim: int, bands: int, bits: int, seed: int) -> Callable[[pd.Series], pd.Series]:
+def _signs(dim: int, groups: int, bits: int, seed: Sequence[int]) -> Callable[[pd.Series], pd.Series]:
+    """``groups`` numbers per vector, each of the signs of ``bits`` random directions."""
+
     def keys(vectors: pd.Series) -> pd.Series:
-        planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
+        planes = np.random.default_rng(list(seed)).standard_normal((dim, groups * bits))
         rows = np.stack(vectors.to_numpy()).astype(np.float64)
-        signs = (rows @ planes > 0).reshape(len(rows), bands, bits)
+        signs = (rows @ planes > 0).reshape(len(rows), groups, bits)
         packed = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
         return pd.Series(list(packed))
 
@@ -59,15 +63,15 @@ def _band_keys(dim: int, bands: int, bits: int, seed: int) -> Callable[[pd.Serie
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Ids of ``vec_id`` whose cosine with ``other`` reaches the threshold."""
-    mine = vectors.select("vec_id", F.col("embedding").alias("a"))
-    theirs = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
-    near = V.cosine(F.col("a"), F.col("b")) >= threshold
+    """Ids of ``vec_id`` whose cosine with ``other``, of the same company, reaches the threshold."""
+    mine = vectors.select("vec_id", F.col("embedding").alias("a"), F.col("company").alias("of_a"))
+    theirs = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b"), F.col("company").alias("of_b"))
+    near = F.col("of_a").eqNullSafe(F.col("of_b")) & (V.cosine(F.col("a"), F.col("b")) >= threshold)
     return pairs.join(mine, "vec_id").join(theirs, "other").filter(near).select("vec_id").distinct()
 
 
 def bands_for(threshold: float, bits: int, miss: float, most: int = MOST_BANDS) -> int:
-    """Bands of ``bits`` signs that leave a pair at the threshold without a common bucket with a chance of ``miss`` at most."""
+    """Groups of ``bits`` signs that leave a pair at the threshold without a common bucket with a chance of ``miss`` at most."""
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     bands = math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
     if bands > most:
@@ -75,39 +79,66 @@ def bands_for(threshold: float, bits: int, miss: float, most: int = MOST_BANDS)
     return bands
 
 
+def _settle(members: DataFrame, same: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of buckets of several, with the bucket's size; ids settled by the earliest member; probes still open)."""
+    sizes = members.groupBy("bucket").agg(F.min("vec_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(members.join(sizes, "bucket"), "buckets")
+    first = shared.filter("probe AND vec_id <> hub").select("vec_id", F.col("hub").alias("other")).distinct()
+    settled = materialize(_verified(first, same, threshold), "settled")
+    still = shared.filter("probe AND vec_id <> hub").join(settled, "vec_id", "left_anti")
+    return shared, settled, still
+
+
+def _pairs(still: DataFrame, shared: DataFrame, most: int) -> DataFrame:
+    """Open probes with the earlier members of their buckets. A bucket of more than ``most`` members is dealt to tiles of that size."""
+    tiles = F.ceil(F.col("n") / most).cast("int")
+    probes = still.select("bucket", "vec_id", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
+    others = shared.filter("vec_id <> hub").select("bucket", F.col("vec_id").alias("other"), F.pmod(F.xxhash64("vec_id"), tiles).cast("int").alias("tile"))
+    return probes.join(others, ["bucket", "tile"]).filter("other < vec_id").select("vec_id", "other").distinct()
+
+
 def near_duplicates(
-    vectors: DataFrame, dim: int, threshold: float = DUPLICATE_SIMILARITY, bits: int = 14, miss: float = 1e-9, seed: int = 11
+    vectors: DataFrame, dim: int, threshold: float = DUPLICATE_SIMILARITY, bits: int = 14, miss: float = 1e-9, seed: int = 11,
+    crowded: int = CROWDED, deeper: int = 10, levels: int = 3,
 ) -> DataFrame:
     """Add ``is_duplicate``: an earlier vector of the same company has at least this cosine.
 
-    Input: vec_id, company, embedding. Copies are settled by an aggregate. The
-    rest meet in buckets of random hyperplane signs and are verified exactly.
-    In each bucket everyone is first compared with its earliest member, which
-    settles dense clusters in linear work; only what stays open is compared
-    with the other members. The number of bands follows from the threshold: two
-    vectors at it share no bucket with a chance of ``miss`` at most, closer ones less.
+    Input: vec_id, company, embedding. Copies are settled by an aggregate. The rest meet in buckets of random
+    hyperplane signs, a forest of sign prefixes, and are verified exactly. In each bucket everyone is first compared with its earliest
+    member, which settles dense clusters in linear work. Where more than ``crowded`` members are left with
+    open ones among them, the bucket grows: its members get further signs and part ways, in as many branches as
+    keep a near pair together. Buckets that are still crowded after ``levels`` such steps hold vectors near the threshold
+    of each other, and are compared in tiles of ``crowded``. Numbers of bands and branches
+    follow from the threshold: two vectors at it miss each other with a chance of ``miss`` at most per level, closer ones less.
     """
-    bands = bands_for(threshold, bits, miss)
-    same = vectors.groupBy("company", "embedding").agg(F.min("vec_id").alias("vec_id"))
-    hashed = F.pandas_udf(_band_keys(dim, bands, bits, seed), "array<bigint>")
-    signed = same.select("company", "vec_id", F.posexplode(hashed("embedding")).alias("band", "bucket"))
-    keys = ["company", "band", "bucket"]
-    crowded = (
-        signed.groupBy(*keys).agg(F.min("vec_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
-    members = signed.join(crowded.drop("n"), keys)
-    first = members.filter("vec_id <> hub").select("vec_id", F.col("hub").alias("other")).distinct()
-    settled = _verified(first, same, threshold)
-    open_probes = members.filter("vec_id <> hub").join(settled, "vec_id", "left_anti")
-    others = members.filter("vec_id <> hub").select(*keys, F.col("vec_id").alias("other"))
-    second = (
-        open_probes.join(others, keys).filter("other < vec_id").select("vec_id", "other").distinct()
-    )
-    found = settled.unionByName(_verified(second, same, threshold)).distinct().withColumn("near", F.lit(True))
+    same = materialize(vectors.groupBy("company", "embedding").agg(F.min("vec_id").alias("vec_id")), "distinct-vectors")
+    hashed = F.pandas_udf(_signs(dim, bands_for(threshold, bits, miss), bits, [seed]), "array<bigint>")
+    signed = same.select("company", "vec_id", F.posexplode(hashed("embedding")).alias("band", "signs"))
+    members = signed.select(F.xxhash64("company", "band", "signs").alias("bucket"), "vec_id", F.lit(True).alias("probe"))
+    found = None
+    for level in range(levels + 1):
+        shared, settled, still = _settle(members, same, threshold)
+        large = F.col("n") > crowded
+        if level == levels or still.filter(large).isEmpty():
+            new = settled.unionByName(_verified(_pairs(still, shared, crowded), same, threshold))
+            found = new if found is None else found.unionByName(new)
+            break
+        new = settled.unionByName(_verified(_pairs(still.filter(~large), shared.filter(~large), crowded), same, threshold))
+        found = new if found is None else found.unionByName(new)
+        # only buckets with open probes grow; all their members stay partners
+        growing = still.filter(large).select("bucket").distinct()
+        opened = still.filter(large).select("bucket", "vec_id", F.lit(True).alias("open"))
+        grown = shared.filter(large).join(growing, "bucket", "left_semi").join(opened, ["bucket", "vec_id"], "left")
+        more = F.pandas_udf(_signs(dim, bands_for(threshold, deeper, miss), deeper, [seed, level + 1]), "array<bigint>")
+        branches = same.join(grown.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", more("embedding").alias("signs"))
+        members = grown.join(branches, "vec_id").select(
+            "bucket", "vec_id", F.coalesce("open", F.lit(False)).alias("probe"), F.posexplode("signs").alias("branch", "signs")
+        ).select(F.xxhash64("bucket", "branch", "signs").alias("bucket"), "vec_id", "probe")
+    near = found.distinct().withColumn("near", F.lit(True))
     originals = same.select("vec_id", F.lit(True).alias("original"))
     return (
         vectors.join(originals, "vec_id", "left")
-        .join(found, "vec_id", "left")
+        .join(near, "vec_id", "left")
         .withColumn("is_duplicate", F.col("original").isNull() | F.coalesce("near", F.lit(False)))
         .drop("original", "near")
     )

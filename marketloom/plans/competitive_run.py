@@ -18,21 +18,19 @@ from marketloom.operators import admission, deltas, extraction, grounding, matri
 from marketloom.sources import sinks
 from marketloom.sources.tables import enabled_sources
 
-# The model's answer. Prices are read as text, for models that write "$2.50 / 1M".
-ANSWER = (
-    "company_name string, product_name string, enterprise_terms_mentioned boolean, rate_limits_summary string, "
-    "extraction_confidence double, citation_text string, pricing_tiers array<struct<model_or_tier_name:string,"
-    "input_price_per_m_tokens:string,output_price_per_m_tokens:string,cache_read_price_per_m_tokens:string,"
-    "context_window_tokens:bigint,fixed_monthly_price:string,base_price_monthly:string,seat_price_monthly:string,"
-    "currency:string,notable_features:array<string>>>"
-)
-ANSWER_TIERS = ANSWER.split("pricing_tiers ")[1]
+ANSWER_TIERS = schemas.ANSWER.split("pricing_tiers ")[1]
 MONEY = (
     "input_price_per_m_tokens", "output_price_per_m_tokens", "cache_read_price_per_m_tokens",
     "fixed_monthly_price", "base_price_monthly", "seat_price_monthly",
 )
 
 
+#: Counts in the row of a run, which a failed run leaves empty.
+COUNTED = ("attempted", "scraped", "extracted", "records", "flagged", "deltas", "recommendations")
+#: Sources linked in a line of advice; all are rows of the insights.
+SOURCES_SHOWN = 20
+
+
 @dataclass(frozen=True)
 class Run:
     """Names and settings of a run; ``previous`` is the folder of the run before it."""
@@ -43,6 +41,7 @@ class Run:
     previous: str | None = None
     user_agent: str = "loombot/1.0"
     threshold: float = grounding.THRESHOLD
+    vertical: str = "B2B AI Developer Platforms"
 
     def table(self, name: str) -> str:
         return f"{self.out}/{name}"
@@ -87,27 +86,34 @@ def changed_documents(spark: SparkSession, docs: DataFrame, run: Run) -> DataFra
     return docs.join(known, ["url", "content_hash"], "left_anti")
 
 
-def _amount(raw: Column) -> Column:
-    number = raw.try_cast("double")
-    return F.when(number.isNotNull(), P.valid_amount(number)).otherwise(P.normalize_price(raw))
-
-
 def typed_records(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """Model answers joined to their page as typed records; prices normalised."""
 
     def typed(t: Column) -> Column:
         out = t
         for field in MONEY:
-            out = out.withField(field, _amount(t[field]))
+            out = out.withField(field, P.amount(t[field]))
         return out
 
-    parsed = answers.withColumn("a", F.from_json("payload", ANSWER)).select("id", "attempt", "error", "a.*")
+    parsed = answers.withColumn("a", F.from_json("payload", schemas.ANSWER)).select("id", "attempt", "error", "a.*")
     tiers = F.coalesce("pricing_tiers", F.from_json(F.lit("[]"), ANSWER_TIERS))
     return parsed.withColumn("pricing_tiers", F.transform(tiers, typed).cast(f"array<{schemas.TIER}>")).join(
         docs.select("id", F.col("url").alias("source_url"), "domain", F.col("content_markdown").alias("source_text")), "id"
     )
 
 
+def answer_error(answer: Column, text: Column) -> Column:
+    """What is wrong with an answer as a record, or null: a rule of the record's shape that it breaks."""
+    stated = answer["extraction_confidence"]
+    unsound = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.length(F.trim(answer["company_name"])), F.lit(0)) == 0, "company_name_missing"),
+            F.when((stated < 0) | (stated > 1), "confidence_out_of_range"),
+        )
+    )
+    return F.when(F.size(unsound) > 0, F.concat(F.lit("not a sound record: "), F.array_join(unsound, ", ")))
+
+
 def judged_records(records: DataFrame, run: Run) -> DataFrame:
     """Decoded, grounded, calibrated, validated; ``reason`` says why a record is set aside."""
     calibrated = grounding.calibrate(grounding.ground(grounding.decode(records)))
@@ -131,12 +137,13 @@ def carried_records(spark: SparkSession, docs: DataFrame, fresh: DataFrame, run:
 
 
 def insights(records: DataFrame, offers: DataFrame, changes: DataFrame) -> DataFrame:
-    """Corroborated trends and isolated moves, one row per source, and new-tier advice."""
+    """Corroborated trends and isolated moves, one row per source, and advice from the changes with the sources shown."""
     trends = strategy.price_drop_signal(changes)
     for more in (strategy.enterprise_signal(records), strategy.feature_signal(records)):
         trends = trends.unionByName(more)
-    advice = strategy.new_tier_recommendations(offers, changes).select(
-        F.lit("advice").alias("scope"), "category", "title", F.col("corroborating_sources").alias("source"), "corroboration_count"
+    advice = strategy.rule_based(offers, changes).select(
+        F.lit("advice").alias("scope"), "category", "title", "rationale", "actionable_next_step",
+        F.explode_outer("corroborating_sources").alias("source"), "corroboration_count",
     )
     return strategy.with_equilibrium(trends, records).unionByName(advice)
 
@@ -158,9 +165,8 @@ def execute(
     try:
         return _execute(spark, run, sources, captures, robots, model)
     except Exception as error:
-        row = spark.range(1).select(
-            F.lit(run.run_id).alias("pipeline_id"), F.lit("FAILED").alias("status"), F.lit(str(error)).alias("error")
-        )
+        none = [F.lit(None).cast("bigint").alias(c) for c in COUNTED]
+        row = spark.range(1).select(F.lit(run.run_id).alias("pipeline_id"), F.lit("FAILED").alias("status"), *none, F.lit(str(error)).alias("error"))
         row.write.mode("overwrite").parquet(run.table("runs"))
         raise
 
@@ -180,7 +186,7 @@ def _execute(
     _stage(sinks.raw_documents(docs, run.run_id), run, "raw_documents")
 
     fresh = changed_documents(spark, docs, run).select("id", "url", F.col("content_markdown").alias("text"))
-    answers = extraction.extract(fresh, model, "id")
+    answers = extraction.extract(fresh, model, "id", check=answer_error)
     judged = _stage(judged_records(typed_records(answers, docs), run), run, "judged_records")
     read = judged.filter(F.col("reason").isNull()).drop("source_text", "error", "reason")
     carried = carried_records(spark, docs, fresh, run, read.columns)
@@ -197,7 +203,7 @@ def _execute(
     found = _stage(insights(deltas.changed_only(records, unchanged), offers, changes), run, "insights")
 
     lines = report_lines(records, offers, changes, found, run)
-    sinks.report_text(lines, run.table("report"))
+    sinks.report(lines, run.table("report"), F.lit(run.generated[:10]).cast("date"))
     return _stage(metrics(run, audits, docs, read, records, flagged, changes, found), run, "runs")
 
 
@@ -205,24 +211,23 @@ def report_lines(records: DataFrame, offers: DataFrame, changes: DataFrame, foun
     # the confidence shown for a company is its best record's
     confidence = records.groupBy("company_name").agg(F.max("extraction_confidence").alias("extraction_confidence"))
     shown = skew.join(offers, confidence, ["company_name"])
-    claim = F.concat(
-        F.lit("### ["), F.col("category"), F.lit("] "), F.col("title"), F.lit(" ("),
-        F.col("corroboration_count").cast("string"), F.lit(" sources): "), F.coalesce("source", F.lit("")),
+    advice = ["category", "title", "rationale", "actionable_next_step", "corroboration_count"]
+    few = skew.top_n(found.filter("source IS NOT NULL"), advice, [F.col("source")], SOURCES_SHOWN)
+    linked = found.select(*advice).distinct().join(
+        few.groupBy(F.struct(*advice).alias("k")).agg(F.array_sort(F.collect_list("source")).alias("corroborating_sources")),
+        F.struct(*advice) == F.col("k"), "left",
     )
     sections = {
         reports.SUMMARY: strategy.executive_lines(records, changes).select(F.concat_ws(" ", F.when(F.col("kind") == "summary", "0").otherwise("1"), "line").alias("sort_key"), "line"),
         reports.MATRIX: reports.matrix_lines(shown).select(F.concat_ws(" ", "company_name", "tier_name").alias("sort_key"), "line"),
         reports.CHANGES: reports.change_lines(changes).select(F.concat_ws(" ", "competitor_name", "metric_name").alias("sort_key"), "line"),
-        reports.ADVICE: found.select(F.concat_ws(" ", "scope", "category", "title", "source").alias("sort_key"), claim.alias("line")),
-        reports.CARDS: strategy.advantage_lines(offers).select(
-            F.concat_ws(" ", "company_name", F.col("line_no").cast("string")).alias("sort_key"),
-            F.concat(F.col("company_name"), F.lit(": ✅ "), F.col("line")).alias("line"),
-        ),
-        reports.CITATIONS: strategy.company_sources(records).select(
-            F.col("source_url").alias("sort_key"), F.concat("company_name", F.lit(" — "), "source_url").alias("line")
+        reports.ADVICE: reports.advice_lines(linked).select(reports.numbered_key(F.col("number"), F.col("line_no")).alias("sort_key"), "line"),
+        reports.CARDS: reports.card_lines(strategy.cards(offers)).select(
+            F.concat_ws(" ", "competitor", reports.numbered_key(F.col("line_no"))).alias("sort_key"), "line"
         ),
+        reports.CITATIONS: reports.citation_lines(records, "id", run.generated).select(reports.numbered_key(F.col("idx")).alias("sort_key"), "line"),
     }
-    return reports.report(run.run_id, "# Competitive Intelligence Report", sections, run.generated)
+    return reports.report(run.run_id, "# Competitive Intelligence Report", sections, run.generated, run.vertical, records)
 
 
 def metrics(
@@ -233,4 +238,4 @@ def metrics(
     row = audits.agg(F.count(F.lit(1)).alias("attempted"))
     for name, stage in counted.items():
         row = row.withColumn(name, stage.agg(F.count(F.lit(1))).scalar())
-    return row.select(F.lit(run.run_id).alias("pipeline_id"), F.lit("COMPLETED").alias("status"), "attempted", *counted)
+    return row.select(F.lit(run.run_id).alias("pipeline_id"), F.lit("COMPLETED").alias("status"), *COUNTED, F.lit(None).cast("string").alias("error"))

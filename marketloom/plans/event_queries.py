@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -346,8 +347,33 @@ def text_equality(spark, folder):
     return deltas.repeated(rows, ["content_hash"], "doc_id").drop("content_hash")
 
 
-@query("m2_embed", "SELECT doc_id, CAST(384 AS BIGINT) AS dims, 1.0::DOUBLE AS length FROM documents")
+VOWELS = "aeiou"
+
+
+def vowel_model():
+    """A stand-in embedding that SQL can check: how often each vowel comes, counted for a whole batch at once."""
+
+    def embed(texts: pd.Series) -> list:
+        counts = np.stack([texts.str.count(v).to_numpy(np.float64) for v in VOWELS], axis=1)
+        return list(counts / np.maximum(1.0, counts.sum(axis=1, keepdims=True)))
+
+    return embed
+
+
+@query(
+    "m2_embed",
+    "SELECT doc_id, "
+    + ", ".join(f"round((length(text) - length(replace(text, '{v}', ''))) / greatest(1, length(regexp_replace(text, '[^{VOWELS}]', '', 'g'))), 6) AS {v}_share" for v in VOWELS)
+    + " FROM documents",
+)
 def embed(spark, folder):
+    rows = vec.embed(table(spark, folder, "documents").select("doc_id", "text"), "text", vowel_model)
+    shares = [F.round(F.col("embedding")[i].cast("double"), 6).alias(f"{v}_share") for i, v in enumerate(VOWELS)]
+    return rows.select("doc_id", *shares)
+
+
+@query("m2_hashed_texts", "SELECT doc_id, CAST(384 AS BIGINT) AS dims, 1.0::DOUBLE AS length FROM documents")
+def hashed_texts(spark, folder):
     rows = vec.embed(table(spark, folder, "documents").select("doc_id", "text"), "text", vec.hashed_texts)
     return rows.select("doc_id", F.size("embedding").cast("bigint").alias("dims"), F.round(V.norm(F.col("embedding")), 4).alias("length"))
 
@@ -459,6 +485,8 @@ def page_model():
             size = len(prompt)
             if attempt == 0 and "/es/" in prompt:
                 return "I cannot say {"
+            if attempt == 0 and "/fr/" in prompt:
+                return '{"company": ""}'  # an object, but not a sound one
             if "/de/" in prompt:
                 return "no data"
             if attempt:
@@ -473,13 +501,15 @@ def page_model():
 
 @query(
     "e12_extract_with_repair",
-    """SELECT page_id, CAST(contains(url, '/es/') OR contains(url, '/de/') AS BIGINT) AS attempt,
-              CASE WHEN contains(url, '/es/') OR contains(url, '/de/') THEN 'mended' ELSE 'found' END AS company,
-              CASE WHEN contains(url, '/es/') OR contains(url, '/de/') THEN 'words' END AS root_cause FROM pages""",
+    """SELECT page_id, CAST(again AS BIGINT) AS attempt, CASE WHEN again THEN 'mended' ELSE 'found' END AS company,
+              CASE WHEN again THEN 'words' END AS root_cause FROM (SELECT page_id, regexp_matches(url, '/(es|de|fr)/') AS again FROM pages)""",
 )
 def extract_with_repair(spark, folder):
     pages = B.cleaned_pages(spark, folder).select("page_id", "url", "text")
-    return extraction.extract(pages, page_model, "page_id").select(
+    def named(answer, text):
+        return F.when(F.coalesce(F.length(answer["company"]), F.lit(0)) == 0, "company_name_missing")
+
+    return extraction.extract(pages, page_model, "page_id", answer="company string, attempt int, some boolean", check=named).select(
         "page_id", "attempt", F.get_json_object("payload", "$.company").alias("company"), "root_cause"
     )
 
@@ -501,15 +531,54 @@ def model_function(spark, folder):
 # -------------------------------------------------------------------- sinks
 @query(
     "b1_append_tables",
-    f"WITH {B.CLEANED_SQL} SELECT url, sha256(text) AS content_hash, CAST(length(text) AS BIGINT) AS content_length FROM scrubbed",
+    f"""WITH {B.CLEANED_SQL}, {B.OFFERS_SQL} SELECT 'raw_documents' AS name, url AS key, sha256(text) || ' ' || length(text) || ' true' AS facts FROM scrubbed
+        UNION ALL SELECT 'compliance_audits', url, 'CHECKED' FROM pages
+        UNION ALL SELECT 'extracted_records', company_name || ' ' || run, count(*) || ' 0.9' FROM offers GROUP BY company_name, run
+        UNION ALL SELECT 'insights', 'New ' || n_name, '2 ["a","b"]' FROM nation UNION ALL SELECT 'reports', r_name, 'rpt ["x"]' FROM region
+        UNION ALL SELECT 'runs', 'run-1', 'COMPLETED ' || (SELECT count(*) FROM pages)
+        UNION ALL SELECT 'runs', 'run-2', 'FAILED'""",
 )
 def append_tables(spark, folder):
-    docs = B.cleaned_pages(spark, folder).select(
-        "url", F.col("host").alias("domain"), F.col("text").alias("content_markdown"), T.content_hash(F.col("text")).alias("content_hash")
+    cleaned = B.cleaned_pages(spark, folder)
+    docs = cleaned.select(
+        "url", F.col("host").alias("domain"), F.col("text").alias("content_markdown"),
+        T.content_hash(F.col("text")).alias("content_hash"), F.length("text").alias("content_length"), F.lit(True).alias("pii_redacted"),
     )
-    path = scratch_path(spark, "raw-documents")
-    sinks.append(sinks.raw_documents(docs, "run-1"), path, by="pipeline_id")
-    return spark.read.parquet(path).select("url", "content_hash", "content_length")
+    path = scratch_path(spark, "tables")
+    records = B.records(B.offers(spark, folder))
+    nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    two = F.array(F.lit("a"), F.lit("b"))
+    counted = cleaned.agg(F.count(F.lit(1)).cast("int").alias("sources_count"), F.lit("COMPLETED").alias("status"))
+    for run, name, rows in (
+        ("run-1", "raw_documents", docs),
+        ("run-1", "compliance_audits", cleaned.select(F.col("url").alias("source_url"), F.lit("CHECKED").alias("compliance_status"))),
+        ("run-1", "extracted_records", records.filter("run = 'R1'")),
+        ("run-2", "extracted_records", records.filter("run = 'R2'")),
+        ("run-1", "insights", nations.select(F.concat(F.lit("New "), "n_name").alias("title"), two.alias("corroborating_sources"), F.lit(2).alias("corroboration_count"))),
+        ("run-1", "reports", regions.select(F.lit("rpt").alias("report_id"), F.col("r_name").alias("title"), F.array(F.lit("x")).alias("citations"))),
+        ("run-1", "runs", counted),
+        ("run-2", "runs", spark.range(1).select(F.lit("FAILED").alias("status"))),
+    ):
+        sinks.append_to(rows, path, name, run)
+
+    def read(name, key, *facts):
+        rows = sinks.read_table(spark, path, name)
+        return rows.select(F.lit(name).alias("name"), key.alias("key"), F.concat_ws(" ", *facts).alias("facts"))
+
+    c = F.col
+    run_of = F.when(c("pipeline_id") == "run-1", "R1").otherwise("R2")
+    parts = [
+        read("raw_documents", c("url"), c("content_hash"), c("content_length").cast("string"), c("pii_redacted").cast("string")),
+        read("compliance_audits", c("source_url"), c("compliance_status")),
+        read("extracted_records", F.concat_ws(" ", "company_name", run_of), F.size("pricing_tiers").cast("string"), c("extraction_confidence").cast("string")),
+        read("insights", c("title"), c("corroboration_count").cast("string"), F.to_json("corroborating_sources")),
+        read("reports", c("title"), c("report_id"), F.to_json("citations")),
+        read("runs", c("pipeline_id"), c("status"), c("sources_count").cast("string")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 @query(

@@ -63,16 +63,24 @@ def normalize_price(spark, folder):
 @query(
     "e2_sanitize_tiers",
     f"""{OFFERS} SELECT company_name, CASE WHEN tier_name LIKE 'Brand#1 %' THEN 'Standard Tier' ELSE tier_name END AS tier_name,
-        CASE WHEN input_price - 2000 >= 0 THEN input_price - 2000 END AS input_price, output_price, context_tokens
+        CASE WHEN tier_name LIKE 'Brand#2 %' THEN round(CAST(CAST(input_price AS DECIMAL(18,2)) AS DOUBLE), 4)
+             WHEN tier_name LIKE 'Brand#3 %' THEN round(CAST(CAST(input_price AS DECIMAL(18,2)) AS DOUBLE) * 1000, 4)
+             WHEN tier_name LIKE 'Brand#4 %' THEN 0 WHEN tier_name LIKE 'Brand#5 %' THEN NULL
+             WHEN input_price - 2000 >= 0 THEN input_price - 2000 END AS input_price, output_price, context_tokens
         FROM offers WHERE run = 'R2'""",
 )
 def sanitize_tiers(spark, folder):
     def spoil(t):
         name = t["model_or_tier_name"]
         blank = F.when(F.startswith(name, F.lit("Brand#1 ")), "").otherwise(F.concat(F.lit(" "), name, F.lit("\t")))
-        return t.withField("model_or_tier_name", blank).withField(
-            "input_price_per_m_tokens", t["input_price_per_m_tokens"] - 2000
-        )
+        price = t["input_price_per_m_tokens"]
+        cents = price.cast("decimal(18,2)").cast("string")
+        # as models write prices
+        said = {2: F.concat(F.lit("$"), cents, F.lit(" / 1M")), 3: F.concat(cents, F.lit(" / 1K tokens")), 4: F.lit(" Free "), 5: F.lit("Contact sales")}
+        text = (price - 2000).cast("string")
+        for brand, words in said.items():
+            text = F.when(F.startswith(name, F.lit(f"Brand#{brand} ")), words).otherwise(text)
+        return t.withField("model_or_tier_name", blank).withField("input_price_per_m_tokens", text)
 
     spoiled = _records(spark, folder).withColumn("pricing_tiers", F.transform("pricing_tiers", spoil))
     clean = spoiled.withColumn("pricing_tiers", grounding.sanitize_tiers(F.col("pricing_tiers")))
@@ -194,6 +202,16 @@ def cross_field_sanity(spark, folder):
     return _sourced(spark, folder).select("company_name", "run", F.round(grounding.sanity(), 9).alias("cross_field_sanity"))
 
 
+def _claimed(records):
+    """Records with sources, of which some have none, and confidences, of which some are out of range."""
+    wide = F.filter("pricing_tiers", lambda t: t["context_window_tokens"] >= 100000)
+    return (
+        records.withColumn("extraction_confidence", F.when(F.endswith("company_name", F.lit("4")), 1.5).otherwise(0.9))
+        .withColumn("corroborating_sources", F.transform(wide, lambda t: t["model_or_tier_name"]))
+        .withColumn("corroboration_count", F.size("corroborating_sources"))
+    )
+
+
 @query(
     "e9_schema_violations",
     f"""{OFFERS} SELECT company_name, concat_ws(',', CASE WHEN company_name LIKE '%4' THEN 'confidence_out_of_range' END,
@@ -202,14 +220,7 @@ def cross_field_sanity(spark, folder):
         FROM offers WHERE run = 'R2' GROUP BY company_name""",
 )
 def schema_violations(spark, folder):
-    wide = F.filter("pricing_tiers", lambda t: t["context_window_tokens"] >= 100000)
-    rows = (
-        _records(spark, folder)
-        .withColumn("extraction_confidence", F.when(F.endswith("company_name", F.lit("4")), 1.5).otherwise(0.9))
-        .withColumn("corroborating_sources", F.transform(wide, lambda t: t["model_or_tier_name"]))
-        .withColumn("corroboration_count", F.size("corroborating_sources"))
-    )
-    return grounding.violations(rows).select("company_name", F.array_join("violations", ",").alias("violations"))
+    return grounding.violations(_claimed(_records(spark, folder))).select("company_name", F.array_join("violations", ",").alias("violations"))
 
 
 @query(
@@ -262,7 +273,8 @@ def repair_history(spark, folder):
 
 @query(
     "e14_model_price_list",
-    """SELECT company_name, tier_name, input_price, output_price, tier_no FROM (
+    """SELECT *, 'https://openrouter.ai/' || lower(company_name) AS source_url, company_name || ' LLM Endpoints' AS product_name,
+         'OpenRouter normalized proxy routing' AS rate_limits_summary, company_name || ' pricing verified via OpenRouter catalog.' AS citation_text FROM (
          SELECT upper(substring(p_brand, 1, 1)) || lower(substring(p_brand, 2)) AS company_name, p_name AS tier_name,
            CASE WHEN p_retailprice > 0 THEN round(p_retailprice / 1e6::DOUBLE * 1000000, 3) END AS input_price,
            CASE WHEN p_size > 25 THEN round(p_size / 1e6::DOUBLE * 1000000, 3) END AS output_price,
@@ -275,7 +287,8 @@ def model_price_list(spark, folder):
         F.when(F.col("p_size") > 25, F.col("p_size") / 1e6).otherwise(0.0).alias("completion"), "p_partkey",
     )
     return extraction.model_price_list(models, "p_partkey").select(
-        "company_name", "tier_name", "input_price", "output_price", F.col("tier_no").cast("bigint").alias("tier_no")
+        "company_name", "tier_name", "input_price", "output_price", F.col("tier_no").cast("bigint").alias("tier_no"),
+        "source_url", "product_name", "rate_limits_summary", "citation_text",
     )
 
 
@@ -492,17 +505,27 @@ def display_formats(spark, folder):
 SYNTHESIS = "Records: {records} Changes: {deltas} Date: {current_date} Answer as {\"summary\": \"...\"}"
 
 
-@query("d10_synthesis_prompt")
+CHANGES_IN_A_PROMPT = 100
+
+
+# one prompt per company and hundred changes; texts in the tables hold nothing that JSON escapes
+@query(
+    "d10_synthesis_prompt",
+    f"""{DELTAS}, n AS (SELECT *, (row_number() OVER (PARTITION BY competitor_name ORDER BY metric_name, delta_type) - 1) // 100 AS part FROM deltas),
+        d AS (SELECT competitor_name AS company_name, part, string_agg('{{"metric_name":"' || metric_name || '","delta_type":"' || delta_type || coalesce('","old_value":"' || old_value, '')
+                || '","new_value":"' || new_value || '"}}', ',' ORDER BY metric_name, delta_type) AS text FROM n GROUP BY 1, 2),
+        r AS (SELECT company_name, count(*) AS tiers FROM offers WHERE run = 'R2' GROUP BY 1)
+        SELECT company_name, CAST(coalesce(part, 0) AS BIGINT) AS part, tiers, md5('[' || coalesce(text, '') || ']') AS changes_md5, true AS dated
+        FROM r LEFT JOIN d USING (company_name)""",
+)
 def synthesis_prompt(spark, folder):
-    # one prompt per company: a run has no bound, a company's tiers do
-    rows = _records(spark, folder).withColumn("records_json", F.to_json(F.struct("company_name", "product_name", "pricing_tiers")))
-    changes = _deltas(spark, folder).groupBy(F.col("competitor_name").alias("company_name")).agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct("metric_name", "delta_type", "old_value", "new_value")))).alias("deltas_json")
-    )
-    prompt = T.render(
-        SYNTHESIS, records=F.col("records_json"), deltas=F.coalesce("deltas_json", F.lit("[]")), current_date=F.lit("2024-01-31")
+    prompts = strategy.synthesis_prompts(_records(spark, folder), _deltas(spark, folder), "2024-01-31", SYNTHESIS, CHANGES_IN_A_PROMPT)
+    said = F.regexp_extract("prompt", r"^Records: (.*) Changes: (\[.*\]) Date: ", 2)
+    tiers = F.get_json_object(F.regexp_extract("prompt", r"^Records: (.*) Changes: \[", 1), "$.pricing_tiers")
+    return prompts.select(
+        "company_name", "part", F.json_array_length(tiers).cast("bigint").alias("tiers"), F.md5(said).alias("changes_md5"),
+        F.contains("prompt", F.lit(" Date: 2024-01-31 ")).alias("dated"),
     )
-    return rows.join(changes, "company_name", "left").select("company_name", prompt.alias("prompt"))
 
 
 # ----------------------------------------------------------------- strategy
@@ -546,32 +569,73 @@ def executive_summary(spark, folder):
     return strategy.executive_lines(companies, _deltas(spark, folder))
 
 
+def _names_sql(source: str, shown: int = strategy.NAMES_LISTED, count_others: bool = True) -> str:
+    """Names of ``company`` in a query of distinct ones, as one text."""
+    more = f"CASE WHEN count(*) > {shown} THEN ' and ' || (count(*) - {shown}) || ' more' ELSE '' END" if count_others else "''"
+    return f"(SELECT array_to_string(list_sort(list(company))[1:{shown}], ', ') || {more} FROM ({source}))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+DROPPED = "SELECT DISTINCT competitor_name AS company FROM deltas WHERE delta_type = 'PRICE_DECREASE'"
+MACRO_SQL = f"""
+drops AS (SELECT * FROM deltas WHERE delta_type = 'PRICE_DECREASE'),
+drop_sources AS (SELECT DISTINCT source_url FROM offers WHERE run = 'R2' AND company_name IN (SELECT competitor_name FROM drops)),
+macro AS (SELECT 'PRICING' AS category, 'Multiple Competitors Reducing Prices' AS title,
+  count(*) || ' price reductions detected across ' || {_names_sql(DROPPED)} || '. This signals an industry-wide margin compression trend.' AS rationale,
+  {_quoted(strategy.MACRO_DROP_STEP)} AS actionable_next_step, count(*) AS drops, count(DISTINCT competitor_name) AS companies,
+  (SELECT list(source_url ORDER BY source_url) FROM (SELECT source_url FROM drop_sources ORDER BY 1 LIMIT 3)) AS sources,
+  (SELECT count(*) FROM drop_sources) AS corroboration_count FROM drops HAVING count(*) >= 2),
+urls AS (SELECT DISTINCT company_name, source_url FROM offers WHERE run = 'R2'),
+tiers AS (SELECT 'PRODUCT_ROADMAP' AS category, 'New Tier Launched by ' || competitor_name AS title,
+  competitor_name || ' introduced a new tier: ' || new_value || '.' AS rationale, {_quoted(strategy.NEW_TIER_STEP)} AS actionable_next_step,
+  (SELECT list(source_url ORDER BY source_url)[1:2] FROM urls WHERE company_name = competitor_name) AS sources,
+  (SELECT count(*) FROM urls WHERE company_name = competitor_name) AS corroboration_count FROM deltas WHERE delta_type = 'NEW_TIER')
+"""
+
+
+def _listed(rows):
+    return rows.withColumn("corroborating_sources", F.array_join("corroborating_sources", ","))
+
+
 @query(
     "g4_macro_price_drop",
-    f"""{DELTAS}, d AS (SELECT * FROM deltas WHERE delta_type = 'PRICE_DECREASE'),
-        s AS (SELECT DISTINCT source_url FROM offers WHERE run = 'R2' AND company_name IN (SELECT competitor_name FROM d))
-        SELECT 'PRICING' AS category, 'Multiple Competitors Reducing Prices' AS title, count(*) AS drops, count(DISTINCT competitor_name) AS companies,
-          (SELECT string_agg(source_url, ',' ORDER BY source_url) FROM (SELECT source_url FROM s ORDER BY 1 LIMIT 3)) AS corroborating_sources,
-          (SELECT count(*) FROM s) AS corroboration_count FROM d HAVING count(*) >= 2""",
+    f"""{DELTAS}, {MACRO_SQL} SELECT category, title, rationale, actionable_next_step, drops, companies,
+        array_to_string(sources, ',') AS corroborating_sources, corroboration_count FROM macro""",
 )
 def macro_price_drop(spark, folder):
-    return strategy.macro_price_drop(_run(spark, folder, "R2"), _deltas(spark, folder))
+    return _listed(strategy.macro_price_drop(_run(spark, folder, "R2"), _deltas(spark, folder)))
+
+
+@query("g4_macro_price_drop_sources", f"{DELTAS}, {MACRO_SQL} SELECT 'Multiple Competitors Reducing Prices' AS title, source_url FROM drop_sources")
+def macro_price_drop_sources(spark, folder):
+    return strategy.macro_price_drop_sources(_run(spark, folder, "R2"), _deltas(spark, folder))
 
 
 @query(
     "g5_new_tier_recommendations",
-    f"""{DELTAS} SELECT 'PRODUCT_ROADMAP' AS category, 'New Tier Launched by ' || competitor_name AS title,
-        competitor_name || ' introduced a new tier: ' || new_value || '.' AS rationale, s AS corroborating_sources, CAST(1 AS BIGINT) AS corroboration_count
-        FROM deltas JOIN (SELECT DISTINCT company_name, source_url AS s FROM offers WHERE run = 'R2') ON company_name = competitor_name
-        WHERE delta_type = 'NEW_TIER'""",
+    f"""{DELTAS}, {MACRO_SQL} SELECT category, title, rationale, actionable_next_step, array_to_string(sources, ',') AS corroborating_sources, corroboration_count FROM tiers""",
 )
 def new_tier_recommendations(spark, folder):
-    return strategy.new_tier_recommendations(_run(spark, folder, "R2"), _deltas(spark, folder))
+    return _listed(strategy.new_tier_recommendations(_run(spark, folder, "R2"), _deltas(spark, folder))).drop("company_name")
 
 
-def _trend_sql(source: str, category: str, head: str, tail: str) -> str:
+@query(
+    "g5_new_tier_sources",
+    f"""{DELTAS}, {MACRO_SQL} SELECT 'New Tier Launched by ' || competitor_name AS title, competitor_name || ' introduced a new tier: ' || new_value || '.' AS rationale, source_url
+        FROM deltas JOIN urls ON company_name = competitor_name WHERE delta_type = 'NEW_TIER'""",
+)
+def new_tier_sources(spark, folder):
+    return strategy.new_tier_sources(_run(spark, folder, "R2"), _deltas(spark, folder))
+
+
+def _trend_sql(source: str, category: str, head: str, tail: str, rationale: tuple[str, str], step: str, named: int | None = None) -> str:
+    names = _names_sql(source) if named is None else _names_sql(source, named, count_others=False)
     return (
-        f"SELECT 'macro' AS scope, '{category}' AS category, '{head}' || n || '{tail}' AS title, company AS source, n AS corroboration_count "
+        f"SELECT 'macro' AS scope, '{category}' AS category, '{head}' || n || '{tail}' AS title, {_quoted(rationale[0])} || {names} || {_quoted(rationale[1])} AS rationale, "
+        f"{_quoted(step)} AS actionable_next_step, company AS source, n AS corroboration_count "
         f"FROM (SELECT company, count(*) OVER () AS n FROM ({source})) WHERE n >= 2"
     )
 
@@ -580,8 +644,8 @@ def _trend_sql(source: str, category: str, head: str, tail: str) -> str:
     "g6_price_drop_signal",
     f"{DELTAS} "
     + _trend_sql(
-        "SELECT DISTINCT competitor_name AS company FROM deltas WHERE delta_type = 'PRICE_DECREASE'",
-        "PRICING_COMPRESSION", "Market-Wide Token Price Deflation across ", " Competitors",
+        DROPPED, "PRICING_COMPRESSION", "Market-Wide Token Price Deflation across ", " Competitors",
+        strategy.DROP_TREND_RATIONALE, strategy.DROP_TREND_STEP,
     ),
 )
 def price_drop_signal(spark, folder):
@@ -594,6 +658,7 @@ def price_drop_signal(spark, folder):
     + _trend_sql(
         "SELECT DISTINCT company_name AS company FROM offers WHERE run = 'R2' AND enterprise",
         "ENTERPRISE_GATING", "Shift Toward Gated Enterprise Pricing (", " Providers)",
+        strategy.ENTERPRISE_RATIONALE, strategy.ENTERPRISE_STEP, strategy.ENTERPRISE_NAMES,
     ),
 )
 def enterprise_signal(spark, folder):
@@ -606,17 +671,22 @@ def enterprise_signal(spark, folder):
     + _trend_sql(
         "SELECT DISTINCT company_name AS company FROM offers WHERE run = 'R2' AND contains(lower(tier_name), 'brand#3 economy')",
         "FEATURE_PARITY", "Prompt Caching Standardized across ", " Competitors",
+        strategy.FEATURE_RATIONALE, strategy.FEATURE_STEP,
     ),
 )
 def feature_signal(spark, folder):
     return strategy.feature_signal(_records(spark, folder), "brand#3 economy")
 
 
+ALL_COMPANIES = "SELECT DISTINCT company_name AS company FROM offers WHERE run = 'R2'"
+
+
 @query(
     "g9_equilibrium_fallback",
-    f"""{OFFERS} SELECT 'macro' AS scope, 'POSITIONING' AS category, 'Established Pricing Equilibrium among ' || (SELECT count(*) FROM
-        (SELECT DISTINCT company_name FROM offers WHERE run = 'R2')) || ' Tracked Competitors' AS title, company_name AS source,
-        CAST(2 AS BIGINT) AS corroboration_count FROM (SELECT DISTINCT company_name FROM offers WHERE run = 'R2' ORDER BY 1 LIMIT 2)""",
+    f"""{OFFERS} SELECT 'macro' AS scope, 'POSITIONING' AS category, 'Established Pricing Equilibrium among ' || (SELECT count(*) FROM ({ALL_COMPANIES}))
+        || ' Tracked Competitors' AS title, 'Analyzed pricing across ' || {_names_sql(ALL_COMPANIES, 4, False)} || '. No destabilizing price wars detected.' AS rationale,
+        {_quoted(strategy.EQUILIBRIUM_STEP)} AS actionable_next_step, company AS source,
+        CAST(2 AS BIGINT) AS corroboration_count FROM ({ALL_COMPANIES} ORDER BY 1 LIMIT 2)""",
 )
 def equilibrium(spark, folder):
     rows = _records(spark, folder)
@@ -629,30 +699,43 @@ def equilibrium(spark, folder):
           list_sort(list(tier_name)) AS names, bool_or(enterprise) AS e FROM offers WHERE run = 'R2' GROUP BY 1)
         SELECT company_name AS competitor, 'Active presence in Catalog' AS strength_presence, 'Tier options: ' || array_to_string(names[1:3], ', ') AS strength_tiers,
           CASE WHEN e THEN 'Requires high volume for tiered discount scaling' ELSE 'Limited enterprise SLA disclosures' END AS vulnerability,
+          'Complex pricing matrix creates developer calculation friction' AS second_vulnerability,
+          'Position against ' || company_name || ' on transparent pricing, faster time-to-first-token, and simplified billing.' AS counter_strategy,
           'Entry token pricing starts at $' || CAST(CAST(p AS DECIMAL(18,2)) AS VARCHAR) || '/1M' AS pricing_posture, cheapest_tier FROM c""",
 )
 def battlecards(spark, folder):
     return strategy.battlecards(_records(spark, folder))
 
 
-@query(
-    "g12_advantage_lines",
-    f"""{OFFERS}, o AS (SELECT * FROM offers WHERE run = 'R2'),
-        pairs AS (SELECT a.company_name, a.tier_name, b.company_name AS oc, b.tier_name AS ot, (b.input_price - a.input_price) / b.input_price * 100 AS pct
-          FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY input_price, tier_name) AS r FROM o) WHERE r <= 3) a
-          JOIN o b ON a.company_name <> b.company_name AND a.input_price < b.input_price),
-        lines AS (
-          SELECT company_name, 0 AS kind, row_number() OVER (PARTITION BY company_name ORDER BY pct DESC, tier_name, oc, ot) AS pos,
-            tier_name || ' input pricing is ' || CAST(CAST(pct AS DECIMAL(18,0)) AS VARCHAR) || '% cheaper than ' || oc || '''s ' || ot AS line FROM pairs
-          UNION ALL
-          SELECT company_name, 1, row_number() OVER (PARTITION BY company_name ORDER BY context_tokens DESC, tier_name),
-            tier_name || ' supports ' || format('{{:,}}', context_tokens) || ' token context window' FROM o WHERE context_tokens >= 128000)
-        SELECT company_name, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY kind, pos) AS line_no FROM lines) WHERE line_no <= 3""",
-)
+LINES_SQL = f"""
+o AS (SELECT * FROM offers WHERE run = 'R2'),
+pairs AS (SELECT a.company_name, a.tier_name, b.company_name AS oc, b.tier_name AS ot, (b.input_price - a.input_price) / b.input_price * 100 AS pct
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY input_price, tier_name) AS r FROM o) WHERE r <= 3) a
+  JOIN o b ON a.company_name <> b.company_name AND a.input_price < b.input_price),
+lines AS (
+  SELECT company_name, 0 AS kind, row_number() OVER (PARTITION BY company_name ORDER BY pct DESC, tier_name, oc, ot) AS pos,
+    tier_name || ' input pricing is ' || CAST(CAST(pct AS DECIMAL(18,0)) AS VARCHAR) || '% cheaper than ' || oc || '''s ' || ot AS line FROM pairs
+  UNION ALL
+  SELECT company_name, 1, row_number() OVER (PARTITION BY company_name ORDER BY context_tokens DESC, tier_name),
+    tier_name || ' supports ' || format('{{:,}}', context_tokens) || ' token context window' FROM o WHERE context_tokens >= 128000),
+won AS (SELECT company_name, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY company_name ORDER BY kind, pos) AS line_no FROM lines) WHERE line_no <= 3),
+cards AS (
+  SELECT company_name AS competitor, 'our_advantages' AS part, line_no, line FROM won
+  UNION ALL SELECT DISTINCT company_name, 'recommended_talk_track', CAST(1 AS BIGINT),
+    'When competing against ' || company_name || ', emphasize pricing advantages and context window capabilities.' FROM o)
+"""
+
+
+@query("g12_advantage_lines", f"{OFFERS}, {LINES_SQL} SELECT company_name, line_no, line FROM won")
 def advantage_lines(spark, folder):
     return strategy.advantage_lines(_run(spark, folder, "R2"))
 
 
+@query("g12_cards", f"{OFFERS}, {LINES_SQL} SELECT * FROM cards")
+def keyed_cards(spark, folder):
+    return strategy.cards(_run(spark, folder, "R2"))
+
+
 PROFILES = ["promo", "econ", "small", "huge"]
 
 
@@ -707,7 +790,8 @@ per AS (SELECT g.sample_id, gold_tiers, coalesce(pred_tiers, 0) AS pred_tiers, c
   LEFT JOIN (SELECT * FROM ratios WHERE run = 'R2') r ON r.company_name = g.sample_id),
 tot AS (SELECT count(*) AS total_samples, CAST(sum(gold_tiers) AS BIGINT) AS gold_tiers, CAST(sum(pred_tiers) AS BIGINT) AS pred_tiers,
     CAST(sum(matched_tiers) AS BIGINT) AS matched_tiers, CAST(sum(bad) AS BIGINT) AS hallucinated_values, round(avg(ratio), 3) AS avg_dom_grounding_ratio FROM per),
-rated AS (SELECT *, 1.0::DOUBLE AS schema_validity_rate, round(matched_tiers / pred_tiers, 3) AS tier_precision,
+rated AS (SELECT *, (SELECT round(count(*) FILTER (WHERE sound) / count(*), 3) FROM (SELECT count(*) FILTER (WHERE context_tokens >= 100000) >= 1
+      AND company_name NOT LIKE '%4' AS sound FROM offers WHERE run = 'R2' AND company_name IN (SELECT sample_id FROM gold) GROUP BY company_name)) AS schema_validity_rate, round(matched_tiers / pred_tiers, 3) AS tier_precision,
     round(matched_tiers / gold_tiers, 3) AS tier_recall, round(hallucinated_values / pred_tiers, 3) AS hallucination_rate FROM tot),
 metrics AS (SELECT *, round(2 * tier_precision * tier_recall / nullif(tier_precision + tier_recall, 0), 3) AS tier_f1 FROM rated)
 """
@@ -716,8 +800,10 @@ metrics AS (SELECT *, round(2 * tier_precision * tier_recall / nullif(tier_preci
 def _metrics(spark, folder):
     gold, pred = _samples(spark, folder)
     rows = B.with_source_text(_records(spark, folder))
-    grounded = grounding.ground(rows).select(
-        F.col("company_name").alias("sample_id"), "grounding_ratio", F.size("ungrounded_fields").alias("ungrounded_count")
+    judged = grounding.violations(_claimed(grounding.ground(rows)))
+    grounded = judged.select(
+        F.col("company_name").alias("sample_id"), "grounding_ratio", F.size("ungrounded_fields").alias("ungrounded_count"),
+        (F.size("violations") == 0).alias("schema_valid"),
     )
     return evaluation.metrics(evaluation.per_sample(pred, gold, grounded, TOL))
 
@@ -849,22 +935,23 @@ def change_lines(spark, folder):
     return reports.change_lines(_deltas(spark, folder))
 
 
-def _advice(spark, folder):
-    rows = strategy.new_tier_recommendations(_run(spark, folder, "R2"), _deltas(spark, folder))
-    step = F.lit("Evaluate feature parity and positioning against this new offering.")
-    return reports.advice_lines(rows.withColumn("rec_key", F.col("rationale")).withColumn("actionable_next_step", step))
+ADVICE_SQL = """
+advice AS (SELECT *, row_number() OVER (ORDER BY category, title, rationale) AS number FROM (
+  SELECT category, title, rationale, actionable_next_step, sources, corroboration_count FROM macro
+  UNION ALL SELECT category, title, rationale, actionable_next_step, sources, corroboration_count FROM tiers)),
+advice_lines AS (SELECT number, CAST(line_no AS BIGINT) AS line_no, CASE line_no WHEN 1 THEN '### ' || number || '. [' || category || '] ' || title
+    WHEN 3 THEN '**Rationale:** ' || rationale WHEN 5 THEN '**Action:** ' || actionable_next_step
+    WHEN 7 THEN '**Corroboration (' || corroboration_count || ' sources):** ' || array_to_string(list_transform(sources, lambda x: '[Source](' || x || ')'), ', ') ELSE '' END AS line
+  FROM advice, generate_series(1, 8) v(line_no))
+"""
 
 
-@query(
-    "n3_advice_lines",
-    f"""{DELTAS}, r AS (SELECT competitor_name || ' introduced a new tier: ' || new_value || '.' AS rec_key, 'New Tier Launched by ' || competitor_name AS title, s
-          FROM deltas JOIN (SELECT DISTINCT company_name, source_url AS s FROM offers WHERE run = 'R2') ON company_name = competitor_name WHERE delta_type = 'NEW_TIER')
-        SELECT rec_key, CAST(line_no AS BIGINT) AS line_no, CASE line_no WHEN 1 THEN '### [PRODUCT_ROADMAP] ' || title WHEN 2 THEN '**Rationale:** ' || rec_key
-          WHEN 3 THEN '**Action:** Evaluate feature parity and positioning against this new offering.' ELSE '**Corroboration (1 sources):** ' || s END AS line
-        FROM r, (VALUES (1), (2), (3), (4)) v(line_no)""",
-)
+@query("n3_advice_lines", f"{DELTAS}, {MACRO_SQL}, {ADVICE_SQL} SELECT number, line_no, line FROM advice_lines")
 def advice_lines(spark, folder):
-    return _advice(spark, folder).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return reports.advice_lines(strategy.rule_based(_run(spark, folder, "R2"), _deltas(spark, folder)))
+
+
+GENERATED = "2024-01-31 00:00 UTC"
 
 
 def _report(spark, folder):
@@ -877,39 +964,68 @@ def _report(spark, folder):
         ),
         reports.MATRIX: reports.matrix_lines(offers).select(F.concat_ws(" ", "company_name", "tier_name").alias("sort_key"), "line"),
         reports.CHANGES: reports.change_lines(changes).select(F.concat_ws(" ", "competitor_name", "metric_name").alias("sort_key"), "line"),
-        reports.ADVICE: _advice(spark, folder).select(F.concat_ws(" ", "rec_key", F.col("line_no").cast("string")).alias("sort_key"), "line"),
-        reports.CARDS: strategy.advantage_lines(offers).select(
-            F.concat_ws(" ", "company_name", F.col("line_no").cast("string")).alias("sort_key"), F.concat(F.lit("- ✅ "), "line").alias("line")
+        reports.ADVICE: reports.advice_lines(strategy.rule_based(offers, changes)).select(
+            reports.numbered_key(F.col("number"), F.col("line_no")).alias("sort_key"), "line"
         ),
-        reports.CITATIONS: strategy.company_sources(offers).select(
-            F.col("source_url").alias("sort_key"), F.concat("company_name", F.lit(" — "), "source_url").alias("line")
+        reports.CARDS: reports.card_lines(strategy.cards(offers)).select(
+            F.concat_ws(" ", "competitor", reports.numbered_key(F.col("line_no"))).alias("sort_key"), "line"
         ),
+        reports.CITATIONS: reports.citation_lines(
+            offers.select("company_name", "source_url", "extraction_confidence").distinct(), "source_url", GENERATED
+        ).select(reports.numbered_key(F.col("idx")).alias("sort_key"), "line"),
     }
-    return reports.report("run-R2", "# Competitive Intelligence Report", sections, "2024-01-31 00:00 UTC")
+    analyzed = offers.select("company_name").distinct()
+    return reports.report("run-R2", "# Competitive Intelligence Report", sections, GENERATED, "B2B AI Developer Platforms", analyzed)
+
+
+def _section_sql(no: int, body: str, heads: tuple[str, ...] = ()) -> str:
+    fixed = ["---", reports.TITLES[no], "", *heads]
+    rows = ", ".join(f"({i}, {_quoted(line)})" for i, line in enumerate(fixed))
+    return f"""SELECT {no} AS section_no, ' ' || i AS sort_key, line FROM (VALUES {rows}) v(i, line) UNION ALL SELECT {no}, '~', ''
+      UNION ALL SELECT {no}, '.' || sort_key, line FROM ({body})"""
+
+
+REPORT_SQL = f"""
+report AS (
+  SELECT 1 AS section_no, i AS sort_key, line FROM (VALUES ('0', '# Competitive Intelligence Report'), ('1', ''), ('2', '**Pipeline:** `run-R2`  '),
+    ('3', '**Generated:** {GENERATED}  '), ('4', '**Vertical:** B2B AI Developer Platforms  '), ('6', '')) v(i, line)
+  UNION ALL SELECT 1, '5', '**Sources Analyzed:** ' || (SELECT count(DISTINCT company_name) FROM offers WHERE run = 'R2') || '  '
+  UNION ALL SELECT 8, '0', '---' UNION ALL SELECT 8, '1', {_quoted(reports.DISCLAIMER)}
+  UNION ALL {_section_sql(reports.SUMMARY, f"""SELECT CASE WHEN kind = 'summary' THEN '0 ' ELSE '1 ' END || line AS sort_key, line FROM (
+      SELECT 'summary' AS kind, 'Analyzed ' || (SELECT count(DISTINCT company_name) FROM offers WHERE run = 'R2') || ' competitor product(s) across '
+        || (SELECT count(DISTINCT company_name) FROM offers WHERE run = 'R2') || ' companies. Detected ' || count(*) || ' market changes ('
+        || count(*) FILTER (WHERE strategic_severity = 'CRITICAL') || ' critical, ' || count(*) FILTER (WHERE strategic_severity = 'HIGH')
+        || ' high severity). ' AS line FROM deltas UNION ALL SELECT DISTINCT 'company', company_name FROM offers WHERE run = 'R2')""")}
+  UNION ALL {_section_sql(reports.MATRIX, f"SELECT company_name || ' ' || tier_name AS sort_key, {MATRIX_LINE} AS line FROM offers WHERE run = 'R2'", reports.MATRIX_HEAD)}
+  UNION ALL {_section_sql(reports.CHANGES, f"SELECT competitor_name || ' ' || metric_name AS sort_key, {CHANGE_LINE} AS line FROM deltas", reports.CHANGES_HEAD)}
+  UNION ALL {_section_sql(reports.ADVICE, "SELECT printf('%012d %012d', number, line_no) AS sort_key, line FROM advice_lines")}
+  UNION ALL {_section_sql(reports.CARDS, """SELECT competitor || ' ' || printf('%012d', no) AS sort_key, line FROM (
+      SELECT competitor, CASE WHEN part = 'our_advantages' THEN line_no + 3 ELSE 1000 END AS no, CASE WHEN part = 'our_advantages' THEN '- ✅ ' ELSE '**Recommended Talk Track:** ' END || line AS line FROM cards
+      UNION ALL SELECT DISTINCT competitor, 0, '### vs. ' || competitor FROM cards UNION ALL SELECT DISTINCT competitor, 1, '' FROM cards
+      UNION ALL SELECT DISTINCT competitor, 1001, '' FROM cards UNION ALL SELECT DISTINCT competitor, 2, '**Where We Win:**' FROM cards WHERE part = 'our_advantages'
+      UNION ALL SELECT DISTINCT competitor, 999, '' FROM cards WHERE part = 'our_advantages')""")}
+  UNION ALL {_section_sql(reports.CITATIONS, f"""SELECT printf('%012d', idx) AS sort_key, '[^' || idx || ']: ' || company_name || ' — ' || source_url || ' (Accessed {GENERATED}, Confidence: 0.90)' AS line
+      FROM (SELECT *, row_number() OVER (ORDER BY source_url) AS idx FROM (SELECT DISTINCT company_name, source_url FROM offers WHERE run = 'R2'))""")})
+"""
 
 
-@query("n4_report")
+@query("n4_report", f"{DELTAS}, {MACRO_SQL}, {ADVICE_SQL}, {LINES_SQL}, {REPORT_SQL} SELECT 'run-R2' AS pipeline_id, section_no, sort_key, line FROM report")
 def report(spark, folder):
     return _report(spark, folder)
 
 
 @query(
     "b7_report_files",
-    f"""{DELTAS} SELECT 'R2' AS pipeline_id, {MATRIX_LINE} AS value FROM offers WHERE run = 'R2'
-        UNION ALL SELECT 'delta', {CHANGE_LINE} FROM deltas""",
+    f"""{DELTAS}, {MACRO_SQL}, {ADVICE_SQL}, {LINES_SQL}, {REPORT_SQL} SELECT 'report_20240131_run-R2.md' AS file, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY section_no, sort_key, line)) AS text_md5 FROM report""",
 )
 def report_files(spark, folder):
-    lines = reports.matrix_lines(_report_offers(spark, folder)).select(
-        F.lit("R2").alias("pipeline_id"), F.lit(1).alias("section_no"), F.concat_ws(" ", "company_name", "tier_name").alias("sort_key"), "line"
-    ).unionByName(
-        reports.change_lines(_deltas(spark, folder)).select(
-            F.lit("delta").alias("pipeline_id"), F.lit(1).alias("section_no"),
-            F.concat_ws(" ", "competitor_name", "metric_name").alias("sort_key"), "line",
-        )
+    path = scratch_path(spark, "reports")
+    sinks.report(_report(spark, folder), path, F.lit("2024-01-31").cast("date"))
+    # a report file is one run's; the test reads it back as one text to see the order of its lines
+    files = spark.read.text(f"{path}/*.md", wholetext=True).select(
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.rtrim("value", F.lit("\n")).alias("value")
     )
-    path = scratch_path(spark, "report")
-    sinks.report_text(lines, path)
-    return spark.read.text(path).select("pipeline_id", "value")
+    return files.select("file", F.size(F.split("value", "\n")).cast("bigint").alias("lines"), F.md5("value").alias("text_md5"))
 
 
 # -------------------------------------------------------------------- sinks
@@ -934,14 +1050,39 @@ def csv_export(spark, folder):
 
 @query(
     "b8_json_payload",
-    f"{OFFERS} SELECT company_name, count(*) AS tiers, 'rpt_' || substring(sha256('R2'), 1, 12) AS report_id FROM offers WHERE run = 'R2' GROUP BY 1",
+    f"""{DELTAS}, {MACRO_SQL}, {ADVICE_SQL}, {LINES_SQL}, parts AS (
+        SELECT 'head' AS part, 'R2' AS a, '{GENERATED}' AS b, CAST(0 AS BIGINT) AS n
+        UNION ALL SELECT 'executive_summary', kind, line, 0 FROM (SELECT 'company' AS kind, company AS line FROM ({ALL_COMPANIES}))
+        UNION ALL SELECT 'executive_summary', 'summary', 'Analyzed ' || (SELECT count(*) FROM ({ALL_COMPANIES})) || ' competitor product(s) across ' || (SELECT count(*) FROM ({ALL_COMPANIES})) || ' companies. Detected '
+          || count(*) || ' market changes (' || count(*) FILTER (WHERE strategic_severity = 'CRITICAL') || ' critical, ' || count(*) FILTER (WHERE strategic_severity = 'HIGH') || ' high severity). ', 0 FROM deltas
+        UNION ALL SELECT 'competitors', company_name, any_value(source_url), count(*) FROM offers WHERE run = 'R2' GROUP BY 2
+        UNION ALL SELECT 'market_deltas', competitor_name, metric_name || ' ' || delta_type, 0 FROM deltas
+        UNION ALL SELECT 'recommendations', title, rationale, len(sources) FROM advice
+        UNION ALL SELECT 'battlecards', competitor, line, line_no FROM cards)
+        SELECT 'rpt_' || substring(sha256('R2'), 1, 12) AS report_id, part, a, b, n FROM parts""",
 )
 def json_payload(spark, folder):
-    rows = _records(spark, folder).drop("run")
-    docs = sinks.payload_rows(rows, F.lit("R2"))
-    shape = "record struct<company_name:string,pricing_tiers:array<struct<model_or_tier_name:string>>>"
-    back = docs.withColumn("p", F.from_json("payload", shape))
-    return back.select("report_id", "p.record.company_name", F.size("p.record.pricing_tiers").cast("bigint").alias("tiers"))
+    offers, changes = _run(spark, folder, "R2"), _deltas(spark, folder)
+    docs = sinks.payload(F.lit("R2"), F.lit(GENERATED), {
+        "executive_summary": strategy.executive_lines(offers.select("company_name").distinct(), changes),
+        "competitors": _records(spark, folder).drop("run"),
+        "market_deltas": changes,
+        "recommendations": strategy.rule_based(offers, changes),
+        "battlecards": strategy.cards(offers),
+    })
+
+    def field(name):
+        return F.get_json_object("payload", f"$.{name}")
+
+    def count(name):
+        return F.coalesce(F.json_array_length(field(name)), F.lit(0))
+
+    a = F.coalesce(*[field(n) for n in ("pipeline_id", "kind", "company_name", "competitor_name", "title", "competitor")])
+    metric = F.concat(field("metric_name"), F.lit(" "), field("delta_type"))
+    b = F.coalesce(*[field(n) for n in ("generated_at", "rationale", "line", "source_url")], metric)
+    n = F.when(F.col("part") == "competitors", count("pricing_tiers")).when(F.col("part") == "recommendations", count("corroborating_sources"))
+    n = n.when(F.col("part") == "battlecards", field("line_no").cast("int")).otherwise(0)
+    return docs.select("report_id", "part", a.alias("a"), b.alias("b"), n.cast("bigint").alias("n"))
 
 
 @query(

@@ -50,8 +50,8 @@ def page_scan(spark, folder):
 @query(
     "a3_catalog_dimension",
     """SELECT p_brand AS company_name, count(DISTINCT p_type) AS tiers, min(p_retailprice) AS low, max(p_retailprice) AS high,
-              CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units
-       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+              CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units, 'https://' || lower(replace(p_brand, '#', '-')) || '.example.com/pricing' AS source_url
+       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
 )
 def catalog_dimension(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
@@ -61,14 +61,24 @@ def catalog_dimension(spark, folder):
         .groupBy("l_partkey")
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
     )
-    return (
-        units.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("p_brand").alias("company_name"))
-        .agg(
-            F.count_distinct("p_type").alias("tiers"), F.min("p_retailprice").alias("low"),
-            F.max("p_retailprice").alias("high"), F.sum("units").alias("units"),
-        )
+    sold = units.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_type").agg(
+        F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.sum("units").alias("units")
     )
+    # brands stand for the catalog's companies and part types, a fixed list, for their tiers: JSON files of a record each
+    path = scratch_path(spark, "catalog")
+    tier = F.struct(
+        F.col("p_type").alias("model_or_tier_name"), F.col("low").alias("input_price_per_m_tokens"), F.col("high").alias("output_price_per_m_tokens")
+    )
+    listed = sold.groupBy("p_brand").agg(F.array_sort(F.collect_list(tier)).alias("pricing_tiers"))
+    record = F.struct(F.col("p_brand").alias("company_name"), B.company_url(F.col("p_brand")).alias("source_url"), "pricing_tiers")
+    listed.select("p_brand", F.to_json(F.array(record)).alias("value")).write.partitionBy("p_brand").text(path)
+    catalog = tables.catalog(spark, path).select(
+        "company_name", "source_url", F.size("pricing_tiers").cast("bigint").alias("tiers"),
+        F.array_min(F.transform("pricing_tiers", lambda t: t["input_price_per_m_tokens"])).alias("low"),
+        F.array_max(F.transform("pricing_tiers", lambda t: t["output_price_per_m_tokens"])).alias("high"),
+    )
+    per_brand = sold.groupBy(F.col("p_brand").alias("company_name")).agg(F.sum("units").alias("units"))
+    return catalog.join(per_brand, "company_name")
 
 
 @query(
@@ -309,12 +319,14 @@ def extraction_prompt(spark, folder):
 
 @query(
     "d9_repair_prompt",
-    f"""{PAGES} SELECT page_id, md5(replace(replace(replace({_template_sql(extraction.REPAIR_TEMPLATE)}, '{{agent_name}}', 'analyst'),
-        '{{input_excerpt}}', substring(text, 1, 2000)), '{{error_trace}}', 'bad answer for ' || url)) AS prompt_hash FROM scrubbed""",
+    f"""{PAGES} SELECT page_id, md5(replace(replace(replace(replace({_template_sql(extraction.REPAIR_TEMPLATE)}, '{{agent_name}}', 'analyst'),
+        '{{recent_actions}}', CASE WHEN page_id % 2 = 0 THEN 'RECENT ACTIONS:' || chr(10) || 'Recent pipeline actions:' || chr(10) || '  ✅ [scraper] fetched ' || url || chr(10) ELSE '' END),
+        '{{error_trace}}', 'bad answer for ' || url), '{{input_excerpt}}', substring(text, 1, 2000))) AS prompt_hash FROM scrubbed""",
 )
 def repair_prompt(spark, folder):
     error = F.concat(F.lit("bad answer for "), F.col("url"))
-    prompt = extraction.repair_prompt(F.lit("analyst"), F.col("text"), error)
+    recent = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Recent pipeline actions:\n  ✅ [scraper] fetched "), F.col("url")))
+    prompt = extraction.repair_prompt(F.lit("analyst"), F.col("text"), error, recent)
     return B.cleaned_pages(spark, folder).select("page_id", F.md5(prompt).alias("prompt_hash"))
 
 
@@ -452,8 +464,8 @@ def source_corroboration(spark, folder):
 @query(
     "g10_corroborated_claims",
     f"""WITH {CITED_SQL}, ok AS (SELECT DISTINCT rec_id, title, source FROM cited WHERE EXISTS (SELECT 1 FROM pages WHERE contains(url, source)))
-        SELECT rec_id, CASE WHEN count(*) >= 2 THEN title ELSE '[Single-Source] ' || title END AS title,
-               count(*) AS corroboration_count, min(source) AS first_source FROM ok GROUP BY rec_id, ok.title""",
+        SELECT rec_id, CASE WHEN n >= 2 THEN title ELSE '[Single-Source] ' || title END AS title, source, n AS corroboration_count
+        FROM (SELECT *, count(*) OVER (PARTITION BY rec_id, title) AS n FROM ok)""",
 )
 def corroborated_claims(spark, folder):
     return strategy.enforce_corroboration(_cited(spark, folder), tables.pages(spark, folder))

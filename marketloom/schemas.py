@@ -6,6 +6,15 @@ TIER = (
     "base_price_monthly:double,seat_price_monthly:double,currency:string,notable_features:array<string>>"
 )
 
+# A model's answer about a page. Prices are read as text, for models that write "$2.50 / 1M".
+ANSWER = (
+    "company_name string, product_name string, enterprise_terms_mentioned boolean, rate_limits_summary string, "
+    "extraction_confidence double, citation_text string, pricing_tiers array<struct<model_or_tier_name:string,"
+    "input_price_per_m_tokens:string,output_price_per_m_tokens:string,cache_read_price_per_m_tokens:string,"
+    "context_window_tokens:bigint,fixed_monthly_price:string,base_price_monthly:string,seat_price_monthly:string,"
+    "currency:string,notable_features:array<string>>>"
+)
+
 SOURCE = (
     "id string, company_name string, target_url string, category string, preferred_tier string, "
     "selector_hints array<string>, check_frequency string, enabled boolean"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from marketloom import schemas
 from marketloom.functions.prices import row_id
 from marketloom.operators import skew
+from marketloom.sources import report_files
 
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -16,6 +19,33 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+#: The tables of a pipeline's store, with the columns they are written with.
+TABLES = {
+    "runs": schemas.RUN, "compliance_audits": schemas.AUDIT, "raw_documents": schemas.RAW_DOC,
+    "extracted_records": schemas.RECORD, "insights": schemas.INSIGHT, "reports": schemas.REPORT,
+}
+
+
+def append_to(rows: DataFrame, path: str, name: str, run: str) -> None:
+    """Append a run's rows to a table of the store, in the table's own columns and types.
+
+    Columns that the rows lack are null, others are left out; partitioned by run, so a run's rows are read alone.
+    """
+    typed = []
+    for field in StructType.fromDDL(TABLES[name]).fields:
+        if field.name == "pipeline_id":
+            typed.append(F.lit(run).alias("pipeline_id"))
+        elif field.name in rows.columns:
+            typed.append(F.col(field.name).cast(field.dataType).alias(field.name))
+        else:
+            typed.append(F.lit(None).cast(field.dataType).alias(field.name))
+    append(rows.select(*typed), f"{path}/{name}", by="pipeline_id")
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+
+
 def raw_documents(documents: DataFrame, run: str) -> DataFrame:
     """Rows of the raw document table: the length of the text, not the text."""
     return documents.select(
@@ -63,27 +93,40 @@ def csv(df: DataFrame, path: str) -> None:
     df.select(line).write.mode("overwrite").options(header=True, **bare).csv(path)
 
 
-def report_text(lines: DataFrame, path: str) -> None:
-    """Report lines as text files per run, in reading order across the files.
+def report_file_name(run: Column, generated: Column) -> Column:
+    return F.concat(F.lit("report_"), F.date_format(generated, "yyyyMMdd"), F.lit("_"), F.substring(run, 1, 8), F.lit(".md"))
+
 
-    A range partitioning on the reading order splits long reports over many
-    tasks, and each file holds a sorted stretch.
+def report(lines: DataFrame, path: str, generated: Column) -> None:
+    """One Markdown file per run in the folder ``path``, named by the day and the run.
+
+    A range partitioning on the reading order splits long reports over many tasks; ``report_files`` puts the sorted
+    stretches together. Runs with one and the same name share a file, one after the other.
     """
-    order = ["pipeline_id", "section_no", "sort_key", "line"]
-    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.select("pipeline_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("pipeline_id").text(path)
+    lines.sparkSession.dataSource.register(report_files.ReportFiles)
+    named = lines.withColumn("file", report_file_name(F.col("pipeline_id"), generated))
+    order = ["file", "pipeline_id", "section_no", "sort_key", "line"]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select("file", "line").write.format("report_files").mode("append").save(path)
 
 
-def report_file_name(run: Column, generated: Column) -> Column:
-    return F.concat(F.lit("report_"), F.date_format(generated, "yyyyMMdd"), F.lit("_"), F.substring(run, 1, 8), F.lit(".md"))
+def payload(run: Column, generated: Column, parts: dict[str, DataFrame]) -> DataFrame:
+    """The payload of a run as rows (report_id, part, payload): a head, and one JSON document per element.
+
+    ``parts`` are tables by name, such as competitors, market_deltas, recommendations and battlecards; each row becomes a
+    document of all its columns, nulls included.
+    """
+    spark = next(iter(parts.values())).sparkSession
 
+    def documents(part: str, rows: DataFrame) -> DataFrame:
+        body = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        return rows.select(row_id("rpt_", run).alias("report_id"), F.lit(part).alias("part"), body.alias("payload"))
 
-def payload_rows(records: DataFrame, run: Column) -> DataFrame:
-    """One JSON document per record, with its report id; a run's payload is the set of its rows."""
-    body = F.struct(*[F.col(c) for c in records.columns])
-    return records.select(
-        row_id("rpt_", run).alias("report_id"), F.to_json(F.struct(run.alias("pipeline_id"), body.alias("record"))).alias("payload")
-    )
+    head = spark.range(1).select(run.alias("pipeline_id"), generated.alias("generated_at"))
+    whole = documents("head", head)
+    for part, rows in parts.items():
+        whole = whole.unionByName(documents(part, rows))
+    return whole
 
 
 def vectors(df: DataFrame, path: str) -> None:
