@@ -43,7 +43,8 @@ def append_to(rows: DataFrame, path: str, name: str, run: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+    columns = StructType.fromDDL(TABLES[name]).names
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}").select(*columns)
 
 
 def raw_documents(documents: DataFrame, run: str) -> DataFrame:

@@ -378,7 +378,10 @@ def test_hosts_are_found_or_refused(spark):
 
 
 def test_isolated_moves_do_not_hide_the_equilibrium(spark):
-    trends = spark.createDataFrame([("isolated", "PRICING", "one", "Acme", 1)], "scope string, category string, title string, source string, corroboration_count bigint")
+    trends = spark.createDataFrame(
+        [("isolated", "PRICING", "one", "why", "what", "Acme", 1)],
+        "scope string, category string, title string, rationale string, actionable_next_step string, source string, corroboration_count bigint",
+    )
     records = spark.createDataFrame([("Acme",), ("Bolt",)], "company_name string")
     got = strategy.with_equilibrium(trends, records).collect()
     assert sorted((r["scope"], r["source"]) for r in got) == [("isolated", "Acme"), ("macro", "Acme"), ("macro", "Bolt")]
