@@ -114,15 +114,16 @@ def mix(
     added = ("source_size", "target", "copies")
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in added]
     group = F.struct(_key(F.col("source")).alias("key"), F.col(size).alias("size"))
-    tagged = rows.select(*kept).withColumn("__group", group).join(by_size, "__group")
-    slice_of = F.struct("__group.key", "__group.size", F.pmod(F.xxhash64("doc_id"), "__parts").alias("slice"))
+    # the caller's columns travel in one struct, so their names meet no other
+    tagged = rows.select(F.struct(*kept).alias("__kept"), F.col("doc_id").alias("__doc"), group.alias("__group")).join(by_size, "__group")
+    slice_of = F.struct("__group.key", "__group.size", F.pmod(F.xxhash64("__doc"), "__parts").alias("slice"))
     numbered = tagged.withColumn("__slice", slice_of).withColumn(
-        "__nth", F.row_number().over(Window.partitionBy("__slice").orderBy("doc_id"))
+        "__nth", F.row_number().over(Window.partitionBy("__slice").orderBy("__doc"))
     )
     end = F.col("before") + F.col("__nth")
     shift = offset(F.col("__group.key"), seed)
     crossed = F.floor(F.col("rate") * end + shift) - F.floor(F.col("rate") * (end - 1) + shift)
-    return numbered.join(plan.drop("parts"), "__slice").withColumn("copies", crossed.cast("bigint")).select(*kept, *added)
+    return numbered.join(plan.drop("parts"), "__slice").withColumn("copies", crossed.cast("bigint")).select("__kept.*", *added)
 
 
 #: The same mix in SQL.
@@ -156,14 +157,16 @@ FROM placed_docs JOIN goal USING (key)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, all columns as they are.
+    """The rows of ``docs``, each as often as the mix takes it, all columns as they are, whatever their names.
 
-    ``docs`` must be read from a stored table: its rows are numbered where they are
-    read, the mix is made on numbers and sizes alone, and the texts move once.
+    Rows are numbered once and stored with their numbers, so a repeated task reads the same ones; the mix is made on
+    numbers and sizes alone, and the texts move once. Null texts and empty ones have no words to take; a null source
+    is a source; null ids and repeated rows are rows like others. Empty: empty.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    sized = stored(numbered.select("__row", "doc_id", "source", word_count(F.col("text")).alias("__size")), "mix-rows")
-    taken = stored(mix(sized, sized, size="__size", **options).filter("copies > 0").select("__row", F.col("copies").alias("__copies")), "mix-copies")
-    once_each = F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))
-    repeated = numbered.join(taken, "__row").withColumn("__copy", F.explode(once_each))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "mix-numbered")
+    sized = stored(numbered.select("number", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("size")), "mix-rows")
+    taken = stored(mix(sized, sized, size="size", **options).filter("copies > 0").select("number", "copies"), "mix-copies")
+    once_each = F.sequence(F.lit(1).cast("bigint"), F.col("copies"))
+    # the same join at every size: rows and numbers are both dealt by number
+    repeated = numbered.join(taken.hint("merge"), "number").withColumn("copy", F.explode(once_each))
+    return repeated.select("row.*")

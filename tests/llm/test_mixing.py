@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.llm import mixing
 
@@ -63,3 +64,13 @@ def test_empty(spark):
 def test_only_empty_texts(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id bigint, source string, text string")
     assert mixing.mix_documents(docs).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d", "s", 1, 2, 3, 4, 5), (2, "a b", None, 1, 2, 3, 4, 5), (None, None, "s", 1, 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, rate int, before int, __row int, number int, copy int")
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert set(map(tuple, mixed.collect())) <= set(rows) and mixed.count() > 0
+    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
+    assert mixing.mix(sized).columns == [*sized.columns, "source_size", "target", "copies"]
