@@ -41,12 +41,15 @@ class PageIndex:
     def has_words(self, text: str) -> bool:
         """Whether the page holds the text, both in lower case."""
         text, low, places = text.lower(), self.low, self.places
+        if text in places:
+            return True
         words = [(m.group(), m.start()) for m in WORDS.finditer(text)]
+        if words:
+            first, at = words[0]
+            if any(low.startswith(text, p - at) for p in places.get(first, ()) if p >= at):
+                return True
         if len(words) < 3:
             return text in low
-        first, at = words[0]
-        if any(low.startswith(text, p - at) for p in places.get(first, ()) if p >= at):
-            return True
         inner = min(words[1:-1], key=lambda w: len(places.get(w[0], ())))
         return any(low.startswith(text, p - inner[1]) for p in places.get(inner[0], ()) if p >= inner[1])
 

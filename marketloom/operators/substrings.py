@@ -45,9 +45,14 @@ def chosen(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray,
     if size <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(size, np.uint64)
-        for i in range(gram):
-            sums = sums * PRIME + chars[i : i + size].astype(np.uint64)
+        one = chars.astype(np.uint64)
+        sums, have = one, 1
+        while 2 * have <= gram:  # two grams make one of twice the length
+            sums = sums[:-have] * PRIME ** np.uint64(have) + sums[have:]
+            have *= 2
+        for _ in range(gram - have):
+            sums = sums[:-1] * PRIME + one[have:]
+            have += 1
         keys = _mixed(sums + np.uint64(level + 1) * PRIME)
     # grams that reach from one text into the next are no grams
     limit = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[:size]
@@ -58,17 +63,24 @@ def chosen(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray,
     windows = size - window + 1
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least, at = keys[:windows].copy(), np.arange(windows)
-    for i in range(1, window):
-        other = keys[i : i + windows]
-        lower = other < least
-        least[lower] = other[lower]
-        at[lower] = np.flatnonzero(lower) + i
     inside = np.arange(windows) + gram + window - 1 <= limit[:windows]
-    places = np.unique(at[inside])
+    least = np.where(inside, _over(keys, window, np.minimum), np.uint64(0))
+    # a gram is the least of some window if none of its windows has a lesser one only
+    padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
+    places = np.flatnonzero(whole & (_over(padded, window, np.maximum) == keys))
     return places, keys[places]
 
 
+def _over(values: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of every ``window`` neighbours, by doubling."""
+    have = 1
+    while have < window:
+        step = min(have, window - have)
+        values = pick(values[: len(values) - step], values[step:])
+        have += step
+    return values
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
     """(first row, texts, code points, ends) of parts of a column; null is the empty text."""
     texts = [t or "" for t in column.to_pylist()]

@@ -661,17 +661,17 @@ def rolling_buffer(spark, folder):
     return streams.rolling_buffer(events, "user_id", 20).select("user_id", "event_id")
 
 
-def arrivals(spark, folder: str, name: str, columns: list[str], time: str, key: str, batches: int = 4):
-    """A table that comes in quarters of its time, one row in ten a quarter late: (stream, lateness) after each arrival."""
+def arrivals(spark, folder: str, name: str, columns: list[str], time: str, key: str, batches: int = 3):
+    """A table that comes in thirds of its time, one row in ten a third late: (stream, lateness) after each arrival."""
     rows = table(spark, folder, name).select(*columns)
     us = F.unix_micros(F.col(time).cast("timestamp"))
     first, last = rows.agg(F.min(us), F.max(us)).first()
     width = (last - first) // batches + 1
     late = (F.pmod(F.xxhash64(key), F.lit(10)) == 0).cast("int")
-    quarter = F.floor((us - F.lit(first)) / F.lit(width)).cast("int") + late
+    part = F.floor((us - F.lit(first)) / F.lit(width)).cast("int") + late
     path = scratch_path(spark, f"{name}-arrivals")
-    for i in range(batches + 1):  # late rows of the last quarter come by themselves
-        rows.filter(quarter == i).write.mode("append").parquet(path)
+    for i in range(batches + 1):  # late rows of the last part come by themselves
+        rows.filter(part == i).write.mode("append").parquet(path)
         yield spark.readStream.schema(rows.schema).parquet(path), f"{2 * width // 60_000_000 + 1} minutes"
 
 
