@@ -6,12 +6,15 @@ one string: a run of any size stays distributed, and the sink sorts it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import prices as P
 from marketloom.functions import text as T
 from marketloom.operators import skew
+from marketloom.session import materialize
 
 # ---- fixed values: section order and table heads ----
 HEAD, SUMMARY, MATRIX, CHANGES, ADVICE, CARDS, CITATIONS, NOTE = range(1, 9)
@@ -112,22 +115,23 @@ def advice_lines(recommendations: DataFrame) -> DataFrame:
 
 
 def card_lines(cards: DataFrame) -> DataFrame:
-    """Lines (competitor, line_no, line) of keyed battlecards: head, where we win, talk track."""
-    won = F.col("part") == "our_advantages"
-    body = cards.select("competitor", F.when(won, F.col("line_no") + 3).otherwise(1000).alias("line_no"), F.when(won, F.concat(F.lit("- ✅ "), "line")).otherwise(F.concat(F.lit(TRACK), "line")).alias("line"))
+    """Lines (competitor, line_no, line) of keyed battlecards: head, where we win, talk track.
+
+    A competitor has one talk track, which brings the head along, and its first advantage brings the title of the advantages.
+    """
 
-    def fixed(rows: DataFrame, no: int, text: Column) -> DataFrame:
-        return rows.select("competitor", F.lit(no).alias("line_no"), text.alias("line"))
+    def lines(*pairs: tuple[Column | int, Column | str]) -> Column:
+        made = [
+            F.struct((no if isinstance(no, Column) else F.lit(no)).cast("bigint").alias("line_no"), (text if isinstance(text, Column) else F.lit(text)).alias("line"))
+            for no, text in pairs
+        ]
+        return F.array(*made)
 
-    named = cards.select("competitor").distinct()
-    winning = cards.filter(won).select("competitor").distinct()
-    out = body
-    for part in (
-        fixed(named, 0, F.concat(F.lit(VERSUS), F.col("competitor"))), fixed(named, 1, F.lit("")), fixed(winning, 2, F.lit(WINS)),
-        fixed(winning, 999, F.lit("")), fixed(named, 1001, F.lit("")),
-    ):
-        out = out.unionByName(part)
-    return out.withColumn("line_no", F.col("line_no").cast("bigint"))
+    won = (F.col("line_no") + 3, F.concat(F.lit("- ✅ "), F.col("line")))
+    track = lines((0, F.concat(F.lit(VERSUS), F.col("competitor"))), (1, ""), (1000, F.concat(F.lit(TRACK), F.col("line"))), (1001, ""))
+    first, later = lines((2, WINS), won, (999, "")), lines(won)
+    listed = F.when(F.col("part") == "recommended_talk_track", track).when(F.col("line_no") == 1, first).otherwise(later)
+    return cards.select("competitor", F.explode(listed).alias("l")).select("competitor", "l.*")
 
 
 def citation_lines(records: DataFrame, order: str, accessed: str) -> DataFrame:
@@ -163,16 +167,20 @@ def report(run: str, title: str, sections: dict[int, DataFrame], generated: str,
         F.lit(HEAD).alias("section_no"), F.lit("5").alias("sort_key"),
         F.concat(F.lit("**Sources Analyzed:** "), F.col("n").cast("string"), F.lit("  ")).alias("line"),
     )
-    whole = spark.createDataFrame(head, schema).unionByName(count)
-    for no, rows in sections.items():
-        named = [(no, " 0", "---"), (no, " 1", TITLES[no]), (no, " 2", ""), (no, "~", "")]
+    bodies = [
+        rows.select(F.lit(no).alias("section_no"), F.concat(F.lit("."), "sort_key").alias("sort_key"), "line") for no, rows in sections.items()
+    ]
+    # every section is computed once, then asked whether it has rows
+    body = materialize(reduce(DataFrame.unionByName, bodies), "report-lines")
+    filled = body.select("section_no").distinct()
+    named = []
+    for no in sections:
+        named += [(no, " 0", "---"), (no, " 1", TITLES[no]), (no, " 2", ""), (no, "~", "")]
         heads = {MATRIX: MATRIX_HEAD, CHANGES: CHANGES_HEAD}.get(no, ())
         named += [(no, f" {i + 3}", line) for i, line in enumerate(heads)]
-        titles = spark.createDataFrame(named, schema)
-        filled = rows.limit(1).select(F.lit(no).alias("section_no"))
-        body = rows.select(F.lit(no).alias("section_no"), F.concat(F.lit("."), "sort_key").alias("sort_key"), "line")
-        whole = whole.unionByName(titles.join(filled, "section_no", "left_semi")).unionByName(body)
-        if no == MATRIX:
-            nothing = spark.createDataFrame([(no, " 0", "---"), (no, " 1", TITLES[no]), (no, " 2", ""), (no, " 3", NO_MATRIX), (no, "~", "")], schema)
-            whole = whole.unionByName(nothing.join(filled, "section_no", "left_anti"))
+    whole = spark.createDataFrame(head, schema).unionByName(count).unionByName(body)
+    whole = whole.unionByName(spark.createDataFrame(named, schema).join(filled, "section_no", "left_semi"))
+    if MATRIX in sections:
+        nothing = spark.createDataFrame([(MATRIX, " 0", "---"), (MATRIX, " 1", TITLES[MATRIX]), (MATRIX, " 2", ""), (MATRIX, " 3", NO_MATRIX), (MATRIX, "~", "")], schema)
+        whole = whole.unionByName(nothing.join(filled, "section_no", "left_anti"))
     return whole.select(F.lit(run).alias("pipeline_id"), "section_no", "sort_key", "line")

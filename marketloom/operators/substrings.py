@@ -6,9 +6,10 @@ what the needle chose, so a text offers a few keys per window instead of all its
 come in classes by length, and a class has the longest grams and windows its shortest needle has room for.
 
 Two passes over the texts, both without a shuffle of them: the first counts, in a sketch of fixed size, how
-often the needles' keys occur; each needle then waits under its rarest one. The second lets out the
-places whose key is in a Bloom filter of those, with the text around them. These few meet the needles by an equi-join on
-the key, and the text around decides. Sketch and filter have fixed sizes, whatever the tables hold.
+often the needles' keys occur; each needle then waits under its rarest one. In the second, needles
+of a measured, bounded size are looked for where their keys occur; beyond it, the places whose key is in a Bloom filter
+are let out with the text around them, meet the needles by an equi-join on the key, and the text around decides. Sketch and
+filter have fixed sizes, whatever the tables hold.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from marketloom.session import materialize
 CLASSES = ((1, 1, 1), (2, 2, 1), (4, 3, 2), (8, 5, 4), (16, 8, 9), (48, 16, 33))
 FILTER_BITS = 1 << 24
 ROWS, CELLS = 4, 1 << 14
+#: Needles of this many bytes are sent to every task; more are joined.
+NEEDLE_BYTES = 8 << 20
 #: Characters that are looked at together.
 CHARS = 1 << 20
 
@@ -189,8 +192,11 @@ def rarest(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
     return best.filter("best.n > 0").select("needle_id", "needle", "level", F.col("best.key").alias("key"))
 
 
-def _places(haystacks: DataFrame, bits: bytes, levels: Sequence[int], reach: int) -> DataFrame:
-    """(hay_id, key, piece): places whose key the filter knows, with ``reach`` characters before and after."""
+def _places(haystacks: DataFrame, bits: bytes, reach: dict[int, int]) -> DataFrame:
+    """(hay_id, key, piece): places whose key the filter knows, with as many characters before and after as the longest needle of the class.
+
+    Equal pieces of a text come once; around short needles most are equal.
+    """
     shared = haystacks.sparkSession.sparkContext.broadcast(bits)
     id_type = to_arrow_type(haystacks.schema["hay_id"].dataType)
     schema = pa.schema([("hay_id", id_type), ("key", pa.int64()), ("piece", pa.string())])
@@ -201,41 +207,80 @@ def _places(haystacks: DataFrame, bits: bytes, levels: Sequence[int], reach: int
             ids = batch.column("hay_id").to_pylist()
             for begin, part, chars, ends in _texts(batch.column("text")):
                 starts = np.concatenate([[0], ends[:-1]])
-                for level in levels:
+                for level, far in reach.items():
                     places, keys = chosen(chars, ends, level)
                     hit = _has(known, keys)
-                    places, keys = places[hit], keys[hit]
+                    places, keys = places[hit], keys[hit].view(np.int64)
                     of = np.searchsorted(ends, places, "right")
-                    local = places - starts[of]
-                    for at in range(0, len(places), 4096):
-                        some = slice(at, at + 4096)
-                        pieces = [part[t][max(0, p - reach) : p + reach] for t, p in zip(of[some].tolist(), local[some].tolist())]
+                    local = (places - starts[of]).tolist()
+                    found = dict.fromkeys(
+                        (t, key, part[t][max(0, p - far) : p + far]) for t, key, p in zip(of.tolist(), keys.tolist(), local)
+                    )
+                    rows = list(found)
+                    for at in range(0, len(rows), 4096):
+                        texts, keyed, pieces = zip(*rows[at : at + 4096])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[begin + t] for t in of[some].tolist()], id_type), pa.array(keys[some].view(np.int64)), pa.array(pieces, pa.string())],
+                            [pa.array([ids[begin + t] for t in texts], id_type), pa.array(keyed, pa.int64()), pa.array(pieces, pa.string())],
                             schema=schema,
                         )
 
     return haystacks.select("hay_id", "text").mapInArrow(run, f"hay_id {haystacks.schema['hay_id'].dataType.simpleString()}, key bigint, piece string")
 
 
-def containing(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
+def _held(haystacks: DataFrame, waiting: list[tuple[str, int]], levels: Sequence[int]) -> DataFrame:
+    """Distinct (hay_id, needle) by looking for the needles, a bounded list, where their keys occur."""
+    of_key: dict[int, list[str]] = {}
+    for needle, key in waiting:
+        of_key.setdefault(key, []).append(needle)
+    listed = np.array(sorted(of_key), np.int64)
+    shared = haystacks.sparkSession.sparkContext.broadcast((listed, [of_key[k] for k in listed.tolist()]))
+    id_type = to_arrow_type(haystacks.schema["hay_id"].dataType)
+    schema = pa.schema([("hay_id", id_type), ("needle", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, needles_of = shared.value
+        for batch in batches:
+            ids = batch.column("hay_id").to_pylist()
+            for begin, part, chars, ends in _texts(batch.column("text")):
+                rows = []
+                for level in levels:
+                    places, keys = chosen(chars, ends, level)
+                    at = np.minimum(np.searchsorted(known, keys.view(np.int64)), len(known) - 1)
+                    hit = known[at] == keys.view(np.int64)
+                    # each key once per text
+                    met = np.unique(np.searchsorted(ends, places[hit], "right") * len(known) + at[hit])
+                    for text, key in zip((met // len(known)).tolist(), (met % len(known)).tolist()):
+                        rows += [(ids[begin + text], needle) for needle in needles_of[key] if needle in part[text]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return haystacks.select("hay_id", "text").mapInArrow(run, f"hay_id {haystacks.schema['hay_id'].dataType.simpleString()}, needle string")
+
+
+def containing(haystacks: DataFrame, needles: DataFrame, most: int = NEEDLE_BYTES) -> DataFrame:
     """Distinct (needle_id, hay_id) where the text holds the needle as it stands.
 
     ``haystacks`` has hay_id and text, ``needles`` needle_id and needle. Empty and null needles are held by nothing, null
     texts hold nothing. Equal needles share one look. A very common needle meets as many texts as hold it,
     which is the answer's own size; its key is joined as a struct, so the adaptive skew join may split it.
-    A place carries twice the longest needle around it.
+    Needles of up to ``most`` bytes, measured, are sent to the texts and looked for where their keys occur; more of them
+    meet the places by a join, where a place carries twice the longest needle of its class around it.
     """
     named = needles.filter(F.length("needle") > 0).select("needle_id", "needle")
     keyed = materialize(needle_keys(named.select(F.col("needle").alias("needle_id"), "needle").distinct()), "needle-keys")
-    facts = keyed.agg(F.collect_set("level").alias("levels"), F.max(F.length("needle")).alias("reach")).first()
+    reach = {r.level: r.reach for r in keyed.groupBy("level").agg(F.max(F.length("needle")).alias("reach")).collect()}  # a row per class
     pairs = f"needle_id {needles.schema['needle_id'].dataType.simpleString()}, hay_id {haystacks.schema['hay_id'].dataType.simpleString()}"
-    if not facts.levels:
+    if not reach:
+        return haystacks.sparkSession.createDataFrame([], pairs)
+    waiting = materialize(rarest(keyed, key_counts(haystacks, key_filter(keyed), sorted(reach))), "needles")
+    size = waiting.agg(F.sum(4 * F.length("needle") + 16)).first()[0]
+    if not size:
         return haystacks.sparkSession.createDataFrame([], pairs)
-    levels = sorted(facts.levels)
-    waiting = materialize(rarest(keyed, key_counts(haystacks, key_filter(keyed), levels)), "needles")
-    places = _places(haystacks, key_filter(waiting), levels, facts.reach)
-    key = F.struct("key").alias("k")
-    met = places.select("hay_id", key, "piece").join(waiting.select("needle", key), "k").filter(F.contains("piece", F.col("needle")))
+    if size <= most:
+        met = _held(haystacks, [(r.needle, r.key) for r in waiting.collect()], sorted(reach))
+    else:
+        places = _places(haystacks, key_filter(waiting), reach)
+        key = F.struct("key").alias("k")
+        met = places.select("hay_id", key, "piece").join(waiting.select("needle", key), "k").filter(F.contains("piece", F.col("needle")))
     found = met.select("hay_id", F.struct("needle").alias("n")).distinct()
     return found.join(named.select("needle_id", F.struct("needle").alias("n")), "n").select("needle_id", "hay_id").distinct()

@@ -661,8 +661,8 @@ def rolling_buffer(spark, folder):
     return streams.rolling_buffer(events, "user_id", 20).select("user_id", "event_id")
 
 
-def arrivals(spark, folder: str, name: str, columns: list[str], time: str, key: str, batches: int = 3):
-    """A table that comes in thirds of its time, one row in ten a third late: (stream, lateness) after each arrival."""
+def arrivals(spark, folder: str, name: str, columns: list[str], time: str, key: str, batches: int = 2):
+    """A table that comes in halves of its time, one row in ten a half late: (stream, lateness) after each arrival."""
     rows = table(spark, folder, name).select(*columns)
     us = F.unix_micros(F.col(time).cast("timestamp"))
     first, last = rows.agg(F.min(us), F.max(us)).first()

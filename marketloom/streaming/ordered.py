@@ -130,13 +130,19 @@ def newest_rows(stream: DataFrame, path: str, key: str, n: int, order: Sequence[
 
 @contextmanager
 def rocks(spark: SparkSession):
-    """State with timers needs this store; other streams of the session keep theirs."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    """State with timers needs this store; other streams of the session keep theirs.
+
+    What the watermark passed is folded with the next rows that come, without a micro-batch of its own.
+    """
+    wanted = {PROVIDER: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 # ------------------------------------------------------------- slices of time

@@ -12,6 +12,13 @@ def brute(texts, needles):
     return {(n, h) for n, needle in needles for h, text in texts if needle and text and needle in text}
 
 
+@pytest.fixture(params=["sent", "joined"], autouse=True)
+def way(request, monkeypatch):
+    """Both ways to meet: needles sent to the texts, and places joined with them."""
+    if request.param == "joined":
+        monkeypatch.setattr(substrings.containing, "__defaults__", (0,))
+
+
 def found(spark, texts, needles):
     hay = spark.createDataFrame(texts, "hay_id bigint, text string")
     asked = spark.createDataFrame(needles, "needle_id bigint, needle string")
