@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +74,6 @@ class Codes:
         return out
 
 
-@lru_cache(maxsize=8)
-def codes(width: int, cosine: float, recall: float) -> Codes:
-    return Codes(width, cosine, recall)
-
-
 def _unit(vectors: np.ndarray) -> np.ndarray:
     largest = np.abs(vectors).max(axis=1, keepdims=True)
     scaled = vectors / np.where(largest > 0, largest, 1)
@@ -252,6 +246,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = RE
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[int, Codes] = {}  # by width, made once in a task
         for batch in batches:
             listed = batch.column("embedding")
             width = listed.value_lengths().to_numpy()
@@ -259,7 +254,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = RE
             for w in np.unique(width):
                 of = np.flatnonzero(width == w)
                 some = np.array(listed.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(of), w)
-                for i, found in zip(of, codes(int(w), cosine, recall).decode(_unit(some))):
+                if int(w) not in codes:
+                    codes[int(w)] = Codes(int(w), cosine, recall)
+                for i, found in zip(of, codes[int(w)].decode(_unit(some))):
                     filters[i] = found
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([f.astype(np.int32) for f in filters], pa.list_(pa.int32()))],

@@ -69,13 +69,13 @@ def test_recall_at_the_threshold():
         x = caps._unit(rng.normal(size=(400, width)))
         z = rng.normal(size=x.shape)
         z = caps._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
-        code = caps.codes(width, 0.93, caps.RECALL)
+        code = caps.Codes(width, 0.93, caps.RECALL)
         pairs = zip(code.decode(x), code.decode(0.93 * x + np.sqrt(1 - 0.93**2) * z))
         assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) > 0.94
 
 
 def test_decode_lists_all_exceeding_filters():
-    code = caps.codes(16, 0.93, 0.9)
+    code = caps.Codes(16, 0.93, 0.9)
     unit = caps._unit(np.random.default_rng(7).normal(size=(5, 16)))
     for scores, found in zip(code.halves(unit), code.decode(unit)):
         all_of = np.concatenate([(s[0][:, None] + s[1]).ravel() for s in scores])
