@@ -1,5 +1,6 @@
 """Reports as files: one per run, lines in order, nothing left behind by a job that failed."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -51,3 +52,31 @@ def test_empty_lines_are_kept(spark):
     rows = spark.createDataFrame([("r", 1, "0", "a"), ("r", 1, "1", ""), ("r", 1, "2", None), ("r", 2, "0", "é")], "pipeline_id string, section_no int, sort_key string, line string")
     sinks.report(rows, path, F.lit("2024-05-06").cast("date"))
     assert (local(path) / "report_20240506_r.md").read_text() == "a\n\n\né\n"
+
+
+def test_a_file_is_read_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(report_files, "CHUNK", 7)
+    folder = local(scratch_path(spark, "digests"))
+    folder.mkdir(parents=True)
+    texts = {"a.md": "é\n\n" * 50 + "end" + "\n" * 20, "b.md": "", "c.md": "\n\n", "d.md": "one\r\n two", "e.md": "1234567\n890123\n"}
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode())
+    reader = report_files.ReportReader(folder.as_uri())
+    found = {row[0]: row[1:] for part in reader.partitions() for row in reader.read(part)}
+    want = {n: (t.rstrip("\n").count("\n") + 1, hashlib.md5(t.rstrip("\n").encode()).hexdigest()) for n, t in texts.items()}
+    assert found == want
+
+
+def test_files_are_written_from_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    class Task:
+        partitionId = taskAttemptId = lambda self: 3
+
+    names = ["a.md"] * 3 + ["b.md"] * 2 + ["c.md"]
+    batches = [pa.record_batch({"file": names[i : i + 2], "line": [str(i), None]}) for i in (0, 2, 4)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("pyspark.TaskContext.get", lambda: Task())
+        writer = report_files.ReportWriter(tmp_path.as_uri())
+        writer.commit([writer.write(iter(batches))])
+    assert {f.name: f.read_text() for f in tmp_path.glob("*.md")} == {"a.md": "0\n\n2\n", "b.md": "\n4\n", "c.md": "\n"}
