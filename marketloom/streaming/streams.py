@@ -183,10 +183,6 @@ def first_seen(docs: DataFrame, key: str, text: str) -> DataFrame:
     return newest(seen, ["content_hash"], "seen")
 
 
-def _price_before(last: float | None, price: float | None) -> tuple[float | None, tuple[float | None]]:
-    return price, (last,)
-
-
 def price_changes(
     rows: DataFrame, keys: Sequence[str], price: str, order: Sequence[str], path: str | None = None, lateness: str = LATENESS
 ) -> DataFrame:
@@ -195,9 +191,8 @@ def price_changes(
     A row may come up to ``lateness`` after the newest one; the row after it then has a new price before it.
     """
     path = path or scratch_path(rows.sparkSession, "prices")
-    schema, _ = ordered.fold(
-        rows, path, keys, order[0], order[1:], F.col(price).cast("double"), _price_before, None, "double",
-        "previous_price double", lateness, days=90,
+    schema = ordered.previous(
+        rows, path, keys, order[0], order[1:], F.col(price).cast("double"), "previous_price", lateness, days=90
     )
     found = ordered.read(rows.sparkSession, path, schema).withColumn(price, F.col("__value"))
     before = F.col("previous_price")

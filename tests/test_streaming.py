@@ -163,3 +163,25 @@ def test_new_content_comes_out_once(spark):
     assert arrive("a", "c", "e", "e", hours=50) == hashes("a", "b", "c", "d", "e")
     state = spark.read.format("statestore").option("path", f"{path}/checkpoint").load()
     assert state.count() <= 4
+
+
+def test_price_changes_keep_a_tail_of_rows_and_drop_late_ones(spark):
+    folder, path = scratch_path(spark, "offers"), scratch_path(spark, "late-prices")
+    schema = "id bigint, ts timestamp, tier bigint, price double"
+
+    def arrive(*new):
+        stream = put(spark, folder, [(i, None if h is None else START + dt.timedelta(hours=h), t, p) for i, h, t, p in new], schema)
+        got = streams.price_changes(stream, ["tier"], "price", ["ts", "id"], path, "3 hours")
+        return {r.id: r.previous_price for r in got.collect()}
+
+    assert arrive((1, 0, 1, 10.0), (2, 2, 1, None), (3, 1, 2, 5.0), (4, None, 2, 4.0), (5, 1, None, 7.0)) == {1: None, 2: 10.0, 3: 4.0, 4: None, 5: None}
+    # between two known rows, and the same row again
+    assert arrive((6, 1, 1, 11.0), (3, 1, 2, 5.0), (7, 3, None, 8.0)) == {1: None, 6: 10.0, 2: 11.0, 3: 5.0, 4: None, 5: None, 7: 7.0}
+    arrive((8, 10, 1, 12.0))
+    # the watermark is at 7:00 and passed all but the last one; a micro-batch later it counts
+    arrive((9, 20, 1, 13.0))
+    got = arrive((10, 2.5, 1, 99.0), (11, 21, 1, 14.0), (12, 21, 2, 6.0))
+    assert got[8] is None and got[9] == 12.0 and 10 not in got and got[11] == 13.0 and got[12] == 5.0
+    tail = spark.read.schema("id bigint, tier bigint, __settled boolean").parquet(f"{path}/tail/data/epoch=4").collect()
+    assert sorted((r.id, r["__settled"]) for r in tail if r.tier == 1) == [(8, True), (9, False), (11, False)]
+    assert sorted((r.id, r["__settled"]) for r in tail if r.tier == 2) == [(3, True), (12, False)]
