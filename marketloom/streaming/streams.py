@@ -166,7 +166,8 @@ def new_content(
             touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # 256 at most
             seen = history(batch.sparkSession, path).filter((F.col("epoch") < epoch) & F.col("bucket").isin(touched))
             fresh = batch.join(seen.select("bucket", "content_hash"), ["bucket", "content_hash"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+        # a bucket lies in one task, so an epoch has a file per bucket and not one per bucket and task
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
         batch.unpersist()
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)

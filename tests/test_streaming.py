@@ -165,6 +165,15 @@ def test_new_content_comes_out_once(spark):
     assert state.count() <= 4
 
 
+def test_new_content_has_a_file_per_bucket(spark):
+    folder, path = scratch_path(spark, "many-texts"), scratch_path(spark, "many-content")
+    spark.range(4000).select(F.concat(F.lit("text "), "id").alias("text")).repartition(8).write.parquet(folder)
+    streams.new_content(spark.readStream.schema("text string").parquet(folder), "text", path)
+    kept = spark.read.parquet(f"{path}/data")
+    assert kept.count() == 4000
+    assert kept.select(F.input_file_name()).distinct().count() == kept.select("bucket").distinct().count()
+
+
 def test_price_changes_keep_a_tail_of_rows_and_drop_late_ones(spark):
     folder, path = scratch_path(spark, "offers"), scratch_path(spark, "late-prices")
     schema = "id bigint, ts timestamp, tier bigint, price double"
