@@ -647,11 +647,15 @@ def sessions(spark, folder):
 
 
 def disordered(spark, folder: str, name: str, columns: list[str], batches: int = 4):
-    """A table as a stream of several micro-batches, dealt by a hash, so that most rows come late."""
+    """A table as a stream of several micro-batches, dealt by a hash, so that most rows come late.
+
+    A micro-batch has about a share of the files, which are as many as the tasks that read the table.
+    """
     rows = table(spark, folder, name).select(*columns)
     path = scratch_path(spark, f"{name}-arrivals")
-    rows.repartition(batches, F.xxhash64(*columns)).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = -(-rows.rdd.getNumPartitions() // batches)
+    rows.repartition(batches * each, F.xxhash64(*columns)).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in columns else stream
 
 

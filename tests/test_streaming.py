@@ -174,6 +174,20 @@ def test_new_content_has_a_file_per_bucket(spark):
     assert kept.select(F.input_file_name()).distinct().count() == kept.select("bucket").distinct().count()
 
 
+def test_a_micro_batch_is_many_files_of_a_large_table(spark, monkeypatch):
+    from marketloom.plans import event_queries
+
+    folder, path = scratch_path(spark, "tables"), scratch_path(spark, "dealt")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(12).write.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(event_queries, "scratch_path", lambda *_: path)
+    stream = event_queries.disordered(spark, folder, "documents", ["doc_id", "text"])
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 500
+    query = stream.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "dealt-checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) == 4
+
+
 def test_price_changes_keep_a_tail_of_rows_and_drop_late_ones(spark):
     folder, path = scratch_path(spark, "offers"), scratch_path(spark, "late-prices")
     schema = "id bigint, ts timestamp, tier bigint, price double"
