@@ -80,3 +80,24 @@ def test_files_are_written_from_batches(spark, tmp_path):
         writer = report_files.ReportWriter(tmp_path.as_uri())
         writer.commit([writer.write(iter(batches))])
     assert {f.name: f.read_text() for f in tmp_path.glob("*.md")} == {"a.md": "0\n\n2\n", "b.md": "\n4\n", "c.md": "\n"}
+
+
+def test_payload_and_report_read_the_stage_tables_only(spark):
+    from datetime import datetime
+
+    from marketloom.plans import price_queries
+
+    folder = scratch_path(spark, "tables")
+    days = [datetime(1995, 1, 1), datetime(1999, 1, 1)]
+    items = [(1, p, s, 1, 2.0, 100.0 * p + s + 10 * i, 0.0, 0.0, "A", "F", day) for i, day in enumerate(days) for p in (1, 2) for s in (1, 2)]
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = spark.createDataFrame(items, schema).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "B#1", "BIG"), (2, "B#2", "BIG")], "p_partkey bigint, p_brand string, p_type string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(1, "S#1"), (2, "S#2")], "s_suppkey bigint, s_name string").write.parquet(f"{folder}/supplier.parquet")
+    offers, changes = price_queries._stages(spark, folder)
+    assert offers.count() == 4 and changes.count() == 4
+    payload = price_queries.json_payload(spark, folder)
+    assert not [f for f in payload.inputFiles() if "lineitem" in f]
+    found = payload.filter("part = 'competitors'").select("a", "b", "n").collect()
+    assert sorted(map(tuple, found)) == [(f"S#{i}", f"https://s-{i}.example.com/pricing", 2) for i in (1, 2)]
