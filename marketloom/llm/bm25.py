@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import stored, texts, words
+from marketloom.session import materialize
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and words of a shard, at most (a longer text is a shard of its own); documents of a block.
+#: Documents of a shard and different words of its documents, at most (a longer text is a shard of its own); documents of a block.
 SHARD_DOCS = 8192
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 3_000_000
 BLOCK = 64
-#: Queries that are sent to the shards at once.
+#: Queries, and different words of all of them, that are sent to the shards at once.
 QUERIES_AT_ONCE = 2048
-#: Blocks that are scored between two looks at the bound.
-STEP = 16
+WORDS_AT_ONCE = 1_000_000
+#: Queries that a task scores together, and postings that it looks at together.
+TOGETHER = 64
+POSTINGS = 1 << 20
+#: A term in more than one of so many documents of a shard has its impacts in a matrix, the others in postings.
+COMMON = 10
+#: Cells of that matrix, at most.
+CELLS = 1 << 22
 #: Scores are compared and returned to this many decimals, so that equal documents tie.
 DECIMALS = 6
 
@@ -34,44 +43,49 @@ _INDEX = pa.schema([
 ])
 
 
-def invert(rows: list[tuple[int | None, Counter]], shard: int) -> pa.RecordBatch:
-    """One shard: documents in order of length, so that a block's documents are alike; postings by term, then place."""
-    rows = sorted(rows, key=lambda r: (sum(r[1].values()), r[0] is None, r[0] or 0))
-    vocabulary = sorted({t for _, c in rows for t in c})
-    number = {t: i for i, t in enumerate(vocabulary)}
-    term = np.array([number[t] for _, c in rows for t in c], np.int64)
-    place = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows])
-    times = np.array([n for _, c in rows for n in c.values()], np.int64)
-    order = np.lexsort((place, term))
-    starts = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-    one = [
-        shard, [i for i, _ in rows], [sum(c.values()) for _, c in rows], vocabulary,
-        starts.astype(np.int32), place[order].astype(np.int32), times[order].astype(np.int32),
-    ]
+def invert(rows: list[tuple[int | None, int, np.ndarray, np.ndarray]], terms: list[bytes], shard: int) -> pa.RecordBatch:
+    """One shard of (doc_id, length, term numbers, times): documents in order of length, so that a block's documents are alike; postings by term, then place."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0] is None, r[0] or 0))
+    none = [np.zeros(0, np.int32)]
+    term = np.concatenate(none + [r[2] for r in rows])
+    place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
+    times = np.concatenate(none + [r[3] for r in rows])
+    order = np.argsort(term, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+    one = [shard, [r[0] for r in rows], [r[1] for r in rows], terms, starts.astype(np.int32), place[order], times[order]]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(one, _INDEX)], schema=_INDEX)
 
 
+def _numbers() -> defaultdict[bytes, int]:
+    """Numbers words as they are asked for."""
+    return defaultdict(count().__next__)
+
+
 def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The inverted index of all rows of ``docs``, a row per shard, stored. Rows stay in the task that reads them: no shuffle."""
+    """The inverted index of all rows of ``docs``, stored, a row and a file per shard, so that a reader holds one. Rows stay in the task that reads them: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, Counter]] = []
+        part, shard = TaskContext.get().partitionId(), 0
+        held: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
+        number = _numbers()
         size = 0
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                counts = Counter(words(text))
-                if held and (len(held) >= shard_docs or size + len(counts) > SHARD_WORDS):
-                    yield invert(held, (part << 32) + count)
-                    held, size, count = [], 0, count + 1
-                held.append((i, counts))
-                size += len(counts)
+                found = Counter(words(text))
+                if held and (len(held) >= shard_docs or size + len(found) > SHARD_WORDS):
+                    yield invert(held, list(number), (part << 32) + shard)
+                    held, number, size, shard = [], _numbers(), 0, shard + 1
+                # words are kept once a shard, documents hold their numbers
+                numbers = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
+                held.append((i, found.total(), numbers, np.fromiter(found.values(), np.int32, len(found))))
+                size += len(found)
         if held:
-            yield invert(held, (part << 32) + count)
+            yield invert(held, list(number), (part << 32) + shard)
 
-    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, INDEX), "bm25-index")
+    index = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, INDEX)
+    return materialize(index, "bm25-index", maxRecordsPerFile=1)
 
 
 def weighted_queries(queries: DataFrame, index: DataFrame, documents: int) -> DataFrame:
@@ -83,9 +97,17 @@ def weighted_queries(queries: DataFrame, index: DataFrame, documents: int) -> Da
             found = [(i, t) for i, text in zip(batch.column("query_id").to_pylist(), texts(batch)) for t in set(words(text))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], schema=schema)
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                terms, n = batch.column("terms")[row].values, np.diff(batch.column("starts")[row].values.to_numpy())
+                for at in range(0, len(terms), 1 << 16):
+                    part = [terms.slice(at, 1 << 16), pa.array(n[at : at + (1 << 16)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(part, names=["term", "n"])
+
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text").mapInArrow(run, "query_id bigint, term binary").distinct()
-    per_shard = index.select(F.arrays_zip("terms", F.expr("slice(starts, 1, size(terms))").alias("low"), F.expr("slice(starts, 2, size(terms))").alias("high")).alias("z"))
-    frequency = per_shard.select(F.inline("z")).groupBy(F.col("terms").alias("term")).agg(F.sum(F.col("high") - F.col("low")).alias("df"))
+    per_shard = index.select("terms", "starts").mapInArrow(counts, "term binary, n bigint")
+    frequency = per_shard.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (
         asked.join(frequency, "term").withColumn("weight", idf).groupBy("query_id")
@@ -95,62 +117,80 @@ def weighted_queries(queries: DataFrame, index: DataFrame, documents: int) -> Da
 
 
 class Shard:
-    """A shard ready to be searched: term impacts and, per term and block of documents, the largest impact."""
-
-    def __init__(self, row: dict, mean_length: float) -> None:
-        self.doc_ids = row["doc_ids"]
-        self.terms = {t: i for i, t in enumerate(row["terms"])}
-        self.starts, self.places = np.array(row["starts"], np.int64), np.array(row["places"], np.int64)
-        lengths = np.array(row["lengths"], np.float64)
-        times = np.array(row["times"], np.float64)
+    """A shard ready to be searched.
+
+    Terms that many documents hold have their impacts in a matrix, document by term, with the largest of each block of documents beside it;
+    the others have them in postings.
+    """
+
+    def __init__(self, row: dict[str, pa.Scalar], mean_length: float) -> None:
+        self.doc_ids, self.terms = row["doc_ids"].values, row["terms"].values
+        lengths, self.starts, self.places, times = (row[c].values.to_numpy() for c in ("lengths", "starts", "places", "times"))
         base = K1 * (1 - B + B * lengths / mean_length) if mean_length else np.full(len(lengths), K1)
-        self.impact = times * (K1 + 1) / (times + base[self.places])
-        self.blocks = -(-len(lengths) // BLOCK)
-        # a cell is a term's run of postings inside one block
-        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        cell = term * self.blocks + self.places // BLOCK
-        self.cell_start = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_end = np.append(self.cell_start[1:], len(cell))
-        self.cell_block = (cell % max(self.blocks, 1))[self.cell_start]
-        self.cell_top = np.maximum.reduceat(self.impact, self.cell_start) if len(cell) else np.zeros(0)
-        self.term_cells = np.searchsorted(term[self.cell_start] if len(cell) else term, np.arange(len(self.starts)))
-
-    def search(self, numbers: np.ndarray, weights: np.ndarray, k: int, bar: float) -> list[tuple[float, int]]:
-        """(score, place) of the documents that may be among the best ``k``, given that ``k`` others reach ``bar``.
-
-        A block whose terms' largest impacts sum up to less than the bar, or than the k-th score
-        found here, is never scored; all others are, from the most promising on.
+        self.impact = base[self.places]
+        self.impact += times
+        np.divide(times * (K1 + 1), self.impact, out=self.impact)
+        self.docs, self.blocks = len(lengths), -(-len(lengths) // BLOCK)
+        held = np.diff(self.starts)
+        common = np.argsort(-held, kind="stable")[: CELLS // max(1, self.blocks * BLOCK)]
+        common = common[held[common] * COMMON > self.docs]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((self.blocks, BLOCK, len(common)))
+        for column, term in enumerate(common.tolist()):
+            own = slice(self.starts[term], self.starts[term + 1])
+            self.matrix.reshape(-1, len(common))[self.places[own], column] = self.impact[own]
+        self.top = self.matrix.max(axis=1)
+
+    def rare(self, query: np.ndarray, numbers: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
+        """Scores of all documents by the terms in postings: queries by blocks by documents of a block."""
+        width = self.blocks * BLOCK
+        low, high = self.starts[numbers].astype(np.int64), self.starts[numbers + 1].astype(np.int64)
+        score = np.zeros(queries * width)
+        at, ends = 0, np.cumsum(high - low)
+        while at < len(numbers):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS, "right")))
+            posts, size = _ranges(low[at:to], high[at:to]), high[at:to] - low[at:to]
+            cell = np.repeat(query[at:to] * width, size) + self.places[posts]
+            score += np.bincount(cell, np.repeat(weights[at:to], size) * self.impact[posts], len(score))
+            at = to
+        return score.reshape(queries, self.blocks, BLOCK)
+
+    def search(self, query: np.ndarray, numbers: np.ndarray, weights: np.ndarray, k: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the documents that may be among the best ``k`` of each query, given that ``k`` others reach its bar.
+
+        ``query`` numbers the query of each term. A block of documents is scored whole if some query's bound for it, what its best document has by
+        the terms in postings and the largest impacts of the others, reaches that query's bar. First come the blocks of the highest
+        bounds; the k-th scores found there are the bars for the others.
         """
-        low, high = self.term_cells[numbers], self.term_cells[numbers + 1]
-        cells = _ranges(low, high)
-        weight = np.repeat(weights, high - low)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weight * self.cell_top[cells], self.blocks)
-        found_score, found_place = np.zeros(0), np.zeros(0, np.int64)
-        order = np.argsort(-bound, kind="stable")
+        column = self.column[numbers]
+        often, queries = column >= 0, len(bars)
+        wanted = np.zeros((queries, self.matrix.shape[2]))
+        wanted[query[often], column[often]] = weights[often]
+        score = self.rare(query[~often], numbers[~often], weights[~often], queries)
+        bound = score.max(axis=2) + wanted @ self.top.T
         # half a unit of the last decimal: what rounds to a tie must be scored
-        slack = 10.0**-DECIMALS
-        at = 0
-        while at < len(order):
-            now = order[at : at + STEP]
-            now = now[(bound[now] > 0) & (bound[now] + slack >= bar)]
+        slack, bars = 10.0**-DECIMALS, bars.copy()
+        open_ = np.ones(self.blocks, bool)
+        first = np.zeros(self.blocks, bool)
+        first[bound.argmax(axis=1)] = True
+        found = []
+        for may in (first, ~first):
+            reach = (bound > 0) & (bound + slack >= bars[:, None])
+            now = np.flatnonzero(may & open_ & reach.any(axis=0))
             if not len(now):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            use = np.flatnonzero(chosen[block])
-            first, last = self.cell_start[cells[use]], self.cell_end[cells[use]]
-            posts = _ranges(first, last)
-            place = self.places[posts]
-            score = np.bincount(place, np.repeat(weight[use], last - first) * self.impact[posts], len(self.doc_ids))
-            hit = np.flatnonzero(score)
-            found_score, found_place = np.append(found_score, score[hit]), np.append(found_place, hit)
-            if len(found_score) >= k:
-                bar = max(bar, float(np.partition(found_score, len(found_score) - k)[-k]))
-                keep = found_score + slack >= bar
-                found_score, found_place = found_score[keep], found_place[keep]
-            at += STEP
-        return list(zip(found_score.tolist(), found_place.tolist()))
+                continue
+            whole = score[:, now] + (wanted @ self.matrix[now].reshape(len(now) * BLOCK, -1).T).reshape(queries, len(now), BLOCK)
+            whole = whole.reshape(queries, -1)
+            if whole.shape[1] >= k:
+                bars = np.maximum(bars, np.partition(whole, whole.shape[1] - k, axis=1)[:, -k])
+            q, at = np.nonzero((whole > 0) & (whole + slack >= bars[:, None]))
+            found.append((q, now[at // BLOCK] * BLOCK + at % BLOCK, whole[q, at]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, place, value = (np.concatenate(c) for c in zip(*found))
+        keep = value + slack >= bars[q]
+        return q[keep], place[keep], value[keep]
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -166,11 +206,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
 
     Words as everywhere here (runs of anything but ASCII white space, A-Z lower-cased); a
     query's repeated words count once. Document frequencies and the mean length are
-    those of all documents. Each shard is searched with block-max pruning for its own best and the shards' answers are
+    those of all documents. Each shard is searched with block-max pruning and each task's answers are
     merged; no document that could be among the best is left out. Scores are rounded to six
     decimals; ties go to the smaller doc_id. Only documents that share a word with the query are ranked.
 
-    The queries go to the shards in blocks of about ``at_once``, so what a task holds does not grow
+    The queries go to the shards in blocks of about ``at_once`` or ``WORDS_AT_ONCE`` words, whichever is less, so what a task holds does not grow
     with their number. Null and empty texts match nothing; a null doc_id is ranked last among
     ties; repeated rows are ranked each; rows without a query_id are no queries. Extra columns are ignored.
     """
@@ -180,16 +220,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
     total = size.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     documents = total["n"] or 0
     mean = (total["w"] or 0) / documents if documents else 0.0
-    asked = queries.filter(F.col("query_id").isNotNull())
-    count = asked.count()
-    parts = max(1, math.ceil(count / at_once))
-    weighted = stored(
-        weighted_queries(asked, index, documents).withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int")), "bm25-queries"
-    )
+    weighted = stored(weighted_queries(queries.filter(F.col("query_id").isNotNull()), index, documents), "bm25-queries")
+    asked = weighted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("w")).first()
+    parts = max(1, math.ceil(asked["n"] / at_once), math.ceil((asked["w"] or 0) / WORDS_AT_ONCE))
     answers = None
     for part in range(parts):
-        block = weighted.filter(F.col("part") == part).select("query_id", "terms", "weights").toArrow()
-        shared = spark.sparkContext.broadcast(_packed(block))
+        mine = F.pmod(F.xxhash64("query_id"), parts) == part
+        shared = spark.sparkContext.broadcast(_packed(weighted.filter(mine).select("query_id", "terms", "weights").toArrow()))
         found = stored(index.mapInArrow(_searcher(shared, k, mean), "query_id bigint, doc_id bigint, score double"), "bm25-found")
         answers = found if answers is None else answers.unionByName(found)
         shared.unpersist()
@@ -198,52 +235,67 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
 
 
 def _packed(block: pa.Table) -> bytes:
+    """A block of queries, those of few words first: each query's id and number of words, the number of each word, and the words' weights."""
+    block = block.take(pc.sort_indices(pc.list_value_length(block.column("terms")))).combine_chunks()
+    coded = pa.concat_arrays([pa.array([], pa.binary()), *[c.flatten() for c in block.column("terms").chunks]]).dictionary_encode()
+    number = coded.indices.to_numpy()
+    weights = np.zeros(len(coded.dictionary))
+    weights[number] = np.concatenate([np.zeros(0), *[c.flatten().to_numpy() for c in block.column("weights").chunks]])
+    sizes = pc.list_value_length(block.column("terms")).to_numpy()
+    parts = {
+        "query": pa.array(block.column("query_id").to_numpy()), "sizes": pa.array(sizes, pa.int64()), "number": pa.array(number, pa.int32()),
+        "terms": coded.dictionary, "weights": pa.array(weights),
+    }
+    one = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in parts.values()], names=list(parts))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, block.schema) as writer:
-        writer.write_table(block)
+    with pa.ipc.new_stream(sink, one.schema) as writer:
+        writer.write_batch(one)
     return sink.getvalue().to_pybytes()
 
 
 def _searcher(shared, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.ipc.open_stream(shared.value).read_all().to_pydict()
-        wanted = {t for terms in block["terms"] for t in terms}
-        bars = [0.0] * len(block["query_id"])
-        best: list[list[float]] = [[] for _ in bars]
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+        block = pa.ipc.open_stream(shared.value).read_next_batch()
+        asked, sizes, number, weights = (block.column(c)[0].values.to_numpy() for c in ("query", "sizes", "number", "weights"))
+        terms = block.column("terms")[0].values
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(asked)), sizes)
+        # the best of all shards that this task has searched; the bar rises with them
+        bars = np.zeros(len(asked))
+        query, ids, score = np.zeros(0, np.int64), pa.array([], pa.int64()), np.zeros(0)
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard({f.name: _values(batch.column(i)[row]) for i, f in enumerate(batch.schema)}, mean)
-                known = {t: shard.terms[t] for t in wanted if t in shard.terms}
-                out: list[tuple[int, int | None, float]] = []
-                for q, (query, terms, weights) in enumerate(zip(block["query_id"], block["terms"], block["weights"])):
-                    pairs = [(known[t], w) for t, w in zip(terms, weights) if t in known]
-                    if not pairs:
-                        continue
-                    numbers, weight = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs])
-                    hits = shard.search(numbers, weight, k, bars[q])
-                    # the bar rises with every shard that this task has searched
-                    best[q] = sorted([*best[q], *[s for s, _ in hits]], reverse=True)[:k]
-                    bars[q] = best[q][-1] if len(best[q]) == k else 0.0
-                    ranked = sorted(hits, key=lambda h: (-round(h[0], DECIMALS), shard.doc_ids[h[1]] is None, shard.doc_ids[h[1]] or 0))
-                    out += [(query, shard.doc_ids[p], round(s, DECIMALS)) for s, p in ranked[:k]]
-                for at in range(0, len(out), 50_000):
-                    some = out[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in some], f.type) for i, f in enumerate(schema)], schema=schema)
+                shard = Shard({c: batch.column(c)[row] for c in batch.schema.names}, mean)
+                at = pc.index_in(terms, value_set=shard.terms).fill_null(-1).to_numpy()
+                hits = []
+                for low in range(0, len(asked), TOGETHER):
+                    high = min(len(asked), low + TOGETHER)
+                    own = slice(ends[low] - sizes[low], ends[high - 1])
+                    here = at[number[own]] >= 0
+                    mine = number[own][here]
+                    q, place, value = shard.search(of[own][here] - low, at[mine], weights[mine], k, bars[low:high])
+                    hits.append((q + low, place, value))
+                q, place, value = (np.concatenate(c) for c in zip(*hits)) if hits else (query[:0], query[:0], score[:0])
+                query, score = np.append(query, q), np.append(score, value)
+                ids = pa.concat_arrays([ids, shard.doc_ids.take(pa.array(place, pa.int64()))])
+                # by query, then rounded score, then id, nulls last
+                names = ids.fill_null(0).to_numpy()
+                order = np.lexsort((names, ids.is_null().to_numpy(zero_copy_only=False), -np.round(score, DECIMALS), query))
+                rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                order, rank = order[rank < k], rank[rank < k]
+                query, score, ids = query[order], score[order], ids.take(pa.array(order))
+                full = query[rank == k - 1]
+                # the k-th score, or what rounds to it
+                least = np.full(len(asked), np.inf)
+                np.minimum.at(least, query, score)
+                bars[full] = np.maximum(bars[full], least[full])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(asked[query], pa.int64()), ids, pa.array(np.round(score, DECIMALS))], names=["query_id", "doc_id", "score"]
+        )
 
     return run
 
 
-def _values(cell: pa.Scalar):
-    """A list cell as numpy where it holds numbers without nulls, else as a list."""
-    if not pa.types.is_list(cell.type):
-        return cell.as_py()
-    values = cell.values
-    if pa.types.is_int32(values.type) and not values.null_count:
-        return values.to_numpy(zero_copy_only=False)
-    return values.to_pylist()
-
-
 #: The same search in SQL: documents whose id is divisible by 50 as queries.
 SQL = r"""
 WITH tok AS (

@@ -49,3 +49,25 @@ def test_no_rows(spark):
     queries = docs.select(F.col("doc_id").alias("query_id"), "text")
     assert bm25.top_k(docs.limit(0), queries).count() == 0
     assert bm25.top_k(docs, queries.limit(0)).count() == 0
+
+
+def test_a_reader_holds_one_shard(spark):
+    docs = spark.createDataFrame([(i, f"a b{i} c{i % 7}") for i in range(100)], "doc_id bigint, text string").coalesce(1)
+    index = bm25.build_index(docs, 30)
+    assert index.count() == len(index.inputFiles()) == 4
+
+
+@pytest.mark.parametrize("limits", [{"CELLS": 0}, {"CELLS": 700, "POSTINGS": 50, "TOGETHER": 3}, {"COMMON": 1000, "BLOCK": 4}, {"SHARD_WORDS": 200, "WORDS_AT_ONCE": 300}])
+def test_matrix_and_postings_score_alike(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 60)))) for i in range(250)]
+    docs += [(300 + i, docs[i][1]) for i in range(30)]
+    queries = [(i, t) for i, t in docs if i % 9 == 0]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    rows = bm25.top_k(frame, spark.createDataFrame(queries, "query_id bigint, text string"), 5).collect()
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in rows)
+    want = sorted(plain(docs, queries, 5))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(math.isclose(g[3], w[3], abs_tol=2e-6) for g, w in zip(got, want))
