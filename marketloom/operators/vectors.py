@@ -19,6 +19,7 @@ from marketloom.session import materialize
 DUPLICATE_SIMILARITY = 0.995
 MOST_BANDS = 512
 CROWDED = 2000
+SKETCH_BITS = 63  # of each of the two numbers of a sketch
 EMBEDDING_DIM = 384
 # ---- end of fixed values ----
 
@@ -79,22 +80,43 @@ def bands_for(threshold: float, bits: int, miss: float, most: int = MOST_BANDS)
     return bands
 
 
-def _settle(members: DataFrame, same: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sketch_limit(threshold: float, miss: float, bits: int = 2 * SKETCH_BITS) -> int:
+    """Differing signs of ``bits`` that a pair at the threshold exceeds with a chance of ``miss`` at most."""
+    p = math.acos(threshold) / math.pi
+    limit, beyond = bits, 0.0
+    while limit and (beyond := beyond + math.comb(bits, limit) * p**limit * (1 - p) ** (bits - limit)) <= miss:
+        limit -= 1
+    return limit
+
+
+def _alike(left: tuple[str, str], right: tuple[str, str], limit: int) -> Column:
+    """Two sketches differ in ``limit`` signs at most."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(left, right)), F.lit(0)) <= limit
+
+
+def _settle(members: DataFrame, same: DataFrame, threshold: float, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members of buckets of several, with the bucket's size; ids settled by the earliest member; probes still open)."""
-    sizes = members.groupBy("bucket").agg(F.min("vec_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(members.join(sizes, "bucket"), "buckets")
-    first = shared.filter("probe AND vec_id <> hub").select("vec_id", F.col("hub").alias("other")).distinct()
+    earliest = [F.min_by(c, "vec_id").alias(f"hub_{c}") for c in ("a", "b")]
+    sizes = members.groupBy("bucket").agg(F.min("vec_id").alias("hub"), *earliest, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tried = F.col("probe") & (F.col("vec_id") != F.col("hub"))
+    like_hub = tried & _alike(("a", "b"), ("hub_a", "hub_b"), limit)
+    shared = materialize(members.join(sizes, "bucket").withColumn("like_hub", like_hub).drop("hub_a", "hub_b"), "buckets")
+    first = shared.filter("like_hub").select("vec_id", F.col("hub").alias("other")).distinct()
     settled = materialize(_verified(first, same, threshold), "settled")
-    still = shared.filter("probe AND vec_id <> hub").join(settled, "vec_id", "left_anti")
+    still = shared.filter(tried).join(settled, "vec_id", "left_anti")
     return shared, settled, still
 
 
-def _pairs(still: DataFrame, shared: DataFrame, most: int) -> DataFrame:
-    """Open probes with the earlier members of their buckets. A bucket of more than ``most`` members is dealt to tiles of that size."""
+def _pairs(still: DataFrame, shared: DataFrame, most: int, limit: int) -> DataFrame:
+    """Open probes with the earlier members of their buckets whose sketches are alike. A bucket of more than ``most`` members is dealt to tiles of that size."""
     tiles = F.ceil(F.col("n") / most).cast("int")
-    probes = still.select("bucket", "vec_id", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
-    others = shared.filter("vec_id <> hub").select("bucket", F.col("vec_id").alias("other"), F.pmod(F.xxhash64("vec_id"), tiles).cast("int").alias("tile"))
-    return probes.join(others, ["bucket", "tile"]).filter("other < vec_id").select("vec_id", "other").distinct()
+    # of two members one is the earliest, which was tried
+    probes = still.filter("n > 2").select("bucket", "vec_id", "a", "b", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
+    others = shared.filter("n > 2 AND vec_id <> hub").select(
+        "bucket", F.col("vec_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"), F.pmod(F.xxhash64("vec_id"), tiles).cast("int").alias("tile")
+    )
+    near = (F.col("other") < F.col("vec_id")) & _alike(("a", "b"), ("c", "d"), limit)
+    return probes.join(others, ["bucket", "tile"]).filter(near).select("vec_id", "other").distinct()
 
 
 def near_duplicates(
@@ -110,20 +132,26 @@ def near_duplicates(
     keep a near pair together. Buckets that are still crowded after ``levels`` such steps hold vectors near the threshold
     of each other, and are compared in tiles of ``crowded``. Numbers of bands and branches
     follow from the threshold: two vectors at it miss each other with a chance of ``miss`` at most per level, closer ones less.
+    Only pairs whose sketches, further signs that members carry, are alike meet their vectors; one at the threshold is not alike
+    with that same chance at most. So pairs that merely share a bucket, whose number grows with its square, are never shuffled.
     """
     same = materialize(vectors.groupBy("company", "embedding").agg(F.min("vec_id").alias("vec_id")), "distinct-vectors")
     hashed = F.pandas_udf(_signs(dim, bands_for(threshold, bits, miss), bits, [seed]), "array<bigint>")
-    signed = same.select("company", "vec_id", F.posexplode(hashed("embedding")).alias("band", "signs"))
-    members = signed.select(F.xxhash64("company", "band", "signs").alias("bucket"), "vec_id", F.lit(True).alias("probe"))
+    sketched = F.pandas_udf(_signs(dim, 2, SKETCH_BITS, [seed, 0]), "array<bigint>")
+    limit = sketch_limit(threshold, miss)
+    signed = same.select("company", "vec_id", hashed("embedding").alias("bands"), sketched("embedding").alias("sketch")).select(
+        "company", "vec_id", F.col("sketch")[0].alias("a"), F.col("sketch")[1].alias("b"), F.posexplode("bands").alias("band", "signs")
+    )
+    members = signed.select(F.xxhash64("company", "band", "signs").alias("bucket"), "vec_id", F.lit(True).alias("probe"), "a", "b")
     found = None
     for level in range(levels + 1):
-        shared, settled, still = _settle(members, same, threshold)
+        shared, settled, still = _settle(members, same, threshold, limit)
         large = F.col("n") > crowded
         if level == levels or still.filter(large).isEmpty():
-            new = settled.unionByName(_verified(_pairs(still, shared, crowded), same, threshold))
+            new = settled.unionByName(_verified(_pairs(still, shared, crowded, limit), same, threshold))
             found = new if found is None else found.unionByName(new)
             break
-        new = settled.unionByName(_verified(_pairs(still.filter(~large), shared.filter(~large), crowded), same, threshold))
+        new = settled.unionByName(_verified(_pairs(still.filter(~large), shared.filter(~large), crowded, limit), same, threshold))
         found = new if found is None else found.unionByName(new)
         # only buckets with open probes grow; all their members stay partners
         growing = still.filter(large).select("bucket").distinct()
@@ -132,8 +160,8 @@ def near_duplicates(
         more = F.pandas_udf(_signs(dim, bands_for(threshold, deeper, miss), deeper, [seed, level + 1]), "array<bigint>")
         branches = same.join(grown.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", more("embedding").alias("signs"))
         members = grown.join(branches, "vec_id").select(
-            "bucket", "vec_id", F.coalesce("open", F.lit(False)).alias("probe"), F.posexplode("signs").alias("branch", "signs")
-        ).select(F.xxhash64("bucket", "branch", "signs").alias("bucket"), "vec_id", "probe")
+            "bucket", "vec_id", "a", "b", F.coalesce("open", F.lit(False)).alias("probe"), F.posexplode("signs").alias("branch", "signs")
+        ).select(F.xxhash64("bucket", "branch", "signs").alias("bucket"), "vec_id", "probe", "a", "b")
     near = found.distinct().withColumn("near", F.lit(True))
     originals = same.select("vec_id", F.lit(True).alias("original"))
     return (

@@ -1,3 +1,4 @@
+import math
 import random
 import urllib.robotparser
 
@@ -500,3 +501,22 @@ def test_tables_of_the_store_have_their_own_columns(spark):
     rows = sinks.read_table(spark, path, "raw_documents")
     assert [f.name for f in rows.schema] == [f.name for f in extraction.StructType.fromDDL(sinks.TABLES["raw_documents"])]
     assert {(r.pipeline_id, r.url, r.content_length) for r in rows.collect()} == {("r1", "u", 7), ("r2", "v", None)}
+
+
+def test_pairs_that_only_share_a_bucket_never_meet_their_vectors(spark, monkeypatch):
+    met, verified = [], vectors._verified
+    monkeypatch.setattr(vectors, "_verified", lambda pairs, *rest: met.append(pairs.count()) or verified(pairs, *rest))
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((150, 24))
+    data = np.vstack([data, data[:20] + rng.standard_normal((20, 24)) * 0.01])
+    rows = [(i, "a", [float(x) for x in v]) for i, v in enumerate(data)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, company string, embedding array<float>"), 24, bits=3)
+    assert {r["vec_id"] for r in got.filter("is_duplicate").collect()} == set(range(150, 170))
+    assert sum(met) < 200
+
+
+@pytest.mark.parametrize("threshold", [0.995, 0.9])
+def test_sketches_of_near_pairs_are_alike(threshold):
+    limit, p = vectors.sketch_limit(threshold, 1e-9), math.acos(threshold) / math.pi
+    tail = [sum(math.comb(126, i) * p**i * (1 - p) ** (126 - i) for i in range(at + 1, 127)) for at in (limit, limit - 1)]
+    assert tail[0] <= 1e-9 < tail[1] and limit < 126 * 0.5
