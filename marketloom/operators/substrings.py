@@ -30,8 +30,10 @@ FILTER_BITS = 1 << 24
 ROWS, CELLS = 4, 1 << 14
 #: Needles of this many bytes are sent to every task; more are joined.
 NEEDLE_BYTES = 8 << 20
-#: Characters that are looked at together.
-CHARS = 1 << 20
+#: Characters that are looked at together; their keys stay in a processor's cache.
+CHARS = 1 << 16
+#: Least and most cells of the table that says which keys may be a needle's, and cells for each key.
+MARKS, CELLS_A_KEY = (1 << 16, 1 << 24), 64
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,12 +43,12 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def chosen(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) that texts choose at a class. ``chars`` are the code points of several texts in a row, ``ends`` where each ends."""
+def _grams(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all grams of a class, and which of them texts choose."""
     _, gram, window = CLASSES[level]
     size = len(chars) - gram + 1
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if size <= 0 or size - window + 1 <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     with np.errstate(over="ignore"):
         one = chars.astype(np.uint64)
         sums, have = one, 1
@@ -58,19 +60,29 @@ def chosen(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray,
             have += 1
         keys = _mixed(sums + np.uint64(level + 1) * PRIME)
     # grams that reach from one text into the next are no grams
-    limit = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[:size]
-    whole = np.arange(size) + gram <= limit
+    whole = _apart(size, ends, gram)
     if window == 1:
-        places = np.flatnonzero(whole)
-        return places, keys[places]
-    windows = size - window + 1
-    if windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = np.arange(windows) + gram + window - 1 <= limit[:windows]
-    least = np.where(inside, _over(keys, window, np.minimum), np.uint64(0))
+        return keys, whole
+    least = _over(keys, window, np.minimum)
+    least[~_apart(len(least), ends, gram + window - 1)] = 0
     # a gram is the least of some window if none of its windows has a lesser one only
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
-    places = np.flatnonzero(whole & (_over(padded, window, np.maximum) == keys))
+    whole &= _over(padded, window, np.maximum) == keys
+    return keys, whole
+
+
+def _apart(size: int, ends: np.ndarray, length: int) -> np.ndarray:
+    """True where ``length`` characters from a place on do not reach over the end of a text."""
+    apart = np.ones(size, bool)
+    over = (ends[:, None] - np.arange(1, length)).ravel()
+    apart[over[(over >= 0) & (over < size)]] = False
+    return apart
+
+
+def chosen(chars: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) that texts choose at a class. ``chars`` are the code points of several texts in a row, ``ends`` where each ends."""
+    keys, own = _grams(chars, ends, level)
+    places = np.flatnonzero(own)
     return places, keys[places]
 
 
@@ -161,8 +173,9 @@ def key_counts(haystacks: DataFrame, bits: bytes, levels: Sequence[int]) -> np.n
         for batch in batches:
             for _, _, chars, ends in _texts(batch.column("text")):
                 for level in levels:
-                    _, keys = chosen(chars, ends, level)
-                    keys = keys[_has(known, keys)]
+                    keys, own = _grams(chars, ends, level)
+                    own &= _has(known, keys)
+                    keys = keys[own]
                     if len(keys):
                         counts += np.bincount(_cells(keys).ravel(), minlength=len(counts))
         cells = np.flatnonzero(counts)
@@ -227,28 +240,44 @@ def _places(haystacks: DataFrame, bits: bytes, reach: dict[int, int]) -> DataFra
     return haystacks.select("hay_id", "text").mapInArrow(run, f"hay_id {haystacks.schema['hay_id'].dataType.simpleString()}, key bigint, piece string")
 
 
+def _marks(listed: np.ndarray) -> np.ndarray:
+    """A table, small where few keys are listed, that says by a key's last bits whether it may be one of them."""
+    cells = min(MARKS[1], max(MARKS[0], 1 << (CELLS_A_KEY * len(listed)).bit_length()))
+    marks = np.zeros(cells, bool)
+    marks[listed & (cells - 1)] = True
+    return marks
+
+
+def _listed(keys: np.ndarray, own: np.ndarray, listed: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers) of the keys among ``own`` that are in the sorted list; only those that the table marks are looked up."""
+    places = np.flatnonzero(own & marks[(keys & np.uint64(len(marks) - 1)).view(np.int64)])
+    mine = keys[places].view(np.int64)
+    at = np.minimum(np.searchsorted(listed, mine), len(listed) - 1)
+    hit = listed[at] == mine
+    return places[hit], at[hit]
+
+
 def _held(haystacks: DataFrame, waiting: list[tuple[str, int]], levels: Sequence[int]) -> DataFrame:
     """Distinct (hay_id, needle) by looking for the needles, a bounded list, where their keys occur."""
     of_key: dict[int, list[str]] = {}
     for needle, key in waiting:
         of_key.setdefault(key, []).append(needle)
     listed = np.array(sorted(of_key), np.int64)
-    shared = haystacks.sparkSession.sparkContext.broadcast((listed, [of_key[k] for k in listed.tolist()]))
+    shared = haystacks.sparkSession.sparkContext.broadcast((listed, _marks(listed), [of_key[k] for k in listed.tolist()]))
     id_type = to_arrow_type(haystacks.schema["hay_id"].dataType)
     schema = pa.schema([("hay_id", id_type), ("needle", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, needles_of = shared.value
+        known, marks, needles_of = shared.value
         for batch in batches:
             ids = batch.column("hay_id").to_pylist()
             for begin, part, chars, ends in _texts(batch.column("text")):
                 rows = []
                 for level in levels:
-                    places, keys = chosen(chars, ends, level)
-                    at = np.minimum(np.searchsorted(known, keys.view(np.int64)), len(known) - 1)
-                    hit = known[at] == keys.view(np.int64)
+                    keys, own = _grams(chars, ends, level)
+                    places, at = _listed(keys, own, known, marks)
                     # each key once per text
-                    met = np.unique(np.searchsorted(ends, places[hit], "right") * len(known) + at[hit])
+                    met = np.unique(np.searchsorted(ends, places, "right") * len(known) + at)
                     for text, key in zip((met // len(known)).tolist(), (met % len(known)).tolist()):
                         rows += [(ids[begin + text], needle) for needle in needles_of[key] if needle in part[text]]
                 if rows:

@@ -66,3 +66,26 @@ def test_a_text_chooses_what_its_parts_choose(level):
     for at in range(0, 400 - least):
         _, part = substrings.chosen(text[at : at + least], np.array([least]), level)
         assert len(part) and set(part.tolist()) <= set(whole.tolist())
+
+
+def test_few_keys_of_a_text_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys, own = rng.integers(0, 1 << 64, 50_000, np.uint64), rng.random(50_000) < 0.8
+    listed = np.unique(np.concatenate([keys[::500], rng.integers(0, 1 << 64, 300, np.uint64)]).view(np.int64))
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: looked.append(len(v)) or search(a, v, *rest))
+    places, at = substrings._listed(keys, own, listed, substrings._marks(listed))
+    assert sum(looked) < 0.05 * len(keys)
+    assert places.tolist() == np.flatnonzero(own & np.isin(keys.view(np.int64), listed)).tolist()
+    assert (listed[at] == keys[places].view(np.int64)).all()
+
+
+@pytest.mark.parametrize("level", range(len(substrings.CLASSES)))
+def test_grams_of_short_and_empty_texts(level):
+    """Texts in a row choose what each would choose alone."""
+    rng = np.random.default_rng(level)
+    texts = [rng.integers(97, 100, n).astype(np.uint32) for n in (0, 3, 1, 0, 0, 70, 2, 16, 49, 48, 0, 5, 200, 1, 0)]
+    ends = np.cumsum([len(t) for t in texts])
+    want = [(p + end - len(t), k) for t, end in zip(texts, ends) for p, k in zip(*substrings.chosen(t, np.array([len(t)]), level))]
+    places, keys = substrings.chosen(np.concatenate(texts), ends, level)
+    assert list(zip(places.tolist(), keys.tolist())) == want
