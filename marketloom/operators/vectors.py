@@ -100,7 +100,10 @@ def _settle(members: DataFrame, same: DataFrame, threshold: float, limit: int) -
     sizes = members.groupBy("bucket").agg(F.min("vec_id").alias("hub"), *earliest, F.count(F.lit(1)).alias("n")).filter("n > 1")
     tried = F.col("probe") & (F.col("vec_id") != F.col("hub"))
     like_hub = tried & _alike(("a", "b"), ("hub_a", "hub_b"), limit)
-    shared = materialize(members.join(sizes, "bucket").withColumn("like_hub", like_hub).drop("hub_a", "hub_b"), "buckets")
+    # an id may come with several vectors, and only those of one sketch were compared as the earliest
+    is_hub = F.expr("vec_id = hub AND a = hub_a AND b = hub_b")
+    rows = members.join(sizes, "bucket").withColumn("like_hub", like_hub).withColumn("is_hub", is_hub)
+    shared = materialize(rows.drop("hub_a", "hub_b"), "buckets")
     first = shared.filter("like_hub").select("vec_id", F.col("hub").alias("other")).distinct()
     settled = materialize(_verified(first, same, threshold), "settled")
     still = shared.filter(tried).join(settled, "vec_id", "left_anti")
@@ -112,7 +115,7 @@ def _pairs(still: DataFrame, shared: DataFrame, most: int, limit: int) -> DataFr
     tiles = F.ceil(F.col("n") / most).cast("int")
     # of two members one is the earliest, which was tried
     probes = still.filter("n > 2").select("bucket", "vec_id", "a", "b", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
-    others = shared.filter("n > 2 AND vec_id <> hub").select(
+    others = shared.filter("n > 2 AND NOT is_hub").select(
         "bucket", F.col("vec_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"), F.pmod(F.xxhash64("vec_id"), tiles).cast("int").alias("tile")
     )
     near = (F.col("other") < F.col("vec_id")) & _alike(("a", "b"), ("c", "d"), limit)

@@ -520,3 +520,16 @@ def test_sketches_of_near_pairs_are_alike(threshold):
     limit, p = vectors.sketch_limit(threshold, 1e-9), math.acos(threshold) / math.pi
     tail = [sum(math.comb(126, i) * p**i * (1 - p) ** (126 - i) for i in range(at + 1, 127)) for at in (limit, limit - 1)]
     assert tail[0] <= 1e-9 < tail[1] and limit < 126 * 0.5
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    """Two vectors of one id lie in the same buckets; both are compared with later ones."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        one = rng.standard_normal(16)
+        two = one + rng.standard_normal(16) * 0.5
+        rows += [(i, f"c{i}", one), (i, f"c{i}", two), (100 + i, f"c{i}", (one if i % 2 else two) + rng.standard_normal(16) * 0.01)]
+    frame = spark.createDataFrame([(i, c, [float(x) for x in v]) for i, c, v in rows], "vec_id bigint, company string, embedding array<float>")
+    got = vectors.near_duplicates(frame, 16, bits=1).filter("is_duplicate").select("vec_id").distinct().collect()
+    assert {r["vec_id"] for r in got} == set(range(100, 160))
