@@ -17,7 +17,7 @@ from marketloom.session import materialize
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and their words, at most (a longer text is a shard of its own); documents of a block.
-SHARD_DOCS = 8192
+SHARD_DOCS = 12288
 SHARD_WORDS = 6_000_000
 BLOCK = 16
 #: Queries, and different words of all of them, that are sent to the shards at once.
@@ -164,7 +164,8 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
             yield closed()
 
     index = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, INDEX)
-    return materialize(index, "bm25-index", maxRecordsPerFile=1)
+    # values are compressed already
+    return materialize(index, "bm25-index", maxRecordsPerFile=1, compression="uncompressed")
 
 
 def weighted_queries(queries: DataFrame, index: DataFrame, documents: int) -> DataFrame:
@@ -210,6 +211,8 @@ class Shard:
         self.docs, self.ends = len(lengths), np.cumsum(groups)
         # of the shard's terms, those that are asked for are numbered anew
         at = pc.index_in(terms, value_set=vocabulary["terms"]).fill_null(-1).to_numpy()
+        # what the look needed goes back before more is made
+        pa.default_memory_pool().release_unused()
         weight = np.zeros(len(held))
         weight[at[at >= 0]] = weights[at >= 0]
         asked = np.zeros(len(held), bool)
@@ -317,6 +320,8 @@ class Shard:
             whole = wanted[now] @ matrix.T
             whole += rare[now]
             blocks = -(-len(matrix) // BLOCK)
+            some = whole.max(axis=1) >= self._least(bars[now])
+            now, whole = now[some], whole[some]
             hits = np.flatnonzero(whole >= self._least(bars[now])[:, None])
             if len(hits) > 2 * k * len(now) and blocks >= k:
                 best = np.maximum.reduceat(whole, np.arange(0, len(matrix), BLOCK), axis=1)
@@ -340,25 +345,18 @@ class Shard:
         return np.maximum((bars - 10.0**-DECIMALS) * (1 - self.loss), np.finfo(np.float32).tiny).astype(np.float32)
 
     def whole(self, query: np.ndarray, place: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Scores of documents in double precision; ``query`` is in order, and each document has some term that is asked for."""
+        """Scores of documents in double precision; ``query`` is in order."""
         out, weight = np.zeros(len(query)), np.zeros(len(self.held))
         cut = np.flatnonzero(np.diff(query, prepend=-1))
-        size = self.own_starts[place + 1] - self.own_starts[place]
-        ends = np.cumsum(size)
         for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(query)]):
             mine = numbers[starts[query[low]] : starts[query[low] + 1]]
             weight[mine] = self.weight[mine]
-            while low < high:
-                to = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, "right")))
-                to = min(to, high)
-                n, first = size[low:to], np.cumsum(size[low:to]) - size[low:to]
-                own = np.repeat(self.own_starts[place[low:to]] - first, n)
-                own += np.arange(len(own))
-                times, value = self.own_times[own], weight[self.own_terms[own]]
-                value *= times
-                value /= times + np.repeat(self.base[place[low:to]], n)
-                out[low:to] = np.add.reduceat(value, first)
-                low = to
+            for at in range(low, high):
+                own = slice(self.own_starts[place[at]], self.own_starts[place[at] + 1])
+                gain = weight[self.own_terms[own]]
+                some = np.flatnonzero(gain)
+                times = self.own_times[own][some]
+                out[at] = (times * gain[some] / (times + self.base[place[at]])).sum()
             weight[mine] = 0
         return out
 

@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import bm25
+from marketloom.llm.common import words
 
 
 def plain(docs, queries, k):
@@ -71,3 +73,46 @@ def test_matrix_and_postings_score_alike(spark, monkeypatch, limits):
     want = sorted(plain(docs, queries, 5))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(math.isclose(g[3], w[3], abs_tol=2e-6) for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("limits", [{"GROUP_DOCS": 20, "FIRST": 2, "PIECE": 7}, {"GROUP_DOCS": 30, "COMMON": 3, "WORDS_BY_DRIVER": 90, "WORDS_AT_ONCE": 900}])
+def test_groups_and_pieces_score_alike(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 60)))) for i in range(250)]
+    # a word of every document weighs next to nothing, and is all that some share
+    docs = [(i, f"{t} every") for i, t in docs] + [(300 + i, docs[i][1]) for i in range(30)] + [(400 + i, "every") for i in range(5)]
+    queries = [(i, t) for i, t in docs if i % 9 == 0] + [(-1, "every")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    rows = bm25.top_k(frame, spark.createDataFrame(queries, "query_id bigint, text string"), 5, 60).collect()
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in rows)
+    want = sorted(plain(docs, queries, 5))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(math.isclose(g[3], w[3], abs_tol=2e-6) for g, w in zip(got, want))
+
+
+def test_most_shards_answer_with_few_documents(spark, monkeypatch):
+    found, stored = [], bm25.stored
+
+    def kept(df, label):
+        out = stored(df, label)
+        found.extend([out] * (label == "bm25-found"))
+        return out
+
+    monkeypatch.setattr(bm25, "stored", kept)
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(40))) for i in range(960)]
+    queries = docs[::48]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(32)
+    rows = bm25.top_k(frame, spark.createDataFrame(queries, "query_id bigint, text string"), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in rows) == [w[:3] for w in sorted(plain(docs, queries, 5))]
+    # 32 shards with five documents for each query would be 160 of them
+    assert sum(f.count() for f in found) < 90 * len(queries)
+
+
+def test_words_are_split_alike():
+    odd = "".join(map(chr, range(1, 128)))
+    some = [odd, "", None, "  ", " a  B\tc\n", "\x1ca b\x85c", "\u00c9t\u00c9 \u00e9\u00a0X", *(f"{chr(c)}a{chr(c) * 2}B{chr(c)}" for c in range(1, 256))]
+    assert bm25.split(pa.array(some)).to_pylist() == [words(t or "") for t in some]
+    assert bm25.split(pa.array(some).slice(2, 4)).to_pylist() == [words(t or "") for t in some[2:6]]
